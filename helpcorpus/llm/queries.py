@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .exactdedup import exact_dedup
+from .jaccard import jaccard_components
+from .lm import score
 from .mixing import mix
 from .sharding import shuffle_shards
 from .tokencount import token_counts
@@ -25,6 +27,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("_size").alias("size"), F.col("_crc32").alias("text_crc32"), F.col("_law").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(read(spark, sf_dir, "documents"))
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
