@@ -13,8 +13,14 @@ from .exactdedup import exact_dedup
 from .jaccard import jaccard_components
 from .lm import score
 from .mixing import mix
+from .quality import quality
 from .sharding import shuffle_shards
 from .tokencount import token_counts
+from .toxicity import toxicity
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +29,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = shuffle_shards(read(spark, sf_dir, "documents"), 16)
     return d.select("doc_id", F.col("_size").alias("size"), F.col("_crc32").alias("text_crc32"), F.col("_law").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
