@@ -240,3 +240,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     named = written(named)
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, of which each component of linked documents keeps one: that of the least id.
+
+    A null id counts as a hash of the text. Of rows that repeat an id one stays.
+    """
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    found = written(jaccard_components(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("body")), k, percent, "key", "body"))
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, key == F.col("_gone"), "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+    return kept

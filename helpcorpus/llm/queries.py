@@ -13,6 +13,7 @@ from .exactdedup import exact_dedup
 from .jaccard import jaccard_components
 from .lm import score
 from .mixing import mix
+from .pii import personal_data
 from .quality import quality
 from .sharding import shuffle_shards
 from .tokencount import token_counts
@@ -46,6 +47,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
