@@ -34,7 +34,7 @@ END = b""
 BINS = 4
 NONE = -10_000
 
-_CHUNK = "chunk string, doc_id array<long>, held array<boolean>, lens array<long>, ids binary, vocab binary"
+_CHUNK = "chunk string, doc_id array<long>, held array<boolean>, lens array<long>, ids binary, ranks binary, vocab binary"
 _RESOLVED = "chunk string, doc_id array<long>, held array<boolean>, lens array<long>, ids binary, words binary, pairs binary, n_keys long, n_all long"
 
 
@@ -44,15 +44,17 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def _squeeze(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.astype("<u4").tobytes())
+    """Small numbers, compressed with their low bytes together, then the next."""
+    return zstandard.ZstdCompressor(level=1).compress(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _expand(b: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "<u4").astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as ids into a sorted vocabulary of hashes. A chunk is named by place and content."""
+    """Documents as ids of words, frequent ones first, and the ids' places in a sorted vocabulary of hashes. A chunk is named by place and content."""
     part, made, schema = TaskContext.get().partitionId(), 0, _arrow(_CHUNK)
     docs: list[tuple] = []
 
@@ -69,27 +71,33 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), np.uint64, len(index))
         vocab, rank = np.unique(h, return_inverse=True)
         ids, made = rank[np.array(local, np.int64)], made + 1
+        ranks = np.argsort(-np.bincount(ids, minlength=len(vocab)), kind="stable")
+        order = np.empty_like(ranks)
+        order[ranks] = np.arange(len(ranks))
+        ids = order[ids]
         doc_id = [i for i, _ in docs]
         name = f"{part}-{made}-{xxhash.xxh64_hexdigest(repr(doc_id).encode() + ids.tobytes() + vocab.tobytes())}"
-        out = [name, doc_id, [crc_of(i) % FOLDS == HELD for i in doc_id], lens, _squeeze(ids), packed.pack(vocab)]
+        out = [name, doc_id, [crc_of(i) % FOLDS == HELD for i in doc_id], lens, _squeeze(ids), _squeeze(ranks), packed.pack(vocab)]
         docs = []
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, schema.types, strict=True)], schema=schema)
 
     size = 0
     for batch in batches:
-        for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            docs.append((i, t))
-            size += len(t)
-            if size >= CHUNK_BYTES:
-                yield flush()
-                size = 0
+        for at in range(0, batch.num_rows, 500):
+            b = batch.slice(at, 500)
+            for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                docs.append((i, t))
+                size += len(t)
+                if size >= CHUNK_BYTES:
+                    yield flush()
+                    size = 0
     if docs:
         yield flush()
 
 
 def _parts(row: dict) -> tuple:
-    """ids, context ids, vocabulary, sorted bigram keys, each token's bigram, whether a token is learned from."""
-    ids, lens, vocab = _expand(row["ids"]), np.array(row["lens"]), packed.unpack(row["vocab"])
+    """Ids in the sorted vocabulary, the vocabulary, sorted bigram keys, each token's bigram, whether a token is learned from."""
+    ids, lens, vocab = _expand(row["ranks"])[_expand(row["ids"])], np.array(row["lens"]), packed.unpack(row["vocab"])
     end = np.searchsorted(vocab, np.uint64(xxhash.xxh64_intdigest(END)))
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
@@ -102,14 +110,14 @@ def _parts(row: dict) -> tuple:
     key *= np.uint64(0xBF58476D1CE4E5B9)
     key ^= key >> np.uint64(32)
     keys, rank = np.unique(key, return_inverse=True)
-    return ids, before, vocab, keys, rank[at], np.repeat(~np.array(row["held"], bool), lens)
+    return ids, vocab, keys, rank[at], np.repeat(~np.array(row["held"], bool), lens)
 
 
 def _asked(n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _chunks(batches):
             for row in b.to_pylist():
-                ids, _, vocab, keys, pair, learn = _parts(row)
+                ids, vocab, keys, pair, learn = _parts(row)
                 yield from packed.requests(UNIGRAM, row["chunk"], vocab, np.bincount(ids[learn], minlength=len(vocab)), n_parts)
                 yield from packed.requests(BIGRAM, row["chunk"], keys, np.bincount(pair[learn], minlength=len(keys)), n_parts)
 
@@ -125,9 +133,9 @@ def _resolve(_, chunk: pa.Table, replies: pa.Table) -> pa.Table:
     elif replies.num_rows and not chunk.num_rows:
         raise RuntimeError("the input changed between two readings; write or checkpoint it first")
     for row in chunk.to_pylist():
-        _, _, vocab, keys, pair, _ = _parts(row)
+        _, vocab, keys, pair, _ = _parts(row)
         words, pairs = packed.answered(replies, UNIGRAM, len(vocab)), packed.answered(replies, BIGRAM, len(keys))
-        out.append([row["chunk"], row["doc_id"], row["held"], row["lens"], row["ids"], _squeeze(words), _squeeze(pairs[pair]), 0, 0])
+        out.append([row["chunk"], row["doc_id"], row["held"], row["lens"], row["ids"], _squeeze(words[_expand(row["ranks"])]), _squeeze(pairs[pair]), 0, 0])
     return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(schema.types)], schema=schema)
 
 
@@ -231,7 +239,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # a range holds some two million bigrams
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 5 / 2_000_000))
     chunks = d.mapInArrow(_chunks, _CHUNK)
-    replies = packed.totals(chunks.mapInArrow(_asked(n_parts), packed.REQUEST))
+    replies = packed.totals(d.mapInArrow(_asked(n_parts), packed.REQUEST))
     table = written(chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_resolve, _RESOLVED), "snappy")
     n_keys, n_all = table.agg(F.sum("n_keys"), F.sum("n_all")).first()
     table = table.where(F.col("chunk") != packed.SUMS)
