@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly  # noqa: F401  (registers its queries)
+from . import assembly, graph, indexing  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL, Tables, full_sql
 
 
