@@ -42,7 +42,7 @@ def _(t: Tables):
     return K.related_topics(t("lookups"), t("keywords"), t("title_anchors"))
 
 
-_MERGED = """SELECT s.key, s.keyword, n FROM (SELECT key, arg_min(keyword, seen) AS keyword FROM (SELECT lower(keyword) AS key, keyword, min(doc || lpad(CAST(ord AS STRING), 9, '0')) AS seen FROM reached_duck WHERE table_id = 'K' GROUP BY ALL) GROUP BY key) s
+_MERGED = """SELECT s.key, s.keyword, n FROM (SELECT key, arg_min(keyword, seen) AS keyword FROM (SELECT lower(keyword) AS key, keyword, min(row(doc, ord)) AS seen FROM reached_duck WHERE table_id = 'K' GROUP BY ALL) GROUP BY key) s
     JOIN (SELECT key, count(*) AS n FROM (SELECT DISTINCT lower(keyword) AS key, doc, topic_index FROM reached_duck WHERE table_id = 'K') GROUP BY key) p ON s.key = p.key"""
 view("merged_duck", "SELECT 1", _MERGED)
 
