@@ -40,7 +40,7 @@ def fold_text(s: Column) -> Column:
 
 def topic_label(title: Column, index: Column) -> Column:
     """The trimmed title; a blank one is `Topic n` counted from one."""
-    return F.coalesce(F.nullif(F.trim(title), F.lit("")), F.concat(F.lit("Topic "), (index + 1).cast("string")))
+    return F.when(F.trim(title) != "", F.trim(title)).otherwise(F.concat(F.lit("Topic "), (index + 1).cast("string")))
 
 
 def export_label(title: Column, index: Column) -> Column:
