@@ -88,7 +88,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = written(identities(d, flat, [F.col("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2(flat.cast("binary"), 256).alias("text_sha256")]))
     # struct order: longest text, then smallest id with null last, then the first row
     rank = F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("rid").alias("d"))
-    groups = rows.groupBy("name").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join below stands alone and a hot group's rows can be split between tasks
+    groups = written(rows.groupBy("name").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size")))
     return rows.join(groups, "name").select(
         "doc_id", F.col("best.c").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.d")).alias("kept"), "text_sha256", F.col("name").alias("identity"), "n_chars"
     )
