@@ -238,7 +238,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     comps = components(star.unionByName(verified(rest)))
     named = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = written(named)
-    least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join below stands alone and a hot component's rows can be split between tasks
+    least = written(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     return named.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
