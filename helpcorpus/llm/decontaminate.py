@@ -103,8 +103,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80,
     near = left.join(right, ["m", "n", "block", "bits"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("f_item"))) <= RADIUS).select("m", "n", "w", "item_id").distinct()
     both = near.join(windows.select("m", "n", "w", "window"), ["m", "n", "w"]).join(items.select("item_id", "n", "m", "grams"), ["item_id", "m", "n"])
     both = both.withColumn("both", _overlap(F.col("window"), F.col("grams"))).withColumn("all", F.size("window") + F.size("grams") - F.col("both"))
+    # written, so that the join below stands alone and a passage of many documents can be split between tasks
     sure = both.where(F.lit(100) * F.col("both") >= F.lit(percent) * F.col("all")).select("m", "n", "w", "item_id", (F.col("both") / F.col("all")).alias("similarity")).distinct()
-    return laid.join(sure, ["m", "n", "w"]).select("key", "item_id", "start", F.col("n").alias("n_words"), "similarity").distinct()
+    return laid.join(written(sure), ["m", "n", "w"]).select("key", "item_id", "start", F.col("n").alias("n_words"), "similarity").distinct()
 
 
 def spark_empty(docs: DataFrame) -> DataFrame:
