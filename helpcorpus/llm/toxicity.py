@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     pos, neg = (sum(r["count"] for r in totals if r["toxic"] == y) for y in (1, 0))
     odds = lambda c, n: F.log((F.col(c) + 0.5) / (F.lit(n) - F.col(c) + 0.5))
     z = (odds("pos", pos) - odds("neg", neg)) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    top = assoc.where("pos > 2").select("feature", z.alias("z"), (F.col("pos") >= 4 * F.col("neg")).alias("sure")).where("z > 2.8").orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+    top = assoc.where("pos > 2").select("feature", z.alias("z"), (F.col("pos") >= 4 * F.col("neg")).alias("sure")).where("z > 2.6").orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
     names = [r["feature"] for r in top]
     rows = sample.mapInArrow(_matches({f: i for i, f in enumerate(names)}), "toxic int, found array<int>").collect()
     x = np.zeros((len(rows), len(names)), np.float32)
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     groups += [[i for i in sure if names[i][0] == kind and len(names[i]) == n + 1] for kind in "pq" for n in BEGINNINGS]
     votes = np.stack([np.where(x[:, g].any(axis=1), 1, 0) if g else np.zeros(len(rows)) for g in groups] + [np.where(x[:, sure].any(axis=1), 0, -1), 2 * y - 1], axis=1) if rows else np.zeros((0, len(groups) + 2))
     post, _, _ = label_model(votes, np.where(y == 1, 0.9, 0.05))
-    w, bias = logistic(x, post)
+    w, bias = logistic(x, post, ridge=0.2)
     return Model(dict(zip(names, map(float, w), strict=True)), bias)
 
 
