@@ -72,8 +72,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 SQUEEZED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')"
 
 
+WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_ngram_jaccard_join": f"""
+            WITH RECURSIVE t AS (SELECT doc_id, {WORDS} AS w FROM documents),
+            s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+            l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+            e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+            walk AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, walk.root FROM walk JOIN e ON e.a = walk.node),
+            c AS (SELECT node, min(root) AS root FROM walk GROUP BY node)
+            SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id
+            FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id""",
         "op9_exact_dedup": f"""
             WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256({SQUEEZED}) AS text_sha256, {SQUEEZED} AS k FROM documents)
             SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY k) AS group_size,
