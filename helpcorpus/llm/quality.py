@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[n
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     # at most `labelled` rows of two numbers: small enough to broadcast at any scale
     rows = docs.join(F.broadcast(known), "doc_id").select("text", "bad").mapInArrow(_described, "bad int, votes array<int>, found array<int>").collect()
-    x = np.zeros((len(rows), DIMENSIONS), np.float32)
+    x = np.zeros((len(rows), DIMENSIONS), np.uint8)
     for i, r in enumerate(rows):
         x[i, r["found"]] = 1
     y = np.array([r["bad"] for r in rows], int)

@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     top = assoc.where("pos > 2").select("feature", z.alias("z"), (F.col("pos") >= 4 * F.col("neg")).alias("sure")).where("z > 2.6").orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
     names = [r["feature"] for r in top]
     rows = sample.mapInArrow(_matches({f: i for i, f in enumerate(names)}), "toxic int, found array<int>").collect()
-    x = np.zeros((len(rows), len(names)), np.float32)
+    x = np.zeros((len(rows), len(names)), np.uint8)
     for i, r in enumerate(rows):
         x[i, r["found"]] = 1
     y = np.array([r["toxic"] for r in rows], int)

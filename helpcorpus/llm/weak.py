@@ -7,6 +7,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Rows that a Newton step looks at at once.
+ROWS = 1000
+
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 by row, P(vote | class) as [voter, class, vote + 1], and voters' weights.
@@ -41,13 +44,17 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int
     n, m = x.shape
     if not n:
         return np.zeros(m), -2.0
-    a = np.hstack([x, np.ones((n, 1))])
     w = np.zeros(m + 1)
     penalty = np.full(m + 1, ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (target - p) - penalty * w)
+        curve, slope = np.diag(penalty), -penalty * w
+        for i in range(0, n, ROWS):  # a block at a time, so the driver holds no second copy of x
+            a = np.hstack([x[i : i + ROWS], np.ones((len(x[i : i + ROWS]), 1))])
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            curve += (a * (p * (1 - p))[:, None]).T @ a
+            slope += a.T @ (target[i : i + ROWS] - p)
+        step = np.linalg.solve(curve, slope)
         w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-4:
             break
