@@ -31,15 +31,15 @@ def score_keyword(q: Column) -> Column:
     return F.coalesce(F.array_max(F.transform("folded_keywords", lambda k: _ladder(k, q, 950, 800, 650))), F.lit(0))
 
 
-def score_body(q: Column) -> Column:
-    """The phrase: 400 and its bytes up to 100; else all of several terms: 300 and five for each up to 20."""
-    body, terms = F.col("folded_body"), F.split(q, " ")
+def score_body(q: Column, terms: Column | None = None) -> Column:
+    """The phrase: 400 and its bytes up to 100; else all of several terms: 300 and five for each up to 20. terms: the query's, where they are split before."""
+    body, terms = F.col("folded_body"), F.split(q, " ") if terms is None else terms
     every = (F.size(terms) > 1) & F.forall(terms, lambda t: F.contains(body, t))
     return F.when(F.contains(body, q), 400 + F.least(F.octet_length(q), F.lit(100))).when(every, 300 + 5 * F.least(F.size(terms), F.lit(20))).otherwise(0)
 
 
-def score(q: Column) -> Column:
-    return F.when(q == "", 0).otherwise(F.greatest(score_title(q), score_keyword(q), score_body(q)))
+def score(q: Column, terms: Column | None = None) -> Column:
+    return F.when(q == "", 0).otherwise(F.greatest(score_title(q), score_keyword(q), score_body(q, terms)))
 
 
 def kind_of(score: Column) -> Column:
@@ -72,14 +72,14 @@ def search_batch(search_topics: DataFrame, queries: DataFrame, k: int = 10, bloc
     broadcast against all topics. Only matching pairs leave the join; the k best of each task are
     kept before the shuffle (Spark's window group limit).
     """
-    q = queries.select("query_id", fold_text(F.col("query")).alias("q")).where("q <> ''")
+    q = queries.select("query_id", fold_text(F.col("query")).alias("q")).where("q <> ''").withColumn("terms", F.split("q", " "))
     n = q.count()
     blocks = max(1, -(-n // block))
     found = None
     for i in range(blocks):
         # hash-dealt blocks vary, so a block that is far over its size is cut again by the next hash
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        s = score(F.col("q"))
+        s = score(F.col("q"), F.col("terms"))
         one = search_topics.join(F.broadcast(part), s > 0).select("query_id", "doc", "topic_index", s.alias("score"))
         found = one if found is None else found.unionByName(one)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc", "topic_index"))
