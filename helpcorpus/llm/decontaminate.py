@@ -1,8 +1,10 @@
 """Benchmark decontamination with SimHash windows (native: DataFrame functions only).
 
-A window has as many words as a benchmark item and is a multiset of shingles of five words. Only
-windows that share a shingle with some item can be similar to one, so windows are laid where shingles
-match, one for each alignment. Distinct windows get SimHash fingerprints; with radius r a fingerprint
+A window has as many words as a benchmark item and is a multiset of shingles of five words. Of all
+starts, those where the overlap with an item is greatest matter. The first such start is 0 or has more
+overlap than the start before it, so the shingle that enters, its last, is one of the item's: windows
+are laid to end at each matched shingle (clamped to the document). As many places of a window as the
+overlap needs must match, which leaves few of them; this loses nothing. Distinct windows get SimHash fingerprints; with radius r a fingerprint
 is cut into r + 1 bit blocks, so that any pair within the radius agrees on a whole block; pairs that
 meet in a block and are within the radius are decided by exact weighted Jaccard similarity.
 """
@@ -53,6 +55,19 @@ def _overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, v: n + F.least(times(a, v), times(b, v)))
 
 
+def _need(m: int, percent: int) -> Column:
+    """The least overlap of an item of n words with its window in a document of n_doc words."""
+    both = F.col("n") + F.least("n", "n_doc") - 2 * (m - 1)
+    return F.greatest(F.lit(1), F.ceil(F.lit(percent) * both / F.lit(100 + percent)).cast("int"))
+
+
+def _starts(m: int) -> Column:
+    """Starts of windows that end at one of the sorted places ps and have `need` of them."""
+    length = F.col("n") - (m - 1)
+    full = F.filter("ps", lambda p, i: (i >= F.col("need") - 1) & (F.get("ps", i - F.col("need") + 1) > p - length))
+    return F.array_distinct(F.transform(full, lambda p: F.greatest(F.lit(0), F.least(p - length + 1, F.col("n_doc") - F.col("n")))))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_id, start, n_words, similarity): the windows of documents that are similar to an item.
 
@@ -63,8 +78,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80,
     items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.transform(_words(F.col(f"`{item_text}`")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
     items = items.withColumn("n", F.size("h")).withColumn("m", F.least(F.col("n"), F.lit(k)))
     by_size = F.coalesce(*[F.when(F.col("m") == m, _grams("h", m)) for m in range(1, k + 1)])
-    items = written(items.withColumn("grams", by_size).select("item_id", "n", "m", "grams"))
-    per_item = written(items.select("n", "m", F.posexplode("grams").alias("q", "gram")).distinct())
+    items = written(items.withColumn("grams", by_size).select(F.monotonically_increasing_id().alias("iid"), "item_id", "n", "m", "grams"))
+    per_item = written(items.select("iid", "n", "m", F.explode(F.array_distinct("grams")).alias("gram")))
     sizes = [r["m"] for r in per_item.select("m").distinct().collect()]  # k numbers at most
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`")))
     # explode of one element keeps the filter below from being moved under this projection, where it would hash all words anew for each word
@@ -88,8 +103,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80,
     laid = None
     for m in sizes:
         at = hits.select("rid", "n_doc", F.posexplode(f"g{m}").alias("p", "gram")).join(per_item.where(F.col("m") == m), "gram")
-        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n_doc") - F.col("n")))
-        at = at.select("rid", "m", "n", start.alias("start")).distinct().join(hits.select("rid", "key", F.col(f"g{m}").alias("g")), "rid")
+        at = at.groupBy("rid", "n_doc", "iid", "m", "n").agg(F.sort_array(F.collect_list("p")).alias("ps")).withColumn("need", _need(m, percent))
+        at = at.where(F.size("ps") >= F.col("need")).select("rid", "m", "n", F.explode(_starts(m)).alias("start"))
+        at = at.distinct().join(hits.select("rid", "key", F.col(f"g{m}").alias("g")), "rid")
         at = at.select("key", "m", "n", "start", F.slice("g", F.col("start") + 1, F.col("n") - m + 1).alias("window"))
         laid = at if laid is None else laid.unionByName(at)
     if laid is None:

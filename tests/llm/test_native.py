@@ -134,3 +134,40 @@ def test_contamination(spark, none):
         assert Counter((r.doc_id, tuple(r["items"])) for r in contamination(docs, b).collect()) == Counter((r.doc_id, tuple(r["items"])) for r in out)
     finally:
         decontaminate.SET_LIMIT = limit
+
+
+def most_similar(text, item, k=5):
+    """The greatest weighted Jaccard similarity over all starts, as (overlap, union)."""
+    split = lambda t: re.sub("[^0-9a-z]+", " ", t.lower()).split()
+    d, w = split(text), split(item)
+    m = min(k, len(w))
+    grams = lambda x: Counter(tuple(x[i : i + m]) for i in range(len(x) - m + 1))
+    want, best = grams(w), (0, 1)
+    for s in range(max(1, len(d) - len(w) + 1)):
+        window = grams(d[s : s + len(w)])
+        both = sum((window & want).values())
+        best = max(best, (both, sum((window | want).values())), key=lambda x: x[0] / x[1])
+    return best
+
+
+def test_contamination_of_reordered_passages(spark):
+    import random
+
+    rng = random.Random(8)
+    bench = [(i, words(rng, n, 10**6)) for i, n in enumerate((60, 60, 45, 100, 9, 4))]
+    d = []
+    for _, item in bench[:4]:
+        w = item.split()
+        for cuts in ([0.5], [0.5], [0.3], [0.3, 0.7], [0.1, 0.6], [0.9], [0.05, 0.95]):
+            at = [0, *[int(len(w) * c) for c in cuts], len(w)]
+            parts = [w[a:b] for a, b in zip(at, at[1:], strict=False)][::-1]
+            d.append((len(d), " ".join([words(rng, rng.choice([0, 3, 50]), 10**6), *sum(parts, []), words(rng, rng.choice([0, 50]), 10**6)]), "s"))
+            gap = words(rng, rng.choice([1, 2, 6]), 10**6)
+            d.append((len(d), " ".join([words(rng, 50, 10**6), *parts[0], gap, *sum(parts[1:], []), *parts[0]]), "s"))
+    d += [(100 + i, " ".join(item.split()[: len(item.split()) * 9 // 10]), "s") for i, item in bench]
+    out = contamination(table(spark, d), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    best = {i: {j: most_similar(t, item) for j, item in bench} for i, t, _ in d}
+    want = {i: sorted(j for j, (a, b) in best[i].items() if 100 * a >= 80 * b) for i in best}
+    assert {r.doc_id: r["items"] for r in out} == want
+    assert all(abs(r.similarity - max([best[r.doc_id][j][0] / best[r.doc_id][j][1] for j in want[r.doc_id]], default=0)) < 1e-9 for r in out)
+    assert want[0] == [0] and any(want.values()) and not all(want.values())
