@@ -6,7 +6,9 @@ overlap than the start before it, so the shingle that enters, its last, is one o
 are laid to end at each matched shingle (clamped to the document). As many places of a window as the
 overlap needs must match, which leaves few of them; this loses nothing. Distinct windows get SimHash fingerprints; with radius r a fingerprint
 is cut into r + 1 bit blocks, so that any pair within the radius agrees on a whole block; pairs that
-meet in a block and are within the radius are decided by exact weighted Jaccard similarity.
+meet in a block and are within the radius are decided by exact weighted Jaccard similarity. A shingle
+that repeats counts many times in a fingerprint, so windows and items with such a one do not depend on
+the radius: where they have enough places in common they are decided directly.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Similar multisets (0.8) differ in 10 of 64 bits on average; 23 is over four deviations more.
+#: Sets of shingles of similarity 0.8 differ in 10 of 64 bits on average; 23 is over four deviations more.
 RADIUS = 23
 #: Up to so many item shingles are put into the scan's filter as a set; more are joined.
 SET_LIMIT = 200_000
@@ -61,6 +63,10 @@ def _need(m: int, percent: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.lit(percent) * both / F.lit(100 + percent)).cast("int"))
 
 
+def _repeats(grams: str) -> Column:
+    return F.size(F.array_distinct(grams)) < F.size(grams)
+
+
 def _starts(m: int) -> Column:
     """Starts of windows that end at one of the sorted places ps and have `need` of them."""
     length = F.col("n") - (m - 1)
@@ -104,9 +110,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80,
     for m in sizes:
         at = hits.select("rid", "n_doc", F.posexplode(f"g{m}").alias("p", "gram")).join(per_item.where(F.col("m") == m), "gram")
         at = at.groupBy("rid", "n_doc", "iid", "m", "n").agg(F.sort_array(F.collect_list("p")).alias("ps")).withColumn("need", _need(m, percent))
-        at = at.where(F.size("ps") >= F.col("need")).select("rid", "m", "n", F.explode(_starts(m)).alias("start"))
-        at = at.distinct().join(hits.select("rid", "key", F.col(f"g{m}").alias("g")), "rid")
-        at = at.select("key", "m", "n", "start", F.slice("g", F.col("start") + 1, F.col("n") - m + 1).alias("window"))
+        at = at.where(F.size("ps") >= F.col("need")).select("rid", "m", "n", "iid", F.explode(_starts(m)).alias("start"))
+        at = at.groupBy("rid", "m", "n", "start").agg(F.collect_set("iid").alias("iids")).join(hits.select("rid", "key", F.col(f"g{m}").alias("g")), "rid")
+        at = at.select("key", "m", "n", "start", "iids", F.slice("g", F.col("start") + 1, F.col("n") - m + 1).alias("window"))
         laid = at if laid is None else laid.unionByName(at)
     if laid is None:
         laid = spark_empty(docs)
@@ -115,9 +121,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80,
     windows = written(windows.withColumn("f", _simhash(F.col("window"))))
     marked = items.withColumn("f_item", _simhash(F.col("grams")))
     left = windows.select("m", "n", "w", "f", F.inline(_blocks("f")))
-    right = marked.select("m", "n", "item_id", "f_item", F.inline(_blocks("f_item")))
-    near = left.join(right, ["m", "n", "block", "bits"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("f_item"))) <= RADIUS).select("m", "n", "w", "item_id").distinct()
-    both = near.join(windows.select("m", "n", "w", "window"), ["m", "n", "w"]).join(items.select("item_id", "n", "m", "grams"), ["item_id", "m", "n"])
+    right = marked.select("m", "n", "iid", "f_item", F.inline(_blocks("f_item")))
+    near = left.join(right, ["m", "n", "block", "bits"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("f_item"))) <= RADIUS).select("m", "n", "w", "iid")
+    direct = laid.select("m", "n", "w", F.explode("iids").alias("iid")).distinct().join(windows.select("m", "n", "w", _repeats("window").alias("many")), ["m", "n", "w"])
+    direct = direct.join(items.select("iid", _repeats("grams").alias("many_item")), "iid").where("many or many_item").select("m", "n", "w", "iid")
+    pairs = near.unionByName(direct).distinct()
+    both = pairs.join(windows.select("m", "n", "w", "window"), ["m", "n", "w"]).join(items, ["iid", "m", "n"])
     both = both.withColumn("both", _overlap(F.col("window"), F.col("grams"))).withColumn("all", F.size("window") + F.size("grams") - F.col("both"))
     # written, so that the join below stands alone and a passage of many documents can be split between tasks
     sure = both.where(F.lit(100) * F.col("both") >= F.lit(percent) * F.col("all")).select("m", "n", "w", "item_id", (F.col("both") / F.col("all")).alias("similarity")).distinct()
@@ -125,7 +134,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80,
 
 
 def spark_empty(docs: DataFrame) -> DataFrame:
-    return docs.sparkSession.createDataFrame([], "key long, m int, n int, start int, window array<long>")
+    return docs.sparkSession.createDataFrame([], "key long, m int, n int, start int, iids array<long>, window array<long>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -171,3 +171,19 @@ def test_contamination_of_reordered_passages(spark):
     assert {r.doc_id: r["items"] for r in out} == want
     assert all(abs(r.similarity - max([best[r.doc_id][j][0] / best[r.doc_id][j][1] for j in want[r.doc_id]], default=0)) < 1e-9 for r in out)
     assert want[0] == [0] and any(want.values()) and not all(want.values())
+
+
+def test_contamination_with_repeated_shingles(spark):
+    import random
+
+    rng = random.Random(9)
+    bench, d = [], []
+    for i in range(4):  # what differs is one repeated word, whose 28 equal shingles move the fingerprint
+        a, b = words(rng, 150, 10**6), words(rng, 160, 10**6)
+        filled = [" ".join(["na"] * 32), words(rng, 32, 10**6), " ".join(["no"] * 32)]
+        bench.append((i, f"{a} {filled[i % 2]} {b}"))
+        d += [(10 * i + j, f"{words(rng, 40, 10**6)} {a} {fill} {b} {words(rng, 9, 10**6)}", "s") for j, fill in enumerate(filled)]
+    out = contamination(table(spark, d), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    best = {i: {j: most_similar(t, item) for j, item in bench} for i, t, _ in d}
+    want = {i: sorted(j for j, (a, b) in best[i].items() if 100 * a >= 80 * b) for i in best}
+    assert {r.doc_id: r["items"] for r in out} == want and all(want.values())
