@@ -106,6 +106,24 @@ def test_hierarchy_is_a_stack(spark, monkeypatch):
     assert {r.line: r.parent_line for r in C.contents_hierarchy(d).collect()} == {k: v[0] for k, v in want.items()}
 
 
+def test_hierarchy_of_many_levels(spark):
+    rng = random.Random(4)
+    rows = [("few", i, 1 + i % 3, f"f{i}") for i in range(9)]
+    rows += [("many", i, rng.randint(1, 65535), f"m{i}") for i in range(200)] + [("deep", i, 5 + 7 * i, f"d{i}") for i in range(90)]
+    want, path = {}, {}
+    for doc in ("few", "many", "deep"):
+        stack = []
+        for _, i, level, title in (r for r in rows if r[0] == doc):
+            while stack and stack[-1][1] >= level:
+                stack.pop()
+            want[doc, i] = (stack[-1][0] if stack else None, len(stack))
+            path[doc, i] = " / ".join([t for _, _, t in stack] + [title])
+            stack.append((i, level, title))
+    h = C.contents_hierarchy(spark.createDataFrame(rows, "doc string, line long, level int, title string"))
+    assert {(r.doc, r.line): (r.parent_line, r.depth) for r in h.collect()} == want
+    assert {(r.doc, r.line): r.path for r in C.contents_paths(h).collect()} == path
+
+
 def test_records(spark):
     r = spark.createDataFrame([("d", 160, None, 100, None, 0x20, "second\0"), ("d", 128, 130, 150, 170, 0x20, "first"), ("d", 90, 90, None, None, 0x20, "fixed"), ("d", 99, None, None, None, 2, "none")], "doc string, pos long, non_scroll long, scroll long, next_topic long, record_type int, payload string")
     out = {x.pos: (x.region, x.text) for x in T.record_text(T.classify_region(r)).collect()}
