@@ -4,11 +4,15 @@ A window has as many words as a benchmark item and is a multiset of shingles of
 starts, those where the overlap with an item is greatest matter. The first such start is 0 or has more
 overlap than the start before it, so the shingle that enters, its last, is one of the item's: windows
 are laid to end at each matched shingle (clamped to the document). As many places of a window as the
-overlap needs must match, which leaves few of them; this loses nothing. Distinct windows get SimHash fingerprints; with radius r a fingerprint
-is cut into r + 1 bit blocks, so that any pair within the radius agrees on a whole block; pairs that
-meet in a block and are within the radius are decided by exact weighted Jaccard similarity. A shingle
-that repeats counts many times in a fingerprint, so windows and items with such a one do not depend on
-the radius: where they have enough places in common they are decided directly.
+overlap needs must match, which leaves few of them; this loses nothing.
+
+Distinct windows get SimHash fingerprints. With radius r a fingerprint is cut into r + 1 bit blocks, so
+that any pair within the radius agrees on a whole block; a window meets, block by block, the items it
+was laid for. Pairs that meet and are within the radius are decided by exact weighted Jaccard
+similarity. A shingle that repeats counts many times in a fingerprint, so windows and items with such a
+one do not depend on the radius: they are decided directly.
+
+A finding depends on the text alone, so texts stand by 128 bits of them, and equal texts are one.
 """
 
 from __future__ import annotations
@@ -16,12 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import column, text_key, whole, written
 
 #: Sets of shingles of similarity 0.8 differ in 10 of 64 bits on average; 23 is over four deviations more.
 RADIUS = 23
-#: Up to so many item shingles are put into the scan's filter as a set; more are joined.
-SET_LIMIT = 200_000
 
 
 def _words(text: Column) -> Column:
@@ -74,84 +76,64 @@ def _starts(m: int) -> Column:
     return F.array_distinct(F.transform(full, lambda p: F.greatest(F.lit(0), F.least(p - length + 1, F.col("n_doc") - F.col("n")))))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item_id, start, n_words, similarity): the windows of documents that are similar to an item.
+def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(k1, k2, item_id, start, n_words, similarity): the windows of texts that are similar to an item; k1 and k2 are the text's key.
 
     Words are lower-cased runs of letters and digits. An item of fewer than k words is one shingle of
     them; an item without words matches nothing. A document shorter than the item is one window.
-    key: the document's id, for a null id a hash of the text; rows that repeat an id share it.
     """
-    items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.transform(_words(F.col(f"`{item_text}`")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
+    items = benchmark.select(column(item_col).alias("item_id"), F.transform(_words(column(item_text)), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
     items = items.withColumn("n", F.size("h")).withColumn("m", F.least(F.col("n"), F.lit(k)))
     by_size = F.coalesce(*[F.when(F.col("m") == m, _grams("h", m)) for m in range(1, k + 1)])
     items = written(items.withColumn("grams", by_size).select(F.monotonically_increasing_id().alias("iid"), "item_id", "n", "m", "grams"))
     per_item = written(items.select("iid", "n", "m", F.explode(F.array_distinct("grams")).alias("gram")))
-    sizes = [r["m"] for r in per_item.select("m").distinct().collect()]  # k numbers at most
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`")))
-    # explode of one element keeps the filter below from being moved under this projection, where it would hash all words anew for each word
-    d = docs.select(key.alias("key"), F.explode(F.array(F.transform(_words(F.col(f"`{text_col}`")), lambda w: F.xxhash64(w)))).alias("h"))
-    d = d.select("key", F.size("h").alias("n_doc"), *[_grams("h", m).alias(f"g{m}") for m in sizes])
-    distinct = per_item.select("m", "gram").distinct()
-    if distinct.count() <= SET_LIMIT:
-        known = {m: [r["gram"] for r in distinct.where(F.col("m") == m).collect()] for m in sizes}
-        hit = F.lit(False)
-        for m in sizes:
-            of_size = known[m]
-            hit = hit | F.exists(f"g{m}", lambda x: x.isin(of_size))  # noqa: B023
-        hits = d.where(hit)
-    else:
-        met = None
-        for m in sizes:
-            one = d.select("key", F.explode(f"g{m}").alias("gram")).join(distinct.where(F.col("m") == m), "gram").select("key")
-            met = one if met is None else met.unionByName(one)
-        hits = d.join(met.distinct(), "key", "left_semi") if sizes else d.limit(0)
-    hits = written(hits.withColumn("rid", F.monotonically_increasing_id()))
-    laid = None
-    for m in sizes:
-        at = hits.select("rid", "n_doc", F.posexplode(f"g{m}").alias("p", "gram")).join(per_item.where(F.col("m") == m), "gram")
-        at = at.groupBy("rid", "n_doc", "iid", "m", "n").agg(F.sort_array(F.collect_list("p")).alias("ps")).withColumn("need", _need(m, percent))
-        at = at.where(F.size("ps") >= F.col("need")).select("rid", "m", "n", "iid", F.explode(_starts(m)).alias("start"))
-        at = at.groupBy("rid", "m", "n", "start").agg(F.collect_set("iid").alias("iids")).join(hits.select("rid", "key", F.col(f"g{m}").alias("g")), "rid")
-        at = at.select("key", "m", "n", "start", "iids", F.slice("g", F.col("start") + 1, F.col("n") - m + 1).alias("window"))
-        laid = at if laid is None else laid.unionByName(at)
-    if laid is None:
-        laid = spark_empty(docs)
-    laid = written(laid.withColumn("w", F.struct(F.xxhash64(F.lit(1), "window"), F.xxhash64(F.lit(2), "window"))))
+    sizes = [r["m"] for r in per_item.select("m").distinct().collect()] or [k]  # k numbers at most
+    hashed = F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))
+    texts = docs.select(text_key(column(text_col)).alias("key"), column(text_col).alias("text"))
+    # explode of one element keeps what follows from being moved under this projection, where it would hash all words anew for each word
+    d = texts.select("key.*", F.explode(F.array(hashed)).alias("h"))
+    places = [F.transform(_grams("h", m), lambda g, p: F.struct(F.lit(m).alias("m"), p.alias("p"), g.alias("gram"))) for m in sizes]  # noqa: B023
+    at = d.select("k1", "k2", F.size("h").alias("n_doc"), F.inline(F.concat(*places))).join(per_item, ["m", "gram"])
+    at = at.groupBy("k1", "k2", "n_doc", "iid", "m", "n").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    at = at.withColumn("need", F.coalesce(*[F.when(F.col("m") == m, _need(m, percent)) for m in sizes])).where(F.size("ps") >= F.col("need"))
+    starts = F.coalesce(*[F.when(F.col("m") == m, _starts(m)) for m in sizes])
+    laid = written(at.select("k1", "k2", "m", "n", "iid", F.explode(starts).alias("start")).groupBy("k1", "k2", "m", "n", "start").agg(F.collect_set("iid").alias("iids")))
+    # each text with a window once, hashed again
+    hits = texts.select("key.*", "text").join(laid.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    hits = hits.select("k1", "k2", hashed.alias("h")).select("k1", "k2", *[_grams("h", m).alias(f"g{m}") for m in sizes])
+    grams = F.coalesce(*[F.when(F.col("m") == m, F.col(f"g{m}")) for m in sizes])
+    laid = laid.join(hits, ["k1", "k2"]).withColumn("window", F.slice(grams, F.col("start") + 1, F.col("n") - F.col("m") + 1))
+    laid = written(laid.select("k1", "k2", "m", "n", "start", "iids", F.struct(F.xxhash64(F.lit(1), "window"), F.xxhash64(F.lit(2), "window")).alias("w"), "window"))
     windows = laid.groupBy("m", "n", "w").agg(F.first("window").alias("window"))
-    windows = written(windows.withColumn("f", _simhash(F.col("window"))))
-    marked = items.withColumn("f_item", _simhash(F.col("grams")))
-    left = windows.select("m", "n", "w", "f", F.inline(_blocks("f")))
-    right = marked.select("m", "n", "iid", "f_item", F.inline(_blocks("f_item")))
-    near = left.join(right, ["m", "n", "block", "bits"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("f_item"))) <= RADIUS).select("m", "n", "w", "iid")
-    direct = laid.select("m", "n", "w", F.explode("iids").alias("iid")).distinct().join(windows.select("m", "n", "w", _repeats("window").alias("many")), ["m", "n", "w"])
-    direct = direct.join(items.select("iid", _repeats("grams").alias("many_item")), "iid").where("many or many_item").select("m", "n", "w", "iid")
-    pairs = near.unionByName(direct).distinct()
-    both = pairs.join(windows.select("m", "n", "w", "window"), ["m", "n", "w"]).join(items, ["iid", "m", "n"])
+    windows = written(windows.withColumn("f", _simhash(F.col("window"))).withColumn("many", _repeats("window")))
+    marked = items.select("iid", _simhash(F.col("grams")).alias("f_item"), _repeats("grams").alias("many_item"))
+    pairs = laid.select("m", "n", "w", F.explode("iids").alias("iid")).distinct().join(windows.select("m", "n", "w", "f", "many"), ["m", "n", "w"])
+    left = pairs.select("m", "n", "w", "iid", "f", F.inline(_blocks("f")))
+    right = marked.select("iid", "f_item", F.inline(_blocks("f_item")))
+    near = left.join(right, ["iid", "block", "bits"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("f_item"))) <= RADIUS).select("m", "n", "w", "iid")
+    direct = pairs.join(marked, "iid").where("many or many_item").select("m", "n", "w", "iid")
+    both = near.unionByName(direct).distinct().join(windows.select("m", "n", "w", "window"), ["m", "n", "w"]).join(items.drop("m", "n"), "iid")
     both = both.withColumn("both", _overlap(F.col("window"), F.col("grams"))).withColumn("all", F.size("window") + F.size("grams") - F.col("both"))
     # written, so that the join below stands alone and a passage of many documents can be split between tasks
     sure = both.where(F.lit(100) * F.col("both") >= F.lit(percent) * F.col("all")).select("m", "n", "w", "item_id", (F.col("both") / F.col("all")).alias("similarity")).distinct()
-    return laid.join(written(sure), ["m", "n", "w"]).select("key", "item_id", "start", F.col("n").alias("n_words"), "similarity").distinct()
-
-
-def spark_empty(docs: DataFrame) -> DataFrame:
-    return docs.sparkSession.createDataFrame([], "key long, m int, n int, start int, iids array<long>, window array<long>")
+    return laid.join(written(sure), ["m", "n", "w"]).select("k1", "k2", "item_id", "start", F.col("n").alias("n_words"), "similarity").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, contaminated, items (sorted ids), similarity (the greatest, 0.0 if none).
 
-    Null text has no words. Rows that repeat an id share their finding. An item that repeats an id is
-    found under it. With an empty benchmark nothing is contaminated; an empty table gives an empty
-    result. Other columns are not read.
+    Null text has no words; a very long one is searched whole. Rows are decided by their text, so
+    repeated rows agree and texts that share an id do not. An item that repeats an id is found under
+    it. With an empty benchmark nothing is contaminated; an empty table gives an empty result. Other
+    columns are not read, so none clashes.
     """
-    found = leaks(docs, benchmark, k, percent, id_col, text_col).groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("similarity").alias("similarity"))
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`")))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), key.alias("key"))
-    return rows.join(found, "key", "left").select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    found = written(leaks(docs, benchmark, k, percent, text_col).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("similarity").alias("similarity")))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), text_key(column(text_col)).alias("key")).select("doc_id", "key.*")
+    return rows.join(found, ["k1", "k2"], "left").select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those that hold a passage like a benchmark item."""
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`")))
-    out = leaks(docs, benchmark, k, percent, id_col, text_col).select(F.col("key").alias("_leak")).distinct()
-    return docs.join(out, key == F.col("_leak"), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns of any name, without those that hold a passage like a benchmark item."""
+    out = written(leaks(docs, benchmark, k, percent, text_col).select("k1", "k2").distinct())
+    rows = docs.select(whole(docs).alias("row"), text_key(column(text_col)).alias("key")).select("row", "key.*")
+    return rows.join(out, ["k1", "k2"], "left_anti").select("row.*")

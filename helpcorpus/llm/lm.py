@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import partial
 from itertools import count
 
 import numpy as np
@@ -34,8 +35,8 @@ END = b""
 BINS = 4
 NONE = -10_000
 
-_CHUNK = "chunk string, doc_id array<long>, held array<boolean>, lens array<long>, ids binary, ranks binary, vocab binary"
-_RESOLVED = "chunk string, doc_id array<long>, held array<boolean>, lens array<long>, ids binary, words binary, pairs binary, n_keys long, n_all long"
+_CHUNK = "chunk string, doc_id array<long>, held array<boolean>, lens array<long>, ids binary, ranks binary, vocab binary, checks binary, clashes long"
+_RESOLVED = "chunk string, doc_id array<long>, held array<boolean>, lens array<long>, ids binary, words binary, pairs binary, n_keys long, n_all long, clashes long"
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -44,17 +45,19 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def _squeeze(a: np.ndarray) -> bytes:
-    """Small numbers, compressed with their low bytes together, then the next."""
-    return zstandard.ZstdCompressor(level=1).compress(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    """Numbers of 4 bytes, or 8 where one needs them, compressed with their low bytes together, then the next."""
+    width = 4 if not len(a) or int(a.max()) < 1 << 32 else 8
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
 
 
 def _expand(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    width = b[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as ids of words, frequent ones first, and the ids' places in a sorted vocabulary of hashes. A chunk is named by place and content."""
+def _chunks(salt: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as ids of words, frequent ones first, and the ids' places in a sorted vocabulary of hashes."""
     part, made, schema = TaskContext.get().partitionId(), 0, _arrow(_CHUNK)
     docs: list[tuple] = []
 
@@ -68,16 +71,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             local.extend(map(index.__getitem__, w))
             local.append(0)
             lens.append(len(w) + 1)
-        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), np.uint64, len(index))
-        vocab, rank = np.unique(h, return_inverse=True)
+        h = np.fromiter((xxhash.xxh64_intdigest(w, salt) for w in index), np.uint64, len(index))
+        vocab, first, rank = np.unique(h, return_index=True, return_inverse=True)
+        checks = np.fromiter((xxhash.xxh32_intdigest(w, salt) for w in index), np.uint32, len(index))[first]
         ids, made = rank[np.array(local, np.int64)], made + 1
         ranks = np.argsort(-np.bincount(ids, minlength=len(vocab)), kind="stable")
         order = np.empty_like(ranks)
         order[ranks] = np.arange(len(ranks))
         ids = order[ids]
         doc_id = [i for i, _ in docs]
-        name = f"{part}-{made}-{xxhash.xxh64_hexdigest(repr(doc_id).encode() + ids.tobytes() + vocab.tobytes())}"
-        out = [name, doc_id, [crc_of(i) % FOLDS == HELD for i in doc_id], lens, _squeeze(ids), _squeeze(ranks), packed.pack(vocab)]
+        out = [f"{part}-{made}", doc_id, [crc_of(i) % FOLDS == HELD for i in doc_id], lens, _squeeze(ids), _squeeze(ranks), packed.pack(vocab), checks.tobytes(), len(h) - len(vocab)]
         docs = []
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, schema.types, strict=True)], schema=schema)
 
@@ -95,10 +98,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _parts(row: dict) -> tuple:
+def _parts(salt: int, row: dict) -> tuple:
     """Ids in the sorted vocabulary, the vocabulary, sorted bigram keys, each token's bigram, whether a token is learned from."""
     ids, lens, vocab = _expand(row["ranks"])[_expand(row["ids"])], np.array(row["lens"]), packed.unpack(row["vocab"])
-    end = np.searchsorted(vocab, np.uint64(xxhash.xxh64_intdigest(END)))
+    end = np.searchsorted(vocab, np.uint64(xxhash.xxh64_intdigest(END, salt)))
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     before[np.cumsum(lens) - lens] = end
@@ -113,30 +116,31 @@ def _parts(row: dict) -> tuple:
     return ids, vocab, keys, rank[at], np.repeat(~np.array(row["held"], bool), lens)
 
 
-def _asked(n_parts: int):
+def _asked(salt: int, n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _chunks(batches):
+        for b in batches:
             for row in b.to_pylist():
-                ids, vocab, keys, pair, learn = _parts(row)
-                yield from packed.requests(UNIGRAM, row["chunk"], vocab, np.bincount(ids[learn], minlength=len(vocab)), n_parts)
+                ids, vocab, keys, pair, learn = _parts(salt, row)
+                yield from packed.requests(UNIGRAM, row["chunk"], vocab, np.bincount(ids[learn], minlength=len(vocab)), n_parts, np.frombuffer(row["checks"], "<u4"))
                 yield from packed.requests(BIGRAM, row["chunk"], keys, np.bincount(pair[learn], minlength=len(keys)), n_parts)
 
     return run
 
 
-def _resolve(_, chunk: pa.Table, replies: pa.Table) -> pa.Table:
-    """A chunk with the corpus counts of its words and of each token's bigram; or a range's sums."""
-    schema, out = _arrow(_RESOLVED), []
-    if replies.num_rows and replies["chunk"][0].as_py() == packed.SUMS:
-        r = [x for x in replies.to_pylist() if x["kind"] == UNIGRAM]
-        out.append([packed.SUMS, *[None] * 6, sum(x["n_keys"] for x in r), sum(x["n_all"] for x in r)])
-    elif replies.num_rows and not chunk.num_rows:
-        raise RuntimeError("the input changed between two readings; write or checkpoint it first")
-    for row in chunk.to_pylist():
-        _, vocab, keys, pair, _ = _parts(row)
-        words, pairs = packed.answered(replies, UNIGRAM, len(vocab)), packed.answered(replies, BIGRAM, len(keys))
-        out.append([row["chunk"], row["doc_id"], row["held"], row["lens"], row["ids"], _squeeze(words[_expand(row["ranks"])]), _squeeze(pairs[pair]), 0, 0])
-    return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(schema.types)], schema=schema)
+def _resolve(salt: int):
+    def run(_, chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        """A chunk with the corpus counts of its words and of each token's bigram; or a range's sums."""
+        schema, out = _arrow(_RESOLVED), []
+        for r in replies.to_pylist():
+            if r["totals"] is None and r["kind"] == UNIGRAM:
+                out.append([None] * 7 + [r["n_keys"], r["n_all"], r["clashes"]])
+        for row in chunk.to_pylist():
+            _, vocab, keys, pair, _ = _parts(salt, row)
+            words, pairs = packed.answered(replies, UNIGRAM, len(vocab)), packed.answered(replies, BIGRAM, len(keys))
+            out.append([row["chunk"], row["doc_id"], row["held"], row["lens"], row["ids"], _squeeze(words[_expand(row["ranks"])]), _squeeze(pairs[pair]), 0, 0, row["clashes"]])
+        return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(schema.types)], schema=schema)
+
+    return run
 
 
 def _counted(row: dict) -> tuple:
@@ -227,22 +231,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     the end alone. Documents of fold 2 of 7 by crc32 of the id as text are not learned from; a null
     id has the crc of the empty text. score is the model's log10 probability of the text, base_score
     that of unigrams with one added to each count. Repeated rows are learned from and scored each.
-    With nothing to learn from every word is unknown. An empty table gives an empty result. Other
-    columns of docs are not read. docs is read twice and has to give the same rows in the same order.
+    With nothing to learn from every word is unknown. A very long text is one part of a chunk, whole.
+    An empty table gives an empty result. Other columns of docs are not read, so none clashes.
+
+    Words are told apart by 64 bits of hash. That no key stands for two words is checked over all
+    words with 32 further bits, and another salt is taken where one does. Bigrams have 64-bit keys.
     """
     spark = docs.sparkSession
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     d = stable(docs, id_col, text_col)
-    size = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0]
-    if size is None:
-        return spark.createDataFrame([], out)
-    # a range holds some two million bigrams
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 5 / 2_000_000))
-    chunks = d.mapInArrow(_chunks, _CHUNK)
-    replies = packed.totals(d.mapInArrow(_asked(n_parts), packed.REQUEST))
-    table = written(chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_resolve, _RESOLVED), "snappy")
-    n_keys, n_all = table.agg(F.sum("n_keys"), F.sum("n_all")).first()
-    table = table.where(F.col("chunk") != packed.SUMS)
+    for salt in range(8):
+        chunks = written(d.mapInArrow(partial(_chunks, salt), _CHUNK), "snappy")
+        n_tokens = chunks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0]
+        if n_tokens is None:
+            return spark.createDataFrame([], out)
+        # a range holds some two million bigrams
+        n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_tokens / 2_000_000))
+        replies = packed.totals(chunks.mapInArrow(_asked(salt, n_parts), packed.REQUEST))
+        table = written(chunks.drop("checks").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_resolve(salt), _RESOLVED), "snappy")
+        n_keys, n_all, clashes = table.agg(F.sum("n_keys"), F.sum("n_all"), F.sum("clashes")).first()
+        if not clashes:
+            break
+    else:
+        raise RuntimeError("eight salts in turn gave one key to two words")
+    table = table.where(F.col("chunk").isNotNull())
     cells = table.mapInArrow(_held_out(n_all), "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).collect()
     weights = learned_weights([tuple(c) for c in cells], 1 / (n_keys + 1))
     return table.mapInArrow(_scored(weights, n_keys, n_all, _arrow(out)), out)

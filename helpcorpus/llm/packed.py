@@ -14,12 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-REQUEST = "kind int, part int, chunk string, keys binary, counts binary"
-TOTALS = "chunk string, kind int, part int, totals binary, n_keys long, n_all long"
-_REQUEST = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary()), ("counts", pa.binary())])
-_TOTALS = pa.schema([("chunk", pa.string()), ("kind", pa.int32()), ("part", pa.int32()), ("totals", pa.binary()), ("n_keys", pa.int64()), ("n_all", pa.int64())])
-#: The chunk of the rows that hold a range's number of keys with a count and the sum of counts.
-SUMS = ""
+REQUEST = "kind int, part int, chunk string, keys binary, counts binary, checks binary"
+TOTALS = "chunk string, kind int, part int, totals binary, n_keys long, n_all long, clashes long"
+_REQUEST = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary()), ("counts", pa.binary()), ("checks", pa.binary())])
+_TOTALS = pa.schema([("chunk", pa.string()), ("kind", pa.int32()), ("part", pa.int32()), ("totals", pa.binary()), ("n_keys", pa.int64()), ("n_all", pa.int64()), ("clashes", pa.int64())])
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -51,28 +49,37 @@ def unpack_counts(block: bytes) -> np.ndarray:
     return np.frombuffer(block, "<" + block[:2].decode(), offset=2).astype(np.int64)
 
 
-def requests(kind: int, chunk: str, keys: np.ndarray, counts: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
-    """A chunk's distinct sorted keys and their counts in it, cut into ranges."""
-    edges = np.array([(i << 64) // n_parts for i in range(1, n_parts)], np.uint64)
-    cuts = [0, *np.searchsorted(keys, edges), len(keys)]
-    rows = [(p, pack(keys[a:b]), pack_counts(counts[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-    n = len(rows)
-    yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * n, pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=_REQUEST)
+def requests(kind: int, chunk: str, keys: np.ndarray, counts: np.ndarray, n_parts: int, checks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """A chunk's distinct sorted keys and their counts in it, cut into ranges; the work follows the keys, not the ranges.
+
+    checks: 32 further bits of what each key stands for, so that keys that meet can be told apart.
+    """
+    part = ((keys >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
+    starts = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1))) if len(keys) else []
+    cuts = [*starts, len(keys)]
+    cut = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+    n = len(cut)
+    columns = [[kind] * n, [int(part[a]) for a, _ in cut], [chunk] * n, [pack(keys[a:b]) for a, b in cut], [pack_counts(counts[a:b]) for a, b in cut], [None if checks is None else checks[a:b].astype("<u4").tobytes() for a, b in cut]]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _REQUEST.types, strict=True)], schema=_REQUEST)
 
 
 def _merged(table: pa.Table) -> pa.Table:
+    """A range's totals for each chunk, and a row without totals: how many keys have a count, the counts' sum, keys that stand for two things."""
     kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
     keys = [unpack(x.as_py()) for x in table["keys"]]
     counts = np.concatenate([unpack_counts(x.as_py()) for x in table["counts"]])
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     sums = np.zeros(len(distinct), np.int64)
     np.add.at(sums, at, counts)
     each = np.split(sums[at], np.cumsum([len(k) for k in keys])[:-1])
+    clashes = 0
+    if table["checks"].null_count == 0:
+        checks = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["checks"]])
+        clashes = int((checks[first][at] != checks).sum())
     n = len(keys)
-    return pa.Table.from_arrays(
-        [pa.array([*table["chunk"].to_pylist(), SUMS], pa.string()), pa.array([kind] * (n + 1), pa.int32()), pa.array([part] * (n + 1), pa.int32()), pa.array([*map(pack_counts, each), None], pa.binary()), pa.array([0] * n + [int((sums > 0).sum())], pa.int64()), pa.array([0] * n + [int(sums.sum())], pa.int64())],
-        schema=_TOTALS,
-    )
+    # the last row has a name of its own, so that no group gathers those of all ranges
+    columns = [[*table["chunk"].to_pylist(), f"range-{kind}-{part}"], [kind] * (n + 1), [part] * (n + 1), [*map(pack_counts, each), None], [0] * n + [int((sums > 0).sum())], [0] * n + [int(sums.sum())], [0] * n + [clashes]]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _TOTALS.types, strict=True)], schema=_TOTALS)
 
 
 def totals(asked: DataFrame) -> DataFrame:

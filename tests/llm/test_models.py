@@ -68,10 +68,44 @@ def test_jaccard_needs_every_pair(spark):
 
 def test_one_of_each(docs, rows):
     kept = one_of_each(docs, 5, 80)
-    want = {c for _, n, c in components([r for r in rows if r[0] is not None], 5, 80)}
-    out = kept.collect()
-    assert kept.columns == docs.columns and {r.doc_id for r in out if r.doc_id is not None} == want
-    assert sum(r.doc_id == 67 for r in out) == 1 and sum(r.doc_id is None for r in out) == 3
+    out = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert kept.columns == docs.columns
+    # by brute force over rows: of each component the row of the least id (nulls last), of equal rows one; rows without words all
+    numbered = [(n, t, None) for n, (_, t, _) in enumerate(rows)]
+    comp = {n: c for (n, s, c) in components(numbered, 5, 80) if s}
+    groups = defaultdict(set)
+    for n, c in comp.items():
+        groups[c].add((rows[n][0] is None, rows[n][0] or 0, rows[n][1]))
+    want = Counter((None if g[0] else g[1], g[2]) for g in (min(g, key=lambda x: x[:2]) for g in groups.values()))
+    for n, (i, t, _) in enumerate(rows):
+        if n not in comp:
+            want[(i, t)] += 1
+    assert out == want
+
+
+def test_one_of_each_of_repeated_ids(spark):
+    u, v = " ".join(f"u{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    keep = lambda rows: sorted((r.doc_id, r.text) for r in one_of_each(table(spark, [(i, t, "s") for i, t in rows])).collect())
+    assert keep([(1, u), (5, u), (5, v)]) == [(1, u), (5, v)]
+    assert keep([(5, u), (5, v), (5, v), (5, u)]) == [(5, u), (5, v)]
+    assert keep([(5, u), (5, u + " x"), (5, "")]) in ([(5, ""), (5, u)], [(5, ""), (5, u + " x")])
+
+
+def test_overlaps():
+    import random
+
+    import numpy as np
+
+    from helpcorpus.llm.jaccard import overlaps
+
+    rng = random.Random(4)
+    sets = lambda: [np.array(sorted(rng.sample(range(2**64 - 60, 2**64), rng.randrange(0, 60))), np.uint64) if rng.random() < 0.3 else np.array(sorted({rng.randrange(40) << 58 for _ in range(rng.randrange(50))}), np.uint64) for _ in range(300)]
+    left, right = sets(), sets()
+    for percent in (55, 80, 90):
+        want = [100 * len(set(a.tolist()) & set(b.tolist())) >= percent * len(set(a.tolist()) | set(b.tolist())) for a, b in zip(left, right, strict=True)]
+        for blocks in (1, 3, 8):
+            assert overlaps(left, right, percent, blocks).tolist() == want
+    assert overlaps([], [], 80).tolist() == []
 
 
 def test_lm(docs, rows, none):
@@ -91,9 +125,70 @@ def test_lm(docs, rows, none):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
     held = [r for r in out if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) and all(r.score < 0 for r in out)
+    # the mixture by brute force: weights from each training token left out of the counts, then every text
+    of_bucket = lambda c: c.bit_length()
+    binned = lambda p: math.floor(math.log2(p) * 4) if p > 0 else -10_000
+    cells = Counter()
+    for i, t, _ in rows:
+        if not crc(i):
+            for u, w in zip(["", *split(t)], [*split(t), ""], strict=True):
+                c = count[u] - 1
+                cells[of_bucket(c), binned((bigrams[u, w] - 1) / max(c, 1)), binned((count[w] - 1) / (n - 1))] += 1
+    lam = learned_weights([(*k, m) for k, m in sorted(cells.items())], 1 / (v + 1))
+    want = Counter()
+    for i, t, _ in rows:
+        total = 0.0
+        for u, w in zip(["", *split(t)], [*split(t), ""], strict=True):
+            a, b, c = lam[of_bucket(count[u])]
+            total += math.log10(a / (v + 1) + b * count[w] / n + c * bigrams[u, w] / max(count[u], 1))
+        want[i, round(total, 5)] += 1
+    assert Counter((r.doc_id, round(r.score, 5)) for r in out) == want
     assert score(none).count() == 0
 
 
+def test_counts_beyond_32_bits():
+    import numpy as np
+
+    from helpcorpus.llm import lm, packed
+
+    for a in (np.array([], np.int64), np.array([1, 300]), np.array([2**32 + 5, 7, 2**40])):
+        assert lm._expand(lm._squeeze(a)).tolist() == packed.unpack_counts(packed.pack_counts(a)).tolist() == a.tolist()
+
+
+def test_packed_totals(spark):
+    """Ranges answer each chunk in its order; keys that stand for two words are found."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from helpcorpus.llm import packed
+
+    rng = random.Random(6)
+    pool = [rng.randrange(2**64) for _ in range(300)] + [0, 1, 2**64 - 1]
+    asked = {f"c{i}": {k: rng.randrange(0, 5) for k in rng.sample(pool, 90)} for i in range(6)}
+    for clash in (0, 1):
+        odd = min(set(asked["c0"]) & set(asked["c1"]))
+        for n_parts in (1, 40):
+            rows = []
+            for c, counts in asked.items():
+                keys = np.array(sorted(counts), np.uint64)
+                checks = np.array([k % 1000 + int(clash and c == "c0" and k == odd) for k in keys.tolist()], np.uint32)
+                for b in packed.requests(3, c, keys, np.array([counts[k] for k in sorted(counts)]), n_parts, checks):
+                    rows += b.to_pylist()
+            assert len(rows) <= sum(map(len, asked.values())) and all(0 <= r["part"] < n_parts for r in rows)
+            got = packed.totals(spark.createDataFrame(rows, packed.REQUEST)).toArrow()
+            sums = Counter()
+            for counts in asked.values():
+                sums.update(counts)
+            for c, counts in asked.items():
+                mine = got.filter(pa.compute.equal(got["chunk"], c))
+                assert packed.answered(mine, 3, 90).tolist() == [sums[k] for k in sorted(counts)]
+            ends = [r for r in got.to_pylist() if r["totals"] is None]
+            assert sum(r["n_keys"] for r in ends) == sum(v > 0 for v in sums.values()) and sum(r["n_all"] for r in ends) == sum(sums.values())
+            assert len({r["chunk"] for r in ends}) == len(ends) and (sum(r["clashes"] for r in ends) > 0) == bool(clash)
+
+
 def test_lm_weights():
     # a context seen often predicts well: its bigrams get the weight; unseen contexts have none
     w = learned_weights([(0, -10_000, -20, 50), (5, -4, -40, 900), (5, -10_000, -20, 100)], 1e-4)
