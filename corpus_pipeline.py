@@ -7,12 +7,11 @@ again as the next one's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from helpcorpus.llm.common import read, written
+from helpcorpus.llm.common import TABLES, cleared, read, written
 from helpcorpus.llm.decontaminate import decontaminated
 from helpcorpus.llm.jaccard import one_of_each
-from helpcorpus.llm.mixing import mix
+from helpcorpus.llm.mixing import mixed_rows
 from helpcorpus.llm.sharding import shuffle_shards
 from helpcorpus.llm.toxicity import without_toxic
 
@@ -34,13 +33,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and those of small sources again, up to twice, as their source's weight asks."""
-    return mix(docs, max_repeats=2.0).select(*docs.columns)
+    return mixed_rows(docs, max_repeats=2.0)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in a seeded order, dealt to 16 shards."""
-    d = shuffle_shards(docs, 16)
-    return d.select(*docs.columns, F.col("_size").alias("size"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    """The mix in a seeded order, dealt to 16 shards; a column of docs with the name of one of the new ones gives way to it."""
+    return shuffle_shards(docs, 16, names=("size", None, None, "shard", "slot"))
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_copies), ("benchmark_decontamination", drop_leaks), ("source_mixing", mix_sources), ("sharding", deal_shards)]
@@ -50,10 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each read again from what the one before wrote."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents, each read again from what the one before wrote; a stage's own tables go when it is done."""
+    docs, earlier = read(spark, sf_dir, "documents"), list(TABLES)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs)
+            cleared(spark, keep=[*earlier, TABLES[-1]])
     return docs
