@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,29 +35,46 @@ def select_topics(topics: DataFrame, selection: DataFrame) -> DataFrame:
     return topics.join(selection, ["doc", "topic_index"], "left_semi")
 
 
+def template_id(doc: str = "doc", topic: str = "topic_index") -> Column:
+    return F.concat_ws("-", F.lit("hlp-topic"), doc, F.col(topic).cast("string"))
+
+
 def render_topic_html(runs: DataFrame) -> DataFrame:
-    """(doc, topic_index, html): one section for each topic, fixed records before the body, texts escaped. runs(doc, topic_index, pos, region, text); a topic's records are its own bound."""
+    """(doc, topic_index, html): one section for each topic, fixed records before the body, texts escaped; a run with an action is a link that carries its id and tooltip. runs(doc, topic_index, pos, region, text, action_id, tooltip); a topic's records are its own bound."""
     rank = F.when(F.col("region") == "non_scrolling", 0).otherwise(1)
-    piece = F.concat(F.lit("<p>"), html_escape(F.col("text")), F.lit("</p>"))
+    title = F.when(F.col("tooltip").isNotNull(), F.concat(F.lit(' title="'), html_escape(F.col("tooltip")), F.lit('"'))).otherwise("")
+    link = F.concat(F.lit('<a class="hlp-link" href="#" data-action="'), F.col("action_id").cast("string"), F.lit('"'), title, F.lit(">"), html_escape(F.col("text")), F.lit("</a>"))
+    piece = F.concat(F.lit("<p>"), F.when(F.col("action_id").isNotNull(), link).otherwise(html_escape(F.col("text"))), F.lit("</p>"))
     rows = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "pos", piece.alias("p"))))
     inner = lambda k: F.array_join(F.transform(F.filter("rows", lambda r: r["rank"] == k), lambda r: r["p"]), "")
     d = runs.groupBy("doc", "topic_index").agg(rows.alias("rows"))
-    name = F.concat_ws("-", F.lit("hlp-topic"), "doc", F.col("topic_index").cast("string"))
-    return d.select("doc", "topic_index", F.concat(F.lit('<section id="'), html_escape(name), F.lit('"><header>'), inner(0), F.lit("</header>"), inner(1), F.lit("</section>")).alias("html"))
+    return d.select("doc", "topic_index", F.concat(F.lit('<section id="'), html_escape(template_id()), F.lit('"><header>'), inner(0), F.lit("</header>"), inner(1), F.lit("</section>")).alias("html"))
+
+
+def program_ops(calls: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, ops): the allowed calls of a program in order, as a list of names and arguments; a program has at most 256 calls. calls(*by, call_no, canonical, args, verdict)"""
+    call = F.concat(F.lit("["), F.array_join(F.transform(F.concat(F.array("canonical"), "args"), lambda a: js_string(a)), ","), F.lit("]"))
+    ops = F.array_sort(F.collect_list(F.struct("call_no", call.alias("call"))))
+    d = calls.where("verdict = 'ALLOW'").groupBy(*by).agg(ops.alias("rows"))
+    return d.select(*by, F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["call"]), ","), F.lit("]")).alias("ops"))
 
 
 def action_registry(actions: DataFrame) -> DataFrame:
-    """(doc, action_id, json): ids without gaps in the order of registration. actions(doc, source_rank, seq, kind, topic_index, mode, message)"""
+    """(doc, action_id, json): ids without gaps in the order of registration; open, program and noop actions. actions(doc, source_rank, seq, kind, dst_doc, topic_index, mode, win_name, ops, message)"""
     order = W.partitionBy("doc").orderBy("source_rank", "seq")
-    json = F.when(F.col("kind") == "open", F.concat(F.lit('{kind:"open",topic:'), F.col("topic_index").cast("string"), F.lit(',mode:"'), "mode", F.lit('"}'))).otherwise(F.concat(F.lit('{kind:"noop",message:'), js_string(F.col("message")), F.lit("}")))
+    window = F.when(F.col("win_name").isNotNull(), F.concat(F.lit(",window:"), js_string(F.col("win_name")))).otherwise("")
+    opened = F.concat(F.lit("{kind:\"open\",doc:"), js_string(F.col("dst_doc")), F.lit(",topic:"), F.col("topic_index").cast("string"), F.lit(",mode:\""), "mode", F.lit("\""), window, F.lit("}"))
+    program = F.concat(F.lit("{kind:\"program\",ops:"), F.coalesce("ops", F.lit("[]")), F.lit("}"))
+    json = F.when(F.col("kind") == "open", opened).when(F.col("kind") == "program", program).otherwise(F.concat(F.lit('{kind:"noop",message:'), js_string(F.col("message")), F.lit("}")))
     return actions.select("doc", (F.row_number().over(order) - 1).alias("action_id"), json.alias("json"))
 
 
 def topic_manifest(topics: DataFrame, neighbors: DataFrame) -> DataFrame:
-    """A JSON line for each topic: label, template, neighbours."""
+    """(doc, topic_index, json): a line for each topic with label, template and browse neighbours. neighbors(doc, topic_index, browse_prev, browse_next)"""
     d = topics.join(neighbors, ["doc", "topic_index"], "left")
-    j = F.to_json(F.struct(F.col("topic_index").alias("topic"), export_label(F.col("title"), F.col("topic_index")).alias("label"), F.concat_ws("-", F.lit("hlp-topic"), "doc", F.col("topic_index").cast("string")).alias("template"), "prev", "next"))
-    return d.select("doc", "topic_index", j.alias("json"))
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    json = F.concat(F.lit("{topic:"), F.col("topic_index").cast("string"), F.lit(",title:"), js_string(export_label(F.col("title"), F.col("topic_index"))), F.lit(",template:"), js_string(template_id()), F.lit(",browsePrev:"), number("browse_prev"), F.lit(",browseNext:"), number("browse_next"), F.lit("}"))
+    return d.select("doc", "topic_index", json.alias("json"))
 
 
 def documents_manifest(docs: DataFrame, topics: DataFrame) -> DataFrame:
@@ -67,14 +84,30 @@ def documents_manifest(docs: DataFrame, topics: DataFrame) -> DataFrame:
     return docs.join(n, "doc", "left").select("doc", F.to_json(F.struct(F.col("doc").alias("name"), title.alias("title"), F.coalesce("topics", F.lit(0)).alias("topics"))).alias("json"))
 
 
-def export_site(path: str, docs: DataFrame, topics: DataFrame, html: DataFrame, warnings: DataFrame) -> DataFrame:
-    """Writes sections by document and manifests; returns (document_count, topic_count, warning_count)."""
-    html.select("doc", "html").write.mode("overwrite").partitionBy("doc").text(f"{path}/topics")
+def export_site(path: str, docs: DataFrame, topics: DataFrame, warnings: DataFrame, html: DataFrame, manifest: DataFrame, actions: DataFrame, contents: DataFrame, index: DataFrame) -> DataFrame:
+    """Writes the site's parts, rows of text by document: topics (sections), manifest, actions, contents, index; and documents.
+
+    manifest and actions have json; contents(doc, line, path) and index(key, keyword, n) are written as
+    JSON. Returns (document_count, topic_count, warning_count).
+    """
+    by_doc = {"topics": html.select("doc", F.col("html").alias("value")), "manifest": manifest.select("doc", F.col("json").alias("value")), "actions": actions.select("doc", F.col("json").alias("value")), "contents": contents.select("doc", F.to_json(F.struct("line", "path")).alias("value"))}
+    for part, d in by_doc.items():
+        d.write.mode("overwrite").partitionBy("doc").text(f"{path}/{part}")
     documents_manifest(docs, topics).select("json").write.mode("overwrite").text(f"{path}/documents")
+    index.select(F.to_json(F.struct("key", "keyword", "n"))).write.mode("overwrite").text(f"{path}/index")
     one = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
     return one(docs, "document_count").crossJoin(one(topics, "topic_count")).crossJoin(one(warnings, "warning_count"))
 
 
+def read_site(spark: SparkSession, path: str) -> DataFrame:
+    """(part, value): the lines of all parts of a written site."""
+    out = None
+    for part in ("topics", "manifest", "actions", "contents", "documents", "index"):
+        d = spark.read.option("lineSep", "\n").text(f"{path}/{part}").select(F.lit(part).alias("part"), "value")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 def dump_lines(**sections: DataFrame) -> DataFrame:
     """(doc, section, seq, line) of a text report; sections are rows of doc, seq and line."""
     parts = [d.select("doc", F.lit(name).alias("section"), F.col("seq").cast("long").alias("seq"), "line") for name, d in sections.items()]

@@ -140,15 +140,22 @@ def scale_picture_hotspots(rects: DataFrame) -> DataFrame:
     return rects.withColumns({"sx": sx("x"), "sy": sy("y"), "sw": F.greatest(sx("w"), F.lit(1)), "sh": F.greatest(sy("h"), F.lit(1))})
 
 
-def hit_test(points: DataFrame, rects: DataFrame, grid: int = GRID) -> DataFrame:
-    """(point_id, rect_id): the last rectangle in order that holds a point, edges at right and bottom left out.
+def hit_test(points: DataFrame, rects: DataFrame, by: list[str], grid: int = GRID) -> DataFrame:
+    """(point_id, rect_id): the last rectangle in order of the point's own picture that holds it, edges at right and bottom left out.
 
-    Rectangles are laid on grid cells, so a point meets only those of its own cell by an equi-join.
+    by: the columns that name a picture, in both tables. A rectangle is laid on a grid whose cells are
+    at least as large as itself, so on four cells at most; grids double from `grid` on. A point is
+    looked up in its cell of each grid that has a rectangle, so an equi-join finds its few candidates.
     """
-    span = lambda a, n: F.sequence(F.floor(F.col(a) / grid), F.floor((F.col(a) + F.col(n) - 1) / grid))
-    r = rects.where("w > 0 and h > 0").withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
-    p = points.select("point_id", "px", "py", F.floor(F.col("px") / grid).alias("cx"), F.floor(F.col("py") / grid).alias("cy"))
-    d = p.join(r, ["cx", "cy"]).where("px >= x and px < x + w and py >= y and py < y + h")
+    level = lambda n: F.greatest(F.lit(0), F.ceil(F.log2(F.col(n) / grid))).cast("int")
+    r = rects.where("w > 0 and h > 0").withColumn("level", F.greatest(level("w"), level("h"))).withColumn("cell", F.lit(grid) * F.pow(F.lit(2.0), "level"))
+    span = lambda a, n: F.sequence(F.floor(F.col(a) / F.col("cell")), F.floor((F.col(a) + F.col(n) - 1) / F.col("cell")))
+    r = r.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h"))).drop("cell")
+    levels = r.select("level").distinct().agg(F.array_sort(F.collect_set("level")).alias("levels"))  # one number for each power of two of a size
+    p = points.select("point_id", *by, "px", "py").join(F.broadcast(levels)).withColumn("level", F.explode("levels"))
+    at = lambda c: F.floor(F.col(c) / (F.lit(grid) * F.pow(F.lit(2.0), "level")))
+    p = p.select("point_id", *by, "px", "py", "level", at("px").alias("cx"), at("py").alias("cy"))
+    d = p.join(r, [*by, "level", "cx", "cy"]).where("px >= x and px < x + w and py >= y and py < y + h")
     top = d.groupBy("point_id").agg(F.max_by("rect_id", "ord").alias("rect_id"))
     return points.select("point_id").join(top, "point_id", "left")
 
@@ -163,6 +170,7 @@ def resolve_picture_hotspots(hotspots: DataFrame, contexts: DataFrame) -> DataFr
 
 
 def picture_usage(pictures: DataFrame) -> DataFrame:
-    """(doc, picture_index, n_uses, n_topics) of indexed pictures."""
-    per_topic = pictures.where("picture_index is not null").groupBy("doc", "picture_index", "topic").agg(F.count(F.lit(1)).alias("n"))
-    return per_topic.groupBy("doc", "picture_index").agg(F.sum("n").alias("n_uses"), F.count(F.lit(1)).alias("n_topics"))
+    """(doc, source, picture_index, n_uses, n_topics): indexed pictures, each decoded once however often it is used; embedded and unsupported ones are counted together by kind. pictures(doc, topic, source, picture_index)"""
+    index = F.when(F.col("source") == "indexed", F.col("picture_index"))
+    per_topic = pictures.groupBy("doc", "source", index.alias("picture_index"), "topic").agg(F.count(F.lit(1)).alias("n"))
+    return per_topic.groupBy("doc", "source", "picture_index").agg(F.sum("n").alias("n_uses"), F.count(F.lit(1)).alias("n_topics"))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 # Fixed value: bytes of a stream's own header.
 STREAM_HEADER = 9
+# The family of fixed-pitch fonts, and the charsets that are written from the right.
+MODERN_FAMILY = 1
+RTL_CHARSETS = (0xB1, 0xB2)
 
 
 def stream_inventory(streams: DataFrame) -> DataFrame:
@@ -26,29 +29,46 @@ def corpus_summary(docs: DataFrame, **tables: DataFrame) -> DataFrame:
     return reduce(lambda d, c: d.join(c, "doc", "left"), counts, docs.select("doc")).na.fill(0)
 
 
-def topic_record_profile(records: DataFrame, by: list[str]) -> DataFrame:
-    """Records of each region by topic."""
+def topic_record_profile(topics: DataFrame, records: DataFrame, macros: DataFrame, by: list[str]) -> DataFrame:
+    """topics(*by, browse_back, browse_forward, previous, following) with the number of records of each region, of those with text, and of macros."""
     of = lambda r: F.count_if(F.col("region") == r)
-    return records.groupBy(*by).agg(of("non_scrolling").alias("n_fixed"), of("scrolling").alias("n_scrolling"), of("unclassified").alias("n_other"), F.count_if(F.col("text") != "").alias("n_visible"))
+    n = records.groupBy(*by).agg(of("non_scrolling").alias("n_fixed"), of("scrolling").alias("n_scrolling"), of("unclassified").alias("n_other"), F.count_if(F.col("text") != "").alias("n_visible"))
+    m = macros.groupBy(*by).agg(F.count(F.lit(1)).alias("n_macros"))
+    d = topics.join(n, by, "left").join(m, by, "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_fixed", "n_scrolling", "n_other", "n_visible", "n_macros")]
+    return d.select(*by, "browse_back", "browse_forward", "previous", "following", *counts)
 
 
-def record_content_profile(records: DataFrame, text: str = "text") -> DataFrame:
-    """Paragraphs, words, links and pictures of each record, from its text."""
-    return records.withColumns({
-        "n_paragraphs": F.size(F.filter(F.split(text, r"\. "), lambda p: F.trim(p) != "")).cast("long"), "is_table": F.col("record_type") == 0x23,
-        "n_runs": F.regexp_count(text, F.lit("[^ ]+")).cast("long"), "n_numbers": F.regexp_count(text, F.lit("[0-9]+")).cast("long"),
-    })
+def record_content_profile(records: DataFrame, inlines: DataFrame, issues: DataFrame, by: list[str]) -> DataFrame:
+    """records(*by, record_type) with paragraphs, is_table, text runs, hotspots, pictures and issues. inlines(*by, paragraph, kind, hotspot), issues(*by)"""
+    text = F.col("kind") == "text"
+    runs = [F.count_if(text).alias("n_runs"), F.count_if(text & F.col("hotspot")).alias("n_hotspots"), F.count_if(F.col("kind") == "picture").alias("n_pictures")]
+    per = inlines.groupBy(*by, "paragraph").agg(*runs).groupBy(*by).agg(F.count(F.lit(1)).alias("n_paragraphs"), *[F.sum(c).alias(c) for c in ("n_runs", "n_hotspots", "n_pictures")])
+    wrong = issues.groupBy(*by).agg(F.count(F.lit(1)).alias("n_issues"))
+    d = records.select(*by, (F.col("record_type") == 0x23).alias("is_table")).join(per, by, "left").join(wrong, by, "left")
+    return d.select(*by, "is_table", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_paragraphs", "n_runs", "n_hotspots", "n_pictures", "n_issues")])
 
 
 def point_size(twips: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(4096), F.floor((F.abs(twips) + 10) / 20))).cast("int")
 
 
+def font_rows(fonts: DataFrame) -> DataFrame:
+    """A row for each descriptor: face, points, weight, style flags, colour as #RRGGBB, fixed_pitch, rtl. fonts(face_name, twips, weight, flags, family, red, green, blue, charset)"""
+    flag = lambda bit: F.col("flags").bitwiseAND(bit) != 0
+    colour = F.concat(F.lit("#"), *[F.lpad(F.hex(F.col(c)), 2, "0") for c in ("red", "green", "blue")])
+    return fonts.select(
+        "doc", "font_index", F.trim("face_name").alias("face"), point_size(F.col("twips")).alias("points"), "weight", flag(1).alias("italic"), flag(2).alias("underline"), flag(4).alias("strike"),
+        colour.alias("colour"), F.coalesce(F.col("family") == MODERN_FAMILY, F.lit(False)).alias("fixed_pitch"), F.coalesce(F.col("charset").isin(*RTL_CHARSETS), F.lit(False)).alias("rtl"),
+    )
+
+
 def font_census(fonts: DataFrame) -> DataFrame:
-    """Descriptors by face and size, with the number that are bold, italic and underlined."""
-    flag = lambda bit: F.count_if(F.col("flags").bitwiseAND(bit) != 0)
-    d = fonts.withColumn("points", point_size(F.col("twips")))
-    return d.groupBy(F.trim("face_name").alias("face"), "points").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("weight") >= 700).alias("n_bold"), flag(1).alias("n_italic"), flag(2).alias("n_underlined"))
+    """Descriptors by face and size, with the number that are bold, italic, underlined, struck out, fixed-pitch and right-to-left, and of colours."""
+    d = font_rows(fonts).groupBy("face", "points", "colour").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("weight") >= 700).alias("n_bold"), *[F.count_if(c).alias(f"n_{c}") for c in ("italic", "underline", "strike", "fixed_pitch", "rtl")]
+    )
+    return d.groupBy("face", "points").agg(F.count(F.lit(1)).alias("n_colours"), *[F.sum(c).alias(c) for c in d.columns[3:]])
 
 
 def block_profile(blocks: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from ..functions.scalars import context_hash, topic_label
 from .topics import BLOCK_OFFSETS
 
 
+#: Partitions for references that cannot resolve.
+ASIDE = 4096
+
+
 def first_of(table: DataFrame, key: str, value: str, order: str = "ord") -> DataFrame:
     """The first entry of each key of a list, as lists are searched; pre-aggregated before any join."""
     return table.where(F.col(key).isNotNull()).groupBy("doc", key).agg(F.min_by(value, order).alias(value))
@@ -19,15 +23,18 @@ def resolve_topic_offset(refs: DataFrame, anchors: DataFrame, offset: str = "top
     """As-of join: the topic of the greatest anchor at or before an offset in the same block of 32768, else null.
 
     Both sides are laid out by document and block, and the last anchor is carried forward; of anchors
-    with one offset the last by position counts. A block bounds what a task has to hold.
+    with one offset the last by position counts. A block bounds what a task has to hold; references
+    that cannot resolve (no document, no offset, a negative one) are spread over partitions of their own.
     """
     block = F.floor(F.col("_at") / BLOCK_OFFSETS)
+    able = F.col("doc").isNotNull() & F.coalesce(F.col("_at") >= 0, F.lit(False))
+    aside = -1 - F.pmod(F.xxhash64("_row"), F.lit(ASIDE))
     left = refs.withColumn("_row", F.struct(*refs.columns)).select("doc", F.col(offset).cast("long").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_pos"), F.lit(None).cast("int").alias("_topic"), "_row")
     none = F.lit(None).cast(left.schema["_row"].dataType)
     right = anchors.select("doc", F.col("topic_offset").cast("long").alias("_at"), F.lit(0).alias("_side"), F.col("pos").cast("long").alias("_pos"), F.col("topic_index").cast("int").alias("_topic"), none.alias("_row"))
     w = W.partitionBy("doc", "_block").orderBy("_at", "_side", "_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    d = left.unionByName(right).withColumn("_block", F.when(F.col("_at") >= 0, block)).withColumn("_found", F.last("_topic", ignorenulls=True).over(w))
-    return d.where("_side = 1").select("_row.*", F.when(F.col("_at") >= 0, F.col("_found")).alias(out))
+    d = left.unionByName(right).withColumn("_block", F.when(able, block).otherwise(aside)).withColumn("_found", F.last("_topic", ignorenulls=True).over(w))
+    return d.where("_side = 1").select("_row.*", F.when(F.col("_block") >= 0, F.col("_found")).alias(out))
 
 
 def _by_key(refs: DataFrame, table: DataFrame, key: str, on: str, value: str, out: str) -> DataFrame:

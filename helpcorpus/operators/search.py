@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.scalars import fold_text, topic_label
 
 LIMIT = 200
-#: Queries that are broadcast at once; a longer table of queries is taken block by block.
-QUERY_BLOCK = 4096
 
 
 def build_search_table(topics: DataFrame, topic_keywords: DataFrame) -> DataFrame:
@@ -65,25 +64,49 @@ def search_corpus(search_topics: DataFrame, query: str, limit: int = LIMIT) -> D
     return hits(search_topics, query).orderBy(F.desc("score"), "doc", "topic_index").limit(limit).select("doc", "topic_index", "score", label.alias("label"))
 
 
-def search_batch(search_topics: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+_TRIGRAMS = r"(?s)(?=(.{3}))"
+
+
+def _trigrams(c: str):
+    return F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(_TRIGRAMS), F.lit(1)))).alias("gram")
+
+
+def words_with(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, word, topics): the words of vocabulary(word, topics) that contain a term of terms(term).
+
+    A term of three characters or more is looked up by its rarest trigram; shorter ones, of which
+    there are few, are tried on each word of the vocabulary.
+    """
+    grams = vocabulary.select("word", "topics", _trigrams("word"))
+    sizes = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = terms.where(F.length("term") >= 3).select("term", _trigrams("term")).join(sizes, "gram", "left")
+    rarest = rarest.groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    long = rarest.join(grams, "gram").where(F.contains("word", F.col("term"))).select("term", "word", "topics")
+    short = terms.where(F.length("term") < 3).join(vocabulary, F.contains("word", F.col("term"))).select("term", "word", "topics")
+    return long.unionByName(short)
+
+
+def search_batch(search_topics: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, doc, topic_index, score, kind): the k best topics of each query of a table.
 
-    Queries are folded, blank ones dropped, and dealt to blocks of a checked size, each of which is
-    broadcast against all topics. Only matching pairs leave the join; the k best of each task are
-    kept before the shuffle (Spark's window group limit).
+    A match needs all of a query's terms in a topic's title, keywords or body, each within one word.
+    So a query's candidates are the topics that have a word with its rarest term: terms are matched
+    with the corpus' distinct words (words_with), and words with topics by an inverted table. Only
+    candidates meet the query's text; the k best of each task are kept before the shuffle (Spark's
+    window group limit). Blank queries are dropped.
     """
-    q = queries.select("query_id", fold_text(F.col("query")).alias("q")).where("q <> ''").withColumn("terms", F.split("q", " "))
-    n = q.count()
-    blocks = max(1, -(-n // block))
-    found = None
-    for i in range(blocks):
-        # hash-dealt blocks vary, so a block that is far over its size is cut again by the next hash
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        s = score(F.col("q"), F.col("terms"))
-        one = search_topics.join(F.broadcast(part), s > 0).select("query_id", "doc", "topic_index", s.alias("score"))
-        found = one if found is None else found.unionByName(one)
+    q = cut(queries.select("query_id", fold_text(F.col("query")).alias("q")).where("q <> ''").withColumn("terms", F.split("q", " ")))
+    text = F.concat_ws(" ", "folded_title", F.array_join("folded_keywords", " "), "folded_body")
+    inverted = cut(search_topics.select("doc", "topic_index", F.explode(F.array_distinct(F.split(text, " "))).alias("word")).where("word <> ''"))
+    asked = q.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    found = cut(words_with(inverted.groupBy("word").agg(F.count(F.lit(1)).alias("topics")), asked.select("term").distinct()))
+    sizes = found.groupBy("term").agg(F.sum("topics").alias("topics"))
+    rarest = asked.join(sizes, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("topics", F.lit(0)), "term")).alias("term"))
+    candidates = rarest.join(found, "term").join(inverted, "word").select("query_id", "doc", "topic_index").distinct()
+    s = score(F.col("q"), F.col("terms"))
+    pairs = candidates.join(search_topics, ["doc", "topic_index"]).join(q, "query_id").select("query_id", "doc", "topic_index", s.alias("score")).where("score > 0")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc", "topic_index"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc", "topic_index", "score", kind_of(F.col("score")).alias("kind"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc", "topic_index", "score", kind_of(F.col("score")).alias("kind"))
 
 
 def search_export_profile(topics: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:

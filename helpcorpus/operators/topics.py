@@ -90,8 +90,8 @@ def startup_topic(topics: DataFrame) -> DataFrame:
 
 
 def expand_phrases(tokens: DataFrame, phrases: DataFrame, by: list[str]) -> DataFrame:
-    """Texts from literals and phrase numbers, cut at the expected length; status ok, short, long or missing phrase. tokens(*by, seq, phrase_id, literal, space, expected)"""
-    d = tokens.join(phrases, "phrase_id", "left")
+    """Texts from literals and phrases of the token's own document, cut at the expected length; status ok, short, long or missing phrase. tokens(doc, *by, seq, phrase_id, literal, space, expected), phrases(doc, phrase_id, phrase)"""
+    d = tokens.join(phrases, ["doc", "phrase_id"], "left")
     piece = F.concat(F.coalesce("literal", "phrase", F.lit("")), F.when(F.col("space"), " ").otherwise(""))
     d = d.withColumn("piece", piece).withColumn("missing", F.col("literal").isNull() & F.col("phrase").isNull())
     g = d.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "").alias("full"), F.max("expected").alias("expected"), F.bool_or("missing").alias("missing"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import resolve as R
 from ..operators import topics as T
 from ..functions.scalars import context_hash
+from ..operators.contents import contents_links
 from ..sources import ingest as I
 from .bindings import duck_hash
 from .registry import Tables, query, view
@@ -19,8 +20,9 @@ view("contents_text", r"""
       SELECT 3 * r_regionkey AS ord, concat('1 ', r_name) AS text FROM {region}
       UNION ALL SELECT 100 + n_nationkey, concat('2 ', n_name, CASE WHEN n_nationkey % 6 = 0 THEN '' ELSE concat('=', lower(n_name)) END) FROM {nation}
       UNION ALL SELECT 1000 + s_suppkey, concat('  3 ', s_name, '=', lower(s_name), CASE WHEN s_suppkey % 9 = 0 THEN '@other.hlp>steps' ELSE '' END) FROM {supplier}
-      UNION ALL SELECT 200000, ':Title World' UNION ALL SELECT 200001, ':Base' UNION ALL SELECT 200002, ':Index Terms=terms.hlp' UNION ALL SELECT 200003, ':Link more.hlp'
-      UNION ALL SELECT 200004, '0 Invalid' UNION ALL SELECT 200005, ':Unknown thing' UNION ALL SELECT 200006, '; remark' UNION ALL SELECT 200007, '' UNION ALL SELECT 200008, 'no digits' UNION ALL SELECT 200009, '70000 Deep' UNION ALL SELECT 200010, '4 =nothing')""")
+      UNION ALL SELECT 200000, ':Title World' UNION ALL SELECT 200001, ':Base' UNION ALL SELECT 200011, ':base world.hlp > main' UNION ALL SELECT 300000 + s_suppkey, concat(CASE WHEN s_suppkey % 2 = 0 THEN ':Index ' ELSE ':LINK ' END, CASE WHEN s_suppkey % 3 = 0 THEN concat(s_name, ' = ') ELSE '' END, s_name, '.hlp') FROM {supplier} UNION ALL SELECT 200002, ':Index Terms=terms.hlp' UNION ALL SELECT 200003, ':Link more.hlp'
+      UNION ALL SELECT 200004, '0 Invalid' UNION ALL SELECT 200005, ':Unknown thing' UNION ALL SELECT 200006, '; remark' UNION ALL SELECT 200007, '' UNION ALL SELECT 200008, 'no digits' UNION ALL SELECT 200009, '70000 Deep' UNION ALL SELECT 200010, '4 =nothing')
+    UNION ALL SELECT concat('tree', CAST(k % 61 AS STRING)), k, concat(CAST(CASE WHEN k % 4 = 0 THEN greatest(1, l - 5) ELSE l END AS STRING), ' Deep ', CAST(k AS STRING)) FROM (SELECT c_custkey AS k, CAST(floor(c_custkey / 61) AS INT) + 1 AS l FROM {customer})""")
 _PARSED = r"""
     WITH p AS (SELECT doc, ord AS line, trim(text) AS t FROM contents_text WHERE trim(text) <> '' AND trim(text) NOT LIKE ';%'),
     q AS (SELECT *, regexp_extract(t, '^([0-9]+)', 1) AS digits, trim(regexp_extract(t, '^[0-9]+(.*)$', 1)) AS rest, CASE WHEN t LIKE ':%' THEN lower(regexp_extract(t, '^:(\S*)', 1)) END AS directive, CASE WHEN t LIKE ':%' THEN trim(regexp_extract(t, '^:\S*(.*)$', 1)) END AS val FROM p),
@@ -63,12 +65,42 @@ def _(t: Tables):
     return I.contents_warnings(t("contents_text").withColumnRenamed("ord", "line"))
 
 
-@query("decode_text_bytes")
+# Bytes of a short text in each charset, with the text.
+SAMPLES = {
+    0x4D: ("8E8F", "éè"), 0x80: ("93FA967B", "日本"), 0x81: ("C7D1B1DB", "한글"), 0x82: ("D065", "한"), 0x86: ("D6D0CEC4", "中文"), 0x88: ("A4A4A4E5", "中文"), 0xA1: ("C3E5E9E1", "Γεια"), 0xA2: ("DEFDF0", "Şığ"),
+    0xA3: ("D0F0FE", "Đđ₫"), 0xB1: ("F9ECE5ED", "שלום"), 0xB2: ("E3D1CDC8C7", "مرحبا"), 0xBA: ("E0E8E6", "ąčę"), 0xCC: ("CFF0E8E2E5F2", "Привет"), 0xDE: ("CAC7D1CA", "สวัส"), 0xEE: ("E8EDB9", "číą"), 0x63: ("E9FC80", "éü€"),
+}
+_SAMPLE = lambda i: " ".join(f"WHEN {n} THEN {[c, *map(repr, SAMPLES[c])][i]}" for n, c in enumerate(SAMPLES))
+_OF_CHARSET = lambda i: f"CASE doc_id % {len(SAMPLES)} {_SAMPLE(i)} END"
+# what windows-1252 lacks becomes a question mark
+_WESTERN = r"regexp_replace(text, '[^\x00-\x7F\x{A0}-\x{FF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]', '?', 'g')"
+_ASCII = r"replace(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), chr(92), '/')"
+
+
+@query("decode_text_bytes", f"""
+    SELECT doc_id, charset, length(x) AS n_chars, md5(x) AS digest FROM (
+      SELECT doc_id, 0 AS charset, {_WESTERN} AS x FROM documents UNION ALL SELECT doc_id, {_OF_CHARSET(0)}, concat({_OF_CHARSET(2)}, {_ASCII}) FROM documents)""")
+def _(t: Tables):
+    """Whole texts as windows-1252 bytes; and as ASCII after some bytes of each charset."""
+    d, ascii_ = t("documents"), F.replace(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), F.lit("\\"), F.lit("/"))
+    with I.java_charsets(t.spark):
+        western = d.select("doc_id", F.lit(0).alias("charset"), F.encode("text", "windows-1252").alias("b"))
+        other = d.select("doc_id", F.expr(_OF_CHARSET(0)).alias("charset"), F.concat(F.unhex(F.expr(_OF_CHARSET(1))), ascii_.cast("binary")).alias("b"))
+        x = western.unionByName(other).select("doc_id", "charset", I.decode_text(F.col("b"), F.col("charset")).alias("x"))
+    return x.select("doc_id", "charset", F.length("x").cast("long").alias("n_chars"), F.md5(F.col("x").cast("binary")).alias("digest"))
+
+
+@query("contents_meta", _PARSED + """ SELECT doc, max(val) FILTER (WHERE directive = 'title') AS title, max(trim(split_part(val, '>', 1))) FILTER (WHERE directive = 'base') AS base_file,
+    max(CASE WHEN contains(val, '>') THEN trim(substring(val, instr(val, '>') + 1)) END) FILTER (WHERE directive = 'base') AS base_window FROM r WHERE val <> '' AND directive IN ('title', 'base') GROUP BY doc""")
+def _(t: Tables):
+    return I.contents_meta(t("contents_text").withColumnRenamed("ord", "line"))
+
+
+@query("contents_link_rows", _PARSED + """ SELECT doc, line AS ord, CASE directive WHEN 'index' THEN 'index' ELSE 'search' END AS kind, CASE WHEN contains(val, '=') THEN nullif(trim(split_part(val, '=', 1)), '') END AS label,
+    trim(CASE WHEN contains(val, '=') THEN substring(val, instr(val, '=') + 1) ELSE val END) AS help_file FROM r WHERE val <> '' AND directive IN ('index', 'link')""")
 def _(t: Tables):
-    """Texts to windows-1252 bytes and back; characters it lacks become question marks."""
-    t.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    d = t("documents").select("doc_id", F.encode("text", "windows-1252").alias("b"))
-    return d.select("doc_id", F.length(I.decode_text(F.col("b"), F.lit(0))).cast("long").alias("n_chars"), F.md5(I.decode_text(F.col("b"), F.lit(0)).cast("binary")).alias("digest"))
+    """Link lines of contents files, through contents_links."""
+    return contents_links(I.contents_link_rows(t("contents_text").withColumnRenamed("ord", "line")))
 
 
 @query("resolve_charset", f"""
@@ -145,19 +177,20 @@ def _(t: Tables):
     return T.startup_topic(t("records").groupBy("doc", "topic_index").agg(F.count_if((F.col("record_type") == 35) & (F.col("text") != "")).alias("n_visible")))
 
 
-view("phrases", "SELECT CAST(row_number() OVER (ORDER BY w) AS INT) AS phrase_id, w AS phrase FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM {part} WHERE length(p_name) > 0)")
+view("phrases", "SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY w) AS INT) AS phrase_id, w AS phrase FROM (SELECT DISTINCT CAST(p_partkey % 3 AS STRING) AS doc, split_part(p_name, ' ', 1) AS w FROM {part} WHERE length(p_name) > 0)")
 view("phrase_tokens", """
-    SELECT rec, seq, CASE WHEN rec % 9 = 5 THEN 999999 ELSE phrase_id END AS phrase_id, CASE WHEN rec % 9 = 5 THEN CAST(NULL AS STRING) WHEN phrase_id IS NULL THEN w END AS literal, seq < 2 AS space, expected FROM (
-      SELECT rec, seq, w, phrase_id, length(p_name) + CASE WHEN rec % 7 = 0 THEN 2 WHEN rec % 5 = 0 THEN -1 ELSE 1 END AS expected
-      FROM (SELECT p_partkey AS rec, 1 AS seq, split_part(p_name, ' ', 1) AS w, p_name FROM {part} UNION ALL SELECT p_partkey, 2, split_part(p_name, ' ', 2), p_name FROM {part}) x LEFT JOIN {phrases} y ON x.w = y.phrase)""")
+    SELECT doc, rec, seq, CASE WHEN rec % 9 = 5 THEN 999999 ELSE phrase_id END AS phrase_id, CASE WHEN rec % 9 = 5 THEN CAST(NULL AS STRING) WHEN phrase_id IS NULL THEN w END AS literal, seq < 2 AS space, expected FROM (
+      SELECT x.doc, rec, seq, w, phrase_id, length(p_name) + CASE WHEN rec % 7 = 0 THEN 2 WHEN rec % 5 = 0 THEN -1 ELSE 1 END AS expected
+      FROM (SELECT CAST(p_partkey % 3 AS STRING) AS doc, p_partkey AS rec, 1 AS seq, split_part(p_name, ' ', 1) AS w, p_name FROM {part}
+            UNION ALL SELECT CAST(p_partkey % 3 AS STRING), p_partkey, 2, split_part(p_name, ' ', 2), p_name FROM {part}) x LEFT JOIN {phrases} y ON x.doc = y.doc AND x.w = y.phrase)""")
 
 
 @query("expand_phrases", """
-    SELECT rec, substring(f, 1, greatest(e, 0)) AS text, CASE WHEN m THEN 'missing phrase' WHEN length(f) < e THEN 'short' WHEN length(f) > e THEN 'long' ELSE 'ok' END AS status FROM (
-      SELECT rec, string_agg(concat(coalesce(literal, phrase, ''), CASE WHEN space THEN ' ' ELSE '' END), '' ORDER BY seq) AS f, max(expected) AS e, bool_or(literal IS NULL AND phrase IS NULL) AS m
-      FROM phrase_tokens t LEFT JOIN phrases p ON t.phrase_id = p.phrase_id GROUP BY rec)""")
+    SELECT doc, rec, substring(f, 1, greatest(e, 0)) AS text, CASE WHEN m THEN 'missing phrase' WHEN length(f) < e THEN 'short' WHEN length(f) > e THEN 'long' ELSE 'ok' END AS status FROM (
+      SELECT t.doc, rec, string_agg(concat(coalesce(literal, phrase, ''), CASE WHEN space THEN ' ' ELSE '' END), '' ORDER BY seq) AS f, max(expected) AS e, bool_or(literal IS NULL AND phrase IS NULL) AS m
+      FROM phrase_tokens t LEFT JOIN phrases p ON t.doc = p.doc AND t.phrase_id = p.phrase_id GROUP BY t.doc, rec)""")
 def _(t: Tables):
-    return T.expand_phrases(t("phrase_tokens"), t("phrases"), ["rec"])
+    return T.expand_phrases(t("phrase_tokens"), t("phrases"), ["doc", "rec"])
 
 
 view("cells", "SELECT 'parts' AS doc, p_partkey AS cell_id, CASE WHEN p_partkey < 4 THEN CAST(NULL AS BIGINT) ELSE CAST(floor(p_partkey / 4) AS BIGINT) END AS parent_id, CASE p_size % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'picture' WHEN 2 THEN 'window' ELSE 'display' END AS kind FROM {part} WHERE p_partkey > 0")

@@ -15,11 +15,10 @@ def duck_hash(name: str) -> str:
     return f"CAST(CASE WHEN {name} = '' THEN 1 ELSE (SELECT CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END FROM (SELECT {h} AS u)) END AS INT)"
 
 
+# only ids are put in order; texts are joined to their places
 view("topics", """
-    SELECT source AS doc, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS topic_index,
-           CAST(12 + 64 * (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS BIGINT) AS topic_pos,
-           substring(split_part(text, chr(10), 1), 1, 80) AS title, text AS plain_text, lang, doc_id
-    FROM {documents}""")
+    SELECT d.source AS doc, n.topic_index, CAST(12 + 64 * n.topic_index AS BIGINT) AS topic_pos, split_part(d.text, chr(10), 1) AS title, d.text AS plain_text, d.lang, d.doc_id
+    FROM {documents} d JOIN (SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS topic_index FROM {documents}) n ON d.doc_id = n.doc_id""")
 view("docs", "SELECT source AS doc, min(concat('Manual ', source)) AS title, CAST(count(*) AS BIGINT) AS n_topics FROM {documents} GROUP BY source")
 
 _TYPE = "CASE WHEN line = 0 THEN 2 WHEN line % 7 = 0 THEN 35 WHEN line % 11 = 0 THEN 34 ELSE 32 END"
@@ -73,6 +72,7 @@ view("browse", """
            CAST((conv_id + turn) % 300 AS INT) AS back_number, CASE WHEN turn % 2 = 0 THEN CAST(NULL AS INT) ELSE CAST((conv_id + 2 * turn) % 300 AS INT) END AS fore_number
     FROM {conversations}""")
 view("fonts", "SELECT CAST(p_partkey % 20 AS STRING) AS doc, CAST(p_partkey AS INT) AS font_index, CAST(p_partkey % 12 AS INT) AS face_index, CASE p_size % 6 WHEN 0 THEN 'Symbol' WHEN 1 THEN ' MS Gothic ' WHEN 2 THEN 'Gulim' WHEN 3 THEN 'SimSun' WHEN 4 THEN 'MingLiU' ELSE p_brand END AS face_name, p_size * 10 AS twips, 400 + 300 * (p_size % 2) AS weight, p_size % 8 AS flags FROM {part}")
+view("descriptors", "SELECT doc, font_index, face_name, twips, weight, flags, CAST(font_index % 5 AS INT) AS family, CAST(font_index % 256 AS INT) AS red, CAST(font_index * 7 % 256 AS INT) AS green, CAST(font_index % 2 * 255 AS INT) AS blue, CASE font_index % 6 WHEN 1 THEN 177 WHEN 2 THEN 178 WHEN 3 THEN 204 ELSE CAST(NULL AS INT) END AS charset FROM {fonts}")
 view("charsets", "SELECT CAST(s_suppkey % 20 AS STRING) AS doc, CAST(s_suppkey % 9 AS INT) AS face_index, min(CAST(CASE WHEN s_nationkey % 4 = 0 THEN 1 ELSE 160 + s_nationkey END AS INT)) AS charset FROM {supplier} GROUP BY 1, 2", "SELECT CAST(s_suppkey % 20 AS STRING) AS doc, CAST(s_suppkey % 9 AS INT) AS face_index, min(CAST(CASE WHEN s_nationkey % 4 = 0 THEN 1 ELSE 160 + s_nationkey END AS INT)) AS charset FROM supplier GROUP BY 1, 2")
 view("locales", "SELECT CAST(n_nationkey AS STRING) AS doc, CASE n_nationkey % 9 WHEN 0 THEN 1028 WHEN 1 THEN 3098 WHEN 2 THEN 2074 WHEN 3 THEN 1025 WHEN 4 THEN 1049 WHEN 5 THEN 1032 WHEN 6 THEN 1041 WHEN 7 THEN 1066 ELSE CAST(NULL AS INT) END AS locale FROM {nation}")
 view("headers", """

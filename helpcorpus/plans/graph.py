@@ -13,9 +13,13 @@ from ..operators import profile as P
 from ..operators import sessions as N
 from ..operators import topics as T
 from ..streaming import sessions as ST
+from ..operators.contents import contents_hierarchy, contents_paths
+from ..operators.keywords import merge_keyword_index
+from ..operators.resolve import physical_neighbors
 from .assembly import _ASSEMBLED, asof, contexts
 from .bindings import duck_hash
-from .registry import Tables, query, view
+from .indexing import PATHS, entries, reached
+from .registry import SQL, Tables, query, view
 
 _A = r"(<a href=\"[^\"]*\">.*?</a>)".replace('\\"', '"')
 
@@ -102,13 +106,24 @@ def _(t: Tables):
 
 
 view("nation_docs", "SELECT concat('n', CAST(n_nationkey AS STRING)) AS doc, n_nationkey AS k FROM {nation}")
-view("nation_refs", "SELECT doc, 1 AS rank, concat('N', CAST((k * 7 + 3) % 25 AS STRING)) AS help_file FROM {nation_docs} UNION ALL SELECT doc, 2, concat('n', CAST((k * 5 + 1) % 25 AS STRING)) FROM {nation_docs} UNION ALL SELECT doc, 3, CASE k % 3 WHEN 0 THEN '/abs.hlp' WHEN 1 THEN 'gone.hlp' ELSE concat(chr(92), chr(92), 'srv') END FROM {nation_docs}")
-view("nation_seeds", "SELECT doc FROM {nation_docs} WHERE k % 6 = 0")
+# document k names 2k, 2k + 1, itself and one file that may not or cannot be opened, so a root reaches a tree
+view("tree_docs", "SELECT concat('c', CAST(c_custkey AS STRING)) AS doc, CAST(c_custkey AS BIGINT) AS k FROM {customer} WHERE c_custkey > 0")
+view("tree_refs", """SELECT doc, 1 AS rank, concat('C', CAST(k * 2 AS STRING)) AS help_file, 2 * k AS to_k FROM {tree_docs} UNION ALL SELECT doc, 2, upper(doc), NULL FROM {tree_docs} UNION ALL SELECT doc, 3, concat('c', CAST(k * 2 + 1 AS STRING)), 2 * k + 1 FROM {tree_docs}
+    UNION ALL SELECT doc, 4, CASE k % 3 WHEN 0 THEN '/abs.hlp' WHEN 1 THEN 'gone.hlp' ELSE concat(chr(92), chr(92), 'srv') END, NULL FROM {tree_docs}""")
+view("tree_seeds", "SELECT doc, k FROM {tree_docs} WHERE k % 50 = 1")
 
 
-@query("linked_file_closure", "WITH RECURSIVE walk AS (SELECT doc AS root, doc, 0 AS hop FROM nation_seeds UNION SELECT w.root, d.doc, w.hop + 1 FROM walk w JOIN nation_refs r ON r.doc = w.doc JOIN nation_docs d ON d.doc = lower(r.help_file) WHERE w.hop < 25) SELECT root, doc, CAST(min(hop) AS INT) AS hop FROM walk GROUP BY root, doc")
+@query("linked_file_closure", """WITH RECURSIVE walk AS (SELECT s.doc AS root, s.doc, s.k, 0 AS hop, CAST([] AS INT[]) AS place FROM tree_seeds s
+      UNION ALL SELECT w.root, d.doc, d.k, w.hop + 1, list_append(w.place, r.rank) FROM walk w JOIN tree_refs r ON r.doc = w.doc JOIN tree_docs d ON d.k = r.to_k),
+    n AS (SELECT *, CAST(row_number() OVER (PARTITION BY root ORDER BY hop, place) AS INT) AS rank FROM walk),
+    named AS (SELECT n.root, r.help_file, r.to_k, d.doc FROM n JOIN tree_refs r ON r.doc = n.doc LEFT JOIN tree_docs d ON d.k = r.to_k WHERE n.rank <= 32 AND r.rank <> 2)
+    SELECT root, doc, hop, rank, NULL AS warning FROM n WHERE rank <= 32
+    UNION ALL SELECT DISTINCT root, lower(help_file), NULL, NULL, CASE WHEN starts_with(help_file, '/') OR starts_with(help_file, chr(92)) THEN 'skipped: not a relative path' ELSE 'skipped: cannot be opened' END FROM named WHERE doc IS NULL
+    UNION ALL SELECT DISTINCT m.root, m.doc, NULL, NULL, 'skipped: over the limit' FROM named m JOIN n ON n.root = m.root AND n.doc = m.doc WHERE n.rank > 32""")
 def _(t: Tables):
-    return L.linked_file_closure(t("nation_seeds"), t("nation_refs"), t("nation_docs").select("doc"))[0].select("root", "doc", "hop")
+    reached, warnings = L.linked_file_closure(t("tree_seeds").select("doc"), t("tree_refs").select("doc", "rank", "help_file"), t("tree_docs").select("doc"))
+    named = warnings.select("root", F.lower("help_file").alias("doc"), F.lit(None).cast("int").alias("hop"), F.lit(None).cast("int").alias("rank"), "warning").distinct()
+    return reached.withColumn("warning", F.lit(None).cast("string")).select(named.columns).unionByName(named)
 
 
 view("catalog_links", "SELECT doc, s_ord AS ord, CASE WHEN s_ord % 2 = 0 THEN 'search' ELSE 'index' END AS kind, help_file FROM (SELECT concat('n', CAST(s_nationkey AS STRING)) AS doc, s_suppkey AS s_ord, CASE s_suppkey % 5 WHEN 0 THEN '/x' ELSE concat('N', CAST(s_suppkey % 40 AS STRING)) END AS help_file FROM {supplier})")
@@ -127,8 +142,8 @@ def _(t: Tables):
     return L.destination_tooltips(t("edges"), t("page_bodies")).select("src", "seq", "tooltip")
 
 
-view("rects", "SELECT CAST(p_partkey AS BIGINT) AS rect_id, CAST(p_partkey AS BIGINT) AS ord, CAST(p_size * 10 AS BIGINT) AS x, CAST(p_partkey % 400 AS BIGINT) AS y, CAST(25 AS BIGINT) AS w, CAST(15 AS BIGINT) AS h, CAST(p_size % 7 * 100 AS BIGINT) AS source_w, CAST(300 AS BIGINT) AS source_h, CAST(p_partkey % 500 AS BIGINT) AS target_w, CAST(7 AS BIGINT) AS target_h FROM {part}")
-view("points", "SELECT event_id AS point_id, event_id * 7 % 500 AS px, event_id * 13 % 400 AS py FROM {events}")
+view("rects", "SELECT CAST(p_partkey % 3 AS STRING) AS doc, CAST(p_partkey % 2 AS INT) AS picture, CAST(p_partkey AS BIGINT) AS rect_id, CAST(p_partkey AS BIGINT) AS ord, CAST(p_size * 10 AS BIGINT) AS x, CAST(p_partkey % 400 AS BIGINT) AS y, CAST(CASE WHEN p_partkey % 50 = 0 THEN 390 WHEN p_partkey % 49 = 0 THEN 0 ELSE 25 END AS BIGINT) AS w, CAST(15 + p_partkey % 97 AS BIGINT) AS h, CAST(p_size % 7 * 100 AS BIGINT) AS source_w, CAST(300 AS BIGINT) AS source_h, CAST(p_partkey % 500 AS BIGINT) AS target_w, CAST(7 AS BIGINT) AS target_h FROM {part}")
+view("points", "SELECT CAST(event_id % 3 AS STRING) AS doc, CAST(event_id % 2 AS INT) AS picture, event_id AS point_id, event_id * 7 % 500 AS px, event_id * 13 % 400 AS py FROM {events}")
 
 
 @query("scale_picture_hotspots", "SELECT rect_id, x * target_w // greatest(source_w, 1) AS sx, y * target_h // greatest(source_h, 1) AS sy, greatest(w * target_w // greatest(source_w, 1), 1) AS sw, greatest(h * target_h // greatest(source_h, 1), 1) AS sh FROM rects")
@@ -136,9 +151,9 @@ def _(t: Tables):
     return L.scale_picture_hotspots(t("rects")).select("rect_id", "sx", "sy", "sw", "sh")
 
 
-@query("hit_test", "SELECT point_id, arg_max(rect_id, ord) AS rect_id FROM points LEFT JOIN rects ON px >= x AND px < x + w AND py >= y AND py < y + h GROUP BY point_id")
+@query("hit_test", "SELECT point_id, arg_max(rect_id, ord) AS rect_id FROM points LEFT JOIN rects ON points.doc = rects.doc AND points.picture = rects.picture AND px >= x AND px < x + w AND py >= y AND py < y + h GROUP BY point_id")
 def _(t: Tables):
-    return L.hit_test(t("points"), t("rects"))
+    return L.hit_test(t("points"), t("rects"), ["doc", "picture"])
 
 
 view("picture_spots", "SELECT 'pages' AS doc, ord AS spot_id, CASE WHEN ord % 5 = 0 THEN 'About()' END AS macro, CASE WHEN ord % 3 = 1 THEN concat(name, 'x') ELSE name END AS name, CASE WHEN ord % 4 = 2 THEN 'steps' END AS win_name FROM {context_names}")
@@ -149,10 +164,10 @@ def _(t: Tables):
     return L.resolve_picture_hotspots(t("picture_spots"), contexts(t)).select("spot_id", "kind", "topic_offset", "warning")
 
 
-view("pictures", "SELECT CAST(l_orderkey % 20 AS STRING) AS doc, l_orderkey AS topic, CASE WHEN l_partkey % 50 = 7 THEN NULL ELSE l_partkey % 50 END AS picture_index FROM {lineitem}")
+view("pictures", "SELECT CAST(l_orderkey % 20 AS STRING) AS doc, l_orderkey AS topic, CASE l_partkey % 50 WHEN 7 THEN 'embedded' WHEN 8 THEN 'unsupported' ELSE 'indexed' END AS source, CASE WHEN l_partkey % 50 = 7 THEN NULL ELSE l_partkey % 50 END AS picture_index FROM {lineitem}")
 
 
-@query("picture_usage", "SELECT doc, picture_index, count(*) AS n_uses, count(DISTINCT topic) AS n_topics FROM pictures WHERE picture_index IS NOT NULL GROUP BY ALL")
+@query("picture_usage", "SELECT doc, source, CASE source WHEN 'indexed' THEN picture_index END AS picture_index, count(*) AS n_uses, count(DISTINCT topic) AS n_topics FROM pictures GROUP BY ALL")
 def _(t: Tables):
     return L.picture_usage(t("pictures"))
 
@@ -182,7 +197,12 @@ _FITS = "coalesce(signature = arg_types AND (canonical <> 'SetPopupColor' OR len
 view("policy_duck", "SELECT 1", f"SELECT doc, origin, call_no, name, args, canonical, CASE WHEN {_FITS} THEN 'ALLOW' ELSE 'BLOCK' END AS verdict, CASE WHEN {_FITS} THEN NULL WHEN canonical IS NULL THEN 'UnknownOperation' WHEN signature IS NOT NULL THEN 'InvalidArguments' ELSE block END AS reason FROM calls LEFT JOIN dictionary_duck ON spelling = lower(trim(name))")
 
 
-@query("macro_calls")
+_MACROS = "CAST(user_id % 20 AS STRING) AS doc, CAST(event_id AS STRING) AS origin"
+# what each of the twelve programs above says, call by call
+_CALLS = [(0, 0, "'jc'", "SSI", "'a.hlp|main|16'"), (1, 0, "'About'", "", "''"), (1, 1, "'BACK'", "", "''"), (2, 0, "'EF'", "S", "'cmd.exe'"), (3, 0, "'JI'", "SS", "'dir/x.hlp>steps|topic'"), (4, 0, "'Unknown'", "II", "'1|-2'"), (5, 0, "'SPC'", "III", "'1|2|300'"), (6, 0, "'IfThen'", "CC", "'IsMark(m)|Back()'"), (8, 0, "'JumpContents'", "SS", "'`q''|main'"), (10, 0, "'PC'", "SI", "'|7'"), (10, 1, "'RR'", "SSS", "'d|f|s'"), (11, 0, "'AL'", "S", "concat('k', CAST(event_id AS STRING))")]
+
+
+@query("macro_calls", " UNION ALL ".join(f"SELECT {_MACROS}, {no} AS call_no, {name} AS name, '{types}' AS arg_types, {args} AS args, CAST(NULL AS INT) AS error_offset, CAST(NULL AS STRING) AS error FROM events WHERE event_id % 12 = {n}" for n, no, name, types, args in _CALLS) + f" UNION ALL SELECT {_MACROS}, NULL, NULL, NULL, NULL, 5, 'unexpected end' FROM events WHERE event_id % 12 = 7")
 def _(t: Tables):
     return M.macro_calls(t("macros")).withColumn("args", F.array_join("args", "|"))
 
@@ -216,12 +236,24 @@ view("opens", "SELECT usr, ts, event_id, location AS doc FROM {nav_events} WHERE
 view("bookmark_rows", "SELECT event_id AS ord, CASE WHEN event_id % 10 = 3 THEN NULL ELSE concat('mark', chr(9), CAST(event_id AS STRING)) END AS label, CASE WHEN event_id % 13 = 2 THEN NULL ELSE concat('dir', chr(92), CAST(event_id % 5 AS STRING), '.hlp') END AS path, CAST(event_id % 7 AS BIGINT) AS topic, CASE WHEN event_id % 2 = 0 THEN NULL ELSE CAST(event_id % 3 AS BIGINT) END AS at_offset, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'main' END AS win FROM {events} WHERE event_type = 'purchase'")
 
 
-@query("replay_history")
+_NEW, _BACK, _FORWARD = "o.action = 'visit' AND o.location IS DISTINCT FROM w.cur", "o.action = 'back' AND len(w.b) > 0", "o.action = 'forward' AND len(w.f) > 0"
+_HISTORY = f"""WITH RECURSIVE o AS (SELECT usr, event_id, action, location, row_number() OVER (PARTITION BY usr ORDER BY ts, event_id) AS rn FROM nav_events WHERE usr IS NOT NULL),
+    w AS (SELECT DISTINCT usr, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS STRING) AS cur, CAST([] AS STRING[]) AS b, CAST([] AS STRING[]) AS f FROM o
+      UNION ALL SELECT o.usr, o.rn, o.event_id, CASE WHEN {_NEW} THEN o.location WHEN {_BACK} THEN w.b[-1] WHEN {_FORWARD} THEN w.f[-1] ELSE w.cur END,
+        CASE WHEN ({_NEW} OR {_FORWARD}) AND w.cur IS NOT NULL THEN list_append(w.b, w.cur)[-256:] WHEN {_BACK} THEN w.b[1:len(w.b) - 1] ELSE w.b END,
+        CASE WHEN {_NEW} THEN [] WHEN {_BACK} AND w.cur IS NOT NULL THEN list_append(w.f, w.cur)[-256:] WHEN {_FORWARD} THEN w.f[1:len(w.f) - 1] ELSE w.f END
+      FROM w JOIN o ON o.usr = w.usr AND o.rn = w.rn + 1)"""
+_REPLAYED = _HISTORY + " SELECT usr, event_id, cur AS current, CAST(len(b) AS INT) AS back_depth, CAST(len(f) AS INT) AS forward_depth FROM w WHERE rn > 0"
+
+
+@query("replay_history", _REPLAYED)
 def _(t: Tables):
     return N.replay_history(t("nav_events"))
 
 
-@query("history_listing")
+@query("history_listing", _HISTORY + """, z AS (SELECT usr, arg_max(struct_pack(cur := cur, b := b, f := f), rn) AS s FROM w GROUP BY usr),
+    l AS (SELECT usr, list_concat(list_concat(list_transform(s.b, lambda x: ['←', x]), CASE WHEN s.cur IS NULL THEN [] ELSE [['•', s.cur]] END), list_transform(list_reverse(s.f), lambda x: ['→', x])) AS p FROM z)
+    SELECT usr, CAST(ord AS INT) AS ord, x[1] AS marker, x[2] AS location FROM (SELECT usr, unnest(range(len(p))) AS ord, unnest(p) AS x FROM l)""")
 def _(t: Tables):
     return N.history_listing(t("nav_events"))
 
@@ -271,7 +303,7 @@ def _(t: Tables):
     return d.join(last, ["usr", "batch"]).select("usr", "rank", "doc")
 
 
-@query("stream_history")
+@query("stream_history", _REPLAYED)
 def _(t: Tables):
     return _streamed(t, ST.stream_history, "usr is not null").drop("batch")
 
@@ -287,24 +319,68 @@ def _(t: Tables):
     return P.stream_totals(P.stream_inventory(t("streams")))
 
 
-@query("corpus_summary", "SELECT d.doc, coalesce(a, 0) AS n_topics, coalesce(b, 0) AS n_records, coalesce(c, 0) AS n_keywords FROM docs d LEFT JOIN (SELECT doc, count(*) AS a FROM topics GROUP BY doc) x ON x.doc = d.doc LEFT JOIN (SELECT doc, count(*) AS b FROM records GROUP BY doc) y ON y.doc = d.doc LEFT JOIN (SELECT doc, count(*) AS c FROM keywords GROUP BY doc) z ON z.doc = d.doc")
+SUMMARY = {"topics": "topics", "records": "records", "keywords": "keywords", "windows": "windows", "contexts": "context_names", "map_entries": "context_map", "topic_ids": "topic_ids", "default_windows": "default_windows", "number_entries": "topic_map", "faces": "faces", "descriptors": "fonts", "blocks": "blocks", "phrases": "phrases"}
+view("faces", "SELECT DISTINCT doc, face_name FROM {fonts}")
+view("summary_docs", "SELECT doc FROM {docs} UNION SELECT doc FROM {fonts} UNION SELECT doc FROM {windows}")
+_SUMMARY = f"SELECT d.doc, {', '.join(f'coalesce({k}.n, 0) AS n_{k}' for k in SUMMARY)} FROM summary_docs d {' '.join(f'LEFT JOIN (SELECT doc, count(*) AS n FROM {v} GROUP BY doc) {k} ON {k}.doc = d.doc' for k, v in SUMMARY.items())}"
+
+
+def summary(t: Tables):
+    return P.corpus_summary(t("summary_docs"), **{k: t(v) for k, v in SUMMARY.items()})
+
+
+@query("corpus_summary", _SUMMARY)
 def _(t: Tables):
-    return P.corpus_summary(t("docs"), topics=t("topics"), records=t("records"), keywords=t("keywords"))
+    return summary(t)
+
+
+view("profiled_topics", "SELECT pos AS topic_id, CASE WHEN modern AND back >= 0 THEN back END AS browse_back, CASE WHEN modern AND fore >= 0 THEN fore END AS browse_forward, CASE WHEN NOT modern AND back >= 12 THEN back END AS previous, CASE WHEN NOT modern AND fore >= 12 THEN fore END AS following FROM {topic_headers}")
+view("topic_macros", "SELECT CAST(l_orderkey AS BIGINT) AS topic_id, concat('Back()', l_returnflag) AS text FROM {lineitem} WHERE l_linenumber % 3 = 1")
+_OF = lambda r: f"count(*) FILTER (WHERE region = '{r}')"
+_TOPIC_PROFILE = f"""SELECT p.topic_id, p.browse_back, p.browse_forward, p.previous, p.following, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('n_fixed', 'n_scrolling', 'n_other', 'n_visible', 'n_macros'))} FROM profiled_topics p
+    LEFT JOIN (SELECT topic_id, {_OF('non_scrolling')} AS n_fixed, {_OF('scrolling')} AS n_scrolling, {_OF('unclassified')} AS n_other, count(*) FILTER (WHERE text <> '') AS n_visible FROM {_ASSEMBLED} GROUP BY topic_id) r ON r.topic_id = p.topic_id
+    LEFT JOIN (SELECT topic_id, count(*) AS n_macros FROM topic_macros GROUP BY topic_id) m ON m.topic_id = p.topic_id"""
+
+
+def topic_profile(t: Tables):
+    topics = T.normalize_topic_metadata(t("topic_headers")).select(F.col("pos").alias("topic_id"), "browse_back", "browse_forward", "previous", "following")
+    return P.topic_record_profile(topics, T.record_text(T.classify_region(t("region_records"))), t("topic_macros"), ["topic_id"])
+
+
+@query("topic_record_profile", _TOPIC_PROFILE)
+def _(t: Tables):
+    return topic_profile(t)
+
+
+_KINDS = "CASE WHEN seq % 11 = 10 THEN 'picture' WHEN seq % 13 = 12 THEN 'break' ELSE 'text' END AS kind, seq % 7 = 3 AS hotspot"
+view("inlines",
+    f"SELECT doc, pos, paragraph, {_KINDS} FROM (SELECT doc, pos, paragraph, posexplode(split(p, ' ')) AS (seq, word) FROM (SELECT doc, pos, posexplode(split(text, '[.] ')) AS (paragraph, p) FROM {{records}} WHERE text <> ''))",
+    f"SELECT doc, pos, paragraph, {_KINDS} FROM (SELECT doc, pos, paragraph, unnest(range(len(string_split(p, ' ')))) AS seq FROM (SELECT doc, pos, unnest(range(len(string_split(text, '. ')))) AS paragraph, unnest(string_split(text, '. ')) AS p FROM records WHERE text <> ''))")
+_CONTENT = """SELECT r.doc, r.pos, r.record_type = 35 AS is_table, coalesce(n_paragraphs, 0) AS n_paragraphs, coalesce(n_runs, 0) AS n_runs, coalesce(n_hotspots, 0) AS n_hotspots, coalesce(n_pictures, 0) AS n_pictures, coalesce(n_issues, 0) AS n_issues FROM records r
+    LEFT JOIN (SELECT doc, pos, count(DISTINCT paragraph) AS n_paragraphs, count(*) FILTER (WHERE kind = 'text') AS n_runs, count(*) FILTER (WHERE kind = 'text' AND hotspot) AS n_hotspots, count(*) FILTER (WHERE kind = 'picture') AS n_pictures FROM inlines GROUP BY doc, pos) i ON i.doc = r.doc AND i.pos = r.pos
+    LEFT JOIN (SELECT doc, pos, count(*) AS n_issues FROM decode_issues GROUP BY doc, pos) w ON w.doc = r.doc AND w.pos = r.pos"""
 
 
-@query("topic_record_profile", f"SELECT topic_id, count(*) FILTER (WHERE region = 'non_scrolling') AS n_fixed, count(*) FILTER (WHERE region = 'scrolling') AS n_scrolling, count(*) FILTER (WHERE region = 'unclassified') AS n_other, count(*) FILTER (WHERE text <> '') AS n_visible FROM {_ASSEMBLED} GROUP BY topic_id")
+def content_profile(t: Tables):
+    return P.record_content_profile(t("records"), t("inlines"), t("decode_issues"), ["doc", "pos"])
+
+
+@query("record_content_profile", _CONTENT)
 def _(t: Tables):
-    return P.topic_record_profile(T.record_text(T.classify_region(t("region_records"))), ["topic_id"])
+    return content_profile(t)
+
 
+_FONT = "SELECT doc, font_index, trim(face_name) AS face, CAST(greatest(1, least(4096, (abs(twips) + 10) // 20)) AS INT) AS points, weight, flags & 1 <> 0 AS italic, flags & 2 <> 0 AS underline, flags & 4 <> 0 AS strike, printf('#%02X%02X%02X', red, green, blue) AS colour, coalesce(family = 1, FALSE) AS fixed_pitch, coalesce(charset IN (177, 178), FALSE) AS rtl FROM descriptors"
 
-@query("record_content_profile", "SELECT doc, pos, CAST(len(list_filter(string_split(text, '. '), lambda p: trim(p) <> '')) AS BIGINT) AS n_paragraphs, record_type = 35 AS is_table, CAST(len(regexp_extract_all(text, '[^ ]+')) AS BIGINT) AS n_runs, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS n_numbers FROM records")
+
+@query("font_rows", _FONT)
 def _(t: Tables):
-    return P.record_content_profile(t("records")).select("doc", "pos", "n_paragraphs", "is_table", "n_runs", "n_numbers")
+    return P.font_rows(t("descriptors"))
 
 
-@query("font_census", "SELECT trim(face_name) AS face, CAST(greatest(1, least(4096, (abs(twips) + 10) // 20)) AS INT) AS points, count(*) AS n, count(*) FILTER (WHERE weight >= 700) AS n_bold, count(*) FILTER (WHERE flags & 1 <> 0) AS n_italic, count(*) FILTER (WHERE flags & 2 <> 0) AS n_underlined FROM fonts GROUP BY ALL")
+@query("font_census", f"SELECT face, points, count(DISTINCT colour) AS n_colours, count(*) AS n, count(*) FILTER (WHERE weight >= 700) AS n_bold, {', '.join(f'count(*) FILTER (WHERE {c}) AS n_{c}' for c in ('italic', 'underline', 'strike', 'fixed_pitch', 'rtl'))} FROM ({_FONT}) GROUP BY face, points")
 def _(t: Tables):
-    return P.font_census(t("fonts"))
+    return P.font_census(t("descriptors"))
 
 
 view("blocks", "SELECT CAST(l_orderkey % 20 AS STRING) AS doc, l_linenumber % 2 = 0 AS compressed, CAST(floor(l_quantity) AS BIGINT) * 40 AS physical, CAST(floor(l_extendedprice) AS BIGINT) % 4096 AS decoded FROM {lineitem}")
@@ -370,41 +446,86 @@ def _(t: Tables):
     return t("pages").select("page_id", F.md5(js_string(F.col("html"))).alias("digest"))
 
 
-view("runs", "SELECT doc, topic_index, pos, CASE WHEN is_header THEN 'non_scrolling' ELSE 'scrolling' END AS region, text FROM {records}")
-_INNER = lambda r: f"coalesce(string_agg(concat('<p>', {_escaped('text')}, '</p>'), '' ORDER BY pos) FILTER (WHERE region = '{r}'), '')"
+view("runs", "SELECT doc, topic_index, pos, CASE WHEN is_header THEN 'non_scrolling' ELSE 'scrolling' END AS region, text, CASE WHEN pos % 5 = 2 THEN CAST(pos % 99 AS INT) END AS action_id, CASE WHEN pos % 10 = 2 THEN concat('go \"', substring(text, 1, 5), '\" <', CAST(pos AS STRING), '>') END AS tooltip FROM {records}")
+_PIECE = f"""concat('<p>', CASE WHEN action_id IS NOT NULL THEN concat('<a class="hlp-link" href="#" data-action="', CAST(action_id AS STRING), '"', CASE WHEN tooltip IS NOT NULL THEN concat(' title="', {_escaped('tooltip')}, '"') ELSE '' END, '>', {_escaped('text')}, '</a>') ELSE {_escaped('text')} END, '</p>')"""
+_INNER = lambda r: f"coalesce(string_agg({_PIECE}, '' ORDER BY pos) FILTER (WHERE region = '{r}'), '')"
+_HTML = f"SELECT doc, topic_index, concat('<section id=\"hlp-topic-', doc, '-', CAST(topic_index AS STRING), '\"><header>', {_INNER('non_scrolling')}, '</header>', {_INNER('scrolling')}, '</section>') AS html FROM runs GROUP BY doc, topic_index"
 
 
-@query("render_topic_html", f"SELECT doc, topic_index, md5(concat('<section id=\"hlp-topic-', doc, '-', CAST(topic_index AS STRING), '\"><header>', {_INNER('non_scrolling')}, '</header>', {_INNER('scrolling')}, '</section>')) AS digest FROM runs GROUP BY doc, topic_index")
+@query("render_topic_html", f"SELECT doc, topic_index, md5(html) AS digest FROM ({_HTML})")
 def _(t: Tables):
     return X.render_topic_html(t("runs")).select("doc", "topic_index", F.md5("html").alias("digest"))
 
 
-view("actions", "SELECT doc, CAST(seq % 2 AS INT) AS source_rank, CAST(src AS BIGINT) * 1000 + seq AS seq, CASE WHEN seq % 3 = 0 THEN 'noop' ELSE 'open' END AS kind, dst_topic AS topic_index, CASE WHEN popup THEN 'popup' ELSE 'main' END AS mode, concat('a <b> & \"', win_name, '\"') AS message FROM {edges} WHERE win_name IS NOT NULL")
+@query("program_ops", f"SELECT doc, origin, concat('[', string_agg(concat('[', array_to_string(list_transform(list_concat([canonical], args), lambda a: {_js('a')}), ','), ']'), ',' ORDER BY call_no), ']') AS ops FROM policy_duck WHERE verdict = 'ALLOW' GROUP BY doc, origin")
+def _(t: Tables):
+    return X.program_ops(M.macro_policy(t("calls")), ["doc", "origin"])
 
 
-@query("action_registry", f"SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY source_rank, seq) - 1 AS INT) AS action_id, CASE WHEN kind = 'open' THEN concat('{{kind:\"open\",topic:', CAST(topic_index AS STRING), ',mode:\"', mode, '\"}}') ELSE concat('{{kind:\"noop\",message:', {_js('message')}, '}}') END AS json FROM actions")
+view("actions", """SELECT concat('site', CAST(src % 8 AS STRING)) AS doc, CAST(seq % 2 AS INT) AS source_rank, CAST(src AS BIGINT) * 1000 + seq AS seq, CASE seq % 4 WHEN 0 THEN 'noop' WHEN 1 THEN 'program' ELSE 'open' END AS kind, concat('d"', dst_doc) AS dst_doc, dst_topic AS topic_index,
+    CASE WHEN popup THEN 'popup' ELSE 'main' END AS mode, win_name, CASE WHEN src % 3 = 0 THEN '[["Back"]]' END AS ops, concat('a <b> & "', coalesce(win_name, 'none'), '"') AS message FROM {edges}""")
+_ACTIONS = f"""SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY source_rank, seq) - 1 AS INT) AS action_id, CASE kind WHEN 'open' THEN concat('{{kind:"open",doc:', {_js('dst_doc')}, ',topic:', CAST(topic_index AS STRING), ',mode:"', mode, '"', CASE WHEN win_name IS NOT NULL THEN concat(',window:', {_js('win_name')}) ELSE '' END, '}}')
+    WHEN 'program' THEN concat('{{kind:"program",ops:', coalesce(ops, '[]'), '}}') ELSE concat('{{kind:"noop",message:', {_js('message')}, '}}') END AS json FROM actions"""
+
+
+@query("action_registry", _ACTIONS)
 def _(t: Tables):
     return X.action_registry(t("actions"))
 
 
+_NEXT = "SELECT doc, topic_index, lag(topic_index) OVER w AS browse_prev, lead(topic_index) OVER w AS browse_next FROM topics WINDOW w AS (PARTITION BY doc ORDER BY topic_index)"
+_MANIFEST = f"""SELECT t.doc, t.topic_index, concat('{{topic:', CAST(t.topic_index AS STRING), ',title:', {_js("CASE WHEN trim(title) = '' THEN concat('Topic ', CAST(t.topic_index + 1 AS STRING)) ELSE title END")}, ',template:', {_js("concat('hlp-topic-', t.doc, '-', CAST(t.topic_index AS STRING))")},
+    ',browsePrev:', coalesce(CAST(browse_prev AS STRING), 'null'), ',browseNext:', coalesce(CAST(browse_next AS STRING), 'null'), '}}') AS json FROM topics t JOIN ({_NEXT}) b ON b.doc = t.doc AND b.topic_index = t.topic_index"""
+
+
+def manifest(t: Tables):
+    return X.topic_manifest(t("topics"), physical_neighbors(t("topics")).withColumnsRenamed({"prev": "browse_prev", "next": "browse_next"}))
+
+
+@query("topic_manifest", _MANIFEST)
+def _(t: Tables):
+    return manifest(t)
+
+
 @query("documents_manifest", "SELECT doc, concat('{\"name\":\"', doc, '\",\"title\":\"', title, '\",\"topics\":', CAST(n_topics AS STRING), '}') AS json FROM docs")
 def _(t: Tables):
     return X.documents_manifest(t("docs"), t("topics"))
 
 
-@query("export_site", "SELECT (SELECT count(*) FROM docs) AS document_count, (SELECT count(*) FROM topics) AS topic_count, (SELECT count(*) FROM topic_warnings) AS warning_count")
+_PARTS = {
+    "topics": f"SELECT html AS v FROM ({_HTML})", "manifest": f"SELECT json AS v FROM ({_MANIFEST})", "actions": f"SELECT json AS v FROM ({_ACTIONS})", "documents": f"SELECT json AS v FROM ({SQL['documents_manifest']})",
+    "contents": "SELECT to_json(struct_pack(line := line, path := path)) AS v FROM paths_duck", "index": "SELECT to_json(struct_pack(key := key, keyword := keyword, n := n)) AS v FROM merged_duck",
+}
+view("paths_duck", "SELECT 1", PATHS)
+
+
+@query("export_site", " UNION ALL ".join([f"SELECT '{k}' AS part, count(*) AS n, CAST(coalesce(sum(length(v)), 0) AS BIGINT) AS n_chars FROM ({v})" for k, v in _PARTS.items()]
+    + ["SELECT 'document_count', (SELECT count(*) FROM docs), 0", "SELECT 'topic_count', (SELECT count(*) FROM topics), 0", "SELECT 'warning_count', (SELECT count(*) FROM topic_warnings), 0"]))
 def _(t: Tables):
-    return X.export_site(scratch_path(t.spark), t("docs"), t("topics"), X.render_topic_html(t("runs")), t("topic_warnings"))
+    """The report, and the number of lines and characters that the written parts have when they are read again."""
+    path = scratch_path(t.spark)
+    report = X.export_site(path, t("docs"), t("topics"), t("topic_warnings"), X.render_topic_html(t("runs")), manifest(t), X.action_registry(t("actions")), contents_paths(contents_hierarchy(entries(t))), merge_keyword_index(reached(t)))
+    parts = X.read_site(t.spark, path).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).cast("long").alias("n_chars"))
+    counts = report.select(F.inline(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("n"), F.lit(0).cast("long").alias("n_chars")) for c in report.columns])))
+    return parts.unionByName(counts)
 
 
-_DUMP = "SELECT doc, 'streams' AS section, file_offset AS seq, concat(name, ' used ', CAST(used AS STRING)) AS line FROM streams UNION ALL SELECT doc, 'topics', CAST(topic_index AS BIGINT), concat('topic ', CAST(topic_index AS STRING)) FROM topics"
+_LINE = lambda *parts: "concat(" + ", ".join(f"'{p}'" if i % 2 == 0 else f"CAST({p} AS STRING)" for i, p in enumerate(parts)) + ")"
+_LINES = {
+    "streams": _LINE("streams: ", "n_streams", " used=", "used", " reserved=", "reserved", " violations=", "n_violations"), "summary": _LINE(*[x for k in SUMMARY for x in (f" {k}: ", f"n_{k}")]),
+    "topics": _LINE("Topic ", "topic_id", ": back=", "coalesce(browse_back, -1)", " forward=", "coalesce(browse_forward, -1)", " fixed=", "n_fixed", " scrolling=", "n_scrolling", " other=", "n_other", " macros=", "n_macros"),
+    "records": _LINE("  record ", "pos", ": paragraphs=", "n_paragraphs", " table=", "is_table", " text-runs=", "n_runs", " hotspots=", "n_hotspots", " pictures=", "n_pictures", " issues=", "n_issues"),
+}
 
 
-@query("write_dump", f"SELECT doc, line FROM ({_DUMP})")
+@query("write_dump", f"SELECT doc, {_LINES['streams']} AS line FROM ({SQL['stream_inventory']}) UNION ALL SELECT doc, {_LINES['summary']} FROM ({_SUMMARY}) UNION ALL SELECT 'pages', {_LINES['topics']} FROM ({_TOPIC_PROFILE}) UNION ALL SELECT doc, {_LINES['records']} FROM ({_CONTENT})")
 def _(t: Tables):
-    """To text files by document and back."""
+    """The inventory, summary and profiles as lines, to text files by document and back."""
     path = scratch_path(t.spark)
-    s = t("streams").select("doc", F.col("file_offset").alias("seq"), F.concat("name", F.lit(" used "), F.col("used").cast("string")).alias("line"))
-    p = t("topics").select("doc", F.col("topic_index").alias("seq"), F.concat(F.lit("topic "), F.col("topic_index").cast("string")).alias("line"))
-    X.write_dump(path, X.dump_lines(streams=s, topics=p))
+    line = lambda d, name, doc, seq: d.select(doc.alias("doc"), seq.alias("seq"), F.expr(_LINES[name]).alias("line"))
+    sections = {
+        "streams": line(P.stream_totals(P.stream_inventory(t("streams"))), "streams", F.col("doc"), F.lit(0)), "summary": line(summary(t), "summary", F.col("doc"), F.lit(0)),
+        "topics": line(topic_profile(t), "topics", F.lit("pages"), F.col("topic_id")), "records": line(content_profile(t), "records", F.col("doc"), F.col("pos")),
+    }
+    X.write_dump(path, X.dump_lines(**sections))
     return t.spark.read.schema("value string, doc string").text(path).select(F.col("value").alias("line"), "doc")

@@ -169,7 +169,12 @@ def _(t: Tables):
     return C.contents_hierarchy(entries(t)).withColumn("line", F.col("line").cast("long"))
 
 
-@query("contents_paths", f"WITH RECURSIVE nodes AS (SELECT doc, line, title, {_PARENT} AS parent_line FROM entries_duck c), walk AS (SELECT doc, line, title AS path FROM nodes WHERE parent_line IS NULL UNION ALL SELECT n.doc, n.line, concat(w.path, ' / ', n.title) FROM walk w JOIN nodes n ON n.doc = w.doc AND n.parent_line = w.line) SELECT doc, line, path FROM walk")
+# the parent of each row by a self-contained subquery, then titles from the root
+view("nodes_duck", "SELECT 1", f"SELECT doc, line, title, {_PARENT} AS parent_line FROM entries_duck c")
+PATHS = "WITH RECURSIVE walk AS (SELECT doc, line, title AS path FROM nodes_duck WHERE parent_line IS NULL UNION ALL SELECT n.doc, n.line, concat(w.path, ' / ', n.title) FROM walk w JOIN nodes_duck n ON n.doc = w.doc AND n.parent_line = w.line) SELECT doc, line, path FROM walk"
+
+
+@query("contents_paths", PATHS)
 def _(t: Tables):
     return C.contents_paths(C.contents_hierarchy(entries(t)))
 

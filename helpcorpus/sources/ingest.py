@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,6 +79,19 @@ def read_contents_lines(lines: DataFrame) -> DataFrame:
     return ok.select("doc", "line", F.col("level").cast("int").alias("level"), "title", "context", "help_file", "win")
 
 
+def contents_meta(lines: DataFrame) -> DataFrame:
+    """(doc, title, base_file, base_window): what the last :Title and :Base lines with a value say."""
+    d = _parsed(lines).where("value <> '' and directive in ('title', 'base')").groupBy("doc").agg(*[F.max_by(F.when(F.col("directive") == k, F.col("value")), F.when(F.col("directive") == k, F.col("line"))).alias(k) for k in ("title", "base")])
+    window = F.when(F.instr("base", ">") > 0, F.trim(F.expr("substring(base, instr(base, '>') + 1)")))
+    return d.select("doc", "title", F.trim(F.substring_index("base", ">", 1)).alias("base_file"), window.alias("base_window"))
+
+
+def contents_link_rows(lines: DataFrame) -> DataFrame:
+    """Rows for contents_links (doc, ord, directive, key, text) from the :Index and :Link lines."""
+    d = _parsed(lines).where("value <> '' and directive in ('index', 'link')")
+    return d.select("doc", F.col("line").alias("ord"), F.when(F.col("directive") == "index", "index").otherwise("search").alias("directive"), F.lit(None).cast("int").alias("key"), F.col("value").alias("text"))
+
+
 def contents_warnings(lines: DataFrame) -> DataFrame:
     """(doc, line, warning): lines that say something unusable. A line without digits is dropped silently."""
     d = _parsed(lines)
@@ -89,13 +105,25 @@ def contents_warnings(lines: DataFrame) -> DataFrame:
 
 
 def decode_text(content: Column, charset: Column) -> Column:
-    """Bytes as text by charset byte (needs spark.sql.legacy.javaCharsets=true)."""
+    """Bytes as text by charset byte; a byte that names none, and none at all, stand for windows-1252. Needs java_charsets."""
     text = F.decode(content, "windows-1252")
     for byte, name in CHARSETS.items():
         text = F.when(charset == byte, F.decode(content, name)).otherwise(text)
     return text
 
 
+@contextmanager
+def java_charsets(spark: SparkSession) -> Iterator[None]:
+    """Within it frames may be made that decode by any charset of Java; the session's own setting is put back."""
+    key = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _lookup(x: Column, table: dict[int, tuple]) -> Column:
     found = F.lit(None).cast("int")
     for charset, keys in table.items():

@@ -7,12 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.sessions import RECENT, History
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-LISTS = StructType([StructField("current", StringType()), StructField("back", StringType()), StructField("forward", StringType())])
 
 
 def with_state_store(spark: SparkSession) -> None:
@@ -20,19 +18,30 @@ def with_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A user's rows of one micro-batch by time; how many they are is bounded by what a trigger reads."""
+    return pd.concat(rows).sort_values(["ts", "event_id"])
+
+
+def _given(x) -> str | None:
+    return None if pd.isna(x) else x
+
+
 class RecentProcessor(StatefulProcessor):
-    """The last few documents of a user: a list that an opening moves its document to the front of."""
+    """The last few documents of a user: a list that an opening moves its document to the front of. Rows without a document open none."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("recent", "docs string")
+        self.docs = handle.getListState("recent", "doc string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        docs = self.state.get()[0].split("\x1f") if self.state.exists() else []
-        for r in pd.concat(rows).sort_values(["ts", "event_id"]).itertuples():
-            d = r.location.lower()
-            docs = [d, *[x for x in docs if x != d]][:RECENT]
-        self.state.update(("\x1f".join(docs),))
-        yield pd.DataFrame({"usr": key[0], "rank": range(1, len(docs) + 1), "doc": docs})
+        docs = [x[0] for x in self.docs.get()]
+        for location in map(_given, _in_order(rows)["location"]):
+            if location is not None:
+                d = location.lower()
+                docs = [d, *[x for x in docs if x != d]][:RECENT]
+        if docs:
+            self.docs.put([(d,) for d in docs])
+            yield pd.DataFrame({"usr": key[0], "rank": range(1, len(docs) + 1), "doc": pd.Series(docs, dtype=object)})
 
     def close(self) -> None:
         pass
@@ -42,20 +51,26 @@ class HistoryProcessor(StatefulProcessor):
     """A user's history; events are in order within a micro-batch, later ones are applied when they arrive."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("history", LISTS)
+        self.current = handle.getValueState("current", "location string")
+        self.back = handle.getListState("back", "location string")
+        self.forward = handle.getListState("forward", "location string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        cut = lambda s: s.split("\x1f") if s else []
-        h = History()
-        if self.state.exists():
-            current, back, forward = self.state.get()
-            h = History(current, cut(back), cut(forward))
+        current = self.current.get()[0] if self.current.exists() else None
+        h = History(current, [x[0] for x in self.back.get()], [x[0] for x in self.forward.get()])
         out = []
-        for r in pd.concat(rows).sort_values(["ts", "event_id"]).itertuples():
-            h.apply(r.action, r.location)
-            out.append((key[0], r.event_id, h.current, len(h.back), len(h.forward)))
-        self.state.update((h.current, "\x1f".join(h.back), "\x1f".join(h.forward)))
-        yield pd.DataFrame(out, columns=["usr", "event_id", "current", "back_depth", "forward_depth"])
+        for event_id, action, location in _in_order(rows)[["event_id", "action", "location"]].itertuples(index=False):
+            h.apply(action, _given(location))
+            out.append((key[0], event_id, h.current, len(h.back), len(h.forward)))
+        if h.current is not None:
+            self.current.update((h.current,))
+        for state, places in ((self.back, h.back), (self.forward, h.forward)):
+            if places:
+                state.put([(x,) for x in places])
+            else:
+                state.clear()
+        # places as objects: a column of nulls alone has no type of its own
+        yield pd.DataFrame(out, columns=["usr", "event_id", "current", "back_depth", "forward_depth"]).astype({"current": object})
 
     def close(self) -> None:
         pass

@@ -59,8 +59,7 @@ def test_search(spark):
     assert run("adapter setup") == [(2, 310, "Body")] and run("  ") == [] and run("%") == []
     q = spark.createDataFrame([(i, x) for i, x in enumerate(["install", "adapter setup", " ", None, "networking"])], "query_id int, query string")
     want = [(0, 1, 0, 950), (0, 2, 1, 407), (1, 1, 2, 310), (4, 1, 2, 1000)]
-    for block in (4096, 2):
-        assert sorted((r.query_id, r.rank, r.topic_index, r.score) for r in S.search_batch(t, q, 10, block).collect()) == want
+    assert sorted((r.query_id, r.rank, r.topic_index, r.score) for r in S.search_batch(t, q, 10).collect()) == want
     assert [r.label for r in S.search_corpus(t, "install").collect()] == ["[Keyword] Installing — d", "[Text] Other — d"]
 
 
@@ -74,6 +73,23 @@ def test_keywords(spark):
 CONTENTS = [":Title Manual", ":Base manual.hlp>main", ":Index Glossary=terms.hlp", ":Link more.hlp", "1 Book", "2 Topic=start", "2 External=install@setup.hlp>steps"]
 
 
+def test_search_batch_finds_every_match(spark):
+    """Against the single search of each query: parts of words, short terms, terms nowhere, terms over blanks, odd characters."""
+    rng = random.Random(11)
+    piece = lambda n: "".join(rng.choice("abcé𝄞 ") for _ in range(n))
+    rows = [("d", i, piece(8), piece(rng.choice([0, 20, 60]))) for i in range(60)]
+    kw = spark.createDataFrame([("d", i, [piece(5).strip() or "a", "cab"]) for i in range(0, 60, 3)], "doc string, topic_index int, folded_keywords array<string>")
+    t = S.build_search_table(spark.createDataFrame(rows, "doc string, topic_index int, title string, plain_text string"), kw).cache()
+    queries = list(enumerate([piece(rng.choice([1, 2, 3, 4, 6, 9])) for _ in range(25)] + ["cab", "zzz", "a zzz", "b  a", "  ", None]))
+    got = {}
+    for r in S.search_batch(t, spark.createDataFrame(queries, "query_id int, query string"), 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.topic_index, r.score, r.kind))
+    for i, q in queries:
+        want = [(r.rank, r.topic_index, r.score, r.kind) for r in S.search_topics_in(t, q, 5).orderBy("rank").collect()] if q else []
+        assert sorted(got.get(i, [])) == want, q
+    assert len(got) > 10
+
+
 def lines(spark, texts):
     return spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "doc string, line long, text string")
 
@@ -89,6 +105,9 @@ def test_contents(spark, tmp_path):
     assert [r.path for r in C.contents_paths(h).orderBy("line").collect()] == ["Book", "Book / Topic", "Book / External"]
     (tmp_path / "a.cnt").write_text("\r\n".join(CONTENTS))
     assert I.read_contents_lines(I.contents_lines(spark, str(tmp_path / "a.cnt"))).count() == 3
+    more = lines(spark, [":Title One", ":title Two", ":Title", ":Base b.hlp > main", ":Index = x.hlp", ":index Terms=c:\\h\\t.hlp", ":LINK y.hlp", ":Link"])
+    assert [tuple(r) for r in I.contents_meta(more).collect()] == [("d", "Two", "b.hlp", "main")]
+    assert [tuple(r)[2:] for r in C.contents_links(I.contents_link_rows(more)).orderBy("ord").collect()] == [("index", None, "x.hlp"), ("index", "Terms", "t.hlp"), ("search", None, "y.hlp")]
 
 
 def test_hierarchy_is_a_stack(spark, monkeypatch):
@@ -157,9 +176,53 @@ def test_links(spark):
     assert sorted((r.doc, r.warning) for r in warnings.collect()) == [("c", "skipped: not a relative path"), ("d", "skipped: cannot be opened")]
     reached, warnings = L.linked_file_closure(seeds, refs, docs, 2)
     assert sorted(r.doc for r in reached.collect()) == ["a", "b"] and "skipped: over the limit" in {r.warning for r in warnings.collect()}
-    rects = spark.createDataFrame([(1, 1, 0, 0, 10, 10), (2, 2, 5, 5, 300, 10)], "rect_id long, ord long, x long, y long, w long, h long")
-    points = spark.createDataFrame([(1, 0, 0), (2, 9, 9), (3, 10, 4), (4, 304, 14), (5, 305, 14)], "point_id long, px long, py long")
-    assert {r.point_id: r.rect_id for r in L.hit_test(points, rects).collect()} == {1: 1, 2: 2, 3: None, 4: 2, 5: None}
+
+
+def test_hit(spark):
+    rng = random.Random(7)
+    rects = [("d", p, i, i, rng.randrange(-50, 900), rng.randrange(-50, 900), rng.choice([0, 1, 20, 64, 65, 700, 100_000]), rng.choice([1, 30, 64, 300])) for i in range(60) for p in (0, 1)]
+    points = [(3 * i + p, "d", p, rng.randrange(-60, 1000), rng.randrange(-60, 1000)) for i in range(150) for p in (0, 1, 2)]
+    got = L.hit_test(spark.createDataFrame(points, "point_id long, doc string, picture int, px long, py long"), spark.createDataFrame(rects, "doc string, picture int, rect_id long, ord long, x long, y long, w long, h long"), ["doc", "picture"])
+    want = {i: max((r[2] for r in rects if r[1] == p and r[4] <= x < r[4] + r[6] and r[5] <= y < r[5] + r[7]), default=None) for i, _, p, x, y in points}
+    assert {r.point_id: r.rect_id for r in got.collect()} == want and any(want.values())
+
+
+def test_phrases_are_a_documents_own(spark):
+    tokens = spark.createDataFrame([(d, r, 1, 1, None, False, 3) for d, r in (("a", 1), ("b", 2), ("c", 3))], "doc string, rec int, seq int, phrase_id int, literal string, space boolean, expected int")
+    phrases = spark.createDataFrame([("a", 1, "one"), ("b", 1, "two")], "doc string, phrase_id int, phrase string")
+    assert sorted(tuple(x) for x in T.expand_phrases(tokens, phrases, ["doc", "rec"]).collect()) == [("a", 1, "one", "ok"), ("b", 2, "two", "ok"), ("c", 3, "", "missing phrase")]
+
+
+def test_streams_keep_odd_places(spark, tmp_path):
+    """Null, empty and oddly named places, over two micro-batches."""
+    from pyspark.sql import functions as F
+
+    from helpcorpus.streaming.sessions import stream_history, stream_recent_documents
+
+    events = [[(1, 1, 1, "visit", "A\x1fB"), (1, 2, 2, "visit", None), (1, 3, 3, "visit", "")], [(1, 4, 4, "back", None), (1, 5, 5, "visit", "c"), (2, 6, 6, "visit", None)]]
+    for i, rows in enumerate(events):
+        spark.createDataFrame(rows, "usr long, ts long, event_id long, action string, location string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{i}"))
+    for f in (stream_recent_documents, stream_history):
+        stream = spark.readStream.schema("usr long, ts long, event_id long, action string, location string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        out = str(tmp_path / f.__name__)
+        sink = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)  # noqa: B023, E731
+        mode = "update" if f is stream_recent_documents else "append"
+        f(stream).writeStream.outputMode(mode).option("checkpointLocation", out + "-at").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+        rows = spark.read.parquet(out).collect()
+        if f is stream_recent_documents:
+            last = max(r.batch for r in rows if r.usr == 1)
+            assert [r.doc for r in sorted((r for r in rows if r.batch == last and r.usr == 1), key=lambda r: r.rank)] == ["c", "", "a\x1fb"] and not [r for r in rows if r.usr == 2]
+        else:
+            batch = replayed_places([e for rows in events for e in rows if e[0] == 1])
+            assert [(r.current, r.back_depth, r.forward_depth) for r in sorted(rows, key=lambda r: r.event_id) if r.usr == 1] == batch
+
+
+def replayed_places(events):
+    h, out = N.History(), []
+    for _, _, _, action, location in events:
+        h.apply(action, location)
+        out.append((h.current, len(h.back), len(h.forward)))
+    return out
 
 
 def test_tooltips(spark):
@@ -250,7 +313,7 @@ def test_plans_push_down(spark):
     plan = plans.queries()["search_corpus"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "n_chars" not in plan
     plan = plans.queries()["search_batch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "BroadcastNestedLoopJoin" in plan
+    assert "WindowGroupLimit" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_without_llm():
