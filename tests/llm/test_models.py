@@ -149,10 +149,10 @@ def test_lm(docs, rows, none):
 def test_counts_beyond_32_bits():
     import numpy as np
 
-    from helpcorpus.llm import lm, packed
+    from helpcorpus.llm import packed
 
-    for a in (np.array([], np.int64), np.array([1, 300]), np.array([2**32 + 5, 7, 2**40])):
-        assert lm._expand(lm._squeeze(a)).tolist() == packed.unpack_counts(packed.pack_counts(a)).tolist() == a.tolist()
+    for a in (np.array([], np.int64), np.array([1, 300]), np.array([2**32 + 5, 7, 2**40] * 20)):
+        assert packed.unpack_counts(packed.pack_counts(a)).tolist() == a.tolist()
 
 
 def test_packed_totals(spark):
@@ -173,7 +173,7 @@ def test_packed_totals(spark):
             rows = []
             for c, counts in asked.items():
                 keys = np.array(sorted(counts), np.uint64)
-                checks = np.array([k % 1000 + int(clash and c == "c0" and k == odd) for k in keys.tolist()], np.uint32)
+                checks = np.array([k % 1000 + int(clash and c == "c0" and k == odd) for k in keys.tolist()], np.uint16)
                 for b in packed.requests(3, c, keys, np.array([counts[k] for k in sorted(counts)]), n_parts, checks):
                     rows += b.to_pylist()
             assert len(rows) <= sum(map(len, asked.values())) and all(0 <= r["part"] < n_parts for r in rows)
@@ -271,6 +271,94 @@ def test_field_splits_joined_cards():
     assert base_spans("") == ([], [])
 
 
+def test_field_against_all_segmentations():
+    import random
+
+    from helpcorpus.llm import pii
+
+    rng = random.Random(12)
+    for _ in range(300):
+        zone = "".join(rng.choice(["1", "2.3", "4567890", "a", "B", "@", ".", " ", "-", "+", "(", "é"]) for _ in range(rng.randrange(1, 8)))
+        cuts, segments = pii._lattice(zone, " ", "", 5)
+        field = pii.Field({f: rng.uniform(-1, 1) for s in segments for f in s[3] if rng.random() < 0.8}, 5)
+        value = lambda s: sum(field.weights.get(f, -1.0) for f in s[3])  # noqa: B023, E731
+
+        def ways(i):
+            if i == len(cuts) - 1:  # noqa: B023
+                yield 0.0, []
+            for s in segments:  # noqa: B023
+                if s[0] == i:
+                    for v, rest in ways(s[1]):
+                        yield v + value(s), ([] if s[2] == "O" else [(cuts[s[0]], cuts[s[1]], s[2])]) + rest  # noqa: B023
+
+        every = list(ways(0))
+        best = field.best(zone, " ", "")
+        assert abs(max(v for v, _ in every) - max(v for v, spans in every if spans == best)) < 1e-9
+
+
+def test_personal_data_scans_are_linear():
+    import base64
+    import random
+    import time
+
+    from helpcorpus.llm import pii
+
+    rng = random.Random(3)
+    for _ in range(5000):
+        t = "".join(rng.choice("ab1.9@ -+(%2\n") for _ in range(rng.randrange(40)))
+        assert base_spans(t)[0] == brute_spans(t)
+    for t in ("1 " + "a" * 10**6, base64.b64encode(rng.randbytes(750_000)).decode(), "日" * 10**6 + "1", "1" * 10**6, "x" * 500_000 + "@" + "y" * 500_000):
+        began = time.process_time()
+        base_spans(t)
+        for _, zone, left, right in pii.zones(t):
+            Field({}).best(zone, left, right)
+        assert time.process_time() - began < 3
+    assert base_spans("0" * 5000 + "1.2.3.4")[0] == [(0, 5007, "ip")]
+
+
+def test_label_model_by_hand():
+    """The label model with loops over rows, voters and votes."""
+    import random
+
+    import numpy as np
+
+    from helpcorpus.llm.weak import label_model
+
+    rng = random.Random(7)
+    truth = [rng.random() < 0.4 for _ in range(60)]
+    votes = [[(1 if y else -1) * (1 if rng.random() < a else -1) if rng.random() < 0.8 else 0 for a in (0.9, 0.7, 0.6)] for y in truth]
+    votes = [[*v, v[1]] for v in votes]  # the last voter repeats the second
+    start = [0.8 if y else 0.3 for y in truth]
+    post, weight = list(start), [1.0] * 4
+    for r in range(30):
+        theta = [[[0.5 + sum((p if c else 1 - p) for p, v in zip(post, votes, strict=True) if v[m] == x) for x in (-1, 0, 1)] for c in (0, 1)] for m in range(4)]
+        theta = [[[x / sum(t) for x in t] for t in both] for both in theta]
+        if r % 5 == 4:
+            mean = [[t[2] - t[0] for t in both] for both in theta]
+            rest = [[v[m] - (1 - p) * mean[m][0] - p * mean[m][1] for m in range(4)] for p, v in zip(post, votes, strict=True)]
+            sd = [math.sqrt(sum(x[m] ** 2 for x in rest) / 60) for m in range(4)]
+            weight = [1 / max(1.0, sum(abs(sum(x[m] * x[k] for x in rest) / 60 / (sd[m] * sd[k])) for k in range(4))) for m in range(4)]
+        prior = (sum(post) + 0.5) / 61
+        odds = [math.log(prior / (1 - prior)) + sum(weight[m] * math.log(theta[m][1][v[m] + 1] / theta[m][0][v[m] + 1]) for m in range(4)) for v in votes]
+        post = [1 / (1 + math.exp(-max(-30, min(30, z)))) for z in odds]
+    got, _, weights = label_model(np.array(votes), np.array(start))
+    assert np.allclose(got, post, atol=1e-5) and np.allclose(weights, weight, atol=1e-5)
+    assert weights[1] < weights[0] and sum((p > 0.5) == y for p, y in zip(got, truth, strict=True)) >= 50
+
+
+def test_sparse_logistic():
+    import numpy as np
+
+    from helpcorpus.llm.weak import logistic, sparse_logistic
+
+    rng = np.random.default_rng(3)
+    x = (rng.random((200, 12)) < 0.3).astype(np.uint8)
+    y = 1 / (1 + np.exp(-(x @ rng.normal(size=12) * 2 - 0.5)))
+    rows = [(np.flatnonzero(r), np.ones(int(r.sum()))) for r in x]
+    (w, b), (v, c) = logistic(x, y, 0.5), sparse_logistic(rows, 12, y, 0.5)
+    assert np.allclose(w, v, atol=1e-2) and abs(b - c) < 1e-2 and sparse_logistic([], 4, y)[0].tolist() == [0] * 4
+
+
 @pytest.mark.parametrize("operator,label,least", [(toxicity, "toxic", 0.93), (quality, "quality", 0.93)])
 def test_classifiers(spark, docs, rows, none, operator, label, least):
     d, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
