@@ -4,10 +4,10 @@ Before any text is read, the vocabulary is examined: no piece may hold a charact
 mark, so no merge crosses from a word to the space after it, and the units `marks + rest` of a text
 are merged independently. Each vocabulary string that is such a unit is then encoded by itself; those
 that come back as one token are the shortcut. Units in the shortcut count one; only the others are
-merged, each distinct one once per task as long as the memo has room.
+merged, each distinct one once per task as long as the memo, which is bounded by characters, has room.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from .common import stable
 
 MARK = "▁"
-#: Distinct units whose counts a task remembers; beyond it the memo is begun anew.
-MEMO = 300_000
+#: Characters of the distinct units whose counts a task remembers; beyond it the memo is begun anew. A unit longer than LONG is merged each time.
+MEMO, LONG = 3_000_000, 200
+#: Characters of texts that are cut into units at once.
+SLICE = 4_000_000
 
 
 class PieceUnits:
@@ -39,6 +41,7 @@ class PieceUnits:
             raise ValueError("the word mark alone is no piece")
         self.single.add("")  # one space at a text's end: its mark alone
         self.memo: dict[str, int] = {}
+        self.held = 0
 
     def units(self, text: str) -> list[str]:
         """The text's units: it is read as if one space stood before it."""
@@ -57,12 +60,31 @@ class PieceUnits:
 
     def counts(self, texts: list[str]) -> list[int]:
         cut = [self.units(t) for t in texts]
-        if len(self.memo) > MEMO:
+        if self.held > MEMO:
             self.memo.clear()
+            self.held = 0
         single, memo = self.single, self.memo
         new = list({u for units in cut for u in units if u not in single and u not in memo})
         memo.update(zip(new, map(len, self.sp.encode(new)), strict=True))
-        return [sum([1 if u in single else memo[u] for u in units]) for units in cut]
+        self.held += sum(map(len, new))
+        out = [sum([1 if u in single else memo[u] for u in units]) for units in cut]
+        for u in [u for u in new if len(u) > LONG]:
+            del memo[u]
+            self.held -= len(u)
+        return out
+
+
+def sliced(texts: Iterable[str], most: int = SLICE) -> Iterator[list[str]]:
+    """Texts in lists of so many characters, or of one longer text."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
 
 
 @lru_cache(maxsize=2)
@@ -73,14 +95,15 @@ def counter(path: str) -> PieceUnits:
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    Null text counts as empty, which has no bytes and no tokens; repeated rows are counted each; an
-    empty table gives an empty result. Other columns of docs are not read.
+    Null text counts as empty, which has no bytes and no tokens; a very long text is counted whole;
+    repeated rows are counted each; an empty table gives an empty result. Other columns of docs are
+    not read, so none clashes.
     """
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = counter(model_path)
         for texts in batches:
-            yield pd.Series(c.counts(texts.tolist()), dtype="int64")
+            yield pd.Series([n for part in sliced(texts) for n in c.counts(part)], dtype="int64")
 
     n = F.pandas_udf(count, "long")("text")
     d = stable(docs, id_col, text_col)

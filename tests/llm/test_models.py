@@ -227,6 +227,23 @@ def test_tokens(docs, rows, none, spark):
     assert token_counts(none, path).count() == 0
 
 
+def test_token_memo_is_bounded(monkeypatch):
+    import random
+
+    import public_tokenizers
+
+    from helpcorpus.llm import tokencount
+
+    rng = random.Random(8)
+    monkeypatch.setattr(tokencount, "MEMO", 500)
+    c = tokencount.PieceUnits(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [" ".join("".join(rng.choice("abcdé日") for _ in range(rng.choice([3, 9, 300]))) for _ in range(rng.randrange(20))) for _ in range(60)]
+    want = [len(c.sp.encode(t)) for t in texts]
+    assert [n for part in tokencount.sliced(texts, 2000) for n in c.counts(part)] == want
+    assert all(len(u) <= tokencount.LONG for u in c.memo) and c.held == sum(map(len, c.memo)) < 500 + 4000
+    assert list(tokencount.sliced(["a" * 9, "b", "c"], 3)) == [["a" * 9], ["b", "c"]] and list(tokencount.sliced([])) == []
+
+
 PERSONAL = [(1, "Mail nt.26@mail6.example.com or x@y, call +1 (017) 555-7713 from 10.0.0.256 and 97.51.17.173.", "s"), (2, "Card 4111 1111 1111 1111, 4111111111111112 and 7536784127813050 4845168114407329 too", "s"), (3, "Version 2.0 of 1999, no data é 1.2.3.4", "s"), (4, None, "s"), (5, "", "s"), (6, "token = \"9233a8ecf7c5b09fe5949719b6b82bc439e9329b\" 12", "s")]
 
 
