@@ -254,3 +254,42 @@ def test_contamination_with_repeated_shingles(spark):
     best = {i: {j: most_similar(t, item) for j, item in bench} for i, t, _ in d}
     want = {i: sorted(j for j, (a, b) in best[i].items() if 100 * a >= 80 * b) for i in best}
     assert {r.doc_id: r["items"] for r in out} == want and all(want.values())
+
+
+def sliding(d, w, m):
+    """As most_similar, for shingle lists of a document and an item, counting as the window moves."""
+    want, n, size = Counter(w), min(len(w), len(d)), len(w)
+    seen, both, best = Counter(), 0, 0.0
+    for i, g in enumerate(d):
+        seen[g] += 1
+        both += seen[g] <= want[g]
+        if i >= size:
+            out = d[i - size]
+            both -= seen[out] <= want[out]
+            seen[out] -= 1
+        if i >= n - 1:
+            best = max(best, both / (n + size - both))
+    return best
+
+
+def test_contamination_of_the_given_tables(spark):
+    """Recall and precision against every window of every document, for all items that share a shingle with it."""
+    from helpcorpus.llm.common import read
+
+    docs, bench = (read(spark, "/root/testdata/sf0.01", t) for t in ("documents", "benchmark"))
+    split = lambda t: [w for w in re.sub(r"[\W_]+", " ", (t or "").lower()).split(" ") if w]
+    items, at = {}, defaultdict(set)
+    for r in bench.collect():
+        w = split(r.text)
+        m = min(5, len(w))
+        items[r.item_id] = m, [tuple(w[i : i + m]) for i in range(len(w) - m + 1)]
+        for g in items[r.item_id][1]:
+            at[g].add(r.item_id)
+    want = {}
+    for r in docs.collect():
+        w, found = split(r.text), []
+        for m in {m for m, _ in items.values()}:
+            d = [tuple(w[i : i + m]) for i in range(len(w) - m + 1)]
+            found += [i for i in set().union(*[at[g] for g in set(d) if g in at]) if items[i][0] == m and sliding(d, items[i][1], m) >= 0.8 - 1e-12]
+        want[r.doc_id] = sorted(found)
+    assert {r.doc_id: r["items"] for r in contamination(docs, bench).collect()} == want and sum(map(bool, want.values())) > 5
