@@ -18,13 +18,12 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import crc_of, stable, tokens, written
+from .common import bucketed, crc_of, stable, tokens, written
 
 #: Folds of crc32(id); documents of fold HELD are not learned from.
 FOLDS, HELD = 7, 2
@@ -44,18 +43,6 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
-def _squeeze(a: np.ndarray) -> bytes:
-    """Numbers of 4 bytes, or 8 where one needs them, compressed with their low bytes together, then the next."""
-    width = 4 if not len(a) or int(a.max()) < 1 << 32 else 8
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
-
-
-def _expand(b: bytes) -> np.ndarray:
-    width = b[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
-
-
 def _chunks(salt: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents as ids of words, frequent ones first, and the ids' places in a sorted vocabulary of hashes."""
     part, made, schema = TaskContext.get().partitionId(), 0, _arrow(_CHUNK)
@@ -73,14 +60,14 @@ def _chunks(salt: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             lens.append(len(w) + 1)
         h = np.fromiter((xxhash.xxh64_intdigest(w, salt) for w in index), np.uint64, len(index))
         vocab, first, rank = np.unique(h, return_index=True, return_inverse=True)
-        checks = np.fromiter((xxhash.xxh32_intdigest(w, salt) for w in index), np.uint32, len(index))[first]
+        checks = np.fromiter((xxhash.xxh32_intdigest(w, salt) for w in index), np.uint32, len(index))[first].astype("<u2")
         ids, made = rank[np.array(local, np.int64)], made + 1
         ranks = np.argsort(-np.bincount(ids, minlength=len(vocab)), kind="stable")
         order = np.empty_like(ranks)
         order[ranks] = np.arange(len(ranks))
         ids = order[ids]
         doc_id = [i for i, _ in docs]
-        out = [f"{part}-{made}", doc_id, [crc_of(i) % FOLDS == HELD for i in doc_id], lens, _squeeze(ids), _squeeze(ranks), packed.pack(vocab), checks.tobytes(), len(h) - len(vocab)]
+        out = [f"{part}-{made}", doc_id, [crc_of(i) % FOLDS == HELD for i in doc_id], lens, packed.pack_counts(ids), packed.pack_counts(ranks), packed.pack(vocab), checks.tobytes(), len(h) - len(vocab)]
         docs = []
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, schema.types, strict=True)], schema=schema)
 
@@ -100,7 +87,7 @@ def _chunks(salt: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def _parts(salt: int, row: dict) -> tuple:
     """Ids in the sorted vocabulary, the vocabulary, sorted bigram keys, each token's bigram, whether a token is learned from."""
-    ids, lens, vocab = _expand(row["ranks"])[_expand(row["ids"])], np.array(row["lens"]), packed.unpack(row["vocab"])
+    ids, lens, vocab = packed.unpack_counts(row["ranks"])[packed.unpack_counts(row["ids"])], np.array(row["lens"]), packed.unpack(row["vocab"])
     end = np.searchsorted(vocab, np.uint64(xxhash.xxh64_intdigest(END, salt)))
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
@@ -121,7 +108,7 @@ def _asked(salt: int, n_parts: int):
         for b in batches:
             for row in b.to_pylist():
                 ids, vocab, keys, pair, learn = _parts(salt, row)
-                yield from packed.requests(UNIGRAM, row["chunk"], vocab, np.bincount(ids[learn], minlength=len(vocab)), n_parts, np.frombuffer(row["checks"], "<u4"))
+                yield from packed.requests(UNIGRAM, row["chunk"], vocab, np.bincount(ids[learn], minlength=len(vocab)), n_parts, np.frombuffer(row["checks"], "<u2"))
                 yield from packed.requests(BIGRAM, row["chunk"], keys, np.bincount(pair[learn], minlength=len(keys)), n_parts)
 
     return run
@@ -137,7 +124,7 @@ def _resolve(salt: int):
         for row in chunk.to_pylist():
             _, vocab, keys, pair, _ = _parts(salt, row)
             words, pairs = packed.answered(replies, UNIGRAM, len(vocab)), packed.answered(replies, BIGRAM, len(keys))
-            out.append([row["chunk"], row["doc_id"], row["held"], row["lens"], row["ids"], _squeeze(words[_expand(row["ranks"])]), _squeeze(pairs[pair]), 0, 0, row["clashes"]])
+            out.append([row["chunk"], row["doc_id"], row["held"], row["lens"], row["ids"], packed.pack_counts(words[packed.unpack_counts(row["ranks"])]), packed.pack_counts(pairs[pair]), 0, 0, row["clashes"]])
         return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(schema.types)], schema=schema)
 
     return run
@@ -145,7 +132,7 @@ def _resolve(salt: int):
 
 def _counted(row: dict) -> tuple:
     """For each token: counts of its word, of its context and of both; the ids; whether it is learned from."""
-    ids, lens, words, pairs = _expand(row["ids"]), np.array(row["lens"]), _expand(row["words"]), _expand(row["pairs"])
+    ids, lens, words, pairs = packed.unpack_counts(row["ids"]), np.array(row["lens"]), packed.unpack_counts(row["words"]), packed.unpack_counts(row["pairs"])
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     starts = np.cumsum(lens) - lens
@@ -235,13 +222,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     An empty table gives an empty result. Other columns of docs are not read, so none clashes.
 
     Words are told apart by 64 bits of hash. That no key stands for two words is checked over all
-    words with 32 further bits, and another salt is taken where one does. Bigrams have 64-bit keys.
+    words with 16 further bits, and another salt is taken where one does. Bigrams have 64-bit keys.
     """
     spark = docs.sparkSession
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     d = stable(docs, id_col, text_col)
     for salt in range(8):
-        chunks = written(d.mapInArrow(partial(_chunks, salt), _CHUNK), "snappy")
+        # laid out by chunk once, so that counts come to chunks and no chunk is shuffled
+        chunks = bucketed(d.mapInArrow(partial(_chunks, salt), _CHUNK), "chunk")
         n_tokens = chunks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0]
         if n_tokens is None:
             return spark.createDataFrame([], out)

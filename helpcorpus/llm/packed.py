@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 REQUEST = "kind int, part int, chunk string, keys binary, counts binary, checks binary"
@@ -20,46 +21,60 @@ _REQUEST = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.s
 _TOTALS = pa.schema([("chunk", pa.string()), ("kind", pa.int32()), ("part", pa.int32()), ("totals", pa.binary()), ("n_keys", pa.int64()), ("n_all", pa.int64()), ("clashes", pa.int64())])
 
 
+def planes(a: np.ndarray, width: int) -> bytes:
+    """The low bytes of numbers, then the next, ...; compressed where there are enough of them, with a first byte that says so."""
+    b = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return b"z" + zstandard.ZstdCompressor(level=1).compress(b) if len(a) > 32 else b"p" + b
+
+
+def unplaned(b: bytes, width: int) -> np.ndarray:
+    b = zstandard.ZstdDecompressor().decompress(b[1:]) if b[:1] == b"z" else b[1:]
+    wide = np.zeros((len(b) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(b, np.uint8).reshape(width, -1).T
+    return wide.view("<u8").ravel()
+
+
+def _width(a: np.ndarray) -> int:
+    return max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Sorted uint64 keys: width, first key, differences of that many bytes."""
     if not len(keys):
         return b""
     d = np.diff(keys)
-    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    width = _width(d)
+    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + planes(d, width)
 
 
 def unpack(block: bytes) -> np.ndarray:
     if not block:
         return np.empty(0, np.uint64)
-    d = np.frombuffer(block, np.uint8, offset=9).reshape(-1, block[0])
-    wide = np.zeros((len(d) + 1, 8), np.uint8)
-    wide[1:, : block[0]] = d
-    keys = wide.view("<u8").ravel()
-    keys[0] = int.from_bytes(block[1:9], "little")
-    return np.cumsum(keys, dtype=np.uint64)
+    first = np.array([int.from_bytes(block[1:9], "little")], np.uint64)
+    return np.cumsum(np.concatenate([first, unplaned(block[9:], block[0])]), dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    kind = next(k for k in ("u1", "u2", "u4", "u8") if not len(counts) or counts.max() <= np.iinfo(k).max)
-    return kind.encode() + counts.astype("<" + kind).tobytes()
+    """Counts of up to 64 bits."""
+    width = _width(counts)
+    return bytes([width]) + planes(counts, width)
 
 
 def unpack_counts(block: bytes) -> np.ndarray:
-    return np.frombuffer(block, "<" + block[:2].decode(), offset=2).astype(np.int64)
+    return unplaned(block[1:], block[0]).astype(np.int64)
 
 
 def requests(kind: int, chunk: str, keys: np.ndarray, counts: np.ndarray, n_parts: int, checks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """A chunk's distinct sorted keys and their counts in it, cut into ranges; the work follows the keys, not the ranges.
 
-    checks: 32 further bits of what each key stands for, so that keys that meet can be told apart.
+    checks: 16 further bits of what each key stands for, so that keys that meet can be told apart.
     """
     part = ((keys >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
     starts = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1))) if len(keys) else []
     cuts = [*starts, len(keys)]
     cut = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
     n = len(cut)
-    columns = [[kind] * n, [int(part[a]) for a, _ in cut], [chunk] * n, [pack(keys[a:b]) for a, b in cut], [pack_counts(counts[a:b]) for a, b in cut], [None if checks is None else checks[a:b].astype("<u4").tobytes() for a, b in cut]]
+    columns = [[kind] * n, [int(part[a]) for a, _ in cut], [chunk] * n, [pack(keys[a:b]) for a, b in cut], [pack_counts(counts[a:b]) for a, b in cut], [None if checks is None else checks[a:b].astype("<u2").tobytes() for a, b in cut]]
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _REQUEST.types, strict=True)], schema=_REQUEST)
 
 
@@ -74,7 +89,7 @@ def _merged(table: pa.Table) -> pa.Table:
     each = np.split(sums[at], np.cumsum([len(k) for k in keys])[:-1])
     clashes = 0
     if table["checks"].null_count == 0:
-        checks = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["checks"]])
+        checks = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in table["checks"]])
         clashes = int((checks[first][at] != checks).sum())
     n = len(keys)
     # the last row has a name of its own, so that no group gathers those of all ranges
