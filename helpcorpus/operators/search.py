@@ -71,40 +71,39 @@ def _trigrams(c: str):
     return F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(_TRIGRAMS), F.lit(1)))).alias("gram")
 
 
-def words_with(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, word, topics): the words of vocabulary(word, topics) that contain a term of terms(term).
-
-    A term of three characters or more is looked up by its rarest trigram; shorter ones, of which
-    there are few, are tried on each word of the vocabulary.
-    """
-    grams = vocabulary.select("word", "topics", _trigrams("word"))
-    sizes = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = terms.where(F.length("term") >= 3).select("term", _trigrams("term")).join(sizes, "gram", "left")
-    rarest = rarest.groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    long = rarest.join(grams, "gram").where(F.contains("word", F.col("term"))).select("term", "word", "topics")
-    short = terms.where(F.length("term") < 3).join(vocabulary, F.contains("word", F.col("term"))).select("term", "word", "topics")
-    return long.unionByName(short)
+def narrowest_terms(asked: DataFrame, grams: DataFrame) -> DataFrame:
+    """(query_id, term, gram): of a query's terms of three characters or more, the one whose rarest trigram is in the fewest topics; a query of shorter terms alone has its longest and no gram. grams(gram, word, topics)"""
+    sizes = grams.groupBy("gram").agg(F.sum("topics").alias("n"))
+    terms = asked.select("term").distinct().where(F.length("term") >= 3).select("term", _trigrams("term")).join(sizes, "gram", "left")
+    bounds = terms.groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    d = asked.join(bounds, "term", "left")
+    order = F.struct(F.col("least").isNull(), F.coalesce("least.n", -F.length("term")), "term")
+    return d.groupBy("query_id").agg(F.min_by(F.struct("term", "least.gram"), order).alias("x")).select("query_id", "x.*")
 
 
 def search_batch(search_topics: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, doc, topic_index, score, kind): the k best topics of each query of a table.
 
     A match needs all of a query's terms in a topic's title, keywords or body, each within one word.
-    So a query's candidates are the topics that have a word with its rarest term: terms are matched
-    with the corpus' distinct words (words_with), and words with topics by an inverted table. Only
-    candidates meet the query's text; the k best of each task are kept before the shuffle (Spark's
-    window group limit). Blank queries are dropped.
+    So a query's candidates are the topics with a word that contains its narrowest term. That term is
+    matched with the corpus' distinct words by its rarest trigram (terms of one or two characters,
+    where a query has no others, with each distinct word), and words with topics by an inverted
+    table. Only candidates meet the query's text; the k best of each task are kept before the shuffle
+    (Spark's window group limit). Blank queries are dropped.
     """
     q = cut(queries.select("query_id", fold_text(F.col("query")).alias("q")).where("q <> ''").withColumn("terms", F.split("q", " ")))
     text = F.concat_ws(" ", "folded_title", F.array_join("folded_keywords", " "), "folded_body")
     inverted = cut(search_topics.select("doc", "topic_index", F.explode(F.array_distinct(F.split(text, " "))).alias("word")).where("word <> ''"))
-    asked = q.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    found = cut(words_with(inverted.groupBy("word").agg(F.count(F.lit(1)).alias("topics")), asked.select("term").distinct()))
-    sizes = found.groupBy("term").agg(F.sum("topics").alias("topics"))
-    rarest = asked.join(sizes, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("topics", F.lit(0)), "term")).alias("term"))
-    candidates = rarest.join(found, "term").join(inverted, "word").select("query_id", "doc", "topic_index").distinct()
+    vocabulary = cut(inverted.groupBy("word").agg(F.count(F.lit(1)).alias("topics")))
+    grams = vocabulary.select("word", "topics", _trigrams("word"))
+    chosen = cut(narrowest_terms(q.select("query_id", F.explode(F.array_distinct("terms")).alias("term")), grams))
+    terms = chosen.select("term", "gram").distinct()
+    has = F.contains("word", F.col("term"))
+    words = terms.join(grams, "gram").where(has).select("term", "word").unionByName(terms.where("gram is null").join(vocabulary, has).select("term", "word"))
+    candidates = chosen.select("query_id", "term").join(words, "term").join(inverted, "word").select("query_id", "doc", "topic_index").distinct()
     s = score(F.col("q"), F.col("terms"))
-    pairs = candidates.join(search_topics, ["doc", "topic_index"]).join(q, "query_id").select("query_id", "doc", "topic_index", s.alias("score")).where("score > 0")
+    # the query comes to its candidates before the topics' texts do, which are shuffled once and not again for each candidate
+    pairs = candidates.join(q, "query_id").join(search_topics, ["doc", "topic_index"]).select("query_id", "doc", "topic_index", s.alias("score")).where("score > 0")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc", "topic_index"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc", "topic_index", "score", kind_of(F.col("score")).alias("kind"))
 
