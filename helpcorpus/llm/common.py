@@ -43,14 +43,14 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, by: str, codec: str = "snappy") -> DataFrame:
-    """written, laid out in buckets by a column: joins and groups by it need no shuffle of this side. Its name in the catalog is temporary in all but lifetime: one for each call."""
+def bucketed(df: DataFrame, by: str, codec: str = "snappy") -> tuple[DataFrame, str]:
+    """written, laid out in buckets by a column, so that joins and groups by it need no shuffle of this side; and its name in the catalog, to be dropped when it has been read."""
     spark = df.sparkSession
     name = f"helpcorpus_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     TABLES.append(path)
     df.write.option("path", path).option("compression", codec).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 #: The tables that this process has written and not cleared.

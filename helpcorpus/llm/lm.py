@@ -229,14 +229,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     d = stable(docs, id_col, text_col)
     for salt in range(8):
         # laid out by chunk once, so that counts come to chunks and no chunk is shuffled
-        chunks = bucketed(d.mapInArrow(partial(_chunks, salt), _CHUNK), "chunk")
+        chunks, name = bucketed(d.mapInArrow(partial(_chunks, salt), _CHUNK), "chunk")
         n_tokens = chunks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0]
         if n_tokens is None:
+            spark.sql(f"DROP TABLE {name}")
             return spark.createDataFrame([], out)
         # a range holds some two million bigrams
         n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_tokens / 2_000_000))
         replies = packed.totals(chunks.mapInArrow(_asked(salt, n_parts), packed.REQUEST))
         table = written(chunks.drop("checks").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_resolve(salt), _RESOLVED), "snappy")
+        spark.sql(f"DROP TABLE {name}")
         n_keys, n_all, clashes = table.agg(F.sum("n_keys"), F.sum("n_all"), F.sum("clashes")).first()
         if not clashes:
             break
