@@ -18,13 +18,17 @@ def duck_hash(name: str) -> str:
 # only ids are put in order; texts are joined to their places
 view("topics", """
     SELECT d.source AS doc, n.topic_index, CAST(12 + 64 * n.topic_index AS BIGINT) AS topic_pos, split_part(d.text, chr(10), 1) AS title, d.text AS plain_text, d.lang, d.doc_id
-    FROM {documents} d JOIN (SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS topic_index FROM {documents}) n ON d.doc_id = n.doc_id""")
+    FROM {documents} d JOIN (SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS topic_index
+    FROM {documents}) n ON d.doc_id = n.doc_id""")
 view("docs", "SELECT source AS doc, min(concat('Manual ', source)) AS title, CAST(count(*) AS BIGINT) AS n_topics FROM {documents} GROUP BY source")
 
 _TYPE = "CASE WHEN line = 0 THEN 2 WHEN line % 7 = 0 THEN 35 WHEN line % 11 = 0 THEN 34 ELSE 32 END"
 view("records",
-    f"SELECT doc, topic_index * 100000L + line AS pos, line = 0 AS is_header, {_TYPE} AS record_type, text, topic_index FROM (SELECT doc, topic_index, posexplode(split(plain_text, '\\n')) AS (line, text) FROM {{topics}})",
-    f"SELECT doc, CAST(topic_index AS BIGINT) * 100000 + line AS pos, line = 0 AS is_header, {_TYPE} AS record_type, text, topic_index FROM (SELECT doc, topic_index, unnest(string_split(plain_text, chr(10))) AS text, unnest(range(len(string_split(plain_text, chr(10))))) AS line FROM topics)")
+    f"""SELECT doc, topic_index * 100000L + line AS pos, line = 0 AS is_header, {_TYPE} AS record_type, text, topic_index
+    FROM (SELECT doc, topic_index, posexplode(split(plain_text, '\\n')) AS (line, text) FROM {{topics}})""",
+    f"""SELECT doc, CAST(topic_index AS BIGINT) * 100000 + line AS pos, line = 0 AS is_header, {_TYPE} AS record_type, text, topic_index
+    FROM (SELECT doc, topic_index, unnest(string_split(plain_text, chr(10))) AS text, unnest(range(len(string_split(plain_text, chr(10))))) AS line
+    FROM topics)""")
 
 _ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
 view("record_lengths", f"""
@@ -54,27 +58,42 @@ view("keywords",
         WHERE length(keyword) >= 4 GROUP BY doc, table_id, keyword)""")
 _STRIP = "regexp_replace(lower({}), '^[.,]+|[.,]+$', ''{})"
 _FIRST = "split_part(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ', 1)"
-view("context_names", f"SELECT 'pages' AS doc, page_id AS ord, {_STRIP.format(_FIRST, '')} AS name, 12 + 64 * page_id AS topic_offset FROM {{pages}}", f"SELECT 'pages' AS doc, page_id AS ord, {_STRIP.format(_FIRST, chr(44) + chr(39) + 'g' + chr(39))} AS name, 12 + 64 * page_id AS topic_offset FROM pages")
+view("context_names", f"SELECT 'pages' AS doc, page_id AS ord, {_STRIP.format(_FIRST, '')} AS name, 12 + 64 * page_id AS topic_offset FROM {{pages}}", f"""SELECT 'pages' AS doc, page_id AS ord, {_STRIP.format(_FIRST, chr(44) + chr(39) + 'g' + chr(39))} AS name, 12 + 64 * page_id AS topic_offset
+    FROM pages""")
 view("page_anchors", "SELECT 'pages' AS doc, 12 + 64 * page_id AS topic_offset, CAST(page_id AS INT) AS topic_index, 12 + 64 * page_id AS pos FROM {pages}")
 view("link_names",
-    f"SELECT 'pages' AS doc, CAST(page_id AS INT) AS topic_index, CAST(seq AS INT) AS seq, {_STRIP.format('href', '')} AS name, href AS anchor_text, seq % 2 = 1 AS popup FROM (SELECT page_id, posexplode(regexp_extract_all(html, '<a href=\"/([^\"]+)\"', 1)) AS (seq, href) FROM {{pages}})",
-    f"SELECT 'pages' AS doc, CAST(page_id AS INT) AS topic_index, CAST(seq AS INT) AS seq, {_STRIP.format('href', chr(44) + chr(39) + 'g' + chr(39))} AS name, href AS anchor_text, seq % 2 = 1 AS popup FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"/([^\"]+)\"', 1)) AS href, unnest(range(len(regexp_extract_all(html, '<a href=\"/([^\"]+)\"', 1)))) AS seq FROM pages)")
+    f"""SELECT 'pages' AS doc, CAST(page_id AS INT) AS topic_index, CAST(seq AS INT) AS seq, {_STRIP.format('href', '')} AS name, href AS anchor_text, seq % 2 = 1 AS popup
+    FROM (SELECT page_id, posexplode(regexp_extract_all(html, '<a href=\"/([^\"]+)\"', 1)) AS (seq, href) FROM {{pages}})""",
+    f"""SELECT 'pages' AS doc, CAST(page_id AS INT) AS topic_index, CAST(seq AS INT) AS seq, {_STRIP.format('href', chr(44) + chr(39) + 'g' + chr(39))} AS name, href AS anchor_text, seq % 2 = 1 AS popup
+    FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"/([^\"]+)\"', 1)) AS href, unnest(range(len(regexp_extract_all(html, '<a href=\"/([^\"]+)\"', 1)))) AS seq
+    FROM pages)""")
 view("context_map", "SELECT 'pages' AS doc, p_partkey AS ord, CAST(p_partkey % 300 AS INT) AS map_id, 12 + 64 * (p_partkey % 400) AS topic_offset FROM {part}")
 view("topic_ids", "SELECT 'pages' AS doc, p_partkey AS ord, 12 + 64 * (p_partkey % 500) AS topic_offset, p_name AS name FROM {part}")
 view("default_windows", "SELECT 'pages' AS doc, p_partkey AS ord, 12 + 64 * (p_partkey % 500) AS topic_offset, p_size % 5 - 1 AS win FROM {part}")
-view("windows", "SELECT 'pages' AS doc, ordinal, name, caption FROM (VALUES (0, 'main', 'Main'), (1, 'Steps', 'Step by step'), (2, 'gloss', 'Glossary'), (3, CAST(NULL AS STRING), 'Nameless'), (4, 'STEPS', 'Again')) AS w(ordinal, name, caption)")
+view("windows", """SELECT 'pages' AS doc, ordinal, name, caption
+    FROM (VALUES (0, 'main', 'Main'), (1, 'Steps', 'Step by step'), (2, 'gloss', 'Glossary'), (3, CAST(NULL AS STRING), 'Nameless'), (4, 'STEPS', 'Again')) AS w(ordinal, name, caption)""")
 view("topic_map", "SELECT 'pages' AS doc, CAST(page_id AS INT) AS ordinal, CASE WHEN page_id % 17 = 3 THEN -1 ELSE 12 + 64 * page_id END AS topic_pos FROM {pages}")
-view("window_refs", "SELECT event_id AS ref_id, 'pages' AS doc, CASE event_id % 6 WHEN 0 THEN 'MAIN' WHEN 1 THEN 'steps' WHEN 2 THEN 'nowhere' WHEN 3 THEN CAST(NULL AS STRING) ELSE 'Gloss' END AS win_name, CASE WHEN event_id % 4 = 3 THEN CAST(NULL AS INT) ELSE CAST(event_id % 7 AS INT) END AS win_number FROM {events}")
-view("text_refs", "SELECT event_id AS ref_id, 'pages' AS doc, CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN concat(' ', CAST(event_id % 300 AS STRING), ' ') WHEN 2 THEN concat('0x', lower(CAST(event_id % 90 AS STRING))) WHEN 3 THEN '99999999999' WHEN 4 THEN 'nothing' ELSE 'the' END AS ref FROM {events} UNION ALL SELECT 1000000000 + ord, doc, name FROM {context_names}")
+view("window_refs", """SELECT event_id AS ref_id, 'pages' AS doc, CASE event_id % 6 WHEN 0 THEN 'MAIN' WHEN 1 THEN 'steps' WHEN 2 THEN 'nowhere'
+    WHEN 3 THEN CAST(NULL AS STRING) ELSE 'Gloss' END AS win_name, CASE WHEN event_id % 4 = 3 THEN CAST(NULL AS INT)
+    ELSE CAST(event_id % 7 AS INT) END AS win_number FROM {events}""")
+view("text_refs", """SELECT event_id AS ref_id, 'pages' AS doc, CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN concat(' ', CAST(event_id % 300 AS STRING), ' ')
+    WHEN 2 THEN concat('0x', lower(CAST(event_id % 90 AS STRING))) WHEN 3 THEN '99999999999' WHEN 4 THEN 'nothing' ELSE 'the' END AS ref FROM {events}
+    UNION ALL SELECT 1000000000 + ord, doc, name FROM {context_names}""")
 view("browse", """
     SELECT 'pages' AS doc, turn + 100 * conv_id AS ref_id, CASE WHEN turn % 5 = 4 THEN CAST(NULL AS BIGINT) ELSE 12 + 64 * ((conv_id * 7 + turn - 1) % 400) END AS back_offset,
            CASE WHEN turn % 5 = 3 THEN CAST(NULL AS BIGINT) ELSE 12 + 64 * ((conv_id * 7 + turn + 1) % 400) END AS fore_offset,
            CAST((conv_id + turn) % 300 AS INT) AS back_number, CASE WHEN turn % 2 = 0 THEN CAST(NULL AS INT) ELSE CAST((conv_id + 2 * turn) % 300 AS INT) END AS fore_number
     FROM {conversations}""")
-view("fonts", "SELECT CAST(p_partkey % 20 AS STRING) AS doc, CAST(p_partkey AS INT) AS font_index, CAST(p_partkey % 12 AS INT) AS face_index, CASE p_size % 6 WHEN 0 THEN 'Symbol' WHEN 1 THEN ' MS Gothic ' WHEN 2 THEN 'Gulim' WHEN 3 THEN 'SimSun' WHEN 4 THEN 'MingLiU' ELSE p_brand END AS face_name, p_size * 10 AS twips, 400 + 300 * (p_size % 2) AS weight, p_size % 8 AS flags FROM {part}")
-view("descriptors", "SELECT doc, font_index, face_name, twips, weight, flags, CAST(font_index % 5 AS INT) AS family, CAST(font_index % 256 AS INT) AS red, CAST(font_index * 7 % 256 AS INT) AS green, CAST(font_index % 2 * 255 AS INT) AS blue, CASE font_index % 6 WHEN 1 THEN 177 WHEN 2 THEN 178 WHEN 3 THEN 204 ELSE CAST(NULL AS INT) END AS charset FROM {fonts}")
-view("charsets", "SELECT CAST(s_suppkey % 20 AS STRING) AS doc, CAST(s_suppkey % 9 AS INT) AS face_index, min(CAST(CASE WHEN s_nationkey % 4 = 0 THEN 1 ELSE 160 + s_nationkey END AS INT)) AS charset FROM {supplier} GROUP BY 1, 2", "SELECT CAST(s_suppkey % 20 AS STRING) AS doc, CAST(s_suppkey % 9 AS INT) AS face_index, min(CAST(CASE WHEN s_nationkey % 4 = 0 THEN 1 ELSE 160 + s_nationkey END AS INT)) AS charset FROM supplier GROUP BY 1, 2")
-view("locales", "SELECT CAST(n_nationkey AS STRING) AS doc, CASE n_nationkey % 9 WHEN 0 THEN 1028 WHEN 1 THEN 3098 WHEN 2 THEN 2074 WHEN 3 THEN 1025 WHEN 4 THEN 1049 WHEN 5 THEN 1032 WHEN 6 THEN 1041 WHEN 7 THEN 1066 ELSE CAST(NULL AS INT) END AS locale FROM {nation}")
+view("fonts", """SELECT CAST(p_partkey % 20 AS STRING) AS doc, CAST(p_partkey AS INT) AS font_index, CAST(p_partkey % 12 AS INT) AS face_index, CASE p_size % 6
+    WHEN 0 THEN 'Symbol' WHEN 1 THEN ' MS Gothic ' WHEN 2 THEN 'Gulim' WHEN 3 THEN 'SimSun' WHEN 4 THEN 'MingLiU'
+    ELSE p_brand END AS face_name, p_size * 10 AS twips, 400 + 300 * (p_size % 2) AS weight, p_size % 8 AS flags FROM {part}""")
+view("descriptors", """SELECT doc, font_index, face_name, twips, weight, flags, CAST(font_index % 5 AS INT) AS family, CAST(font_index % 256 AS INT) AS red, CAST(font_index * 7 % 256 AS INT) AS green, CAST(font_index % 2 * 255 AS INT) AS blue, CASE font_index % 6
+    WHEN 1 THEN 177 WHEN 2 THEN 178 WHEN 3 THEN 204 ELSE CAST(NULL AS INT) END AS charset FROM {fonts}""")
+view("charsets", """SELECT CAST(s_suppkey % 20 AS STRING) AS doc, CAST(s_suppkey % 9 AS INT) AS face_index, min(CAST(CASE WHEN s_nationkey % 4 = 0 THEN 1
+    ELSE 160 + s_nationkey END AS INT)) AS charset FROM {supplier} GROUP BY 1, 2""", """SELECT CAST(s_suppkey % 20 AS STRING) AS doc, CAST(s_suppkey % 9 AS INT) AS face_index, min(CAST(CASE WHEN s_nationkey % 4 = 0 THEN 1
+    ELSE 160 + s_nationkey END AS INT)) AS charset FROM supplier GROUP BY 1, 2""")
+view("locales", """SELECT CAST(n_nationkey AS STRING) AS doc, CASE n_nationkey % 9 WHEN 0 THEN 1028 WHEN 1 THEN 3098 WHEN 2 THEN 2074 WHEN 3 THEN 1025 WHEN 4 THEN 1049
+    WHEN 5 THEN 1032 WHEN 6 THEN 1041 WHEN 7 THEN 1066 ELSE CAST(NULL AS INT) END AS locale FROM {nation}""")
 view("headers", """
     SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 11 = 0 THEN 151116 WHEN o_orderkey % 13 = 0 THEN 7 ELSE 220991 END AS magic,
            CAST(floor(o_totalprice) AS BIGINT) % 5000 AS directory_start, CASE WHEN o_custkey % 3 = 0 THEN -1 ELSE o_custkey % 4000 END AS first_free,
@@ -84,4 +103,10 @@ view("topic_headers", """
     SELECT 'pages' AS doc, CAST(o_orderkey AS BIGINT) AS pos, o_orderkey % 2 = 0 AS modern, CAST(o_custkey % 40 - 10 AS BIGINT) AS back, CAST(o_custkey % 60 - 10 AS BIGINT) AS fore,
            CASE WHEN o_orderkey % 7 = 0 THEN 65535 ELSE o_custkey % 900 - 5 END AS number, CAST(o_custkey % 30 AS BIGINT) AS non_scroll, CAST(o_orderkey % 50 AS BIGINT) AS scroll, CAST(o_custkey % 100 - 3 AS BIGINT) AS next_topic
     FROM {orders}""")
-view("region_records", "SELECT CAST(l_orderkey AS BIGINT) AS topic_id, l_partkey % 100 AS pos, CASE WHEN l_orderkey % 4 = 0 THEN CAST(NULL AS BIGINT) ELSE l_orderkey % 40 END AS non_scroll, CASE WHEN l_orderkey % 5 = 0 THEN CAST(NULL AS BIGINT) ELSE 30 + l_orderkey % 30 END AS scroll, CASE WHEN l_orderkey % 3 = 0 THEN CAST(NULL AS BIGINT) ELSE 70 + l_orderkey % 20 END AS next_topic, CASE l_linenumber % 4 WHEN 0 THEN 32 WHEN 1 THEN 35 WHEN 2 THEN 34 ELSE 2 END AS record_type, concat(l_returnflag, chr(0), l_linestatus) AS payload, l_linenumber AS line FROM {lineitem}", "SELECT CAST(l_orderkey AS BIGINT) AS topic_id, l_partkey % 100 AS pos, CASE WHEN l_orderkey % 4 = 0 THEN CAST(NULL AS BIGINT) ELSE l_orderkey % 40 END AS non_scroll, CASE WHEN l_orderkey % 5 = 0 THEN CAST(NULL AS BIGINT) ELSE 30 + l_orderkey % 30 END AS scroll, CASE WHEN l_orderkey % 3 = 0 THEN CAST(NULL AS BIGINT) ELSE 70 + l_orderkey % 20 END AS next_topic, CASE l_linenumber % 4 WHEN 0 THEN 32 WHEN 1 THEN 35 WHEN 2 THEN 34 ELSE 2 END AS record_type, concat(l_returnflag, chr(0), l_linestatus) AS payload, l_linenumber AS line FROM lineitem")
+view("region_records", """SELECT CAST(l_orderkey AS BIGINT) AS topic_id, l_partkey % 100 AS pos, CASE WHEN l_orderkey % 4 = 0 THEN CAST(NULL AS BIGINT)
+    ELSE l_orderkey % 40 END AS non_scroll, CASE WHEN l_orderkey % 5 = 0 THEN CAST(NULL AS BIGINT) ELSE 30 + l_orderkey % 30 END AS scroll, CASE
+    WHEN l_orderkey % 3 = 0 THEN CAST(NULL AS BIGINT) ELSE 70 + l_orderkey % 20 END AS next_topic, CASE l_linenumber % 4 WHEN 0 THEN 32 WHEN 1 THEN 35
+    WHEN 2 THEN 34 ELSE 2 END AS record_type, concat(l_returnflag, chr(0), l_linestatus) AS payload, l_linenumber AS line FROM {lineitem}""", """SELECT CAST(l_orderkey AS BIGINT) AS topic_id, l_partkey % 100 AS pos, CASE WHEN l_orderkey % 4 = 0 THEN CAST(NULL AS BIGINT)
+    ELSE l_orderkey % 40 END AS non_scroll, CASE WHEN l_orderkey % 5 = 0 THEN CAST(NULL AS BIGINT) ELSE 30 + l_orderkey % 30 END AS scroll, CASE
+    WHEN l_orderkey % 3 = 0 THEN CAST(NULL AS BIGINT) ELSE 70 + l_orderkey % 20 END AS next_topic, CASE l_linenumber % 4 WHEN 0 THEN 32 WHEN 1 THEN 35
+    WHEN 2 THEN 34 ELSE 2 END AS record_type, concat(l_returnflag, chr(0), l_linestatus) AS payload, l_linenumber AS line FROM lineitem""")

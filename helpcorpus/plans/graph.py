@@ -25,17 +25,21 @@ _A = r"(<a href=\"[^\"]*\">.*?</a>)".replace('\\"', '"')
 
 
 @query("extract_hotspots", f"""SELECT topic_index, CAST(seq AS INT) AS seq, regexp_extract(a, '^<a href="([^"]*)"', 1) AS target, regexp_replace(regexp_extract(a, '^<a[^>]*>(.*)</a>$', 1, 's'), '<[^>]*>', '', 'g') AS anchor_text
-    FROM (SELECT CAST(page_id AS INT) AS topic_index, unnest(regexp_extract_all(html, '{_A}', 1, 's')) AS a, unnest(range(len(regexp_extract_all(html, '{_A}', 1, 's')))) AS seq FROM pages)""")
+   
+    FROM (SELECT CAST(page_id AS INT) AS topic_index, unnest(regexp_extract_all(html, '{_A}', 1, 's')) AS a, unnest(range(len(regexp_extract_all(html, '{_A}', 1, 's')))) AS seq
+    FROM pages)""")
 def _(t: Tables):
     return L.extract_hotspots(t("pages").select(F.lit("pages").alias("doc"), F.col("page_id").cast("int").alias("topic_index"), "html")).drop("doc")
 
 
 _SPOTS = """SELECT doc, topic_index, seq, popup, CASE WHEN seq % 11 = 10 THEN 'Macro' WHEN seq % 5 = 3 THEN 'Internal' WHEN seq % 5 = 4 THEN 'External' ELSE 'ContextHash' END AS kind,
-    CAST(CASE WHEN seq % 5 IN (3, 4) THEN 12 + 64 * ((topic_index * 7 + seq) % 400) END AS BIGINT) AS topic_offset, CASE topic_index % 3 WHEN 0 THEN 'Pages' WHEN 1 THEN 'other.hlp' ELSE 'missing.hlp' END AS help_file, concat('Jump', name) AS macro, name FROM """
+    CAST(CASE WHEN seq % 5 IN (3, 4) THEN 12 + 64 * ((topic_index * 7 + seq) % 400) END AS BIGINT) AS topic_offset, CASE topic_index % 3
+    WHEN 0 THEN 'Pages' WHEN 1 THEN 'other.hlp' ELSE 'missing.hlp' END AS help_file, concat('Jump', name) AS macro, name FROM """
 view("spots_plain", _SPOTS + "{link_names}")
 view("spots_duck", "SELECT 1", f"SELECT *, {duck_hash('name')} AS hash FROM spots_plain")
 view("link_docs", "SELECT 'pages' AS doc UNION ALL SELECT 'other.hlp'")
-view("link_anchors", "SELECT doc, topic_offset, topic_index, pos FROM {page_anchors} UNION ALL SELECT 'other.hlp', CAST(12 + 64 * s_suppkey AS BIGINT), CAST(s_suppkey AS INT), CAST(12 + 64 * s_suppkey AS BIGINT) FROM {supplier}")
+view("link_anchors", """SELECT doc, topic_offset, topic_index, pos FROM {page_anchors}
+    UNION ALL SELECT 'other.hlp', CAST(12 + 64 * s_suppkey AS BIGINT), CAST(s_suppkey AS INT), CAST(12 + 64 * s_suppkey AS BIGINT) FROM {supplier}""")
 
 
 def spots(t: Tables):
@@ -45,15 +49,19 @@ def spots(t: Tables):
 _HEX = "lpad(upper(printf('%x', CASE WHEN hash < 0 THEN CAST(hash AS BIGINT) + 4294967296 ELSE CAST(hash AS BIGINT) END)), 8, '0')"
 
 
-@query("describe_hotspots", f"""SELECT topic_index, seq, CASE kind WHEN 'Internal' THEN concat('internal TOPICOFFSET=', CAST(topic_offset AS STRING), ' popup=', CAST(popup AS STRING)) WHEN 'ContextHash' THEN concat('internal context hash=0x', {_HEX}, ' popup=', CAST(popup AS STRING))
-    WHEN 'External' THEN concat('external TOPICOFFSET=', CAST(topic_offset AS STRING), ' file=', help_file) ELSE concat('macro (safe-policy dispatch): ', macro) END AS description FROM spots_duck""")
+@query("describe_hotspots", f"""SELECT topic_index, seq, CASE kind
+    WHEN 'Internal' THEN concat('internal TOPICOFFSET=', CAST(topic_offset AS STRING), ' popup=', CAST(popup AS STRING)) WHEN 'ContextHash' THEN concat('internal context hash=0x', {_HEX}, ' popup=', CAST(popup AS STRING))
+    WHEN 'External' THEN concat('external TOPICOFFSET=', CAST(topic_offset AS STRING), ' file=', help_file)
+    ELSE concat('macro (safe-policy dispatch): ', macro) END AS description FROM spots_duck""")
 def _(t: Tables):
     return L.describe_hotspots(spots(t)).select("topic_index", "seq", "description")
 
 
-view("spot_docs_duck", "SELECT 1", "SELECT s.topic_index AS src, s.seq, s.kind, s.hash, s.topic_offset AS own, k.doc AS doc, s.help_file FROM spots_duck s LEFT JOIN link_docs k ON k.doc = CASE WHEN s.kind = 'External' THEN lower(s.help_file) ELSE s.doc END WHERE s.kind <> 'Macro'")
+view("spot_docs_duck", "SELECT 1", """SELECT s.topic_index AS src, s.seq, s.kind, s.hash, s.topic_offset AS own, k.doc AS doc, s.help_file FROM spots_duck s
+    LEFT JOIN link_docs k ON k.doc = CASE WHEN s.kind = 'External' THEN lower(s.help_file) ELSE s.doc END WHERE s.kind <> 'Macro'""")
 view("spot_links_duck", "SELECT 1", f"""SELECT x.src, x.seq, x.kind, x.hash, x.own, x.doc AS dst_doc, coalesce(a.topic_index, b.topic_index) AS dst_topic FROM spot_docs_duck x
     JOIN ({asof("(SELECT s.doc, src, seq, c.topic_offset FROM spot_docs_duck s LEFT JOIN contexts_duck c ON s.kind = 'ContextHash' AND s.doc = c.doc AND s.hash = c.hash)", "link_anchors", "topic_offset", "r.src, r.seq")}) a ON a.src = x.src AND a.seq = x.seq
+   
     JOIN ({asof("(SELECT doc, src, seq, CASE WHEN kind = 'ContextHash' THEN hash ELSE own END AS topic_offset FROM spot_docs_duck)", "link_anchors", "topic_offset", "r.src, r.seq")}) b ON b.src = x.src AND b.seq = x.seq""")
 
 
@@ -67,11 +75,15 @@ def _(t: Tables):
 
 
 view("edges", """SELECT doc, topic_index AS src, seq, popup AND seq % 4 = 1 AS popup, 'pages' AS dst_doc, CAST(12 + 64 * ((topic_index * 3 + seq) % 300) AS BIGINT) AS dst_offset, CAST((topic_index * 3 + seq) % 300 AS INT) AS dst_topic,
-    CASE (topic_index + seq) % 7 WHEN 0 THEN 'MAIN' WHEN 1 THEN 'steps' WHEN 2 THEN 'nowhere' ELSE CAST(NULL AS STRING) END AS win_name, CASE WHEN (topic_index + seq) % 5 = 0 THEN CAST(seq % 6 AS INT) ELSE CAST(NULL AS INT) END AS win_number FROM {link_names}""")
-_MODE = """WITH w AS (SELECT e.src, e.seq, e.popup, e.win_name, e.win_number, coalesce(n.o, v.ordinal) AS ex, d.ordinal AS de, d.name AS dn FROM edges e LEFT JOIN (SELECT lower(name) AS k, min(ordinal) AS o FROM windows WHERE name IS NOT NULL GROUP BY 1) n ON lower(e.win_name) = n.k LEFT JOIN windows v ON v.ordinal = e.win_number
+    CASE (topic_index + seq) % 7 WHEN 0 THEN 'MAIN' WHEN 1 THEN 'steps' WHEN 2 THEN 'nowhere' ELSE CAST(NULL AS STRING) END AS win_name, CASE
+    WHEN (topic_index + seq) % 5 = 0 THEN CAST(seq % 6 AS INT) ELSE CAST(NULL AS INT) END AS win_number FROM {link_names}""")
+_MODE = """WITH w AS (SELECT e.src, e.seq, e.popup, e.win_name, e.win_number, coalesce(n.o, v.ordinal) AS ex, d.ordinal AS de, d.name AS dn FROM edges e
+    LEFT JOIN (SELECT lower(name) AS k, min(ordinal) AS o FROM windows WHERE name IS NOT NULL GROUP BY 1) n ON lower(e.win_name) = n.k LEFT JOIN windows v ON v.ordinal = e.win_number
       LEFT JOIN (SELECT topic_offset, arg_min(win, ord) AS win FROM default_windows GROUP BY ALL) f ON f.topic_offset = e.dst_offset LEFT JOIN windows d ON d.ordinal = f.win AND f.win >= 0),
-    m AS (SELECT w.*, coalesce(lower(w.win_name) = 'main', FALSE) OR coalesce(lower(x.name) = 'main', FALSE) AS em, w.win_name IS NOT NULL OR w.win_number IS NOT NULL AS asked, w.de IS NOT NULL AND NOT coalesce(lower(w.dn) = 'main', FALSE) AS other FROM w LEFT JOIN windows x ON x.ordinal = w.ex)
-    SELECT src, seq, CASE WHEN popup THEN 'popup' WHEN asked AND NOT em THEN 'secondary' WHEN em THEN 'main' WHEN other THEN 'secondary' ELSE 'main' END AS mode, CASE WHEN popup THEN NULL WHEN asked AND NOT em THEN ex WHEN em THEN NULL WHEN other THEN de END AS win FROM m"""
+    m AS (SELECT w.*, coalesce(lower(w.win_name) = 'main', FALSE) OR coalesce(lower(x.name) = 'main', FALSE) AS em, w.win_name IS NOT NULL OR w.win_number IS NOT NULL AS asked, w.de IS NOT NULL AND NOT coalesce(lower(w.dn) = 'main', FALSE) AS other
+    FROM w LEFT JOIN windows x ON x.ordinal = w.ex)
+    SELECT src, seq, CASE WHEN popup THEN 'popup' WHEN asked AND NOT em THEN 'secondary' WHEN em THEN 'main' WHEN other THEN 'secondary'
+    ELSE 'main' END AS mode, CASE WHEN popup THEN NULL WHEN asked AND NOT em THEN ex WHEN em THEN NULL WHEN other THEN de END AS win FROM m"""
 
 
 @query("link_mode", _MODE)
@@ -79,14 +91,19 @@ def _(t: Tables):
     return L.link_mode(t("edges"), t("default_windows"), t("windows")).select("src", "seq", "mode", "win")
 
 
-@query("unresolved_hotspots", f"""SELECT src, seq, CASE WHEN kind = 'Internal' THEN concat('Unresolved TOPICOFFSET ', CAST(own AS STRING)) WHEN kind = 'ContextHash' THEN concat('Unresolved context hash 0x', {_HEX}) WHEN dst_doc IS NULL THEN 'The linked HLP was not embedded in this HTML export.'
+@query("unresolved_hotspots", f"""SELECT src, seq, CASE WHEN kind = 'Internal' THEN concat('Unresolved TOPICOFFSET ', CAST(own AS STRING))
+    WHEN kind = 'ContextHash' THEN concat('Unresolved context hash 0x', {_HEX}) WHEN dst_doc IS NULL THEN 'The linked HLP was not embedded in this HTML export.'
     ELSE concat('Unresolved linked TOPICOFFSET ', CAST(own AS STRING), ' in ', dst_doc) END AS message FROM spot_links_duck WHERE dst_topic IS NULL""")
 def _(t: Tables):
     return L.unresolved_hotspots(resolved(t)).select(F.col("topic_index").alias("src"), "seq", "message")
 
 
-view("file_mentions", "SELECT concat('n', CAST(s_nationkey AS STRING)) AS doc, CAST(s_suppkey % 3 AS INT) AS source_rank, s_suppkey AS ord, CASE s_suppkey % 6 WHEN 0 THEN ' ' WHEN 1 THEN 'SETUP.HLP' WHEN 2 THEN 'setup.hlp' WHEN 3 THEN concat('/abs', s_name) WHEN 4 THEN 'C:x.hlp' ELSE concat('part', CAST(s_suppkey % 10 AS STRING), '.hlp') END AS help_file FROM {supplier}")
-_FILES = "SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY f) AS INT) AS rank, f.help_file AS help_file FROM (SELECT doc, min(struct_pack(source_rank := source_rank, ord := ord, help_file := help_file)) AS f FROM file_mentions WHERE trim(help_file) <> '' GROUP BY doc, lower(help_file))"
+view("file_mentions", """SELECT concat('n', CAST(s_nationkey AS STRING)) AS doc, CAST(s_suppkey % 3 AS INT) AS source_rank, s_suppkey AS ord, CASE s_suppkey % 6
+    WHEN 0 THEN ' ' WHEN 1 THEN 'SETUP.HLP' WHEN 2 THEN 'setup.hlp' WHEN 3 THEN concat('/abs', s_name) WHEN 4 THEN 'C:x.hlp'
+    ELSE concat('part', CAST(s_suppkey % 10 AS STRING), '.hlp') END AS help_file FROM {supplier}""")
+_FILES = """SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY f) AS INT) AS rank, f.help_file AS help_file
+    FROM (SELECT doc, min(struct_pack(source_rank := source_rank, ord := ord, help_file := help_file)) AS f FROM file_mentions WHERE trim(help_file) <> ''
+    GROUP BY doc, lower(help_file))"""
 
 
 @query("referenced_files", _FILES)
@@ -94,12 +111,15 @@ def _(t: Tables):
     return L.referenced_files(t("file_mentions"))
 
 
-@query("reference_policy", r"SELECT doc, ord, trim(help_file) <> '' AND substring(trim(help_file), 1, 1) NOT IN ('/', chr(92)) AND substring(trim(help_file), 2, 1) <> ':' AS allowed FROM file_mentions")
+@query("reference_policy", r"""SELECT doc, ord, trim(help_file) <> '' AND substring(trim(help_file), 1, 1) NOT IN ('/', chr(92)) AND substring(trim(help_file), 2, 1) <> ':' AS allowed
+    FROM file_mentions""")
 def _(t: Tables):
     return L.reference_policy(t("file_mentions")).select("doc", "ord", "allowed")
 
 
-@query("resolve_external_path", r"SELECT page_id, CASE WHEN starts_with(tt, '/') OR substring(tt, 2, 1) = ':' THEN tt ELSE concat(regexp_extract(cc, '^(.*/)[^/]*$', 1), tt) END AS path FROM (SELECT page_id, replace(url, chr(92), '/') AS cc, replace(CASE page_id % 4 WHEN 0 THEN '/root.hlp' WHEN 1 THEN 'C:a.hlp' WHEN 2 THEN concat('sub', chr(92), 'b.hlp') ELSE 'c.hlp' END, chr(92), '/') AS tt FROM pages)")
+@query("resolve_external_path", r"""SELECT page_id, CASE WHEN starts_with(tt, '/') OR substring(tt, 2, 1) = ':' THEN tt ELSE concat(regexp_extract(cc, '^(.*/)[^/]*$', 1), tt) END AS path
+    FROM (SELECT page_id, replace(url, chr(92), '/') AS cc, replace(CASE page_id % 4 WHEN 0 THEN '/root.hlp' WHEN 1 THEN 'C:a.hlp'
+    WHEN 2 THEN concat('sub', chr(92), 'b.hlp') ELSE 'c.hlp' END, chr(92), '/') AS tt FROM pages)""")
 def _(t: Tables):
     target = F.expr(r"CASE page_id % 4 WHEN 0 THEN '/root.hlp' WHEN 1 THEN 'C:a.hlp' WHEN 2 THEN concat('sub', chr(92), 'b.hlp') ELSE 'c.hlp' END")
     return t("pages").select("page_id", external_path(F.col("url"), target).alias("path"))
@@ -108,7 +128,8 @@ def _(t: Tables):
 view("nation_docs", "SELECT concat('n', CAST(n_nationkey AS STRING)) AS doc, n_nationkey AS k FROM {nation}")
 # document k names 2k, 2k + 1, itself and one file that may not or cannot be opened, so a root reaches a tree
 view("tree_docs", "SELECT concat('c', CAST(c_custkey AS STRING)) AS doc, CAST(c_custkey AS BIGINT) AS k FROM {customer} WHERE c_custkey > 0")
-view("tree_refs", """SELECT doc, 1 AS rank, concat('C', CAST(k * 2 AS STRING)) AS help_file, 2 * k AS to_k FROM {tree_docs} UNION ALL SELECT doc, 2, upper(doc), NULL FROM {tree_docs} UNION ALL SELECT doc, 3, concat('c', CAST(k * 2 + 1 AS STRING)), 2 * k + 1 FROM {tree_docs}
+view("tree_refs", """SELECT doc, 1 AS rank, concat('C', CAST(k * 2 AS STRING)) AS help_file, 2 * k AS to_k FROM {tree_docs} UNION ALL SELECT doc, 2, upper(doc), NULL
+    FROM {tree_docs} UNION ALL SELECT doc, 3, concat('c', CAST(k * 2 + 1 AS STRING)), 2 * k + 1 FROM {tree_docs}
     UNION ALL SELECT doc, 4, CASE k % 3 WHEN 0 THEN '/abs.hlp' WHEN 1 THEN 'gone.hlp' ELSE concat(chr(92), chr(92), 'srv') END, NULL FROM {tree_docs}""")
 view("tree_seeds", "SELECT doc, k FROM {tree_docs} WHERE k % 50 = 1")
 
@@ -118,68 +139,99 @@ view("tree_seeds", "SELECT doc, k FROM {tree_docs} WHERE k % 50 = 1")
     n AS (SELECT *, CAST(row_number() OVER (PARTITION BY root ORDER BY hop, place) AS INT) AS rank FROM walk),
     named AS (SELECT n.root, r.help_file, r.to_k, d.doc FROM n JOIN tree_refs r ON r.doc = n.doc LEFT JOIN tree_docs d ON d.k = r.to_k WHERE n.rank <= 32 AND r.rank <> 2)
     SELECT root, doc, hop, rank, NULL AS warning FROM n WHERE rank <= 32
-    UNION ALL SELECT DISTINCT root, lower(help_file), NULL, NULL, CASE WHEN starts_with(help_file, '/') OR starts_with(help_file, chr(92)) THEN 'skipped: not a relative path' ELSE 'skipped: cannot be opened' END FROM named WHERE doc IS NULL
-    UNION ALL SELECT DISTINCT m.root, m.doc, NULL, NULL, 'skipped: over the limit' FROM named m JOIN n ON n.root = m.root AND n.doc = m.doc WHERE n.rank > 32""")
+    UNION ALL SELECT DISTINCT root, lower(help_file), NULL, NULL, CASE
+    WHEN starts_with(help_file, '/') OR starts_with(help_file, chr(92)) THEN 'skipped: not a relative path' ELSE 'skipped: cannot be opened' END
+    FROM named WHERE doc IS NULL
+    UNION ALL SELECT DISTINCT m.root, m.doc, NULL, NULL, 'skipped: over the limit' FROM named m JOIN n ON n.root = m.root AND n.doc = m.doc
+    WHERE n.rank > 32""")
 def _(t: Tables):
     reached, warnings = L.linked_file_closure(t("tree_seeds").select("doc"), t("tree_refs").select("doc", "rank", "help_file"), t("tree_docs").select("doc"))
     named = warnings.select("root", F.lower("help_file").alias("doc"), F.lit(None).cast("int").alias("hop"), F.lit(None).cast("int").alias("rank"), "warning").distinct()
     return reached.withColumn("warning", F.lit(None).cast("string")).select(named.columns).unionByName(named)
 
 
-view("catalog_links", "SELECT doc, s_ord AS ord, CASE WHEN s_ord % 2 = 0 THEN 'search' ELSE 'index' END AS kind, help_file FROM (SELECT concat('n', CAST(s_nationkey AS STRING)) AS doc, s_suppkey AS s_ord, CASE s_suppkey % 5 WHEN 0 THEN '/x' ELSE concat('N', CAST(s_suppkey % 40 AS STRING)) END AS help_file FROM {supplier})")
+view("catalog_links", """SELECT doc, s_ord AS ord, CASE WHEN s_ord % 2 = 0 THEN 'search' ELSE 'index' END AS kind, help_file
+    FROM (SELECT concat('n', CAST(s_nationkey AS STRING)) AS doc, s_suppkey AS s_ord, CASE s_suppkey % 5 WHEN 0 THEN '/x'
+    ELSE concat('N', CAST(s_suppkey % 40 AS STRING)) END AS help_file FROM {supplier})""")
 
 
-@query("related_catalog", "SELECT doc, rank, related_doc FROM (SELECT doc, related_doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY place) AS INT) AS rank FROM (SELECT doc, lower(help_file) AS related_doc, min(row(CASE WHEN kind = 'index' THEN 0 ELSE 1 END, ord)) AS place FROM catalog_links WHERE NOT starts_with(help_file, '/') GROUP BY ALL)) WHERE rank <= 32 AND related_doc IN (SELECT doc FROM nation_docs)")
+@query("related_catalog", """SELECT doc, rank, related_doc FROM (SELECT doc, related_doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY place) AS INT) AS rank
+    FROM (SELECT doc, lower(help_file) AS related_doc, min(row(CASE WHEN kind = 'index' THEN 0 ELSE 1 END, ord)) AS place FROM catalog_links
+    WHERE NOT starts_with(help_file, '/') GROUP BY ALL)) WHERE rank <= 32 AND related_doc IN (SELECT doc FROM nation_docs)""")
 def _(t: Tables):
     return L.related_catalog(t("catalog_links"), t("nation_docs"))
 
 
-view("page_bodies", "SELECT 'pages' AS doc, CAST(page_id AS INT) AS topic_index, CASE WHEN page_id % 5 = 0 THEN ' ' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title, CASE WHEN page_id % 3 = 0 THEN '  ' ELSE concat(' ', url, chr(13), chr(10), 'end ') END AS plain_text FROM {pages}")
+view("page_bodies", """SELECT 'pages' AS doc, CAST(page_id AS INT) AS topic_index, CASE WHEN page_id % 5 = 0 THEN ' '
+    ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title, CASE WHEN page_id % 3 = 0 THEN '  '
+    ELSE concat(' ', url, chr(13), chr(10), 'end ') END AS plain_text FROM {pages}""")
 
 
-@query("destination_tooltips", "SELECT e.src, e.seq, CASE WHEN e.popup AND trim(b.plain_text) <> '' THEN trim(replace(b.plain_text, chr(13) || chr(10), chr(10))) WHEN b.doc IS NOT NULL THEN CASE WHEN trim(b.title) = '' THEN concat('Topic ', CAST(b.topic_index + 1 AS STRING)) ELSE b.title END END AS tooltip FROM edges e LEFT JOIN page_bodies b ON b.topic_index = e.dst_topic")
+@query("destination_tooltips", """SELECT e.src, e.seq, CASE WHEN e.popup AND trim(b.plain_text) <> '' THEN trim(replace(b.plain_text, chr(13) || chr(10), chr(10)))
+    WHEN b.doc IS NOT NULL THEN CASE WHEN trim(b.title) = '' THEN concat('Topic ', CAST(b.topic_index + 1 AS STRING)) ELSE b.title END END AS tooltip
+    FROM edges e LEFT JOIN page_bodies b ON b.topic_index = e.dst_topic""")
 def _(t: Tables):
     return L.destination_tooltips(t("edges"), t("page_bodies")).select("src", "seq", "tooltip")
 
 
-view("rects", "SELECT CAST(p_partkey % 3 AS STRING) AS doc, CAST(p_partkey % 2 AS INT) AS picture, CAST(p_partkey AS BIGINT) AS rect_id, CAST(p_partkey AS BIGINT) AS ord, CAST(p_size * 10 AS BIGINT) AS x, CAST(p_partkey % 400 AS BIGINT) AS y, CAST(CASE WHEN p_partkey % 50 = 0 THEN 390 WHEN p_partkey % 49 = 0 THEN 0 ELSE 25 END AS BIGINT) AS w, CAST(15 + p_partkey % 97 AS BIGINT) AS h, CAST(p_size % 7 * 100 AS BIGINT) AS source_w, CAST(300 AS BIGINT) AS source_h, CAST(p_partkey % 500 AS BIGINT) AS target_w, CAST(7 AS BIGINT) AS target_h FROM {part}")
-view("points", "SELECT CAST(event_id % 3 AS STRING) AS doc, CAST(event_id % 2 AS INT) AS picture, event_id AS point_id, event_id * 7 % 500 AS px, event_id * 13 % 400 AS py FROM {events}")
+view("rects", """SELECT CAST(p_partkey % 3 AS STRING) AS doc, CAST(p_partkey % 2 AS INT) AS picture, CAST(p_partkey AS BIGINT) AS rect_id, CAST(p_partkey AS BIGINT) AS ord, CAST(p_size * 10 AS BIGINT) AS x, CAST(p_partkey % 400 AS BIGINT) AS y, CAST(CASE
+    WHEN p_partkey % 50 = 0 THEN 390 WHEN p_partkey % 49 = 0 THEN 0
+    ELSE 25 END AS BIGINT) AS w, CAST(15 + p_partkey % 97 AS BIGINT) AS h, CAST(p_size % 7 * 100 AS BIGINT) AS source_w, CAST(300 AS BIGINT) AS source_h, CAST(p_partkey % 500 AS BIGINT) AS target_w, CAST(7 AS BIGINT) AS target_h
+    FROM {part}""")
+view("points", """SELECT CAST(event_id % 3 AS STRING) AS doc, CAST(event_id % 2 AS INT) AS picture, event_id AS point_id, event_id * 7 % 500 AS px, event_id * 13 % 400 AS py
+    FROM {events}""")
 
 
-@query("scale_picture_hotspots", "SELECT rect_id, x * target_w // greatest(source_w, 1) AS sx, y * target_h // greatest(source_h, 1) AS sy, greatest(w * target_w // greatest(source_w, 1), 1) AS sw, greatest(h * target_h // greatest(source_h, 1), 1) AS sh FROM rects")
+@query("scale_picture_hotspots", """SELECT rect_id, x * target_w // greatest(source_w, 1) AS sx, y * target_h // greatest(source_h, 1) AS sy, greatest(w * target_w // greatest(source_w, 1), 1) AS sw, greatest(h * target_h // greatest(source_h, 1), 1) AS sh
+    FROM rects""")
 def _(t: Tables):
     return L.scale_picture_hotspots(t("rects")).select("rect_id", "sx", "sy", "sw", "sh")
 
 
-@query("hit_test", "SELECT point_id, arg_max(rect_id, ord) AS rect_id FROM points LEFT JOIN rects ON points.doc = rects.doc AND points.picture = rects.picture AND px >= x AND px < x + w AND py >= y AND py < y + h GROUP BY point_id")
+@query("hit_test", """SELECT point_id, arg_max(rect_id, ord) AS rect_id FROM points
+    LEFT JOIN rects ON points.doc = rects.doc AND points.picture = rects.picture AND px >= x AND px < x + w AND py >= y AND py < y + h GROUP BY point_id""")
 def _(t: Tables):
     return L.hit_test(t("points"), t("rects"), ["doc", "picture"])
 
 
-view("picture_spots", "SELECT 'pages' AS doc, ord AS spot_id, CASE WHEN ord % 5 = 0 THEN 'About()' END AS macro, CASE WHEN ord % 3 = 1 THEN concat(name, 'x') ELSE name END AS name, CASE WHEN ord % 4 = 2 THEN 'steps' END AS win_name FROM {context_names}")
+view("picture_spots", """SELECT 'pages' AS doc, ord AS spot_id, CASE WHEN ord % 5 = 0 THEN 'About()' END AS macro, CASE WHEN ord % 3 = 1 THEN concat(name, 'x')
+    ELSE name END AS name, CASE WHEN ord % 4 = 2 THEN 'steps' END AS win_name FROM {context_names}""")
 
 
-@query("resolve_picture_hotspots", f"SELECT s.spot_id, CASE WHEN s.macro IS NOT NULL THEN 'Macro' WHEN c.topic_offset IS NULL THEN NULL WHEN s.win_name IS NOT NULL THEN 'External' ELSE 'Internal' END AS kind, c.topic_offset, CASE WHEN s.macro IS NULL AND c.topic_offset IS NULL THEN concat('unknown context ', s.name) END AS warning FROM (SELECT *, CASE WHEN macro IS NULL THEN {duck_hash('name')} END AS hash FROM picture_spots) s LEFT JOIN contexts_duck c ON c.doc = s.doc AND c.hash = s.hash")
+@query("resolve_picture_hotspots", f"""SELECT s.spot_id, CASE WHEN s.macro IS NOT NULL THEN 'Macro' WHEN c.topic_offset IS NULL THEN NULL WHEN s.win_name IS NOT NULL THEN 'External'
+    ELSE 'Internal' END AS kind, c.topic_offset, CASE
+    WHEN s.macro IS NULL AND c.topic_offset IS NULL THEN concat('unknown context ', s.name) END AS warning FROM (SELECT *, CASE
+    WHEN macro IS NULL THEN {duck_hash('name')} END AS hash FROM picture_spots) s LEFT JOIN contexts_duck c ON c.doc = s.doc AND c.hash = s.hash""")
 def _(t: Tables):
     return L.resolve_picture_hotspots(t("picture_spots"), contexts(t)).select("spot_id", "kind", "topic_offset", "warning")
 
 
-view("pictures", "SELECT CAST(l_orderkey % 20 AS STRING) AS doc, l_orderkey AS topic, CASE l_partkey % 50 WHEN 7 THEN 'embedded' WHEN 8 THEN 'unsupported' ELSE 'indexed' END AS source, CASE WHEN l_partkey % 50 = 7 THEN NULL ELSE l_partkey % 50 END AS picture_index FROM {lineitem}")
+view("pictures", """SELECT CAST(l_orderkey % 20 AS STRING) AS doc, l_orderkey AS topic, CASE l_partkey % 50 WHEN 7 THEN 'embedded' WHEN 8 THEN 'unsupported'
+    ELSE 'indexed' END AS source, CASE WHEN l_partkey % 50 = 7 THEN NULL ELSE l_partkey % 50 END AS picture_index FROM {lineitem}""")
 
 
-@query("picture_usage", "SELECT doc, source, CASE source WHEN 'indexed' THEN picture_index END AS picture_index, count(*) AS n_uses, count(DISTINCT topic) AS n_topics FROM pictures GROUP BY ALL")
+@query("picture_usage", """SELECT doc, source, CASE source WHEN 'indexed' THEN picture_index END AS picture_index, count(*) AS n_uses, count(DISTINCT topic) AS n_topics
+    FROM pictures GROUP BY ALL""")
 def _(t: Tables):
     return L.picture_usage(t("pictures"))
 
 
 # ---- macros
 
-view("macros", r"""SELECT CAST(user_id % 20 AS STRING) AS doc, CAST(event_id AS STRING) AS origin, CASE event_id % 12 WHEN 0 THEN 'jc(`a.hlp'',"main",0x10)' WHEN 1 THEN 'About(); BACK();' WHEN 2 THEN 'EF("cmd.exe")' WHEN 3 THEN 'JI("dir/x.hlp>steps", "topic")' WHEN 4 THEN 'Unknown(1,-2)'
-    WHEN 5 THEN 'SPC(1,2,300)' WHEN 6 THEN 'IfThen(IsMark("m"), Back())' WHEN 7 THEN 'Back(' WHEN 8 THEN 'JumpContents("`q''", "main")' WHEN 9 THEN '' WHEN 10 THEN 'PC("", 7); RR("d","f","s")' ELSE concat('AL("k', CAST(event_id AS STRING), '")') END AS text FROM {events}""", "SELECT 1")
-_NAME = "CASE event_id % 14 WHEN 0 THEN 'jc' WHEN 1 THEN 'About' WHEN 2 THEN 'EF' WHEN 3 THEN 'JI' WHEN 4 THEN 'Unknown' WHEN 5 THEN 'SPC' WHEN 6 THEN 'spc' WHEN 7 THEN 'JumpContents' WHEN 8 THEN 'PopupHash' WHEN 9 THEN 'RR' WHEN 10 THEN 'TCard' WHEN 11 THEN 'Contents' WHEN 12 THEN 'PopupId' ELSE ' menu ' END"
-_TYPES = "CASE event_id % 14 WHEN 0 THEN 'SSI' WHEN 2 THEN 'S' WHEN 3 THEN 'SS' WHEN 4 THEN 'II' WHEN 5 THEN 'III' WHEN 6 THEN 'III' WHEN 7 THEN CASE WHEN event_id % 3 = 0 THEN 'S' ELSE 'SS' END WHEN 8 THEN 'SI' WHEN 9 THEN 'SSS' WHEN 12 THEN 'SS' ELSE '' END"
-_ARGS = "CASE event_id % 14 WHEN 0 THEN {a}('a.hlp', 'main', CAST(event_id AS STRING)) WHEN 2 THEN {a}('cmd') WHEN 3 THEN {a}('dir/x.hlp>steps', 'topic') WHEN 4 THEN {a}('1', '2') WHEN 5 THEN {a}('1', '2', CAST(event_id % 400 AS STRING)) WHEN 6 THEN {a}('0', '255', '9') WHEN 7 THEN {a}('b.hlp', '') WHEN 8 THEN {a}('', CAST(-event_id AS STRING)) WHEN 9 THEN {a}('x', 'y', 'z') WHEN 12 THEN {a}('c.hlp', 'id') ELSE {e} END"
-_CALL = "SELECT CAST(user_id % 20 AS STRING) AS doc, CAST(event_id % 5 AS STRING) AS origin, CAST(event_id AS INT) AS call_no, {n} AS name, {t} AS arg_types, {a} AS args, CAST(NULL AS STRING) AS error FROM {f}"
+view("macros", r"""SELECT CAST(user_id % 20 AS STRING) AS doc, CAST(event_id AS STRING) AS origin, CASE event_id % 12 WHEN 0 THEN 'jc(`a.hlp'',"main",0x10)'
+    WHEN 1 THEN 'About(); BACK();' WHEN 2 THEN 'EF("cmd.exe")' WHEN 3 THEN 'JI("dir/x.hlp>steps", "topic")' WHEN 4 THEN 'Unknown(1,-2)'
+    WHEN 5 THEN 'SPC(1,2,300)' WHEN 6 THEN 'IfThen(IsMark("m"), Back())' WHEN 7 THEN 'Back(' WHEN 8 THEN 'JumpContents("`q''", "main")' WHEN 9 THEN ''
+    WHEN 10 THEN 'PC("", 7); RR("d","f","s")' ELSE concat('AL("k', CAST(event_id AS STRING), '")') END AS text FROM {events}""", "SELECT 1")
+_NAME = """CASE event_id % 14 WHEN 0 THEN 'jc' WHEN 1 THEN 'About' WHEN 2 THEN 'EF' WHEN 3 THEN 'JI' WHEN 4 THEN 'Unknown' WHEN 5 THEN 'SPC' WHEN 6 THEN 'spc'
+    WHEN 7 THEN 'JumpContents' WHEN 8 THEN 'PopupHash' WHEN 9 THEN 'RR' WHEN 10 THEN 'TCard' WHEN 11 THEN 'Contents' WHEN 12 THEN 'PopupId'
+    ELSE ' menu ' END"""
+_TYPES = """CASE event_id % 14 WHEN 0 THEN 'SSI' WHEN 2 THEN 'S' WHEN 3 THEN 'SS' WHEN 4 THEN 'II' WHEN 5 THEN 'III' WHEN 6 THEN 'III' WHEN 7 THEN CASE
+    WHEN event_id % 3 = 0 THEN 'S' ELSE 'SS' END WHEN 8 THEN 'SI' WHEN 9 THEN 'SSS' WHEN 12 THEN 'SS' ELSE '' END"""
+_ARGS = """CASE event_id % 14 WHEN 0 THEN {a}('a.hlp', 'main', CAST(event_id AS STRING)) WHEN 2 THEN {a}('cmd') WHEN 3 THEN {a}('dir/x.hlp>steps', 'topic')
+    WHEN 4 THEN {a}('1', '2') WHEN 5 THEN {a}('1', '2', CAST(event_id % 400 AS STRING)) WHEN 6 THEN {a}('0', '255', '9') WHEN 7 THEN {a}('b.hlp', '')
+    WHEN 8 THEN {a}('', CAST(-event_id AS STRING)) WHEN 9 THEN {a}('x', 'y', 'z') WHEN 12 THEN {a}('c.hlp', 'id') ELSE {e} END"""
+_CALL = """SELECT CAST(user_id % 20 AS STRING) AS doc, CAST(event_id % 5 AS STRING) AS origin, CAST(event_id AS INT) AS call_no, {n} AS name, {t} AS arg_types, {a} AS args, CAST(NULL AS STRING) AS error
+    FROM {f}"""
 view("calls", _CALL.format(n=_NAME, t=_TYPES, a=_ARGS.format(a="array", e="CAST(array() AS array<string>)"), f="{events}"), _CALL.format(n=_NAME, t=_TYPES, a=_ARGS.format(a="list_value", e="CAST([] AS VARCHAR[])"), f="events"))
 
 
@@ -194,7 +246,9 @@ def _dictionary_sql() -> str:
 
 view("dictionary_duck", "SELECT 1", f"SELECT * FROM (VALUES {_dictionary_sql()}) AS d(spelling, canonical, signature, block)")
 _FITS = "coalesce(signature = arg_types AND (canonical <> 'SetPopupColor' OR len(list_filter(args, lambda a: coalesce(TRY_CAST(a AS INT) NOT BETWEEN 0 AND 255, TRUE))) = 0), FALSE)"
-view("policy_duck", "SELECT 1", f"SELECT doc, origin, call_no, name, args, canonical, CASE WHEN {_FITS} THEN 'ALLOW' ELSE 'BLOCK' END AS verdict, CASE WHEN {_FITS} THEN NULL WHEN canonical IS NULL THEN 'UnknownOperation' WHEN signature IS NOT NULL THEN 'InvalidArguments' ELSE block END AS reason FROM calls LEFT JOIN dictionary_duck ON spelling = lower(trim(name))")
+view("policy_duck", "SELECT 1", f"""SELECT doc, origin, call_no, name, args, canonical, CASE WHEN {_FITS} THEN 'ALLOW' ELSE 'BLOCK' END AS verdict, CASE WHEN {_FITS} THEN NULL
+    WHEN canonical IS NULL THEN 'UnknownOperation' WHEN signature IS NOT NULL THEN 'InvalidArguments' ELSE block END AS reason FROM calls
+    LEFT JOIN dictionary_duck ON spelling = lower(trim(name))""")
 
 
 _MACROS = "CAST(user_id % 20 AS STRING) AS doc, CAST(event_id AS STRING) AS origin"
@@ -202,7 +256,8 @@ _MACROS = "CAST(user_id % 20 AS STRING) AS doc, CAST(event_id AS STRING) AS orig
 _CALLS = [(0, 0, "'jc'", "SSI", "'a.hlp|main|16'"), (1, 0, "'About'", "", "''"), (1, 1, "'BACK'", "", "''"), (2, 0, "'EF'", "S", "'cmd.exe'"), (3, 0, "'JI'", "SS", "'dir/x.hlp>steps|topic'"), (4, 0, "'Unknown'", "II", "'1|-2'"), (5, 0, "'SPC'", "III", "'1|2|300'"), (6, 0, "'IfThen'", "CC", "'IsMark(m)|Back()'"), (8, 0, "'JumpContents'", "SS", "'`q''|main'"), (10, 0, "'PC'", "SI", "'|7'"), (10, 1, "'RR'", "SSS", "'d|f|s'"), (11, 0, "'AL'", "S", "concat('k', CAST(event_id AS STRING))")]
 
 
-@query("macro_calls", " UNION ALL ".join(f"SELECT {_MACROS}, {no} AS call_no, {name} AS name, '{types}' AS arg_types, {args} AS args, CAST(NULL AS INT) AS error_offset, CAST(NULL AS STRING) AS error FROM events WHERE event_id % 12 = {n}" for n, no, name, types, args in _CALLS) + f" UNION ALL SELECT {_MACROS}, NULL, NULL, NULL, NULL, 5, 'unexpected end' FROM events WHERE event_id % 12 = 7")
+@query("macro_calls", " UNION ALL ".join(f"""SELECT {_MACROS}, {no} AS call_no, {name} AS name, '{types}' AS arg_types, {args} AS args, CAST(NULL AS INT) AS error_offset, CAST(NULL AS STRING) AS error
+    FROM events WHERE event_id % 12 = {n}""" for n, no, name, types, args in _CALLS) + f" UNION ALL SELECT {_MACROS}, NULL, NULL, NULL, NULL, 5, 'unexpected end' FROM events WHERE event_id % 12 = 7")
 def _(t: Tables):
     return M.macro_calls(t("macros")).withColumn("args", F.array_join("args", "|"))
 
@@ -222,18 +277,26 @@ def _(t: Tables):
     return M.macro_policy_summary(M.macro_policy(t("calls")))
 
 
-@query("macro_link_targets", """SELECT call_no, CASE WHEN canonical = 'JumpID' THEN split_part(args[1], '>', 1) ELSE coalesce(args[1], '') END AS help_file, nullif(CASE WHEN canonical = 'JumpID' THEN CASE WHEN contains(args[1], '>') THEN split_part(args[1], '>', 2) END WHEN canonical IN ('JumpContents', 'JumpContext', 'JumpHash') THEN args[2] END, '') AS win_name, k AS target_kind,
+@query("macro_link_targets", """SELECT call_no, CASE WHEN canonical = 'JumpID' THEN split_part(args[1], '>', 1) ELSE coalesce(args[1], '') END AS help_file, nullif(CASE
+    WHEN canonical = 'JumpID' THEN CASE WHEN contains(args[1], '>') THEN split_part(args[1], '>', 2) END WHEN canonical IN ('JumpContents', 'JumpContext', 'JumpHash') THEN args[2] END, '') AS win_name, k AS target_kind,
     CASE WHEN k = 'Id' THEN args[2] WHEN k IN ('Map', 'Hash') THEN CASE WHEN starts_with(canonical, 'Popup') THEN args[2] ELSE args[3] END END AS target, starts_with(canonical, 'Popup') AS popup
-    FROM (SELECT *, CASE WHEN canonical IN ('Contents', 'JumpContents') THEN 'Contents' WHEN canonical IN ('JumpContext', 'PopupContext') THEN 'Map' WHEN canonical IN ('JumpHash', 'PopupHash') THEN 'Hash' WHEN canonical IN ('JumpID', 'PopupId') THEN 'Id' END AS k FROM policy_duck WHERE verdict = 'ALLOW') WHERE k IS NOT NULL""")
+    FROM (SELECT *, CASE WHEN canonical IN ('Contents', 'JumpContents') THEN 'Contents' WHEN canonical IN ('JumpContext', 'PopupContext') THEN 'Map'
+    WHEN canonical IN ('JumpHash', 'PopupHash') THEN 'Hash' WHEN canonical IN ('JumpID', 'PopupId') THEN 'Id' END AS k FROM policy_duck
+    WHERE verdict = 'ALLOW') WHERE k IS NOT NULL""")
 def _(t: Tables):
     return M.macro_link_targets(M.macro_policy(t("calls"))).drop("doc", "origin")
 
 
 # ---- sessions
 
-view("nav_events", "SELECT user_id AS usr, ts, event_id, CASE event_type WHEN 'error' THEN 'back' WHEN 'signup' THEN 'forward' WHEN 'purchase' THEN 'bookmark' ELSE 'visit' END AS action, concat('Topic', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 12 AS STRING)) AS location FROM {events}")
+view("nav_events", """SELECT user_id AS usr, ts, event_id, CASE event_type WHEN 'error' THEN 'back' WHEN 'signup' THEN 'forward' WHEN 'purchase' THEN 'bookmark'
+    ELSE 'visit' END AS action, concat('Topic', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 12 AS STRING)) AS location FROM {events}""")
 view("opens", "SELECT usr, ts, event_id, location AS doc FROM {nav_events} WHERE action = 'visit'")
-view("bookmark_rows", "SELECT event_id AS ord, CASE WHEN event_id % 10 = 3 THEN NULL ELSE concat('mark', chr(9), CAST(event_id AS STRING)) END AS label, CASE WHEN event_id % 13 = 2 THEN NULL ELSE concat('dir', chr(92), CAST(event_id % 5 AS STRING), '.hlp') END AS path, CAST(event_id % 7 AS BIGINT) AS topic, CASE WHEN event_id % 2 = 0 THEN NULL ELSE CAST(event_id % 3 AS BIGINT) END AS at_offset, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'main' END AS win FROM {events} WHERE event_type = 'purchase'")
+view("bookmark_rows", """SELECT event_id AS ord, CASE WHEN event_id % 10 = 3 THEN NULL ELSE concat('mark', chr(9), CAST(event_id AS STRING)) END AS label, CASE
+    WHEN event_id % 13 = 2 THEN NULL
+    ELSE concat('dir', chr(92), CAST(event_id % 5 AS STRING), '.hlp') END AS path, CAST(event_id % 7 AS BIGINT) AS topic, CASE
+    WHEN event_id % 2 = 0 THEN NULL ELSE CAST(event_id % 3 AS BIGINT) END AS at_offset, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'main' END AS win
+    FROM {events} WHERE event_type = 'purchase'""")
 
 
 _NEW, _BACK, _FORWARD = "o.action = 'visit' AND o.location IS DISTINCT FROM w.cur", "o.action = 'back' AND len(w.b) > 0", "o.action = 'forward' AND len(w.f) > 0"
@@ -252,13 +315,15 @@ def _(t: Tables):
 
 
 @query("history_listing", _HISTORY + """, z AS (SELECT usr, arg_max(struct_pack(cur := cur, b := b, f := f), rn) AS s FROM w GROUP BY usr),
-    l AS (SELECT usr, list_concat(list_concat(list_transform(s.b, lambda x: ['←', x]), CASE WHEN s.cur IS NULL THEN [] ELSE [['•', s.cur]] END), list_transform(list_reverse(s.f), lambda x: ['→', x])) AS p FROM z)
+    l AS (SELECT usr, list_concat(list_concat(list_transform(s.b, lambda x: ['←', x]), CASE WHEN s.cur IS NULL THEN []
+    ELSE [['•', s.cur]] END), list_transform(list_reverse(s.f), lambda x: ['→', x])) AS p FROM z)
     SELECT usr, CAST(ord AS INT) AS ord, x[1] AS marker, x[2] AS location FROM (SELECT usr, unnest(range(len(p))) AS ord, unnest(p) AS x FROM l)""")
 def _(t: Tables):
     return N.history_listing(t("nav_events"))
 
 
-_RECENT = "SELECT usr, CAST(row_number() OVER (PARTITION BY usr ORDER BY at_last DESC) AS INT) AS rank, doc FROM (SELECT usr, lower(doc) AS doc, max(row(ts, event_id)) AS at_last FROM opens GROUP BY ALL) QUALIFY rank <= 5"
+_RECENT = """SELECT usr, CAST(row_number() OVER (PARTITION BY usr ORDER BY at_last DESC) AS INT) AS rank, doc
+    FROM (SELECT usr, lower(doc) AS doc, max(row(ts, event_id)) AS at_last FROM opens GROUP BY ALL) QUALIFY rank <= 5"""
 
 
 @query("recent_documents", _RECENT)
@@ -266,7 +331,8 @@ def _(t: Tables):
     return N.recent_documents(t("opens"))
 
 
-_MARKS = "SELECT path, topic, at_offset, win, arg_min(label, ord) AS label, min(ord) AS ord FROM bookmark_rows WHERE path IS NOT NULL AND label IS NOT NULL GROUP BY ALL"
+_MARKS = """SELECT path, topic, at_offset, win, arg_min(label, ord) AS label, min(ord) AS ord FROM bookmark_rows WHERE path IS NOT NULL AND label IS NOT NULL
+    GROUP BY ALL"""
 
 
 @query("bookmarks", _MARKS)
@@ -310,11 +376,13 @@ def _(t: Tables):
 
 # ---- profiles
 
-view("streams", "SELECT CAST(o_custkey % 20 AS STRING) AS doc, concat('s', CAST(o_orderkey AS STRING)) AS name, o_orderkey * 16 AS file_offset, CAST(floor(o_totalprice) AS BIGINT) % 2000 AS reserved, CAST(floor(o_totalprice / 7) AS BIGINT) % 1800 AS used, CAST(o_orderkey % 4 AS INT) AS flags FROM {orders}")
+view("streams", """SELECT CAST(o_custkey % 20 AS STRING) AS doc, concat('s', CAST(o_orderkey AS STRING)) AS name, o_orderkey * 16 AS file_offset, CAST(floor(o_totalprice) AS BIGINT) % 2000 AS reserved, CAST(floor(o_totalprice / 7) AS BIGINT) % 1800 AS used, CAST(o_orderkey % 4 AS INT) AS flags
+    FROM {orders}""")
 _VIOLATION = "used + 9 > reserved OR reserved < 9"
 
 
-@query("stream_inventory", f"SELECT doc, count(*) AS n_streams, CAST(sum(used) AS BIGINT) AS used, CAST(sum(reserved) AS BIGINT) AS reserved, count(*) FILTER (WHERE {_VIOLATION}) AS n_violations FROM streams GROUP BY doc")
+@query("stream_inventory", f"""SELECT doc, count(*) AS n_streams, CAST(sum(used) AS BIGINT) AS used, CAST(sum(reserved) AS BIGINT) AS reserved, count(*) FILTER (WHERE {_VIOLATION}) AS n_violations
+    FROM streams GROUP BY doc""")
 def _(t: Tables):
     return P.stream_totals(P.stream_inventory(t("streams")))
 
@@ -322,7 +390,8 @@ def _(t: Tables):
 SUMMARY = {"topics": "topics", "records": "records", "keywords": "keywords", "windows": "windows", "contexts": "context_names", "map_entries": "context_map", "topic_ids": "topic_ids", "default_windows": "default_windows", "number_entries": "topic_map", "faces": "faces", "descriptors": "fonts", "blocks": "blocks", "phrases": "phrases"}
 view("faces", "SELECT DISTINCT doc, face_name FROM {fonts}")
 view("summary_docs", "SELECT doc FROM {docs} UNION SELECT doc FROM {fonts} UNION SELECT doc FROM {windows}")
-_SUMMARY = f"SELECT d.doc, {', '.join(f'coalesce({k}.n, 0) AS n_{k}' for k in SUMMARY)} FROM summary_docs d {' '.join(f'LEFT JOIN (SELECT doc, count(*) AS n FROM {v} GROUP BY doc) {k} ON {k}.doc = d.doc' for k, v in SUMMARY.items())}"
+_SUMMARY = f"""SELECT d.doc, {', '.join(f'coalesce({k}.n, 0) AS n_{k}' for k in SUMMARY)}
+    FROM summary_docs d {' '.join(f'LEFT JOIN (SELECT doc, count(*) AS n FROM {v} GROUP BY doc) {k} ON {k}.doc = d.doc' for k, v in SUMMARY.items())}"""
 
 
 def summary(t: Tables):
@@ -334,11 +403,15 @@ def _(t: Tables):
     return summary(t)
 
 
-view("profiled_topics", "SELECT pos AS topic_id, CASE WHEN modern AND back >= 0 THEN back END AS browse_back, CASE WHEN modern AND fore >= 0 THEN fore END AS browse_forward, CASE WHEN NOT modern AND back >= 12 THEN back END AS previous, CASE WHEN NOT modern AND fore >= 12 THEN fore END AS following FROM {topic_headers}")
+view("profiled_topics", """SELECT pos AS topic_id, CASE WHEN modern AND back >= 0 THEN back END AS browse_back, CASE
+    WHEN modern AND fore >= 0 THEN fore END AS browse_forward, CASE WHEN NOT modern AND back >= 12 THEN back END AS previous, CASE
+    WHEN NOT modern AND fore >= 12 THEN fore END AS following FROM {topic_headers}""")
 view("topic_macros", "SELECT CAST(l_orderkey AS BIGINT) AS topic_id, concat('Back()', l_returnflag) AS text FROM {lineitem} WHERE l_linenumber % 3 = 1")
 _OF = lambda r: f"count(*) FILTER (WHERE region = '{r}')"
 _TOPIC_PROFILE = f"""SELECT p.topic_id, p.browse_back, p.browse_forward, p.previous, p.following, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('n_fixed', 'n_scrolling', 'n_other', 'n_visible', 'n_macros'))} FROM profiled_topics p
-    LEFT JOIN (SELECT topic_id, {_OF('non_scrolling')} AS n_fixed, {_OF('scrolling')} AS n_scrolling, {_OF('unclassified')} AS n_other, count(*) FILTER (WHERE text <> '') AS n_visible FROM {_ASSEMBLED} GROUP BY topic_id) r ON r.topic_id = p.topic_id
+   
+    LEFT JOIN (SELECT topic_id, {_OF('non_scrolling')} AS n_fixed, {_OF('scrolling')} AS n_scrolling, {_OF('unclassified')} AS n_other, count(*) FILTER (WHERE text <> '') AS n_visible
+    FROM {_ASSEMBLED} GROUP BY topic_id) r ON r.topic_id = p.topic_id
     LEFT JOIN (SELECT topic_id, count(*) AS n_macros FROM topic_macros GROUP BY topic_id) m ON m.topic_id = p.topic_id"""
 
 
@@ -354,10 +427,15 @@ def _(t: Tables):
 
 _KINDS = "CASE WHEN seq % 11 = 10 THEN 'picture' WHEN seq % 13 = 12 THEN 'break' ELSE 'text' END AS kind, seq % 7 = 3 AS hotspot"
 view("inlines",
-    f"SELECT doc, pos, paragraph, {_KINDS} FROM (SELECT doc, pos, paragraph, posexplode(split(p, ' ')) AS (seq, word) FROM (SELECT doc, pos, posexplode(split(text, '[.] ')) AS (paragraph, p) FROM {{records}} WHERE text <> ''))",
-    f"SELECT doc, pos, paragraph, {_KINDS} FROM (SELECT doc, pos, paragraph, unnest(range(len(string_split(p, ' ')))) AS seq FROM (SELECT doc, pos, unnest(range(len(string_split(text, '. ')))) AS paragraph, unnest(string_split(text, '. ')) AS p FROM records WHERE text <> ''))")
+    f"""SELECT doc, pos, paragraph, {_KINDS} FROM (SELECT doc, pos, paragraph, posexplode(split(p, ' ')) AS (seq, word)
+    FROM (SELECT doc, pos, posexplode(split(text, '[.] ')) AS (paragraph, p) FROM {{records}} WHERE text <> ''))""",
+    f"""SELECT doc, pos, paragraph, {_KINDS} FROM (SELECT doc, pos, paragraph, unnest(range(len(string_split(p, ' ')))) AS seq
+    FROM (SELECT doc, pos, unnest(range(len(string_split(text, '. ')))) AS paragraph, unnest(string_split(text, '. ')) AS p FROM records
+    WHERE text <> ''))""")
 _CONTENT = """SELECT r.doc, r.pos, r.record_type = 35 AS is_table, coalesce(n_paragraphs, 0) AS n_paragraphs, coalesce(n_runs, 0) AS n_runs, coalesce(n_hotspots, 0) AS n_hotspots, coalesce(n_pictures, 0) AS n_pictures, coalesce(n_issues, 0) AS n_issues FROM records r
-    LEFT JOIN (SELECT doc, pos, count(DISTINCT paragraph) AS n_paragraphs, count(*) FILTER (WHERE kind = 'text') AS n_runs, count(*) FILTER (WHERE kind = 'text' AND hotspot) AS n_hotspots, count(*) FILTER (WHERE kind = 'picture') AS n_pictures FROM inlines GROUP BY doc, pos) i ON i.doc = r.doc AND i.pos = r.pos
+   
+    LEFT JOIN (SELECT doc, pos, count(DISTINCT paragraph) AS n_paragraphs, count(*) FILTER (WHERE kind = 'text') AS n_runs, count(*) FILTER (WHERE kind = 'text' AND hotspot) AS n_hotspots, count(*) FILTER (WHERE kind = 'picture') AS n_pictures
+    FROM inlines GROUP BY doc, pos) i ON i.doc = r.doc AND i.pos = r.pos
     LEFT JOIN (SELECT doc, pos, count(*) AS n_issues FROM decode_issues GROUP BY doc, pos) w ON w.doc = r.doc AND w.pos = r.pos"""
 
 
@@ -370,7 +448,8 @@ def _(t: Tables):
     return content_profile(t)
 
 
-_FONT = "SELECT doc, font_index, trim(face_name) AS face, CAST(greatest(1, least(4096, (abs(twips) + 10) // 20)) AS INT) AS points, weight, flags & 1 <> 0 AS italic, flags & 2 <> 0 AS underline, flags & 4 <> 0 AS strike, printf('#%02X%02X%02X', red, green, blue) AS colour, coalesce(family = 1, FALSE) AS fixed_pitch, coalesce(charset IN (177, 178), FALSE) AS rtl FROM descriptors"
+_FONT = """SELECT doc, font_index, trim(face_name) AS face, CAST(greatest(1, least(4096, (abs(twips) + 10) // 20)) AS INT) AS points, weight, flags & 1 <> 0 AS italic, flags & 2 <> 0 AS underline, flags & 4 <> 0 AS strike, printf('#%02X%02X%02X', red, green, blue) AS colour, coalesce(family = 1, FALSE) AS fixed_pitch, coalesce(charset IN (177, 178), FALSE) AS rtl
+    FROM descriptors"""
 
 
 @query("font_rows", _FONT)
@@ -378,35 +457,47 @@ def _(t: Tables):
     return P.font_rows(t("descriptors"))
 
 
-@query("font_census", f"SELECT face, points, count(DISTINCT colour) AS n_colours, count(*) AS n, count(*) FILTER (WHERE weight >= 700) AS n_bold, {', '.join(f'count(*) FILTER (WHERE {c}) AS n_{c}' for c in ('italic', 'underline', 'strike', 'fixed_pitch', 'rtl'))} FROM ({_FONT}) GROUP BY face, points")
+@query("font_census", f"""SELECT face, points, count(DISTINCT colour) AS n_colours, count(*) AS n, count(*) FILTER (WHERE weight >= 700) AS n_bold, {', '.join(f'count(*) FILTER (WHERE {c}) AS n_{c}' for c in ('italic', 'underline', 'strike', 'fixed_pitch', 'rtl'))}
+    FROM ({_FONT}) GROUP BY face, points""")
 def _(t: Tables):
     return P.font_census(t("descriptors"))
 
 
-view("blocks", "SELECT CAST(l_orderkey % 20 AS STRING) AS doc, l_linenumber % 2 = 0 AS compressed, CAST(floor(l_quantity) AS BIGINT) * 40 AS physical, CAST(floor(l_extendedprice) AS BIGINT) % 4096 AS decoded FROM {lineitem}")
+view("blocks", """SELECT CAST(l_orderkey % 20 AS STRING) AS doc, l_linenumber % 2 = 0 AS compressed, CAST(floor(l_quantity) AS BIGINT) * 40 AS physical, CAST(floor(l_extendedprice) AS BIGINT) % 4096 AS decoded
+    FROM {lineitem}""")
 
 
-@query("block_profile", "SELECT doc, kind, n, physical, decoded, 100 * physical // greatest(decoded, 1) AS percent FROM (SELECT doc, CASE WHEN compressed THEN 'packed' ELSE 'plain' END AS kind, count(*) AS n, CAST(sum(physical) AS BIGINT) AS physical, CAST(sum(decoded) AS BIGINT) AS decoded FROM blocks GROUP BY ALL)")
+@query("block_profile", """SELECT doc, kind, n, physical, decoded, 100 * physical // greatest(decoded, 1) AS percent FROM (SELECT doc, CASE WHEN compressed THEN 'packed'
+    ELSE 'plain' END AS kind, count(*) AS n, CAST(sum(physical) AS BIGINT) AS physical, CAST(sum(decoded) AS BIGINT) AS decoded FROM blocks GROUP BY ALL)""")
 def _(t: Tables):
     return P.block_profile(t("blocks"))
 
 
 view("keyword_warnings", "SELECT doc, CAST(ord AS BIGINT) AS ord, concat('no topic for ', keyword) AS message FROM {keywords} WHERE ord % 13 = 0")
-view("topic_warnings", "SELECT doc, CAST(topic_index AS BIGINT) AS ord, concat('short topic ', CAST(topic_index AS STRING)) AS message FROM {topics} WHERE length(plain_text) < 100")
+view("topic_warnings", """SELECT doc, CAST(topic_index AS BIGINT) AS ord, concat('short topic ', CAST(topic_index AS STRING)) AS message FROM {topics}
+    WHERE length(plain_text) < 100""")
 
 
-@query("warnings_report", "WITH r AS (SELECT doc, 'keywords' AS stage, ord, concat('keywords: ', message) AS message FROM keyword_warnings UNION ALL SELECT doc, 'topics', ord, concat('topics: ', message) FROM topic_warnings) SELECT doc, n, CASE WHEN n > 1 THEN concat(f, ' (', CAST(n AS STRING), ')') ELSE f END AS summary FROM (SELECT doc, count(*) AS n, arg_min(message, row(stage, ord, message)) AS f FROM r GROUP BY doc)")
+@query("warnings_report", """WITH r AS (SELECT doc, 'keywords' AS stage, ord, concat('keywords: ', message) AS message FROM keyword_warnings
+    UNION ALL SELECT doc, 'topics', ord, concat('topics: ', message) FROM topic_warnings) SELECT doc, n, CASE
+    WHEN n > 1 THEN concat(f, ' (', CAST(n AS STRING), ')') ELSE f END AS summary
+    FROM (SELECT doc, count(*) AS n, arg_min(message, row(stage, ord, message)) AS f FROM r GROUP BY doc)""")
 def _(t: Tables):
     return P.warnings_summary(P.warnings_report(keywords=t("keyword_warnings"), topics=t("topic_warnings")))
 
 
 # ---- export
 
-view("specs", "SELECT CAST(c_custkey AS STRING) AS doc, CASE c_custkey % 9 WHEN 0 THEN '3-8' WHEN 1 THEN '1-3, 7; 10-12' WHEN 2 THEN '2;2;1-4' WHEN 3 THEN '8-3' WHEN 4 THEN '0' WHEN 5 THEN 'x, 3-1' WHEN 6 THEN '' WHEN 7 THEN '1-2-3' ELSE concat('1-', CAST(c_custkey % 20 AS STRING)) END AS spec, 12 AS n FROM {customer}")
+view("specs", """SELECT CAST(c_custkey AS STRING) AS doc, CASE c_custkey % 9 WHEN 0 THEN '3-8' WHEN 1 THEN '1-3, 7; 10-12' WHEN 2 THEN '2;2;1-4' WHEN 3 THEN '8-3'
+    WHEN 4 THEN '0' WHEN 5 THEN 'x, 3-1' WHEN 6 THEN '' WHEN 7 THEN '1-2-3' ELSE concat('1-', CAST(c_custkey % 20 AS STRING)) END AS spec, 12 AS n
+    FROM {customer}""")
 _TOKENS = """WITH k AS (SELECT doc, spec, n, trim(unnest(string_split(replace(spec, ';', ','), ','))) AS token, unnest(range(len(string_split(replace(spec, ';', ','), ',')))) AS nm FROM specs),
-    p AS (SELECT *, TRY_CAST(nullif(coalesce(nullif(regexp_extract(token, '^([0-9]{1,9})$', 1), ''), regexp_extract(token, '^([0-9]{1,9})\\s*-\\s*([0-9]{1,9})$', 1)), '') AS INT) AS a, TRY_CAST(nullif(coalesce(nullif(regexp_extract(token, '^([0-9]{1,9})$', 1), ''), regexp_extract(token, '^([0-9]{1,9})\\s*-\\s*([0-9]{1,9})$', 2)), '') AS INT) AS b FROM k WHERE token <> ''),
-    e AS (SELECT *, CASE WHEN length(token) - length(replace(token, '-', '')) > 1 THEN 'malformed range' WHEN a IS NULL OR b IS NULL THEN 'not a number' WHEN a < 1 OR a > n OR b < 1 OR b > n THEN 'out of range' WHEN a > b THEN 'backwards' END AS error FROM p),
-    bad AS (SELECT doc, spec, arg_min(error, nm) AS error FROM e WHERE error IS NOT NULL GROUP BY doc, spec UNION ALL SELECT doc, spec, 'nothing selected' FROM specs WHERE doc NOT IN (SELECT doc FROM e)),
+    p AS (SELECT *, TRY_CAST(nullif(coalesce(nullif(regexp_extract(token, '^([0-9]{1,9})$', 1), ''), regexp_extract(token, '^([0-9]{1,9})\\s*-\\s*([0-9]{1,9})$', 1)), '') AS INT) AS a, TRY_CAST(nullif(coalesce(nullif(regexp_extract(token, '^([0-9]{1,9})$', 1), ''), regexp_extract(token, '^([0-9]{1,9})\\s*-\\s*([0-9]{1,9})$', 2)), '') AS INT) AS b
+    FROM k WHERE token <> ''),
+    e AS (SELECT *, CASE WHEN length(token) - length(replace(token, '-', '')) > 1 THEN 'malformed range'
+    WHEN a IS NULL OR b IS NULL THEN 'not a number' WHEN a < 1 OR a > n OR b < 1 OR b > n THEN 'out of range' WHEN a > b THEN 'backwards' END AS error FROM p),
+    bad AS (SELECT doc, spec, arg_min(error, nm) AS error FROM e WHERE error IS NOT NULL GROUP BY doc, spec
+    UNION ALL SELECT doc, spec, 'nothing selected' FROM specs WHERE doc NOT IN (SELECT doc FROM e)),
     good AS (SELECT DISTINCT doc, spec, unnest(range(a - 1, b)) AS topic_index FROM e WHERE doc NOT IN (SELECT doc FROM bad))""".replace("\\\\s", "\\s")
 
 
@@ -446,10 +537,15 @@ def _(t: Tables):
     return t("pages").select("page_id", F.md5(js_string(F.col("html"))).alias("digest"))
 
 
-view("runs", "SELECT doc, topic_index, pos, CASE WHEN is_header THEN 'non_scrolling' ELSE 'scrolling' END AS region, text, CASE WHEN pos % 5 = 2 THEN CAST(pos % 99 AS INT) END AS action_id, CASE WHEN pos % 10 = 2 THEN concat('go \"', substring(text, 1, 5), '\" <', CAST(pos AS STRING), '>') END AS tooltip FROM {records}")
-_PIECE = f"""concat('<p>', CASE WHEN action_id IS NOT NULL THEN concat('<a class="hlp-link" href="#" data-action="', CAST(action_id AS STRING), '"', CASE WHEN tooltip IS NOT NULL THEN concat(' title="', {_escaped('tooltip')}, '"') ELSE '' END, '>', {_escaped('text')}, '</a>') ELSE {_escaped('text')} END, '</p>')"""
+view("runs", """SELECT doc, topic_index, pos, CASE WHEN is_header THEN 'non_scrolling' ELSE 'scrolling' END AS region, text, CASE
+    WHEN pos % 5 = 2 THEN CAST(pos % 99 AS INT) END AS action_id, CASE
+    WHEN pos % 10 = 2 THEN concat('go \"', substring(text, 1, 5), '\" <', CAST(pos AS STRING), '>') END AS tooltip FROM {records}""")
+_PIECE = f"""concat('<p>', CASE WHEN action_id IS NOT NULL THEN concat('<a class="hlp-link" href="#" data-action="', CAST(action_id AS STRING), '"', CASE
+    WHEN tooltip IS NOT NULL THEN concat(' title="', {_escaped('tooltip')}, '"') ELSE '' END, '>', {_escaped('text')}, '</a>')
+    ELSE {_escaped('text')} END, '</p>')"""
 _INNER = lambda r: f"coalesce(string_agg({_PIECE}, '' ORDER BY pos) FILTER (WHERE region = '{r}'), '')"
-_HTML = f"SELECT doc, topic_index, concat('<section id=\"hlp-topic-', doc, '-', CAST(topic_index AS STRING), '\"><header>', {_INNER('non_scrolling')}, '</header>', {_INNER('scrolling')}, '</section>') AS html FROM runs GROUP BY doc, topic_index"
+_HTML = f"""SELECT doc, topic_index, concat('<section id=\"hlp-topic-', doc, '-', CAST(topic_index AS STRING), '\"><header>', {_INNER('non_scrolling')}, '</header>', {_INNER('scrolling')}, '</section>') AS html
+    FROM runs GROUP BY doc, topic_index"""
 
 
 @query("render_topic_html", f"SELECT doc, topic_index, md5(html) AS digest FROM ({_HTML})")
@@ -457,15 +553,21 @@ def _(t: Tables):
     return X.render_topic_html(t("runs")).select("doc", "topic_index", F.md5("html").alias("digest"))
 
 
-@query("program_ops", f"SELECT doc, origin, concat('[', string_agg(concat('[', array_to_string(list_transform(list_concat([canonical], args), lambda a: {_js('a')}), ','), ']'), ',' ORDER BY call_no), ']') AS ops FROM policy_duck WHERE verdict = 'ALLOW' GROUP BY doc, origin")
+@query("program_ops", f"""SELECT doc, origin, concat('[', string_agg(concat('[', array_to_string(list_transform(list_concat([canonical], args), lambda a: {_js('a')}), ','), ']'), ','
+    ORDER BY call_no), ']') AS ops FROM policy_duck WHERE verdict = 'ALLOW' GROUP BY doc, origin""")
 def _(t: Tables):
     return X.program_ops(M.macro_policy(t("calls")), ["doc", "origin"])
 
 
-view("actions", """SELECT concat('site', CAST(src % 8 AS STRING)) AS doc, CAST(seq % 2 AS INT) AS source_rank, CAST(src AS BIGINT) * 1000 + seq AS seq, CASE seq % 4 WHEN 0 THEN 'noop' WHEN 1 THEN 'program' ELSE 'open' END AS kind, concat('d"', dst_doc) AS dst_doc, dst_topic AS topic_index,
-    CASE WHEN popup THEN 'popup' ELSE 'main' END AS mode, win_name, CASE WHEN src % 3 = 0 THEN '[["Back"]]' END AS ops, concat('a <b> & "', coalesce(win_name, 'none'), '"') AS message FROM {edges}""")
-_ACTIONS = f"""SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY source_rank, seq) - 1 AS INT) AS action_id, CASE kind WHEN 'open' THEN concat('{{kind:"open",doc:', {_js('dst_doc')}, ',topic:', CAST(topic_index AS STRING), ',mode:"', mode, '"', CASE WHEN win_name IS NOT NULL THEN concat(',window:', {_js('win_name')}) ELSE '' END, '}}')
-    WHEN 'program' THEN concat('{{kind:"program",ops:', coalesce(ops, '[]'), '}}') ELSE concat('{{kind:"noop",message:', {_js('message')}, '}}') END AS json FROM actions"""
+view("actions", """SELECT concat('site', CAST(src % 8 AS STRING)) AS doc, CAST(seq % 2 AS INT) AS source_rank, CAST(src AS BIGINT) * 1000 + seq AS seq, CASE seq % 4
+    WHEN 0 THEN 'noop' WHEN 1 THEN 'program' ELSE 'open' END AS kind, concat('d"', dst_doc) AS dst_doc, dst_topic AS topic_index,
+    CASE WHEN popup THEN 'popup' ELSE 'main' END AS mode, win_name, CASE
+    WHEN src % 3 = 0 THEN '[["Back"]]' END AS ops, concat('a <b> & "', coalesce(win_name, 'none'), '"') AS message FROM {edges}""")
+_ACTIONS = f"""SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY source_rank, seq) - 1 AS INT) AS action_id, CASE kind
+    WHEN 'open' THEN concat('{{kind:"open",doc:', {_js('dst_doc')}, ',topic:', CAST(topic_index AS STRING), ',mode:"', mode, '"', CASE
+    WHEN win_name IS NOT NULL THEN concat(',window:', {_js('win_name')}) ELSE '' END, '}}')
+    WHEN 'program' THEN concat('{{kind:"program",ops:', coalesce(ops, '[]'), '}}')
+    ELSE concat('{{kind:"noop",message:', {_js('message')}, '}}') END AS json FROM actions"""
 
 
 @query("action_registry", _ACTIONS)
@@ -473,9 +575,11 @@ def _(t: Tables):
     return X.action_registry(t("actions"))
 
 
-_NEXT = "SELECT doc, topic_index, lag(topic_index) OVER w AS browse_prev, lead(topic_index) OVER w AS browse_next FROM topics WINDOW w AS (PARTITION BY doc ORDER BY topic_index)"
+_NEXT = """SELECT doc, topic_index, lag(topic_index) OVER w AS browse_prev, lead(topic_index) OVER w AS browse_next FROM topics WINDOW w AS (PARTITION BY doc
+    ORDER BY topic_index)"""
 _MANIFEST = f"""SELECT t.doc, t.topic_index, concat('{{topic:', CAST(t.topic_index AS STRING), ',title:', {_js("CASE WHEN trim(title) = '' THEN concat('Topic ', CAST(t.topic_index + 1 AS STRING)) ELSE title END")}, ',template:', {_js("concat('hlp-topic-', t.doc, '-', CAST(t.topic_index AS STRING))")},
-    ',browsePrev:', coalesce(CAST(browse_prev AS STRING), 'null'), ',browseNext:', coalesce(CAST(browse_next AS STRING), 'null'), '}}') AS json FROM topics t JOIN ({_NEXT}) b ON b.doc = t.doc AND b.topic_index = t.topic_index"""
+    ',browsePrev:', coalesce(CAST(browse_prev AS STRING), 'null'), ',browseNext:', coalesce(CAST(browse_next AS STRING), 'null'), '}}') AS json
+    FROM topics t JOIN ({_NEXT}) b ON b.doc = t.doc AND b.topic_index = t.topic_index"""
 
 
 def manifest(t: Tables):
@@ -518,7 +622,8 @@ _LINES = {
 }
 
 
-@query("write_dump", f"SELECT doc, {_LINES['streams']} AS line FROM ({SQL['stream_inventory']}) UNION ALL SELECT doc, {_LINES['summary']} FROM ({_SUMMARY}) UNION ALL SELECT 'pages', {_LINES['topics']} FROM ({_TOPIC_PROFILE}) UNION ALL SELECT doc, {_LINES['records']} FROM ({_CONTENT})")
+@query("write_dump", f"""SELECT doc, {_LINES['streams']} AS line FROM ({SQL['stream_inventory']}) UNION ALL SELECT doc, {_LINES['summary']} FROM ({_SUMMARY})
+    UNION ALL SELECT 'pages', {_LINES['topics']} FROM ({_TOPIC_PROFILE}) UNION ALL SELECT doc, {_LINES['records']} FROM ({_CONTENT})""")
 def _(t: Tables):
     """The inventory, summary and profiles as lines, to text files by document and back."""
     path = scratch_path(t.spark)
