@@ -64,11 +64,13 @@ def search_corpus(search_topics: DataFrame, query: str, limit: int = LIMIT) -> D
     return hits(search_topics, query).orderBy(F.desc("score"), "doc", "topic_index").limit(limit).select("doc", "topic_index", "score", label.alias("label"))
 
 
-_TRIGRAMS = r"(?s)(?=(.{3}))"
+def _runs(c: str, n: int) -> Column:
+    """All runs of n characters."""
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
-def _trigrams(c: str):
-    return F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(_TRIGRAMS), F.lit(1)))).alias("gram")
+def _trigrams(c: str) -> Column:
+    return F.explode(F.array_distinct(_runs(c, 3))).alias("gram")
 
 
 def narrowest_terms(asked: DataFrame, grams: DataFrame) -> DataFrame:
@@ -87,9 +89,9 @@ def search_batch(search_topics: DataFrame, queries: DataFrame, k: int = 10) -> D
     A match needs all of a query's terms in a topic's title, keywords or body, each within one word.
     So a query's candidates are the topics with a word that contains its narrowest term. That term is
     matched with the corpus' distinct words by its rarest trigram (terms of one or two characters,
-    where a query has no others, with each distinct word), and words with topics by an inverted
-    table. Only candidates meet the query's text; the k best of each task are kept before the shuffle
-    (Spark's window group limit). Blank queries are dropped.
+    where a query has no others, by themselves), and words with topics by an inverted table. Only
+    candidates meet the query's text; the k best of each task are kept before the shuffle (Spark's
+    window group limit). Blank queries are dropped.
     """
     q = cut(queries.select("query_id", fold_text(F.col("query")).alias("q")).where("q <> ''").withColumn("terms", F.split("q", " ")))
     text = F.concat_ws(" ", "folded_title", F.array_join("folded_keywords", " "), "folded_body")
@@ -98,8 +100,9 @@ def search_batch(search_topics: DataFrame, queries: DataFrame, k: int = 10) -> D
     grams = vocabulary.select("word", "topics", _trigrams("word"))
     chosen = cut(narrowest_terms(q.select("query_id", F.explode(F.array_distinct("terms")).alias("term")), grams))
     terms = chosen.select("term", "gram").distinct()
-    has = F.contains("word", F.col("term"))
-    words = terms.join(grams, "gram").where(has).select("term", "word").unionByName(terms.where("gram is null").join(vocabulary, has).select("term", "word"))
+    short = vocabulary.select("word", F.explode(F.array_distinct(F.concat(_runs("word", 1), _runs("word", 2)))).alias("term"))
+    words = terms.join(grams, "gram").where(F.contains("word", F.col("term"))).select("term", "word")
+    words = words.unionByName(terms.where("gram is null").select("term").join(short, "term").select("term", "word"))
     candidates = chosen.select("query_id", "term").join(words, "term").join(inverted, "word").select("query_id", "doc", "topic_index").distinct()
     s = score(F.col("q"), F.col("terms"))
     # the query comes to its candidates before the topics' texts do, which are shuffled once and not again for each candidate
