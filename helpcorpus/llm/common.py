@@ -43,14 +43,19 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, by: str, codec: str = "snappy") -> tuple[DataFrame, str]:
-    """written, laid out in buckets by a column, so that joins and groups by it need no shuffle of this side; and its name in the catalog, to be dropped when it has been read."""
+def bucketed(df: DataFrame, by: str, codec: str = "zstd") -> DataFrame:
+    """written, laid out in buckets by a column, so that joins and groups by it need no shuffle of this side.
+
+    Only the catalog knows of buckets, so the table has a name there until it has been looked up.
+    """
     spark = df.sparkSession
     name = f"helpcorpus_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     TABLES.append(path)
     df.write.option("path", path).option("compression", codec).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(name)
-    return spark.table(name), name
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 #: The tables that this process has written and not cleared.
@@ -120,19 +125,25 @@ def ranked(df: DataFrame, order: list[str], first: int = 0, name: str = "name")
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """rows(k1, k2, rid, ...), written, with occ: 0, 1, ... among the rows of equal (k1, k2), in the order of rid.
+    """rows(k1, k2, ...), written, with rid and occ: 0, 1, ... among the rows of equal (k1, k2).
 
-    rid is monotonically_increasing_id(), so its high bits are a partition's. A repeated row is
-    numbered partition by partition, from the number of its like in those before: a task holds one
-    partition's share of a group only.
+    A repeated row is numbered partition by partition, from the number of its like in those before, so
+    a task holds one partition's share of a group only. The numbers come back to the rows as one array
+    for each partition; rows are laid out by partition and are not shuffled.
     """
-    twins = written(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2"))
-    d = rows.select("k1", "k2", "rid", F.shiftright("rid", 33).alias("pid")).join(twins, ["k1", "k2"])
+    rows = rows.withColumn("rid", F.monotonically_increasing_id())
+    rows = bucketed(rows.withColumn("pid", F.shiftright("rid", 33)), "pid")
+    narrow = rows.select("k1", "k2", "rid", "pid")
+    twins = written(narrow.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2"))
+    d = narrow.join(twins, ["k1", "k2"])
     per = d.groupBy("k1", "k2", "pid").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("k1", "k2").orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     at = F.row_number().over(Window.partitionBy("k1", "k2", "pid").orderBy("rid")) - 1
-    found = written(d.withColumn("at", at).join(per.withColumn("before", before).drop("n"), ["k1", "k2", "pid"]).select("rid", (F.col("at") + F.col("before")).alias("occ")).where("occ > 0"))
-    return rows.join(found, "rid", "left").withColumn("occ", F.coalesce("occ", F.lit(0)).cast("long"))
+    found = d.withColumn("at", at).join(per.withColumn("before", before).drop("n"), ["k1", "k2", "pid"]).select("rid", (F.col("at") + F.col("before")).alias("occ")).where("occ > 0")
+    every = narrow.select("rid", "pid").join(found, "rid", "left").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("rid", F.coalesce("occ", F.lit(0)).alias("occ")))).alias("x"))
+    every = written(every.select("pid", F.col("x.occ").alias("occs")))
+    at = F.col("rid").bitwiseAND(F.lit((1 << 33) - 1)).cast("int")
+    return rows.join(every.hint("shuffle_hash"), "pid").withColumn("occ", F.get("occs", at).cast("long")).drop("occs", "pid")
 
 
 def row_keys(docs: DataFrame, seed: int) -> list[Column]:

@@ -150,22 +150,33 @@ def _binned(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.floor(np.log2(np.maximum(p, 1e-300)) * BINS), NONE).astype(np.int64)
 
 
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    distinct, at = np.unique(np.concatenate(codes), return_inverse=True)
+    sums = np.zeros(len(distinct), np.int64)
+    np.add.at(sums, at, np.concatenate(counts))
+    return distinct, sums
+
+
 def _held_out(n_all: int):
-    """Counts of left-out tokens by bucket and binned estimates."""
-    schema = _arrow("bucket long, two long, one long, n long")
+    """Counts of left-out tokens by bucket and binned estimates; a cell is one number while it is counted."""
+    schema, bits = _arrow("bucket long, two long, one long, n long"), 20
+    zero = 1 << (bits - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, int] = defaultdict(int)
+        codes, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for b in batches:
             for row in b.to_pylist():
                 word, context, both, _, learn = _counted(row)
                 w, c, p = word[learn] - 1, context[learn] - 1, both[learn] - 1
-                cells = np.stack([bucket(c), _binned(p / np.maximum(c, 1)), _binned(w / max(n_all - 1, 1))])
-                cells, n = np.unique(cells, axis=1, return_counts=True)
-                for *cell, m in zip(*cells.tolist(), n.tolist(), strict=True):
-                    sums[tuple(cell)] += m
-        rows = [(*k, v) for k, v in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], schema=schema)
+                code = (bucket(c).astype(np.int64) << 2 * bits) + ((_binned(p / np.maximum(c, 1)) + zero) << bits) + _binned(w / max(n_all - 1, 1)) + zero
+                found, n = np.unique(code, return_counts=True)
+                codes.append(found)
+                counts.append(n)
+            codes, counts = ([x] for x in _summed(codes, counts))
+        code, n = codes[0], counts[0]
+        mask = (1 << bits) - 1
+        cells = [code >> 2 * bits, ((code >> bits) & mask) - zero, (code & mask) - zero, n]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cells], schema=schema)
 
     return run
 
@@ -229,16 +240,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     d = stable(docs, id_col, text_col)
     for salt in range(8):
         # laid out by chunk once, so that counts come to chunks and no chunk is shuffled
-        chunks, name = bucketed(d.mapInArrow(partial(_chunks, salt), _CHUNK), "chunk")
+        chunks = bucketed(d.mapInArrow(partial(_chunks, salt), _CHUNK), "chunk", "snappy")
         n_tokens = chunks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0]
         if n_tokens is None:
-            spark.sql(f"DROP TABLE {name}")
             return spark.createDataFrame([], out)
         # a range holds some two million bigrams
         n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_tokens / 2_000_000))
         replies = packed.totals(chunks.mapInArrow(_asked(salt, n_parts), packed.REQUEST))
         table = written(chunks.drop("checks").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_resolve(salt), _RESOLVED), "snappy")
-        spark.sql(f"DROP TABLE {name}")
         n_keys, n_all, clashes = table.agg(F.sum("n_keys"), F.sum("n_all"), F.sum("clashes")).first()
         if not clashes:
             break

@@ -62,7 +62,7 @@ def _mixed(docs: DataFrame, max_repeats: float | None, entropy: float | None, bu
     source, text = column(source_col), F.coalesce(column(text_col), F.lit(""))
     by = F.struct(source.isNull().alias("none"), F.coalesce(source.cast("string"), F.lit("")).alias("name"))
     d = docs.select(whole(docs).alias("row"), by.alias("s"), word_count(text).alias("n"), *row_keys(docs, seed))
-    d = written(d.withColumn("rid", F.monotonically_increasing_id()))
+    d = occurrences(d)
     sources = written(d.groupBy("s").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")))
     alpha = exponent(sources, max_repeats, entropy)
     top = W.partitionBy()
@@ -76,7 +76,7 @@ def _mixed(docs: DataFrame, max_repeats: float | None, entropy: float | None, bu
     w = w.withColumn("rest", F.when(F.col("epochs") - F.col("full") > 1e-9, F.floor((F.col("epochs") - F.col("full")) * F.col("tokens"))).otherwise(0).cast("long"))
     plan = written(w.select("s", "weight", "full", "rest", F.greatest(F.ceil(F.col("tokens") / block_tokens), F.ceil(F.col("rows") / block_tokens), F.lit(1)).alias("n_blocks")))
     rank = F.xxhash64(F.lit(seed + 1), "k1", "k2", "occ")
-    placed = occurrences(d).join(plan, "s").withColumn("rank", rank).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "k1", "k2", "occ"), "n_blocks").cast("int"))
+    placed = d.join(plan, "s").withColumn("rank", rank).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "k1", "k2", "occ"), "n_blocks").cast("int"))
     # blocks of the epoch that the budget cuts, in permuted order; ranges of that order are summed first, so no task orders all blocks of a source
     key = F.xxhash64(F.lit(seed), "s", "block", "full")
     blocks = placed.groupBy("s", "block", "full", "rest").agg(F.sum("n").alias("in_block")).withColumn("key", key).withColumn("group", F.shiftright("key", 64 - GROUP_BITS))

@@ -28,10 +28,10 @@ def _dealt(docs: DataFrame, n_shards: int, seed: int, id_col: str, text_col: str
     """row (docs' columns as a struct) with size, crc, shard, slot."""
     text = F.coalesce(column(text_col), F.lit(""))
     scattered = docs.select(whole(docs).alias("row"), column(id_col).cast("long").alias("id"), F.octet_length(text).cast("long").alias("n"), F.crc32(text.cast("binary")).alias("crc"), *row_keys(docs, seed))
-    scattered = written(scattered.withColumn("rid", F.monotonically_increasing_id()))
+    scattered = occurrences(scattered)
     total = scattered.agg(F.sum(F.col("n") + ROW_BYTES)).first()[0] or 0
     n_buckets = max(1, math.ceil(total / bucket_bytes))
-    scattered = occurrences(scattered).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "k1", "k2", "occ"), F.lit(n_buckets)).cast("int"))
+    scattered = scattered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "k1", "k2", "occ"), F.lit(n_buckets)).cast("int"))
     # one row per bucket: its size follows the number of buckets, not of rows
     order = W.orderBy(F.xxhash64(F.lit(seed), "bucket"), "bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     counts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket"))
