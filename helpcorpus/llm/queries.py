@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .decontaminate import contamination
+from .divergence import source_divergence
 from .exactdedup import exact_dedup
+from .filteraudit import filter_audit
 from .jaccard import jaccard_components
 from .lm import score
 from .mixing import mix
@@ -18,6 +20,7 @@ from .quality import quality
 from .sharding import shuffle_shards
 from .tokencount import token_counts
 from .toxicity import toxicity
+from .warc import warc_round_trip
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +67,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.round("_weight", 9).alias("weight"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(read(spark, sf_dir, "pages"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op")]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
@@ -77,6 +92,47 @@ WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEF
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+            g AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS first FROM p)
+            SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+                   array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       1 + ((CAST('0x' || substr(x, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31), 1)), '') AS payload_digest,
+                   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+            FROM g""",
+        "op12_source_divergence": """
+            WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, doc_id,
+                              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+            t AS (SELECT lang, source, doc_id, unnest(w) AS term FROM d),
+            k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+            c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+            g AS (SELECT lang, source, coalesce((SELECT sum(c.n) FROM c WHERE c.lang = s.lang AND c.source = s.source), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) s),
+            v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+            f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + v.v))::HUGEINT AS p, (1 + 1000000000::HUGEINT * (k.n + 1) // (v.total + v.v))::HUGEINT AS l
+                  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+            pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+                      FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+            every AS (SELECT a.lang, a.source, b.source AS item, coalesce(p.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                      LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+            terms AS (SELECT lang, source, term AS item, ((p - l) * (p - l) // l)::BIGINT AS value FROM f WHERE n > 0 AND p > l),
+            x AS (SELECT lang, source, 'pair' AS part, item, value FROM every UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+            SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+            FROM x QUALIFY part = 'pair' OR rank <= 200""",
+        "op13_filter_interaction": """
+            WITH RECURSIVE w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+            f AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+                         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM w),
+            m AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+            s AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN m USING (doc_id) GROUP BY ALL),
+            perms AS (SELECT '' AS o UNION ALL SELECT o || x FROM perms, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+            o AS (SELECT o, unnest(range(1, 6)) AS step FROM perms WHERE length(o) = 5),
+            e AS (SELECT s.*, o.o, o.step, contains(fails, substr(o, step, 1)) AS own, len(list_filter(range(1, step), lambda i: contains(fails, substr(o, i, 1)))) > 0 AS earlier FROM s, o)
+            SELECT part, o AS filter_order, CAST(step AS INT) AS step, sum(CASE WHEN own OR earlier THEN 0 ELSE n END)::BIGINT AS kept, sum(CASE WHEN own AND NOT earlier THEN n ELSE 0 END)::BIGINT AS removed,
+                   sum(CASE WHEN own AND earlier THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN own AND length(fails) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                   sum(CASE WHEN own AND NOT earlier THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN own AND NOT earlier THEN toxic ELSE 0 END)::BIGINT AS toxic_lost,
+                   sum(CASE WHEN own THEN n * 120 // length(fails) ELSE 0 END)::BIGINT AS shapley
+            FROM e GROUP BY part, o, step""",
         "op6_ngram_jaccard_join": f"""
             WITH RECURSIVE t AS (SELECT doc_id, {WORDS} AS w FROM documents),
             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
