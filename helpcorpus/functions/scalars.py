@@ -20,13 +20,12 @@ def hash_weight(byte: int) -> int:
 
 def wrap32(x: Column) -> Column:
     """A BIGINT as a wrapped signed 32-bit number."""
-    u = F.pmod(x, F.lit(1 << 32))
-    return F.when(u >= (1 << 31), u - (1 << 32)).otherwise(u)
+    return F.shiftright(F.shiftleft(x, 32), 32)
 
 
 def context_hash(name: Column) -> Column:
     """The wrapped 32-bit hash of a context name's bytes; 1 for the empty name, null for null."""
-    weights = F.array(*[F.lit(hash_weight(b)).cast("long") for b in range(256)])
+    weights = F.expr(f"array({', '.join(f'{hash_weight(b)}L' for b in range(256))})")  # one literal once it is folded
     code = lambda i: F.conv(F.hex(F.substring(F.encode(name, "UTF-8"), i, F.lit(1))), 16, 10).cast("int")
     n = F.octet_length(name)
     total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0).cast("long"), lambda h, i: F.pmod(h * 43 + F.get(weights, code(i)), F.lit(1 << 32)))
@@ -66,6 +65,35 @@ def path_identity(path: Column) -> Column:
     return F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
 
 
+def file_name(path: Column) -> Column:
+    """The last part of a path."""
+    return F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1)
+
+
+def dotless(path: Column) -> Column:
+    """A path with `/`, without empty parts and `.`, and without `..` where a folder stands before it; a leading `/` stays."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    start = F.array().cast("array<string>")
+
+    def walk(kept: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(kept) > 0) & (F.coalesce(F.get(kept, F.size(kept) - 1), F.lit("")) != "..")
+        return F.when(part.isin("", "."), kept).when(up, F.slice(kept, 1, F.size(kept) - 1)).otherwise(F.array_append(kept, part))
+
+    parts = F.array_join(F.aggregate(F.split(p, "/"), start, walk), "/")
+    return F.concat(F.when(p.startswith("/"), "/").otherwise(""), parts)
+
+
+def document_identity(path: Column) -> Column:
+    """What two spellings of a document's path have in common."""
+    return path_identity(dotless(path))
+
+
+def linked_identity(current: Column, target: Column) -> Column:
+    """The identity of the document that a reference names: the linking one where it names none."""
+    named = F.trim(F.coalesce(target, F.lit(""))) != ""
+    return F.when(named, document_identity(external_path(current, target))).otherwise(document_identity(current))
+
+
 def relative_only(path: Column) -> Column:
     """May be followed without asking: not blank, no leading separator, no drive."""
     p = F.trim(F.coalesce(path, F.lit("")))

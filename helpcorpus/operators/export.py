@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import export_label, html_escape, js_string
+from ..functions.ordering import numbered, read_lines, write_lines
+from ..functions.scalars import export_label, file_name, html_escape, js_string
+
+#: Parts of a site that register actions, in the order in which they do.
+SECTIONS = ("topics", "contents", "listing", "index")
+PARTS = ("topics", "manifest", "documents", "contents", "listing", "index", "search", "actions")
 
 
 def _range_tokens(specs: DataFrame) -> DataFrame:
@@ -59,14 +63,47 @@ def program_ops(calls: DataFrame, by: list[str]) -> DataFrame:
     return d.select(*by, F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["call"]), ","), F.lit("]")).alias("ops"))
 
 
+def link_actions(spots: DataFrame) -> DataFrame:
+    """The actions of links in texts, which come first in an export. See site_actions."""
+    return spots.select(F.lit(0).alias("section"), F.col("doc").alias("grp"), F.lit("").alias("sub"), F.col("pos").cast("long").alias("seq"), "kind", "dst_doc", "topic_index", "mode", "win_name", "ops", "message")
+
+
+def site_actions(spots: DataFrame, contents: DataFrame, topics: DataFrame, destinations: DataFrame) -> DataFrame:
+    """The actions that a site's parts register: (section, grp, sub, seq) is their order, then what action_registry reads.
+
+    spots(doc, pos, kind, dst_doc, topic_index, mode, win_name, ops, message): links in texts, by the place
+    of their run; contents(doc, line, target_doc, topic_index, mode, win): lines, of which those that lead
+    somewhere open it; topics(doc, topic_index) are opened from their listing; destinations(key, doc,
+    topic_index) from the keyword index.
+    """
+    text = lambda c: F.col(c) if c else F.lit(None).cast("string")
+
+    def opened(d: DataFrame, section: str, grp: str, sub: str | None, seq: str, doc: str, mode: str | None = None, win: str | None = None) -> DataFrame:
+        m = F.coalesce(text(mode), F.lit("main"))
+        return d.select(F.lit(SECTIONS.index(section)).alias("section"), F.col(grp).alias("grp"), F.coalesce(text(sub), F.lit("")).alias("sub"), F.col(seq).cast("long").alias("seq"), F.lit("open").alias("kind"), F.col(doc).alias("dst_doc"), "topic_index", m.alias("mode"), text(win).alias("win_name"), text(None).alias("ops"), text(None).alias("message"))
+
+    lines = opened(contents.where("topic_index is not null"), "contents", "doc", None, "line", "target_doc", "mode", "win")
+    listing = opened(topics, "listing", "doc", None, "topic_index", "doc")
+    index = opened(destinations, "index", "key", "doc", "topic_index", "doc")
+    return link_actions(spots).unionByName(lines).unionByName(listing).unionByName(index)
+
+
 def action_registry(actions: DataFrame) -> DataFrame:
-    """(doc, action_id, json): ids without gaps in the order of registration; open, program and noop actions. actions(doc, source_rank, seq, kind, dst_doc, topic_index, mode, win_name, ops, message)"""
-    order = W.partitionBy("doc").orderBy("source_rank", "seq")
+    """(section, grp, sub, seq, action_id, json): ids of the whole export without gaps, in the order of registration; open, program and noop actions. See site_actions."""
     window = F.when(F.col("win_name").isNotNull(), F.concat(F.lit(",window:"), js_string(F.col("win_name")))).otherwise("")
     opened = F.concat(F.lit("{kind:\"open\",doc:"), js_string(F.col("dst_doc")), F.lit(",topic:"), F.col("topic_index").cast("string"), F.lit(",mode:\""), "mode", F.lit("\""), window, F.lit("}"))
     program = F.concat(F.lit("{kind:\"program\",ops:"), F.coalesce("ops", F.lit("[]")), F.lit("}"))
     json = F.when(F.col("kind") == "open", opened).when(F.col("kind") == "program", program).otherwise(F.concat(F.lit('{kind:"noop",message:'), js_string(F.col("message")), F.lit("}")))
-    return actions.select("doc", (F.row_number().over(order) - 1).alias("action_id"), json.alias("json"))
+    order = ["section", "grp", "sub", "seq"]
+    return numbered(actions.select(*order, json.alias("json")), order, "action_id").select(*order, "action_id", "json")
+
+
+def with_actions(rows: DataFrame, registry: DataFrame, section: str, grp: str, seq: str, sub: str | None = None) -> DataFrame:
+    """rows with the action_id that they registered, null for rows that have none."""
+    ids = registry.where(F.col("section") == SECTIONS.index(section)).select(F.col("grp").alias("_grp"), F.col("sub").alias("_sub"), F.col("seq").alias("_seq"), "action_id")
+    on = (F.col(grp) == F.col("_grp")) & (F.col(seq) == F.col("_seq"))
+    on = on & (F.col(sub) == F.col("_sub")) if sub else on
+    return rows.join(ids, on, "left").drop("_grp", "_sub", "_seq")
 
 
 def topic_manifest(topics: DataFrame, neighbors: DataFrame) -> DataFrame:
@@ -78,32 +115,57 @@ def topic_manifest(topics: DataFrame, neighbors: DataFrame) -> DataFrame:
 
 
 def documents_manifest(docs: DataFrame, topics: DataFrame) -> DataFrame:
-    """(doc, json): name, title (the name where blank) and number of topics. The topics' own lines are topic_manifest, so no document's list has to fit one row."""
+    """(doc, json): name, title (the file's name where blank) and number of topics. The topics' own lines are topic_manifest, so no document's list has to fit one row."""
     n = topics.groupBy("doc").agg(F.count(F.lit(1)).alias("topics"))
-    title = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", F.col("doc")).otherwise(F.col("title"))
-    return docs.join(n, "doc", "left").select("doc", F.to_json(F.struct(F.col("doc").alias("name"), title.alias("title"), F.coalesce("topics", F.lit(0)).alias("topics"))).alias("json"))
+    title = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", file_name(F.col("doc"))).otherwise(F.col("title"))
+    return docs.join(n, "doc", "left").select("doc", F.to_json(F.struct(file_name(F.col("doc")).alias("name"), title.alias("title"), F.coalesce("topics", F.lit(0)).alias("topics"))).alias("json"))
+
 
+def output_path(path: str) -> str:
+    """The same path with the extension html."""
+    folder, slash, name = path.rpartition("/")
+    stem, dot, ending = name.rpartition(".")
+    return path if dot and stem and ending.lower() == "html" else f"{folder}{slash}{stem if dot and stem else name}.html"
 
-def export_site(path: str, docs: DataFrame, topics: DataFrame, warnings: DataFrame, html: DataFrame, manifest: DataFrame, actions: DataFrame, contents: DataFrame, index: DataFrame) -> DataFrame:
-    """Writes the site's parts, rows of text by document: topics (sections), manifest, actions, contents, index; and documents.
 
-    manifest and actions have json; contents(doc, line, path) and index(key, keyword, n) are written as
-    JSON. Returns (document_count, topic_count, warning_count).
+def export_site(
+    path: str, docs: DataFrame, topics: DataFrame, warnings: DataFrame, runs: DataFrame, spots: DataFrame, neighbors: DataFrame, contents: DataFrame, keywords: DataFrame, destinations: DataFrame
+) -> DataFrame:
+    """Writes a site under path, whose name gets the extension html; returns (path, document_count, topic_count, warning_count).
+
+    Its parts are lines of text in order (see write_lines): topics (sections), manifest, documents, contents,
+    listing, index, search, and the actions, whose line n is action n. Links in sections, lines of
+    contents, of the listing and of the index carry the ids of their actions. runs(doc, topic_index, pos,
+    region, text, tooltip): the runs of texts, spots the links among them; neighbors(doc, topic_index,
+    browse_prev, browse_next), contents(doc, line, level, title, target_doc, topic_index, mode, win),
+    keywords(key, keyword), destinations(key, doc, topic_index).
     """
-    by_doc = {"topics": html.select("doc", F.col("html").alias("value")), "manifest": manifest.select("doc", F.col("json").alias("value")), "actions": actions.select("doc", F.col("json").alias("value")), "contents": contents.select("doc", F.to_json(F.struct("line", "path")).alias("value"))}
-    for part, d in by_doc.items():
-        d.write.mode("overwrite").partitionBy("doc").text(f"{path}/{part}")
-    documents_manifest(docs, topics).select("json").write.mode("overwrite").text(f"{path}/documents")
-    index.select(F.to_json(F.struct("key", "keyword", "n"))).write.mode("overwrite").text(f"{path}/index")
+    path = output_path(path)
+    registry = action_registry(site_actions(spots, contents, topics, destinations))
+    number = F.coalesce(F.col("action_id").cast("string"), F.lit("null"))
+    line = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else p for i, p in enumerate(parts)])
+    label = js_string(export_label(F.col("title"), F.col("topic_index")))
+    sections = render_topic_html(with_actions(runs, registry, "topics", "doc", "pos"))
+    tree = with_actions(contents.drop("topic_index"), registry, "contents", "doc", "line").withColumn("value", line("{level:", F.col("level").cast("string"), ",title:", js_string(F.col("title")), ",action:", number, "}"))
+    listing = with_actions(topics.select("doc", "topic_index", "title"), registry, "listing", "doc", "topic_index").withColumn("value", line("{title:", label, ",action:", number, "}"))
+    index = with_actions(destinations, registry, "index", "key", "topic_index", "doc").join(keywords.select("key", "keyword"), "key").withColumn("value", line("{keyword:", js_string(F.col("keyword")), ",action:", number, "}"))
+    search = topics.withColumn("value", line("{doc:", js_string(F.col("doc")), ",topic:", F.col("topic_index").cast("string"), ",title:", label, ",text:", js_string(F.col("plain_text")), "}"))
+    place = ["doc", "topic_index"]
+    parts = {
+        "topics": (sections.withColumn("value", F.replace("html", F.lit("\n"), F.lit("&#10;"))), place), "manifest": (topic_manifest(topics, neighbors).withColumnRenamed("json", "value"), place), "documents": (documents_manifest(docs, topics).withColumnRenamed("json", "value"), ["doc"]),
+        "contents": (tree, ["doc", "line"]), "listing": (listing, place), "index": (index, ["key", "doc", "topic_index"]), "search": (search, place), "actions": (registry.withColumnRenamed("json", "value"), ["action_id"]),
+    }
+    for part, (d, order) in parts.items():
+        write_lines(d, order, f"{path}/{part}")
     one = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
-    return one(docs, "document_count").crossJoin(one(topics, "topic_count")).crossJoin(one(warnings, "warning_count"))
+    return one(docs, "document_count").crossJoin(one(topics, "topic_count")).crossJoin(one(warnings, "warning_count")).select(F.lit(path).alias("path"), "*")
 
 
 def read_site(spark: SparkSession, path: str) -> DataFrame:
-    """(part, value): the lines of all parts of a written site."""
+    """(part, nth, value): the lines of all parts of a written site, with their places from 0."""
     out = None
-    for part in ("topics", "manifest", "actions", "contents", "documents", "index"):
-        d = spark.read.option("lineSep", "\n").text(f"{path}/{part}").select(F.lit(part).alias("part"), "value")
+    for part in PARTS:
+        d = read_lines(spark, f"{output_path(path)}/{part}").select(F.lit(part).alias("part"), "nth", "value")
         out = d if out is None else out.unionByName(d)
     return out
 
@@ -118,5 +180,10 @@ def dump_lines(**sections: DataFrame) -> DataFrame:
 
 
 def write_dump(path: str, lines: DataFrame) -> None:
-    """The report by document, its lines in order."""
-    lines.repartition("doc").sortWithinPartitions("doc", "section", "seq").select("doc", F.col("line").alias("value")).write.mode("overwrite").partitionBy("doc").text(path)
+    """The report of all documents, in the order of document, section and seq; each line after its document and a tab."""
+    write_lines(lines.withColumn("value", F.concat("doc", F.lit("\t"), "line")), ["doc", "section", "seq", "line"], path)
+
+
+def read_dump(spark: SparkSession, path: str) -> DataFrame:
+    """(nth, doc, line): the report's lines in order."""
+    return read_lines(spark, path).select("nth", F.substring_index("value", "\t", 1).alias("doc"), F.expr("substring(value, instr(value, '\t') + 1)").alias("line"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..functions.scalars import context_hash, export_label, path_identity, relative_only
+from ..functions.scalars import context_hash, document_identity, export_label, linked_identity, relative_only
 from .resolve import default_window_for_topic, resolve_context_hash, resolve_topic_offset, resolve_window
+from .topics import topic_start_offsets
 
 # The most documents of a closure, and of a catalog's neighbours.
 CLOSURE, CATALOG = 32, 32
@@ -33,22 +36,46 @@ def describe_hotspots(hotspots: DataFrame) -> DataFrame:
     return hotspots.withColumn("description", text)
 
 
-def resolve_hotspots(hotspots: DataFrame, contexts: DataFrame, anchors: DataFrame, known_docs: DataFrame) -> DataFrame:
-    """hotspots with dst_doc and dst_topic. A hash that no context has is tried as an offset; an external link has to lead to a known document."""
-    d = hotspots.withColumn("_file", F.when(F.col("kind") == "External", F.lower("help_file")).otherwise(F.col("doc")))
-    d = d.join(known_docs.select(F.col("doc").alias("_file"), F.col("doc").alias("dst_doc")), "_file", "left").drop("_file")
+def documents_by_identity(known_docs: DataFrame) -> DataFrame:
+    """(identity, dst_doc): known documents by their path without case, dots and kinds of separators; the first of those that have one."""
+    return known_docs.groupBy(document_identity(F.col("doc")).alias("identity")).agg(F.min("doc").alias("dst_doc"))
+
+
+def resolve_hotspots(hotspots: DataFrame, contexts: DataFrame, anchors: DataFrame, known_docs: DataFrame, default_windows: DataFrame, windows: DataFrame) -> DataFrame:
+    """hotspots with dst_doc, dst_topic, mode and win, and with the popup that is in force.
+
+    Internal offsets and hashes lead within the document; a hash that leads to no context's topic is
+    tried as an offset. An external link leads to the known document that its file names from the linking one's folder, to the
+    linking one itself without a file. An even opcode makes it a popup. A destination's mode follows from the
+    window that an external link asks for or its topic has; unresolved links have none. hotspots(doc,
+    topic_index, seq, kind, topic_offset, hash, popup, opcode, help_file, win_name, win_number)
+    """
+    external = F.col("kind") == "External"
+    d = hotspots.withColumn("identity", F.when(external, linked_identity(F.col("doc"), F.col("help_file")))).join(documents_by_identity(known_docs), "identity", "left").drop("identity")
+    d = d.withColumn("dst_doc", F.when(external, F.col("dst_doc")).otherwise(F.col("doc"))).withColumn("popup", F.when(external, F.coalesce(F.col("opcode") % 2 == 0, F.lit(False))).otherwise(F.col("popup")))
     d = d.withColumnRenamed("doc", "_src").withColumnRenamed("dst_doc", "doc")
     by_hash = resolve_context_hash(d.withColumn("_h", F.when(F.col("kind") == "ContextHash", F.col("hash"))), contexts, anchors, "_h", "_t1").drop("_h")
-    offset = F.when(F.col("kind") == "ContextHash", F.col("hash").cast("long")).otherwise(F.col("topic_offset"))
+    offset = F.when(F.col("kind") == "ContextHash", F.when(F.col("_t1").isNull(), F.col("hash").cast("long"))).otherwise(F.col("topic_offset"))
     both = resolve_topic_offset(by_hash.withColumn("_o", offset), anchors, "_o", "_t2").drop("_o")
-    return both.withColumn("dst_topic", F.coalesce("_t1", "_t2")).drop("_t1", "_t2").withColumnRenamed("doc", "dst_doc").withColumnRenamed("_src", "doc")
+    found = both.withColumn("dst_topic", F.coalesce("_t1", "_t2")).drop("_t1", "_t2").withColumnRenamed("doc", "dst_doc").withColumnRenamed("_src", "doc")
+    asked = [F.when(external, F.col(c)).alias(c) for c in ("win_name", "win_number")]
+    return topic_mode(found.select(*[c for c in found.columns if c not in ("win_name", "win_number")], *asked), anchors, default_windows, windows)
+
+
+def topic_mode(edges: DataFrame, anchors: DataFrame, default_windows: DataFrame, windows: DataFrame) -> DataFrame:
+    """edges(dst_doc, dst_topic, popup, win_name, win_number) with mode and win of their topic; none where there is no topic."""
+    starts = topic_start_offsets(anchors.select("doc", "topic_index").distinct(), anchors).select(F.col("doc").alias("dst_doc"), F.col("topic_index").alias("dst_topic"), F.col("start_offset").alias("dst_offset"))
+    d = link_mode(edges.join(starts, ["dst_doc", "dst_topic"], "left"), default_windows, windows).drop("dst_offset")
+    there = F.col("dst_topic").isNotNull()
+    return d.withColumn("mode", F.when(there, F.col("mode"))).withColumn("win", F.when(there, F.col("win")))
 
 
 def link_mode(edges: DataFrame, default_windows: DataFrame, windows: DataFrame) -> DataFrame:
     """edges with mode and win: popup; an explicit window other than main is secondary; else the target's default window decides. edges(dst_doc, dst_offset, popup, win_name, win_number)"""
     d = edges.withColumnRenamed("doc", "_src").withColumnRenamed("dst_doc", "doc")
     d = resolve_window(d, windows).withColumnRenamed("win", "_explicit")
-    d = _with_default(d, default_windows, windows)
+    by_offset = default_window_for_topic(default_windows.select("doc", F.col("topic_offset").alias("start_offset")).distinct(), default_windows, windows)
+    d = d.join(by_offset.select("doc", F.col("start_offset").alias("dst_offset"), F.col("win_ordinal").alias("_default"), F.col("win_name").alias("_default_name")), ["doc", "dst_offset"], "left")
     named = windows.select("doc", F.col("ordinal").alias("_explicit"), F.lower("name").alias("_explicit_name"))
     d = d.join(named, ["doc", "_explicit"], "left")
     explicit_main = F.coalesce(F.lower("win_name") == "main", F.lit(False)) | F.coalesce(F.col("_explicit_name") == "main", F.lit(False))
@@ -56,16 +83,10 @@ def link_mode(edges: DataFrame, default_windows: DataFrame, windows: DataFrame)
     default_other = F.col("_default").isNotNull() & ~F.coalesce(F.lower("_default_name") == "main", F.lit(False))
     mode = F.when(F.col("popup"), "popup").when(asked & ~explicit_main, "secondary").when(explicit_main, "main").when(default_other, "secondary").otherwise("main")
     win = F.when(F.col("popup"), None).when(asked & ~explicit_main, F.col("_explicit")).when(explicit_main, None).when(default_other, F.col("_default"))
-    d = d.withColumn("mode", mode).withColumn("win", win.cast("int"))
+    d = d.withColumns({"mode": mode, "win": win.cast("int")})
     return d.drop("_explicit", "_explicit_name", "_default", "_default_name").withColumnRenamed("doc", "dst_doc").withColumnRenamed("_src", "doc")
 
 
-def _with_default(d: DataFrame, default_windows: DataFrame, windows: DataFrame) -> DataFrame:
-    keys = d.select("doc", F.col("dst_offset").alias("start_offset")).distinct()
-    found = default_window_for_topic(keys, default_windows, windows).select("doc", F.col("start_offset").alias("dst_offset"), F.col("win_ordinal").alias("_default"), F.col("win_name").alias("_default_name"))
-    return d.join(found, ["doc", "dst_offset"], "left")
-
-
 def unresolved_hotspots(resolved: DataFrame) -> DataFrame:
     """(doc, topic_index, seq, message) of links that lead nowhere."""
     unsigned = F.lpad(F.hex(F.pmod(F.col("hash").cast("long"), F.lit(1 << 32))), 8, "0")
@@ -76,6 +97,11 @@ def unresolved_hotspots(resolved: DataFrame) -> DataFrame:
     return resolved.where("dst_topic is null").select("doc", "topic_index", "seq", message.alias("message"))
 
 
+def unresolved_counts(unresolved: DataFrame) -> DataFrame:
+    """(doc, n): how many links of a document lead nowhere."""
+    return unresolved.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+
+
 def referenced_files(refs: DataFrame) -> DataFrame:
     """(doc, rank, help_file): files that a document names, distinct without case, the spelling and order first seen. refs(doc, source_rank, ord, help_file)"""
     seen = refs.where("trim(help_file) <> ''").groupBy("doc", F.lower("help_file").alias("_k")).agg(F.min(F.struct("source_rank", "ord", "help_file")).alias("f"))
@@ -89,38 +115,53 @@ def reference_policy(refs: DataFrame) -> DataFrame:
 def linked_file_closure(seeds: DataFrame, refs: DataFrame, known_docs: DataFrame, cap: int | None = CLOSURE) -> tuple[DataFrame, DataFrame]:
     """Breadth-first reach from each seed: (root, doc, hop, rank), and (root, doc, help_file, warning).
 
-    refs(doc, rank, help_file). Order within a hop is by the referrer's place and the reference's rank;
-    beyond the cap a document is named as skipped. A hop is one join and one anti-join.
+    refs(doc, rank, help_file); a file is looked up from its referrer's folder among the known documents.
+    Order within a hop is by the referrer's place and the reference's rank. Beyond the cap a document is
+    named as skipped, one that is not known as one that cannot be opened, each once for its referrer. A
+    hop is one join and one anti-join; what it found and skipped is written, so no plan grows with hops.
     """
-    order = F.struct(F.lit(0).alias("up"), F.lit(0).alias("nth"))
-    reached = cut(seeds.select(F.col("doc").alias("root"), "doc", F.lit(0).alias("hop"), F.lit(1).alias("rank")).distinct())
-    frontier, warnings, hop = reached, None, 0
-    edges = refs.select("doc", "rank", "help_file", path_identity(F.col("help_file")).alias("next"), relative_only(F.col("help_file")).alias("allowed"))
-    edges = edges.join(known_docs.select(F.col("doc").alias("next"), F.lit(True).alias("known")), "next", "left")
+    known = documents_by_identity(known_docs)
+    edges = refs.select("doc", "rank", "help_file", linked_identity(F.col("doc"), F.col("help_file")).alias("identity"), relative_only(F.col("help_file")).alias("allowed")).where("trim(help_file) <> ''")
+    edges = cut(edges.join(known, "identity", "left").select("doc", F.col("rank").alias("nth"), "help_file", "allowed", F.col("dst_doc").alias("next")))
+    roots = seeds.withColumn("identity", document_identity(F.col("doc"))).join(known, "identity", "left").select(F.coalesce("dst_doc", "doc").alias("doc")).distinct()
+    reached = cut(roots.select(F.col("doc").alias("root"), "doc", F.lit(0).alias("hop"), F.lit(1).alias("rank")))
+    frontier, refused, hop = reached, [], 0
     while True:
         hop += 1
         step = frontier.select("root", "doc", F.col("rank").alias("up")).join(edges, "doc")
-        refused = step.where("not allowed or known is null").select("root", "doc", "help_file", F.when(~F.col("allowed"), "skipped: not a relative path").otherwise("skipped: cannot be opened").alias("warning"))
-        order = F.struct("up", F.col("rank").alias("nth"))
-        new = step.where("allowed and known").groupBy("root", F.col("next").alias("doc")).agg(F.min(order).alias("place")).join(reached.select("root", "doc"), ["root", "doc"], "left_anti")
+        why = F.when(~F.col("allowed"), "skipped: not a relative path").when(F.col("next").isNull(), "skipped: cannot be opened")
+        new = step.where("allowed and next is not null").groupBy("root", F.col("next").alias("doc")).agg(F.min(F.struct("up", "nth")).alias("place")).join(reached.select("root", "doc"), ["root", "doc"], "left_anti")
         so_far = reached.groupBy("root").agg(F.max("rank").alias("so_far"))
         new = new.join(so_far, "root").withColumn("rank", F.col("so_far") + F.row_number().over(W.partitionBy("root").orderBy("place")))
+        new = cut(new.select("root", "doc", F.lit(hop).alias("hop"), "rank"))
         over = new.limit(0) if cap is None else new.where(F.col("rank") > cap)
-        refused = refused.unionByName(over.select("root", "doc", F.col("doc").alias("help_file"), F.lit("skipped: over the limit").alias("warning")))
-        warnings = refused if warnings is None else warnings.unionByName(refused)
+        late = step.join(over.select("root", F.col("doc").alias("next")), ["root", "next"]).select("root", "doc", "help_file", F.lit("skipped: over the limit").alias("warning"))
+        refused.append(cut(step.select("root", "doc", "help_file", why.alias("warning")).where("warning is not null").unionByName(late).distinct()))
         frontier = new if cap is None else new.where(F.col("rank") <= cap)
-        frontier = cut(frontier.select("root", "doc", F.lit(hop).alias("hop"), "rank"))
         if frontier.isEmpty():
-            return reached, warnings.distinct()
+            return reached, reduce(DataFrame.unionByName, refused).distinct()
         reached = cut(reached.unionByName(frontier))
 
 
-def related_catalog(links: DataFrame, known_docs: DataFrame, cap: int = CATALOG) -> DataFrame:
-    """(doc, rank, related_doc): one hop over index links and then search links, allowed paths, each file once, so many tries. links(doc, ord, kind, help_file)"""
-    kind = F.when(F.col("kind") == "index", 0).otherwise(1)
-    d = links.where(relative_only(F.col("help_file"))).groupBy("doc", path_identity(F.col("help_file")).alias("related_doc")).agg(F.min(F.struct(kind.alias("kind"), "ord")).alias("place"))
-    d = d.withColumn("rank", F.row_number().over(W.partitionBy("doc").orderBy("place"))).where(F.col("rank") <= cap)
-    return d.join(known_docs.select(F.col("doc").alias("related_doc")), "related_doc", "left_semi").select("doc", "rank", "related_doc")
+def related_catalog(links: DataFrame, known_docs: DataFrame, cap: int = CATALOG) -> tuple[DataFrame, DataFrame]:
+    """(doc, rank, related_doc), and (doc, rank, help_file, warning): one hop over index links and then search links.
+
+    links(doc, ord, kind, help_file). A file is looked up from the document's folder; the document itself
+    and files seen before are passed over. The first `cap` files are tried, rank says as which; those
+    that are no known document are a warning, and so are paths that are not relative (without a rank)
+    and, once for a document, that there are more files (rank cap + 1).
+    """
+    nth = F.struct(F.when(F.col("kind") == "index", 0).otherwise(1).alias("kind"), F.col("ord"))
+    d = links.withColumn("place", nth).withColumn("allowed", relative_only(F.col("help_file")))
+    refused = d.where("not allowed").select("doc", F.lit(None).cast("int").alias("rank"), "help_file", F.lit("skipped: not a relative path").alias("warning"))
+    d = d.where("allowed").withColumn("identity", linked_identity(F.col("doc"), F.col("help_file"))).where(F.col("identity") != document_identity(F.col("doc")))
+    d = d.groupBy("doc", "identity").agg(F.min("place").alias("place"), F.min_by("help_file", "place").alias("help_file"))
+    d = d.withColumn("rank", F.row_number().over(W.partitionBy("doc").orderBy("place"))).where(F.col("rank") <= cap + 1)
+    d = d.join(documents_by_identity(known_docs), "identity", "left")
+    why = F.when(F.col("rank") > cap, "skipped: over the limit").when(F.col("dst_doc").isNull(), "skipped: cannot be opened")
+    file = F.when(F.col("rank") <= cap, F.col("help_file"))
+    missing = d.select("doc", "rank", file.alias("help_file"), why.alias("warning")).where("warning is not null")
+    return d.where(F.col("dst_doc").isNotNull() & (F.col("rank") <= cap)).select("doc", "rank", F.col("dst_doc").alias("related_doc")), refused.unionByName(missing)
 
 
 def destination_tooltips(edges: DataFrame, topics: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import context_hash, linked_identity
+from .links import documents_by_identity, topic_mode
+from .resolve import contents_topic, resolve_topic_offset
+
 # Bounds of a program.
 TEXT_BYTES, CALLS, ARGUMENTS, DEPTH, STRING_BYTES = 64 * 1024, 256, 16, 16, 32 * 1024
 # Macro names, with their short form where they have one.
@@ -209,3 +213,33 @@ def macro_link_targets(policy: DataFrame) -> DataFrame:
     target = F.when(kind == "Id", _arg(1)).when(kind.isin("Map", "Hash"), F.when(popup, _arg(1)).otherwise(_arg(2)))
     d = policy.where("verdict = 'ALLOW'").withColumn("target_kind", kind).where("target_kind is not null")
     return d.select("doc", "origin", "call_no", F.coalesce(F.trim(path), F.lit("")).alias("help_file"), F.nullif(F.trim(win), F.lit("")).alias("win_name"), "target_kind", target.alias("target"), popup.alias("popup"))
+
+
+def _addresses(contexts: DataFrame, context_map: DataFrame) -> DataFrame:
+    """(doc, kind, key, offset): the first entry of each hash and map number of a document, in one table."""
+    named = contexts.select("doc", F.lit("hash").alias("_kind"), F.col("hash").alias("_key"), "ord", "topic_offset")
+    numbered = context_map.select("doc", F.lit("map").alias("_kind"), F.col("map_id").alias("_key"), "ord", "topic_offset")
+    return named.unionByName(numbered).where("_key is not null").groupBy("doc", "_kind", "_key").agg(F.min_by("topic_offset", "ord").alias("_offset"))
+
+
+def macro_link_edges(
+    targets: DataFrame, docs: DataFrame, contexts: DataFrame, context_map: DataFrame, topic_map: DataFrame, topics: DataFrame, anchors: DataFrame, default_windows: DataFrame, windows: DataFrame
+) -> DataFrame:
+    """macro_link_targets' rows with dst_doc, dst_topic, mode, win, and message where they lead nowhere.
+
+    A file is looked up from the calling document's folder; without one it is that document. Map numbers,
+    hashes and names (by their hash) are one kind of key each in one table of addresses, so one join and
+    one as-of pass resolve them all; contents are the document's contents topic. A hash is not tried as an
+    offset here. docs(doc, contents_offset): the known documents.
+    """
+    d = targets.withColumn("identity", linked_identity(F.col("doc"), F.col("help_file"))).join(documents_by_identity(docs), "identity", "left").drop("identity")
+    number = F.col("target").try_cast("int")
+    key = F.when(F.col("target_kind") == "Id", context_hash(F.col("target"))).when(F.col("target_kind").isin("Map", "Hash"), number)
+    d = d.withColumn("_kind", F.when(F.col("target_kind") == "Map", "map").otherwise("hash")).withColumn("_key", key).withColumnRenamed("doc", "_src").withColumnRenamed("dst_doc", "doc")
+    d = resolve_topic_offset(d.join(_addresses(contexts, context_map), ["doc", "_kind", "_key"], "left"), anchors, "_offset", "_found").drop("_kind", "_key", "_offset")
+    first = contents_topic(docs, topic_map, topics, anchors).withColumnRenamed("topic_index", "_contents")
+    d = d.join(first, "doc", "left").withColumn("dst_topic", F.when(F.col("target_kind") == "Contents", F.col("_contents")).otherwise(F.col("_found"))).drop("_contents", "_found")
+    d = d.withColumnRenamed("doc", "dst_doc").withColumnRenamed("_src", "doc").withColumn("win_number", F.lit(None).cast("int"))
+    d = topic_mode(d, anchors, default_windows, windows).drop("win_number")
+    lost = F.concat(F.lit("Unresolved macro "), F.lower("target_kind"), F.when(F.col("target").isNull(), "").otherwise(F.concat(F.lit(" "), "target")), F.lit(" in "), "dst_doc")
+    return d.withColumn("message", F.when(F.col("dst_doc").isNull(), "The linked HLP was not embedded in this HTML export.").when(F.col("dst_topic").isNull(), lost))

@@ -12,6 +12,11 @@ STREAM_HEADER = 9
 # The family of fixed-pitch fonts, and the charsets that are written from the right.
 MODERN_FAMILY = 1
 RTL_CHARSETS = (0xB1, 0xB2)
+# Generations by minor version; up to OLD_MINOR blocks are plain; later, compression, block and decoded size by flags.
+GENERATIONS = {15: "Windows30", 21: "Windows31", 27: "Multimedia", 33: "Windows95"}
+OLD_MINOR, OLD_BLOCK = 16, ("none", 2048, 2036)
+BLOCKS = {0: ("none", 4096, 4084), 4: ("lz77", 4096, 16384), 8: ("lz77", 2048, 16384)}
+OTHER_BLOCK = ("unknown", 4096, 4084)
 
 
 def stream_inventory(streams: DataFrame) -> DataFrame:
@@ -71,9 +76,22 @@ def font_census(fonts: DataFrame) -> DataFrame:
     return d.groupBy("face", "points").agg(F.count(F.lit(1)).alias("n_colours"), *[F.sum(c).alias(c) for c in d.columns[3:]])
 
 
-def block_profile(blocks: DataFrame) -> DataFrame:
-    """Physical and decoded sizes by document and kind of compression; whole percents. blocks(doc, compressed, physical, decoded)"""
-    d = blocks.groupBy("doc", F.when(F.col("compressed"), "packed").otherwise("plain").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("physical").alias("physical"), F.sum("decoded").alias("decoded"))
+def block_layout(docs: DataFrame) -> DataFrame:
+    """docs(doc, minor, flags) with generation, compression, block_size and decoded_size; unknown flags are kept as `unknown` and their number."""
+    number = lambda c: F.col(c).cast("string")
+    generation = F.coalesce(*[F.when(F.col("minor") == k, v) for k, v in GENERATIONS.items()], F.concat(F.lit("Unknown "), number("minor")))
+
+    def pick(i: int, other: Column) -> Column:
+        return F.when(F.col("minor") <= OLD_MINOR, OLD_BLOCK[i]).otherwise(F.coalesce(*[F.when(F.col("flags") == k, v[i]) for k, v in BLOCKS.items()], other))
+
+    kind = pick(0, F.concat(F.lit(OTHER_BLOCK[0] + " "), number("flags")))
+    return docs.select("*", generation.alias("generation"), kind.alias("compression"), pick(1, F.lit(OTHER_BLOCK[1])).alias("block_size"), pick(2, F.lit(OTHER_BLOCK[2])).alias("decoded_size"))
+
+
+def block_profile(blocks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Physical and decoded sizes of a document's blocks, in whole percents, with what its header says of them; n_over counts blocks that decode to more than it allows. blocks(doc, physical, decoded), docs(doc, minor, flags)"""
+    d = blocks.join(block_layout(docs), "doc").groupBy("doc", "generation", "compression", "block_size", "decoded_size")
+    d = d.agg(F.count(F.lit(1)).alias("n"), F.sum("physical").alias("physical"), F.sum("decoded").alias("decoded"), F.count_if(F.col("decoded") > F.col("decoded_size")).alias("n_over"))
     return d.withColumn("percent", F.floor(F.lit(100) * F.col("physical") / F.greatest(F.col("decoded"), F.lit(1))).cast("long"))
 
 

@@ -10,8 +10,8 @@ from ..functions.scalars import context_hash, topic_label
 from .topics import BLOCK_OFFSETS
 
 
-#: Partitions for references that cannot resolve.
-ASIDE = 4096
+#: Offsets of a cell, in which a reference is looked up; and the partitions over which references that cannot resolve are spread.
+CELL, ASIDE = 256, 4096
 
 
 def first_of(table: DataFrame, key: str, value: str, order: str = "ord") -> DataFrame:
@@ -19,22 +19,38 @@ def first_of(table: DataFrame, key: str, value: str, order: str = "ord") -> Data
     return table.where(F.col(key).isNotNull()).groupBy("doc", key).agg(F.min_by(value, order).alias(value))
 
 
-def resolve_topic_offset(refs: DataFrame, anchors: DataFrame, offset: str = "topic_offset", out: str = "topic_index") -> DataFrame:
+def _spans(anchors: DataFrame, out: str, copies: int = 1) -> DataFrame:
+    """(_doc, _cell, _copy, _from, _to, topic): what each anchor covers up to the next one or the end of its block, in every cell that it touches."""
+    one = anchors.groupBy("doc", F.col("topic_offset").cast("long").alias("_from")).agg(F.max_by(F.col("topic_index").cast("int"), "pos").alias(out)).where("_from >= 0")
+    block = F.floor(F.col("_from") / BLOCK_OFFSETS)
+    # a block has 32768 offsets at most, and so has a partition of this window rows
+    end = F.coalesce(F.lead("_from").over(W.partitionBy("doc", "_block").orderBy("_from")), (F.col("_block") + 1) * BLOCK_OFFSETS)
+    d = one.withColumn("_block", block).withColumn("_to", end)
+    cells = F.explode(F.sequence(F.floor(F.col("_from") / CELL), F.floor((F.col("_to") - 1) / CELL)))
+    d = d.select(F.col("doc").alias("_doc"), cells.alias("_cell"), "_from", "_to", out)
+    return d.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))) if copies > 1 else F.lit(0))
+
+
+def resolve_topic_offset(refs: DataFrame, anchors: DataFrame, offset: str = "topic_offset", out: str = "topic_index", copies: int = 1) -> DataFrame:
     """As-of join: the topic of the greatest anchor at or before an offset in the same block of 32768, else null.
 
-    Both sides are laid out by document and block, and the last anchor is carried forward; of anchors
-    with one offset the last by position counts. A block bounds what a task has to hold; references
-    that cannot resolve (no document, no offset, a negative one) are spread over partitions of their own.
+    An anchor covers the offsets up to the next one. These spans are laid on cells of CELL offsets, so an
+    equi-join finds a reference's few candidates, of which one holds it; no reference passes a window.
+    References to one popular place are the larger side of that join alone, so adaptive execution splits
+    them over tasks (it reads the few spans again in each); without it, cells can stand in several
+    copies, among which references take turns. Of anchors with one offset the last by position counts.
+    References that cannot resolve (no document, no offset, a negative one) are spread.
     """
-    block = F.floor(F.col("_at") / BLOCK_OFFSETS)
-    able = F.col("doc").isNotNull() & F.coalesce(F.col("_at") >= 0, F.lit(False))
-    aside = -1 - F.pmod(F.xxhash64("_row"), F.lit(ASIDE))
-    left = refs.withColumn("_row", F.struct(*refs.columns)).select("doc", F.col(offset).cast("long").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_pos"), F.lit(None).cast("int").alias("_topic"), "_row")
-    none = F.lit(None).cast(left.schema["_row"].dataType)
-    right = anchors.select("doc", F.col("topic_offset").cast("long").alias("_at"), F.lit(0).alias("_side"), F.col("pos").cast("long").alias("_pos"), F.col("topic_index").cast("int").alias("_topic"), none.alias("_row"))
-    w = W.partitionBy("doc", "_block").orderBy("_at", "_side", "_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    d = left.unionByName(right).withColumn("_block", F.when(able, block).otherwise(aside)).withColumn("_found", F.last("_topic", ignorenulls=True).over(w))
-    return d.where("_side = 1").select("_row.*", F.when(F.col("_block") >= 0, F.col("_found")).alias(out))
+    at = F.col(f"`{offset}`").cast("long")
+    turn = F.monotonically_increasing_id()
+    able = F.col("doc").isNotNull() & F.coalesce(at >= 0, F.lit(False))
+    d = refs.withColumns({"_at": at, "_of_cell": F.when(able, F.floor(at / CELL)).otherwise(-1 - F.pmod(turn, F.lit(ASIDE)))})
+    same = (F.col("doc") == F.col("_doc")) & (F.col("_of_cell") == F.col("_cell"))
+    if copies > 1:
+        d = d.withColumn("_turn", F.pmod(turn, F.lit(copies)).cast("int"))
+        same = same & (F.col("_turn") == F.col("_copy"))
+    found = d.join(_spans(anchors, out, copies), same & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")), "left")
+    return found.select(*[F.col(f"`{c}`") for c in refs.columns], out)
 
 
 def _by_key(refs: DataFrame, table: DataFrame, key: str, on: str, value: str, out: str) -> DataFrame:

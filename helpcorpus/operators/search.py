@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
-from ..functions.scalars import fold_text, topic_label
+from ..functions.lineage import written
+from ..functions.scalars import file_name, fold_text, topic_label
 
 LIMIT = 200
 
@@ -27,7 +27,8 @@ def score_title(q: Column) -> Column:
 
 
 def score_keyword(q: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform("folded_keywords", lambda k: _ladder(k, q, 950, 800, 650))), F.lit(0))
+    near = F.filter("folded_keywords", lambda k: F.contains(k, q))
+    return F.when(F.size(near) > 0, F.array_max(F.transform(near, lambda k: _ladder(k, q, 950, 800, 650)))).otherwise(0)
 
 
 def score_body(q: Column, terms: Column | None = None) -> Column:
@@ -60,7 +61,7 @@ def search_topics_in(search_topics: DataFrame, query: str, limit: int = LIMIT) -
 def search_corpus(search_topics: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
     """The best hits of all documents with their label: by score, document and topic."""
     kind = F.when(F.col("kind") == "Body", "Text").otherwise(F.col("kind"))
-    label = F.concat(F.lit("["), kind, F.lit("] "), topic_label(F.col("title"), F.col("topic_index")), F.lit(" — "), "doc")
+    label = F.concat(F.lit("["), kind, F.lit("] "), topic_label(F.col("title"), F.col("topic_index")), F.lit(" — "), file_name(F.col("doc")))
     return hits(search_topics, query).orderBy(F.desc("score"), "doc", "topic_index").limit(limit).select("doc", "topic_index", "score", label.alias("label"))
 
 
@@ -73,42 +74,70 @@ def _trigrams(c: str) -> Column:
     return F.explode(F.array_distinct(_runs(c, 3))).alias("gram")
 
 
-def narrowest_terms(asked: DataFrame, grams: DataFrame) -> DataFrame:
-    """(query_id, term, gram): of a query's terms of three characters or more, the one whose rarest trigram is in the fewest topics; a query of shorter terms alone has its longest and no gram. grams(gram, word, topics)"""
-    sizes = grams.groupBy("gram").agg(F.sum("topics").alias("n"))
-    terms = asked.select("term").distinct().where(F.length("term") >= 3).select("term", _trigrams("term")).join(sizes, "gram", "left")
-    bounds = terms.groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
-    d = asked.join(bounds, "term", "left")
+def _head(d: DataFrame) -> Column:
+    """The words of title and keywords."""
+    return F.array_distinct(F.split(F.concat_ws(" ", "folded_title", F.array_join("folded_keywords", " ")), " "))
+
+
+def vocabulary(search_topics: DataFrame) -> DataFrame:
+    """(word, heads, topics): in how many topics' titles and keywords a word is, and in how many topics anywhere."""
+    head = _head(search_topics)
+    mark = lambda words, x: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(x).alias("head")))
+    found = F.concat(mark(head, True), mark(F.array_except(F.split("folded_body", " "), head), False))
+    return search_topics.select(F.inline(found)).where("word <> ''").groupBy("word").agg(F.count_if("head").alias("heads"), F.count(F.lit(1)).alias("topics"))
+
+
+def narrowest_terms(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """(query_id, term, gram): a query's narrowest term, the one whose rarest trigram is in the fewest topics; of terms of one or two characters alone the longest, without a gram. asked(query_id, term), words: a vocabulary"""
+    wanted = asked.select("term").distinct().where(F.length("term") >= 3).select("term", _trigrams("term"))
+    grams = words.select("topics", _trigrams("word")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    bounds = wanted.join(grams.groupBy("gram").agg(F.sum("topics").alias("n")), "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
     order = F.struct(F.col("least").isNull(), F.coalesce("least.n", -F.length("term")), "term")
-    return d.groupBy("query_id").agg(F.min_by(F.struct("term", "least.gram"), order).alias("x")).select("query_id", "x.*")
+    return asked.join(bounds, "term", "left").groupBy("query_id").agg(F.min_by(F.struct("term", "least.gram"), order).alias("x")).select("query_id", "x.*")
 
 
-def search_batch(search_topics: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, doc, topic_index, score, kind): the k best topics of each query of a table.
+def _best(chosen: DataFrame, words: DataFrame, text: DataFrame, q: DataFrame, search_topics: DataFrame, s: Column, k: int) -> DataFrame:
+    """The k best topics of each query of chosen(query_id, term, gram) among those whose words contain its term.
 
-    A match needs all of a query's terms in a topic's title, keywords or body, each within one word.
-    So a query's candidates are the topics with a word that contains its narrowest term. That term is
-    matched with the corpus' distinct words by its rarest trigram (terms of one or two characters,
-    where a query has no others, by themselves), and words with topics by an inverted table. Only
-    candidates meet the query's text; the k best of each task are kept before the shuffle (Spark's
-    window group limit). Blank queries are dropped.
+    words(term, word) are few against the words of text(doc, topic_index, words), so they are broadcast where
+    their size allows; terms of one or two characters are looked up among a topic's own runs. The query comes to its candidates before
+    the topics' texts do, which are shuffled once and not again for each candidate.
     """
-    q = cut(queries.select("query_id", fold_text(F.col("query")).alias("q")).where("q <> ''").withColumn("terms", F.split("q", " ")))
-    text = F.concat_ws(" ", "folded_title", F.array_join("folded_keywords", " "), "folded_body")
-    inverted = cut(search_topics.select("doc", "topic_index", F.explode(F.array_distinct(F.split(text, " "))).alias("word")).where("word <> ''"))
-    vocabulary = cut(inverted.groupBy("word").agg(F.count(F.lit(1)).alias("topics")))
-    grams = vocabulary.select("word", "topics", _trigrams("word"))
-    chosen = cut(narrowest_terms(q.select("query_id", F.explode(F.array_distinct("terms")).alias("term")), grams))
-    terms = chosen.select("term", "gram").distinct()
-    short = vocabulary.select("word", F.explode(F.array_distinct(F.concat(_runs("word", 1), _runs("word", 2)))).alias("term"))
-    words = terms.join(grams, "gram").where(F.contains("word", F.col("term"))).select("term", "word")
-    words = words.unionByName(terms.where("gram is null").select("term").join(short, "term").select("term", "word"))
-    candidates = chosen.select("query_id", "term").join(words, "term").join(inverted, "word").select("query_id", "doc", "topic_index").distinct()
-    s = score(F.col("q"), F.col("terms"))
-    # the query comes to its candidates before the topics' texts do, which are shuffled once and not again for each candidate
+    long = text.select("doc", "topic_index", F.explode("words").alias("word")).join(words.select("term", "word"), "word").select("term", "doc", "topic_index")
+    joined = text.select("doc", "topic_index", F.array_join("words", " ").alias("all"))
+    runs = joined.select("doc", "topic_index", F.explode(F.array_distinct(F.concat(_runs("all", 1), _runs("all", 2)))).alias("term"))
+    short = runs.join(chosen.where("gram is null").select("term").distinct(), "term").select("term", "doc", "topic_index")
+    candidates = long.unionByName(short).distinct().join(chosen.select("query_id", "term"), "term").select("query_id", "doc", "topic_index")
     pairs = candidates.join(q, "query_id").join(search_topics, ["doc", "topic_index"]).select("query_id", "doc", "topic_index", s.alias("score")).where("score > 0")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc", "topic_index"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc", "topic_index", "score", kind_of(F.col("score")).alias("kind"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def search_batch(search_topics: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, doc, topic_index, score, kind): the k best topics of each query of a table.
+
+    A match needs all of a query's terms, each within one word. So terms are matched with the corpus'
+    distinct words first, and a query's candidates are the topics with a word for its narrowest term.
+    Every title or keyword rung (650 and more) stands above every body rung (500 at most), so titles and
+    keywords are searched first; queries that find k topics there are done, and bodies are searched for
+    the others only. Only candidates meet the query's text; the k best of each task are kept before
+    the shuffle (Spark's window group limit). Of the corpus only its distinct words are written.
+    Blank queries are dropped.
+    """
+    q = queries.select("query_id", fold_text(F.col("query")).alias("q")).where("q <> ''").withColumn("terms", F.split("q", " "))
+    known = written(vocabulary(search_topics))
+    chosen = written(narrowest_terms(q.select("query_id", F.explode(F.array_distinct("terms")).alias("term")), known))
+    terms = chosen.where("gram is not null").select("term", "gram").distinct()
+    words = written(known.select("word", "heads", _trigrams("word")).join(terms, "gram").where(F.contains("word", F.col("term"))).select("term", "word", "heads"))
+    place = search_topics.select("doc", "topic_index", "folded_title", "folded_keywords")
+    heads = place.select("doc", "topic_index", _head(place).alias("words"))
+    first = written(_best(chosen, words.where("heads > 0"), heads, q, place, F.greatest(score_title(F.col("q")), score_keyword(F.col("q"))), k))
+    done = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
+    rest = chosen.join(done, "query_id", "left_anti")
+    every = search_topics.select("doc", "topic_index", F.array_distinct(F.concat(_head(search_topics), F.split("folded_body", " "))).alias("words"))
+    lower = _best(rest, words.join(rest.select("term").distinct(), "term", "left_semi"), every, q, search_topics, score(F.col("q"), F.col("terms")), k)
+    found = first.join(done, "query_id", "left_semi").unionByName(lower)
+    return found.select("query_id", "rank", "doc", "topic_index", "score", kind_of(F.col("score")).alias("kind"))
 
 
 def search_export_profile(topics: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:

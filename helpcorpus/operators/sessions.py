@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import file_name, topic_label
+
 # Depth of a history, number of recent documents.
 HISTORY, RECENT = 256, 5
 
@@ -78,12 +80,21 @@ def replay_history(events: DataFrame) -> DataFrame:
     return _by_user(events.where("usr is not null")).mapInArrow(_replayed, "usr long, event_id long, current string, back_depth int, forward_depth int")
 
 
-def history_listing(events: DataFrame) -> DataFrame:
-    """(usr, ord, marker, location): back from the oldest, the current one, forward from the nearest."""
+def location_parts(location: Column) -> tuple[Column, Column]:
+    """The document and the topic's index of a location `document#index`; without an index, or a wrong one, the first topic."""
+    index = F.when(F.instr(location, "#") > 0, F.substring_index(location, "#", -1).try_cast("int"))
+    return F.when(index.isNotNull(), F.regexp_replace(location, "#[^#]*$", "")).otherwise(location), F.coalesce(index, F.lit(0))
+
+
+def history_listing(events: DataFrame, topics: DataFrame) -> DataFrame:
+    """(usr, ord, marker, location, label): back from the oldest, the current one, forward from the nearest; a label is `title — file`, and `Topic n` for topics without a title or not known. topics(doc, topic_index, title)"""
     last = _by_user(events.where("usr is not null")).mapInArrow(_finals, "usr long, current string, back array<string>, forward array<string>")
     mark = lambda col, m: F.transform(col, lambda x: F.struct(F.lit(m).alias("marker"), x.alias("location")))
     here = F.when(F.col("current").isNotNull(), F.array(F.struct(F.lit("•").alias("marker"), F.col("current").alias("location")))).otherwise(F.array().cast("array<struct<marker:string,location:string>>"))
-    return last.select("usr", F.posexplode(F.concat(mark(F.col("back"), "←"), here, mark(F.reverse("forward"), "→"))).alias("ord", "x")).select("usr", "ord", "x.marker", "x.location")
+    rows = last.select("usr", F.posexplode(F.concat(mark(F.col("back"), "←"), here, mark(F.reverse("forward"), "→"))).alias("ord", "x")).select("usr", "ord", "x.marker", "x.location")
+    doc, index = location_parts(F.col("location"))
+    d = rows.withColumn("doc", doc).withColumn("topic_index", index).join(topics.select("doc", "topic_index", "title"), ["doc", "topic_index"], "left")
+    return d.select("usr", "ord", "marker", "location", F.concat(topic_label(F.col("title"), F.col("topic_index")), F.lit(" — "), file_name(F.col("doc"))).alias("label"))
 
 
 def recent_documents(opens: DataFrame, keep: int = RECENT) -> DataFrame:

@@ -227,9 +227,9 @@ view("cells", """SELECT 'parts' AS doc, p_partkey AS cell_id, CASE WHEN p_partke
 
 
 @query("flatten_nested_cells", """
-    WITH RECURSIVE walk AS (SELECT doc, cell_id AS root, cell_id, 0 AS depth, kind FROM cells WHERE parent_id IS NULL
-      UNION ALL SELECT w.doc, w.root, c.cell_id, w.depth + 1, c.kind FROM walk w JOIN cells c ON c.doc = w.doc AND c.parent_id = w.cell_id WHERE w.depth < 64)
-    SELECT doc, root, cell_id, depth, kind FROM walk""")
+    WITH RECURSIVE walk AS (SELECT doc, cell_id AS root, cell_id, 0 AS depth, kind, [cell_id] AS ids FROM cells WHERE parent_id IS NULL
+      UNION ALL SELECT w.doc, w.root, c.cell_id, w.depth + 1, c.kind, list_append(w.ids, c.cell_id) FROM walk w JOIN cells c ON c.doc = w.doc AND c.parent_id = w.cell_id WHERE w.depth < 64)
+    SELECT doc, root, cell_id, depth, array_to_string(list_transform(ids, lambda x: CAST(x AS VARCHAR)), '/') AS path, CAST(row_number() OVER (PARTITION BY doc, root ORDER BY ids) - 1 AS INT) AS nth, kind FROM walk""")
 def _(t: Tables):
     return T.flatten_nested_cells(t("cells"))
 

@@ -15,6 +15,15 @@ def duck_hash(name: str) -> str:
     return f"CAST(CASE WHEN {name} = '' THEN 1 ELSE (SELECT CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END FROM (SELECT {h} AS u)) END AS INT)"
 
 
+def duck_identity(doc: str, file: str) -> str:
+    """DuckDB's expression of the path that a file's name means from a document: its own path for none, else from its folder, without dots and case."""
+    path = f"""CASE WHEN trim(coalesce({file}, '')) = '' THEN {doc} WHEN starts_with(replace({file}, chr(92), '/'), '/') OR substring({file}, 2, 1) = ':' THEN {file}
+        ELSE concat(regexp_extract(replace({doc}, chr(92), '/'), '^(.*/)[^/]*$', 1), {file}) END"""
+    step = "CASE WHEN x[1] IN ('', '.') THEN a WHEN x[1] = '..' AND len(a) > 0 AND a[-1] <> '..' THEN a[1:len(a) - 1] ELSE list_append(a, x[1]) END"
+    parts = f"list_reduce(list_transform(string_split(p, '/'), lambda y: [y]), lambda a, x: {step}, CAST([] AS VARCHAR[]))"
+    return f"(SELECT lower(concat(CASE WHEN starts_with(p, '/') THEN '/' ELSE '' END, array_to_string({parts}, '/'))) FROM (SELECT replace({path}, chr(92), '/') AS p))"
+
+
 # only ids are put in order; texts are joined to their places
 view("topics", """
     SELECT d.source AS doc, n.topic_index, CAST(12 + 64 * n.topic_index AS BIGINT) AS topic_pos, split_part(d.text, chr(10), 1) AS title, d.text AS plain_text, d.lang, d.doc_id

@@ -13,12 +13,11 @@ from ..operators import profile as P
 from ..operators import sessions as N
 from ..operators import topics as T
 from ..streaming import sessions as ST
-from ..operators.contents import contents_hierarchy, contents_paths
-from ..operators.keywords import merge_keyword_index
+from ..operators.keywords import merge_keyword_index, merged_destinations
 from ..operators.resolve import physical_neighbors
 from .assembly import _ASSEMBLED, asof, contexts
-from .bindings import duck_hash
-from .indexing import PATHS, entries, reached
+from .bindings import duck_hash, duck_identity
+from .indexing import entries, reached, targets
 from .registry import SQL, Tables, query, view
 
 _A = r"(<a href=\"[^\"]*\">.*?</a>)".replace('\\"', '"')
@@ -32,14 +31,19 @@ def _(t: Tables):
     return L.extract_hotspots(t("pages").select(F.lit("pages").alias("doc"), F.col("page_id").cast("int").alias("topic_index"), "html")).drop("doc")
 
 
-_SPOTS = """SELECT doc, topic_index, seq, popup, CASE WHEN seq % 11 = 10 THEN 'Macro' WHEN seq % 5 = 3 THEN 'Internal' WHEN seq % 5 = 4 THEN 'External' ELSE 'ContextHash' END AS kind,
-    CAST(CASE WHEN seq % 5 IN (3, 4) THEN 12 + 64 * ((topic_index * 7 + seq) % 400) END AS BIGINT) AS topic_offset, CASE topic_index % 3
-    WHEN 0 THEN 'Pages' WHEN 1 THEN 'other.hlp' ELSE 'missing.hlp' END AS help_file, concat('Jump', name) AS macro, name FROM """
+# links of pages, a third of them from a document in a folder, to files named from there in all ways
+_SPOTS = r"""SELECT CASE WHEN topic_index % 3 = 2 THEN 'lib/a.hlp' ELSE doc END AS doc, topic_index, seq, popup, CASE WHEN seq % 11 = 10 THEN 'Macro' WHEN seq % 5 = 3 THEN 'Internal' WHEN seq % 5 = 4 THEN 'External' ELSE 'ContextHash' END AS kind,
+    CAST(CASE WHEN seq % 5 IN (3, 4) THEN 12 + 64 * ((topic_index * 7 + seq) % 400) END AS BIGINT) AS topic_offset, CASE topic_index % 8
+    WHEN 0 THEN 'Pages' WHEN 1 THEN 'other.hlp' WHEN 2 THEN 'missing.hlp' WHEN 3 THEN CAST(NULL AS STRING) WHEN 4 THEN ' ' WHEN 5 THEN concat('lib', chr(92), 'B.hlp')
+    WHEN 6 THEN '../lib/./b.hlp' ELSE '/lib/a.hlp' END AS help_file, CAST(226 + (topic_index + seq) % 4 AS INT) AS opcode, CASE topic_index % 5 WHEN 1 THEN 'MAIN' WHEN 2 THEN 'steps' END AS win_name, CAST(CASE
+    WHEN topic_index % 7 = 3 THEN seq % 6 END AS INT) AS win_number, concat('Jump', name) AS macro, name FROM """
 view("spots_plain", _SPOTS + "{link_names}")
 view("spots_duck", "SELECT 1", f"SELECT *, {duck_hash('name')} AS hash FROM spots_plain")
-view("link_docs", "SELECT 'pages' AS doc UNION ALL SELECT 'other.hlp'")
+view("link_docs", "SELECT 'pages' AS doc UNION ALL SELECT 'other.hlp' UNION ALL SELECT 'lib/Other.hlp' UNION ALL SELECT 'lib/a.hlp' UNION ALL SELECT 'lib/b.hlp'")
 view("link_anchors", """SELECT doc, topic_offset, topic_index, pos FROM {page_anchors}
-    UNION ALL SELECT 'other.hlp', CAST(12 + 64 * s_suppkey AS BIGINT), CAST(s_suppkey AS INT), CAST(12 + 64 * s_suppkey AS BIGINT) FROM {supplier}""")
+    UNION ALL SELECT d.doc, CAST(12 + 64 * s_suppkey AS BIGINT), CAST(s_suppkey AS INT), CAST(12 + 64 * s_suppkey AS BIGINT) FROM {supplier} CROSS JOIN {link_docs} d WHERE d.doc <> 'pages'""")
+view("link_windows", "SELECT d.doc, w.ordinal, w.name, w.caption FROM {windows} w CROSS JOIN {link_docs} d WHERE d.doc <> 'other.hlp'")
+view("link_defaults", "SELECT d.doc, w.ord, w.topic_offset, w.win FROM {default_windows} w CROSS JOIN {link_docs} d WHERE d.doc <> 'lib/a.hlp'")
 
 
 def spots(t: Tables):
@@ -51,27 +55,42 @@ _HEX = "lpad(upper(printf('%x', CASE WHEN hash < 0 THEN CAST(hash AS BIGINT) + 4
 
 @query("describe_hotspots", f"""SELECT topic_index, seq, CASE kind
     WHEN 'Internal' THEN concat('internal TOPICOFFSET=', CAST(topic_offset AS STRING), ' popup=', CAST(popup AS STRING)) WHEN 'ContextHash' THEN concat('internal context hash=0x', {_HEX}, ' popup=', CAST(popup AS STRING))
-    WHEN 'External' THEN concat('external TOPICOFFSET=', CAST(topic_offset AS STRING), ' file=', help_file)
+    WHEN 'External' THEN 'external TOPICOFFSET=' || CAST(topic_offset AS STRING) || ' file=' || help_file
     ELSE concat('macro (safe-policy dispatch): ', macro) END AS description FROM spots_duck""")
 def _(t: Tables):
     return L.describe_hotspots(spots(t)).select("topic_index", "seq", "description")
 
 
-view("spot_docs_duck", "SELECT 1", """SELECT s.topic_index AS src, s.seq, s.kind, s.hash, s.topic_offset AS own, k.doc AS doc, s.help_file FROM spots_duck s
-    LEFT JOIN link_docs k ON k.doc = CASE WHEN s.kind = 'External' THEN lower(s.help_file) ELSE s.doc END WHERE s.kind <> 'Macro'""")
-view("spot_links_duck", "SELECT 1", f"""SELECT x.src, x.seq, x.kind, x.hash, x.own, x.doc AS dst_doc, coalesce(a.topic_index, b.topic_index) AS dst_topic FROM spot_docs_duck x
+view("spot_docs_duck", "SELECT 1", f"""SELECT s.topic_index AS src, s.seq, s.kind, s.hash, s.topic_offset AS own, CASE WHEN s.kind = 'External' THEN k.doc ELSE s.doc END AS doc, s.doc AS from_doc,
+    CASE WHEN s.kind = 'External' THEN s.opcode % 2 = 0 ELSE s.popup END AS popup, CASE WHEN s.kind = 'External' THEN s.win_name END AS win_name, CASE WHEN s.kind = 'External' THEN s.win_number END AS win_number
+    FROM (SELECT *, CASE WHEN kind = 'External' THEN {duck_identity('doc', 'help_file')} END AS named FROM spots_duck) s
+    LEFT JOIN link_docs k ON lower(k.doc) = s.named WHERE s.kind <> 'Macro'""")
+view("spot_links_duck", "SELECT 1", f"""SELECT x.from_doc, x.src, x.seq, x.kind, x.hash, x.own, x.popup, x.win_name, x.win_number, x.doc AS dst_doc, coalesce(a.topic_index, b.topic_index) AS dst_topic FROM spot_docs_duck x
     JOIN ({asof("(SELECT s.doc, src, seq, c.topic_offset FROM spot_docs_duck s LEFT JOIN contexts_duck c ON s.kind = 'ContextHash' AND s.doc = c.doc AND s.hash = c.hash)", "link_anchors", "topic_offset", "r.src, r.seq")}) a ON a.src = x.src AND a.seq = x.seq
-   
     JOIN ({asof("(SELECT doc, src, seq, CASE WHEN kind = 'ContextHash' THEN hash ELSE own END AS topic_offset FROM spot_docs_duck)", "link_anchors", "topic_offset", "r.src, r.seq")}) b ON b.src = x.src AND b.seq = x.seq""")
 
 
+def _modes(edges: str) -> str:
+    """DuckDB's mode and win of edges(dst_doc, dst_topic, popup, win_name, win_number, ...)."""
+    return f"""(SELECT *, CASE WHEN dst_topic IS NULL THEN NULL WHEN popup THEN 'popup' WHEN asked AND NOT em THEN 'secondary' WHEN em THEN 'main' WHEN other THEN 'secondary' ELSE 'main' END AS mode,
+      CASE WHEN dst_topic IS NULL OR popup THEN NULL WHEN asked AND NOT em THEN ex WHEN em THEN NULL WHEN other THEN de END AS win
+      FROM (SELECT w.*, coalesce(lower(w.win_name) = 'main', FALSE) OR coalesce(lower(x.name) = 'main', FALSE) AS em, w.win_name IS NOT NULL OR w.win_number IS NOT NULL AS asked, w.de IS NOT NULL AND NOT coalesce(lower(w.dn) = 'main', FALSE) AS other
+        FROM (SELECT e.*, coalesce(n.o, v.ordinal) AS ex, d.ordinal AS de, d.name AS dn FROM {edges} e
+          LEFT JOIN (SELECT doc, topic_index, arg_min(topic_offset, pos) AS start FROM link_anchors GROUP BY ALL) s ON s.doc = e.dst_doc AND s.topic_index = e.dst_topic
+          LEFT JOIN (SELECT doc, lower(name) AS k, min(ordinal) AS o FROM link_windows WHERE name IS NOT NULL GROUP BY ALL) n ON n.doc = e.dst_doc AND lower(e.win_name) = n.k
+          LEFT JOIN link_windows v ON v.doc = e.dst_doc AND v.ordinal = e.win_number
+          LEFT JOIN (SELECT doc, topic_offset, arg_min(win, ord) AS win FROM link_defaults GROUP BY ALL) f ON f.doc = e.dst_doc AND f.topic_offset = s.start
+          LEFT JOIN link_windows d ON d.doc = e.dst_doc AND d.ordinal = f.win AND f.win >= 0) w
+        LEFT JOIN link_windows x ON x.doc = w.dst_doc AND x.ordinal = w.ex))"""
+
+
 def resolved(t: Tables):
-    return L.resolve_hotspots(spots(t).where("kind <> 'Macro'"), contexts(t), t("link_anchors"), t("link_docs"))
+    return L.resolve_hotspots(spots(t).where("kind <> 'Macro'"), contexts(t), t("link_anchors"), t("link_docs"), t("link_defaults"), t("link_windows"))
 
 
-@query("resolve_hotspots", "SELECT src, seq, dst_doc, dst_topic FROM spot_links_duck")
+@query("resolve_hotspots", f"SELECT from_doc AS src_doc, src, seq, dst_doc, dst_topic, popup, mode, win FROM {_modes('spot_links_duck')}")
 def _(t: Tables):
-    return resolved(t).select(F.col("topic_index").alias("src"), "seq", "dst_doc", "dst_topic")
+    return resolved(t).select(F.col("doc").alias("src_doc"), F.col("topic_index").alias("src"), "seq", "dst_doc", "dst_topic", "popup", "mode", "win")
 
 
 view("edges", """SELECT doc, topic_index AS src, seq, popup AND seq % 4 = 1 AS popup, 'pages' AS dst_doc, CAST(12 + 64 * ((topic_index * 3 + seq) % 300) AS BIGINT) AS dst_offset, CAST((topic_index * 3 + seq) % 300 AS INT) AS dst_topic,
@@ -98,6 +117,11 @@ def _(t: Tables):
     return L.unresolved_hotspots(resolved(t)).select(F.col("topic_index").alias("src"), "seq", "message")
 
 
+@query("unresolved_counts", "SELECT from_doc AS doc, count(*) AS n FROM spot_links_duck WHERE dst_topic IS NULL GROUP BY ALL")
+def _(t: Tables):
+    return L.unresolved_counts(L.unresolved_hotspots(resolved(t)))
+
+
 view("file_mentions", """SELECT concat('n', CAST(s_nationkey AS STRING)) AS doc, CAST(s_suppkey % 3 AS INT) AS source_rank, s_suppkey AS ord, CASE s_suppkey % 6
     WHEN 0 THEN ' ' WHEN 1 THEN 'SETUP.HLP' WHEN 2 THEN 'setup.hlp' WHEN 3 THEN concat('/abs', s_name) WHEN 4 THEN 'C:x.hlp'
     ELSE concat('part', CAST(s_suppkey % 10 AS STRING), '.hlp') END AS help_file FROM {supplier}""")
@@ -125,41 +149,47 @@ def _(t: Tables):
     return t("pages").select("page_id", external_path(F.col("url"), target).alias("path"))
 
 
-view("nation_docs", "SELECT concat('n', CAST(n_nationkey AS STRING)) AS doc, n_nationkey AS k FROM {nation}")
-# document k names 2k, 2k + 1, itself and one file that may not or cannot be opened, so a root reaches a tree
-view("tree_docs", "SELECT concat('c', CAST(c_custkey AS STRING)) AS doc, CAST(c_custkey AS BIGINT) AS k FROM {customer} WHERE c_custkey > 0")
-view("tree_refs", """SELECT doc, 1 AS rank, concat('C', CAST(k * 2 AS STRING)) AS help_file, 2 * k AS to_k FROM {tree_docs} UNION ALL SELECT doc, 2, upper(doc), NULL
-    FROM {tree_docs} UNION ALL SELECT doc, 3, concat('c', CAST(k * 2 + 1 AS STRING)), 2 * k + 1 FROM {tree_docs}
-    UNION ALL SELECT doc, 4, CASE k % 3 WHEN 0 THEN '/abs.hlp' WHEN 1 THEN 'gone.hlp' ELSE concat(chr(92), chr(92), 'srv') END, NULL FROM {tree_docs}""")
+_FOLDER = "CASE WHEN {} % 3 = 0 THEN 'lib/' ELSE '' END"
+_TO = "CASE WHEN k % 3 = 0 AND ({m}) % 3 <> 0 THEN '../' WHEN k % 3 <> 0 AND ({m}) % 3 = 0 THEN concat('lib', chr(92)) ELSE '' END"
+# document k names 2k, 2k + 1, itself and one file that may not or cannot be opened, so a root reaches a tree; every third lies in a folder
+view("tree_docs", f"SELECT concat({_FOLDER.format('c_custkey')}, 'c', CAST(c_custkey AS STRING)) AS doc, CAST(c_custkey AS BIGINT) AS k FROM {{customer}} WHERE c_custkey > 0")
+view("tree_refs", f"""SELECT doc, 1 AS rank, concat({_TO.format(m='k * 2')}, 'C', CAST(k * 2 AS STRING)) AS help_file, 2 * k AS to_k FROM {{tree_docs}} UNION ALL SELECT doc, 2, concat('./C', CAST(k AS STRING)), NULL
+    FROM {{tree_docs}} UNION ALL SELECT doc, 3, concat({_TO.format(m='k * 2 + 1')}, 'c', CAST(k * 2 + 1 AS STRING)), 2 * k + 1 FROM {{tree_docs}}
+    UNION ALL SELECT doc, 4, CASE k % 3 WHEN 0 THEN '/abs.hlp' WHEN 1 THEN 'gone.hlp' ELSE concat(chr(92), chr(92), 'srv') END, NULL FROM {{tree_docs}}""")
 view("tree_seeds", "SELECT doc, k FROM {tree_docs} WHERE k % 50 = 1")
 
 
 @query("linked_file_closure", """WITH RECURSIVE walk AS (SELECT s.doc AS root, s.doc, s.k, 0 AS hop, CAST([] AS INT[]) AS place FROM tree_seeds s
       UNION ALL SELECT w.root, d.doc, d.k, w.hop + 1, list_append(w.place, r.rank) FROM walk w JOIN tree_refs r ON r.doc = w.doc JOIN tree_docs d ON d.k = r.to_k),
     n AS (SELECT *, CAST(row_number() OVER (PARTITION BY root ORDER BY hop, place) AS INT) AS rank FROM walk),
-    named AS (SELECT n.root, r.help_file, r.to_k, d.doc FROM n JOIN tree_refs r ON r.doc = n.doc LEFT JOIN tree_docs d ON d.k = r.to_k WHERE n.rank <= 32 AND r.rank <> 2)
-    SELECT root, doc, hop, rank, NULL AS warning FROM n WHERE rank <= 32
-    UNION ALL SELECT DISTINCT root, lower(help_file), NULL, NULL, CASE
+    named AS (SELECT n.root, n.doc AS by_doc, r.help_file, r.to_k, d.doc FROM n JOIN tree_refs r ON r.doc = n.doc LEFT JOIN tree_docs d ON d.k = r.to_k WHERE n.rank <= 32 AND r.rank <> 2)
+    SELECT root, doc, hop, rank, NULL AS help_file, NULL AS warning FROM n WHERE rank <= 32
+    UNION ALL SELECT DISTINCT root, by_doc, NULL, NULL, help_file, CASE
     WHEN starts_with(help_file, '/') OR starts_with(help_file, chr(92)) THEN 'skipped: not a relative path' ELSE 'skipped: cannot be opened' END
     FROM named WHERE doc IS NULL
-    UNION ALL SELECT DISTINCT m.root, m.doc, NULL, NULL, 'skipped: over the limit' FROM named m JOIN n ON n.root = m.root AND n.doc = m.doc
+    UNION ALL SELECT DISTINCT m.root, m.by_doc, NULL, NULL, m.help_file, 'skipped: over the limit' FROM named m JOIN n ON n.root = m.root AND n.doc = m.doc
     WHERE n.rank > 32""")
 def _(t: Tables):
     reached, warnings = L.linked_file_closure(t("tree_seeds").select("doc"), t("tree_refs").select("doc", "rank", "help_file"), t("tree_docs").select("doc"))
-    named = warnings.select("root", F.lower("help_file").alias("doc"), F.lit(None).cast("int").alias("hop"), F.lit(None).cast("int").alias("rank"), "warning").distinct()
-    return reached.withColumn("warning", F.lit(None).cast("string")).select(named.columns).unionByName(named)
+    return reached.unionByName(warnings, allowMissingColumns=True)
 
 
-view("catalog_links", """SELECT doc, s_ord AS ord, CASE WHEN s_ord % 2 = 0 THEN 'search' ELSE 'index' END AS kind, help_file
-    FROM (SELECT concat('n', CAST(s_nationkey AS STRING)) AS doc, s_suppkey AS s_ord, CASE s_suppkey % 5 WHEN 0 THEN '/x'
-    ELSE concat('N', CAST(s_suppkey % 40 AS STRING)) END AS help_file FROM {supplier})""")
+_PLACE = "concat(CASE WHEN {k} % 2 = 1 THEN 'cat/' ELSE '' END, 'n', CAST({k} AS STRING))"
+view("nation_docs", f"SELECT {_PLACE.format(k='n_nationkey')} AS doc, n_nationkey AS k FROM {{nation}}")
+view("catalog_links", f"""SELECT {_PLACE.format(k='k')} AS doc, ord, kind, m, k, CASE ord % 5 WHEN 0 THEN concat('/x', CAST(m AS STRING)) ELSE concat(CASE WHEN k % 2 = 1 AND m % 2 = 0 THEN '../N'
+    WHEN k % 2 = 0 AND m % 2 = 1 THEN concat('cat', chr(92), 'N') ELSE 'n' END, CAST(m AS STRING)) END AS help_file
+    FROM (SELECT s_nationkey AS k, s_suppkey AS ord, CASE WHEN s_suppkey % 2 = 0 THEN 'search' ELSE 'index' END AS kind, CASE WHEN s_suppkey % 9 = 4 THEN s_nationkey ELSE s_suppkey % 40 END AS m FROM {{supplier}})""")
 
 
-@query("related_catalog", """SELECT doc, rank, related_doc FROM (SELECT doc, related_doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY place) AS INT) AS rank
-    FROM (SELECT doc, lower(help_file) AS related_doc, min(row(CASE WHEN kind = 'index' THEN 0 ELSE 1 END, ord)) AS place FROM catalog_links
-    WHERE NOT starts_with(help_file, '/') GROUP BY ALL)) WHERE rank <= 32 AND related_doc IN (SELECT doc FROM nation_docs)""")
+@query("related_catalog", """WITH f AS (SELECT doc, m, min(row(CASE WHEN kind = 'index' THEN 0 ELSE 1 END, ord)) AS place, arg_min(help_file, row(CASE WHEN kind = 'index' THEN 0 ELSE 1 END, ord)) AS help_file
+      FROM catalog_links WHERE ord % 5 <> 0 AND m <> k GROUP BY ALL),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY place) AS INT) AS rank FROM f)
+    SELECT r.doc, rank, n.doc AS related_doc, CASE WHEN n.doc IS NULL AND rank <= 32 THEN help_file END AS help_file, CASE WHEN rank > 32 THEN 'skipped: over the limit' WHEN n.doc IS NULL THEN 'skipped: cannot be opened' END AS warning
+    FROM r LEFT JOIN nation_docs n ON n.k = r.m AND rank <= 32 WHERE rank <= 33
+    UNION ALL SELECT doc, NULL, NULL, help_file, 'skipped: not a relative path' FROM catalog_links WHERE ord % 5 = 0""")
 def _(t: Tables):
-    return L.related_catalog(t("catalog_links"), t("nation_docs"))
+    found, warnings = L.related_catalog(t("catalog_links").select("doc", "ord", "kind", "help_file"), t("nation_docs"))
+    return found.unionByName(warnings, allowMissingColumns=True)
 
 
 view("page_bodies", """SELECT 'pages' AS doc, CAST(page_id AS INT) AS topic_index, CASE WHEN page_id % 5 = 0 THEN ' '
@@ -277,20 +307,55 @@ def _(t: Tables):
     return M.macro_policy_summary(M.macro_policy(t("calls")))
 
 
-@query("macro_link_targets", """SELECT call_no, CASE WHEN canonical = 'JumpID' THEN split_part(args[1], '>', 1) ELSE coalesce(args[1], '') END AS help_file, nullif(CASE
-    WHEN canonical = 'JumpID' THEN CASE WHEN contains(args[1], '>') THEN split_part(args[1], '>', 2) END WHEN canonical IN ('JumpContents', 'JumpContext', 'JumpHash') THEN args[2] END, '') AS win_name, k AS target_kind,
-    CASE WHEN k = 'Id' THEN args[2] WHEN k IN ('Map', 'Hash') THEN CASE WHEN starts_with(canonical, 'Popup') THEN args[2] ELSE args[3] END END AS target, starts_with(canonical, 'Popup') AS popup
-    FROM (SELECT *, CASE WHEN canonical IN ('Contents', 'JumpContents') THEN 'Contents' WHEN canonical IN ('JumpContext', 'PopupContext') THEN 'Map'
-    WHEN canonical IN ('JumpHash', 'PopupHash') THEN 'Hash' WHEN canonical IN ('JumpID', 'PopupId') THEN 'Id' END AS k FROM policy_duck
-    WHERE verdict = 'ALLOW') WHERE k IS NOT NULL""")
-def _(t: Tables):
-    return M.macro_link_targets(M.macro_policy(t("calls"))).drop("doc", "origin")
+# jumps of pages, by each kind of call, to files named in several ways
+_JUMP = r"""SELECT doc, topic_index, seq, CAST(topic_index AS STRING) AS origin, seq AS call_no, name, CASE seq % 8 WHEN 0 THEN 'JC' WHEN 1 THEN 'jumphash' WHEN 2 THEN 'JI' WHEN 3 THEN 'PC' WHEN 4 THEN 'PopupHash' WHEN 5 THEN 'PI'
+    WHEN 6 THEN 'JumpContents' ELSE 'Contents' END AS call, CASE seq % 8 WHEN 0 THEN 'SSI' WHEN 1 THEN 'SSI' WHEN 2 THEN 'SS' WHEN 3 THEN 'SI' WHEN 4 THEN 'SI' WHEN 5 THEN 'SS' WHEN 6 THEN 'SS' ELSE '' END AS arg_types,
+    CASE topic_index % 6 WHEN 0 THEN '' WHEN 1 THEN concat('lib', chr(92), 'b.hlp') WHEN 2 THEN 'PAGES' WHEN 3 THEN 'gone.hlp' WHEN 4 THEN 'other.hlp' ELSE './pages' END AS file,
+    CASE (topic_index + seq) % 5 WHEN 0 THEN 'main' WHEN 1 THEN 'Steps' WHEN 2 THEN 'nowhere' ELSE '' END AS win, CAST((topic_index * 7 + seq) % 350 AS STRING) AS number FROM """
+view("jump_calls", _JUMP + "{link_names}")
+view("jump_contexts", "SELECT d.doc, c.ord, c.name, CASE WHEN d.doc = 'pages' THEN c.topic_offset ELSE 12 + 64 * (c.ord % 40) END AS topic_offset FROM {context_names} c CROSS JOIN {link_docs} d WHERE d.doc <> 'other.hlp'")
+view("jump_map", "SELECT d.doc, m.ord, m.map_id, m.topic_offset FROM {context_map} m CROSS JOIN {link_docs} d")
+view("jump_declared", "SELECT doc, CAST(CASE doc WHEN 'lib/b.hlp' THEN 12 + 64 * 3 WHEN 'pages' THEN -1 END AS BIGINT) AS contents_offset FROM {link_docs}")
+view("jump_topics", "SELECT doc, topic_index, topic_offset AS topic_pos FROM {link_anchors}")
+_HASHED = duck_hash("name")
+_JUMPS = f"""WITH h AS (SELECT *, CASE WHEN seq % 8 IN (1, 2, 4, 5) THEN {_HASHED} END AS hash, lower(CASE WHEN file = './pages' THEN 'pages' WHEN seq % 8 = 7 OR file = '' THEN doc ELSE replace(file, chr(92), '/') END) AS named,
+      CASE seq % 8 WHEN 0 THEN 'Map' WHEN 3 THEN 'Map' WHEN 1 THEN 'Hash' WHEN 4 THEN 'Hash' WHEN 2 THEN 'Id' WHEN 5 THEN 'Id' ELSE 'Contents' END AS target_kind FROM jump_calls),
+    k AS (SELECT h.topic_index AS src, h.seq, h.hash, h.target_kind, l.doc AS dst_doc, h.seq % 8 IN (3, 4, 5) AS popup, CASE WHEN h.seq % 8 IN (0, 1, 2, 6) THEN nullif(h.win, '') END AS win_name, CAST(NULL AS INT) AS win_number,
+      CASE WHEN target_kind = 'Map' THEN number WHEN target_kind = 'Hash' THEN CAST(hash AS STRING) WHEN target_kind = 'Id' THEN name END AS target, l.doc AS doc, CASE WHEN target_kind = 'Map' THEN CAST(number AS INT) END AS map_id
+      FROM h LEFT JOIN link_docs l ON lower(l.doc) = h.named),
+    c AS (SELECT doc, hash, arg_min(topic_offset, ord) AS topic_offset FROM (SELECT *, {_HASHED} AS hash FROM jump_contexts) GROUP BY ALL),
+    m AS (SELECT doc, map_id, arg_min(topic_offset, ord) AS topic_offset FROM jump_map GROUP BY ALL),
+    o AS (SELECT k.*, coalesce(c.topic_offset, m.topic_offset) AS topic_offset FROM k LEFT JOIN c ON c.doc = k.doc AND c.hash = k.hash LEFT JOIN m ON m.doc = k.doc AND m.map_id = k.map_id),
+    s AS (SELECT d.doc, coalesce(a.topic_index, p.topic_index, f.topic_index) AS topic_index FROM jump_declared d LEFT JOIN ({asof('jump_declared', 'link_anchors', 'contents_offset', 'r.doc')}) a ON a.doc = d.doc
+      LEFT JOIN (SELECT t.doc, e.topic_index FROM topic_map t JOIN jump_topics e ON t.doc = e.doc AND t.topic_pos = e.topic_pos WHERE t.ordinal = 0 AND t.topic_pos >= 12) p ON p.doc = d.doc
+      LEFT JOIN (SELECT doc, min(topic_index) AS topic_index FROM jump_topics GROUP BY doc) f ON f.doc = d.doc),
+    e AS (SELECT o.*, CASE WHEN target_kind = 'Contents' THEN s.topic_index ELSE a.topic_index END AS dst_topic FROM o LEFT JOIN s ON s.doc = o.doc JOIN ({asof('o', 'link_anchors', 'topic_offset', 'r.src, r.seq')}) a ON a.src = o.src AND a.seq = o.seq)
+    SELECT src, seq, target_kind, target, popup, dst_doc, dst_topic, mode, win, CASE WHEN dst_doc IS NULL THEN 'The linked HLP was not embedded in this HTML export.'
+    WHEN dst_topic IS NULL THEN concat('Unresolved macro ', lower(target_kind), CASE WHEN target IS NULL THEN '' ELSE concat(' ', target) END, ' in ', dst_doc) END AS message FROM {_modes('e')}"""
+
+
+def jumps(t: Tables):
+    """The jumps' calls, as they come out of macro_policy."""
+    hashed = context_hash(F.col("name")).cast("string")
+    n = F.col("seq") % 8
+    path = F.concat("file", F.when(F.col("win") != "", F.concat(F.lit(">"), "win")).otherwise(""))
+    args = F.when(n == 0, F.array("file", "win", "number")).when(n == 1, F.array(F.col("file"), F.col("win"), hashed)).when(n == 2, F.array(path, F.col("name"))).when(n == 3, F.array("file", "number"))
+    args = args.when(n == 4, F.array(F.col("file"), hashed)).when(n == 5, F.array("file", "name")).when(n == 6, F.array("file", "win")).otherwise(F.array().cast("array<string>"))
+    return M.macro_policy(t("jump_calls").withColumn("args", args).withColumn("name", F.col("call")).withColumn("error", F.lit(None).cast("string")))
+
+
+@query("macro_link_targets", _JUMPS)
+def _(t: Tables):
+    hashed = t("jump_contexts").withColumn("hash", context_hash(F.col("name")))
+    d = M.macro_link_edges(M.macro_link_targets(jumps(t)), t("jump_declared"), hashed, t("jump_map"), t("topic_map"), t("jump_topics"), t("link_anchors"), t("link_defaults"), t("link_windows"))
+    return d.select(F.col("origin").cast("int").alias("src"), F.col("call_no").alias("seq"), "target_kind", "target", "popup", "dst_doc", "dst_topic", "mode", "win", "message")
 
 
 # ---- sessions
 
 view("nav_events", """SELECT user_id AS usr, ts, event_id, CASE event_type WHEN 'error' THEN 'back' WHEN 'signup' THEN 'forward' WHEN 'purchase' THEN 'bookmark'
-    ELSE 'visit' END AS action, concat('Topic', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 12 AS STRING)) AS location FROM {events}""")
+    ELSE 'visit' END AS action, concat(CASE WHEN CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 5 = 3 THEN 'lib/' ELSE '' END, 'src', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 3 AS STRING), '#',
+    CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 12 AS STRING)) AS location FROM {events}""")
 view("opens", "SELECT usr, ts, event_id, location AS doc FROM {nav_events} WHERE action = 'visit'")
 view("bookmark_rows", """SELECT event_id AS ord, CASE WHEN event_id % 10 = 3 THEN NULL ELSE concat('mark', chr(9), CAST(event_id AS STRING)) END AS label, CASE
     WHEN event_id % 13 = 2 THEN NULL
@@ -317,9 +382,10 @@ def _(t: Tables):
 @query("history_listing", _HISTORY + """, z AS (SELECT usr, arg_max(struct_pack(cur := cur, b := b, f := f), rn) AS s FROM w GROUP BY usr),
     l AS (SELECT usr, list_concat(list_concat(list_transform(s.b, lambda x: ['←', x]), CASE WHEN s.cur IS NULL THEN []
     ELSE [['•', s.cur]] END), list_transform(list_reverse(s.f), lambda x: ['→', x])) AS p FROM z)
-    SELECT usr, CAST(ord AS INT) AS ord, x[1] AS marker, x[2] AS location FROM (SELECT usr, unnest(range(len(p))) AS ord, unnest(p) AS x FROM l)""")
+    SELECT usr, CAST(ord AS INT) AS ord, x[1] AS marker, x[2] AS location, concat(coalesce(nullif(trim(t.title), ''), concat('Topic ', CAST(CAST(split_part(x[2], '#', 2) AS INT) + 1 AS STRING))), ' — ', string_split(split_part(x[2], '#', 1), '/')[-1]) AS label
+    FROM (SELECT usr, unnest(range(len(p))) AS ord, unnest(p) AS x FROM l) LEFT JOIN topics t ON t.doc = split_part(x[2], '#', 1) AND t.topic_index = CAST(split_part(x[2], '#', 2) AS INT)""")
 def _(t: Tables):
-    return N.history_listing(t("nav_events"))
+    return N.history_listing(t("nav_events"), t("topics"))
 
 
 _RECENT = """SELECT usr, CAST(row_number() OVER (PARTITION BY usr ORDER BY at_last DESC) AS INT) AS rank, doc
@@ -463,14 +529,24 @@ def _(t: Tables):
     return P.font_census(t("descriptors"))
 
 
-view("blocks", """SELECT CAST(l_orderkey % 20 AS STRING) AS doc, l_linenumber % 2 = 0 AS compressed, CAST(floor(l_quantity) AS BIGINT) * 40 AS physical, CAST(floor(l_extendedprice) AS BIGINT) % 4096 AS decoded
+view("blocks", """SELECT CAST(l_orderkey % 20 AS STRING) AS doc, CAST(floor(l_quantity) AS BIGINT) * 40 AS physical, CAST(floor(l_extendedprice) AS BIGINT) % 6000 AS decoded
     FROM {lineitem}""")
+view("block_docs", """SELECT CAST(n_nationkey AS STRING) AS doc, CASE n_nationkey % 6 WHEN 0 THEN 15 WHEN 1 THEN 21 WHEN 2 THEN 27 WHEN 3 THEN 33 WHEN 4 THEN 16 ELSE 40 END AS minor, CASE n_nationkey % 4 WHEN 0 THEN 0
+    WHEN 1 THEN 4 WHEN 2 THEN 8 ELSE 2 END AS flags FROM {nation}""")
+_LAYOUT = """SELECT doc, CASE minor WHEN 15 THEN 'Windows30' WHEN 21 THEN 'Windows31' WHEN 27 THEN 'Multimedia' WHEN 33 THEN 'Windows95' ELSE concat('Unknown ', CAST(minor AS STRING)) END AS generation, CASE WHEN minor <= 16 OR flags = 0 THEN 'none'
+    WHEN flags IN (4, 8) THEN 'lz77' ELSE concat('unknown ', CAST(flags AS STRING)) END AS compression, CASE WHEN minor <= 16 OR flags = 8 THEN 2048 ELSE 4096 END AS block_size, CASE WHEN minor <= 16 THEN 2036
+    WHEN flags IN (4, 8) THEN 16384 ELSE 4084 END AS decoded_size FROM block_docs"""
 
 
-@query("block_profile", """SELECT doc, kind, n, physical, decoded, 100 * physical // greatest(decoded, 1) AS percent FROM (SELECT doc, CASE WHEN compressed THEN 'packed'
-    ELSE 'plain' END AS kind, count(*) AS n, CAST(sum(physical) AS BIGINT) AS physical, CAST(sum(decoded) AS BIGINT) AS decoded FROM blocks GROUP BY ALL)""")
+@query("block_layout", _LAYOUT)
 def _(t: Tables):
-    return P.block_profile(t("blocks"))
+    return P.block_layout(t("block_docs")).drop("minor", "flags")
+
+
+@query("block_profile", f"""SELECT *, 100 * physical // greatest(decoded, 1) AS percent FROM (SELECT b.doc, generation, compression, block_size, decoded_size, count(*) AS n, CAST(sum(physical) AS BIGINT) AS physical,
+    CAST(sum(decoded) AS BIGINT) AS decoded, count(*) FILTER (WHERE decoded > decoded_size) AS n_over FROM blocks b JOIN ({_LAYOUT}) l ON l.doc = b.doc GROUP BY ALL)""")
+def _(t: Tables):
+    return P.block_profile(t("blocks"), t("block_docs"))
 
 
 view("keyword_warnings", "SELECT doc, CAST(ord AS BIGINT) AS ord, concat('no topic for ', keyword) AS message FROM {keywords} WHERE ord % 13 = 0")
@@ -538,19 +614,24 @@ def _(t: Tables):
 
 
 view("runs", """SELECT doc, topic_index, pos, CASE WHEN is_header THEN 'non_scrolling' ELSE 'scrolling' END AS region, text, CASE
-    WHEN pos % 5 = 2 THEN CAST(pos % 99 AS INT) END AS action_id, CASE
     WHEN pos % 10 = 2 THEN concat('go \"', substring(text, 1, 5), '\" <', CAST(pos AS STRING), '>') END AS tooltip FROM {records}""")
+view("site_spots", """SELECT doc, pos, CASE pos % 3 WHEN 0 THEN 'noop' WHEN 1 THEN 'program' ELSE 'open' END AS kind, concat('d\"', doc) AS dst_doc, CAST(pos % 7 AS INT) AS topic_index, CASE WHEN pos % 2 = 0 THEN 'popup' ELSE 'main' END AS mode,
+    CASE WHEN pos % 4 = 0 THEN 'steps' END AS win_name, CASE WHEN pos % 2 = 1 THEN '[["Back"]]' END AS ops, concat('a <b> & \"', doc, '\"') AS message FROM {records} WHERE pos % 5 = 2""")
+view("runs_duck", "SELECT 1", """SELECT r.*, a.action_id FROM runs r
+    LEFT JOIN (SELECT doc, pos, row_number() OVER (ORDER BY doc, pos) - 1 AS action_id FROM site_spots) a ON a.doc = r.doc AND a.pos = r.pos""")
 _PIECE = f"""concat('<p>', CASE WHEN action_id IS NOT NULL THEN concat('<a class="hlp-link" href="#" data-action="', CAST(action_id AS STRING), '"', CASE
     WHEN tooltip IS NOT NULL THEN concat(' title="', {_escaped('tooltip')}, '"') ELSE '' END, '>', {_escaped('text')}, '</a>')
     ELSE {_escaped('text')} END, '</p>')"""
 _INNER = lambda r: f"coalesce(string_agg({_PIECE}, '' ORDER BY pos) FILTER (WHERE region = '{r}'), '')"
 _HTML = f"""SELECT doc, topic_index, concat('<section id=\"hlp-topic-', doc, '-', CAST(topic_index AS STRING), '\"><header>', {_INNER('non_scrolling')}, '</header>', {_INNER('scrolling')}, '</section>') AS html
-    FROM runs GROUP BY doc, topic_index"""
+    FROM runs_duck GROUP BY doc, topic_index"""
 
 
 @query("render_topic_html", f"SELECT doc, topic_index, md5(html) AS digest FROM ({_HTML})")
 def _(t: Tables):
-    return X.render_topic_html(t("runs")).select("doc", "topic_index", F.md5("html").alias("digest"))
+    """Links carry the ids that they have in the whole export, where they come first."""
+    registry = X.action_registry(X.link_actions(t("site_spots")))
+    return X.render_topic_html(X.with_actions(t("runs"), registry, "topics", "doc", "pos")).select("doc", "topic_index", F.md5("html").alias("digest"))
 
 
 @query("program_ops", f"""SELECT doc, origin, concat('[', string_agg(concat('[', array_to_string(list_transform(list_concat([canonical], args), lambda a: {_js('a')}), ','), ']'), ','
@@ -559,20 +640,27 @@ def _(t: Tables):
     return X.program_ops(M.macro_policy(t("calls")), ["doc", "origin"])
 
 
-view("actions", """SELECT concat('site', CAST(src % 8 AS STRING)) AS doc, CAST(seq % 2 AS INT) AS source_rank, CAST(src AS BIGINT) * 1000 + seq AS seq, CASE seq % 4
-    WHEN 0 THEN 'noop' WHEN 1 THEN 'program' ELSE 'open' END AS kind, concat('d"', dst_doc) AS dst_doc, dst_topic AS topic_index,
-    CASE WHEN popup THEN 'popup' ELSE 'main' END AS mode, win_name, CASE
-    WHEN src % 3 = 0 THEN '[["Back"]]' END AS ops, concat('a <b> & "', coalesce(win_name, 'none'), '"') AS message FROM {edges}""")
-_ACTIONS = f"""SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY source_rank, seq) - 1 AS INT) AS action_id, CASE kind
-    WHEN 'open' THEN concat('{{kind:"open",doc:', {_js('dst_doc')}, ',topic:', CAST(topic_index AS STRING), ',mode:"', mode, '"', CASE
-    WHEN win_name IS NOT NULL THEN concat(',window:', {_js('win_name')}) ELSE '' END, '}}')
-    WHEN 'program' THEN concat('{{kind:"program",ops:', coalesce(ops, '[]'), '}}')
-    ELSE concat('{{kind:"noop",message:', {_js('message')}, '}}') END AS json FROM actions"""
+_OPEN = lambda doc, topic, mode="'main'", win="NULL": f"""concat('{{kind:"open",doc:', {_js(doc)}, ',topic:', CAST({topic} AS STRING), ',mode:"', {mode}, '"', CASE
+    WHEN {win} IS NOT NULL THEN concat(',window:', {_js(win)}) ELSE '' END, '}}')"""
+view("site_contents_duck", "SELECT 1", """SELECT e.doc, CAST(e.line AS BIGINT) AS line, e.level, e.title, g.target_doc, g.topic_index, g.win, CASE WHEN g.win IS NULL THEN 'main' ELSE 'secondary' END AS mode FROM entries_duck e
+    LEFT JOIN targets_duck g ON g.doc = e.doc AND g.line = e.line""")
+view("destinations_duck", "SELECT 1", "SELECT DISTINCT lower(keyword) AS key, doc, topic_index FROM reached_duck WHERE table_id = 'K'")
+view("registry_duck", "SELECT 1", f"""SELECT *, row_number() OVER (ORDER BY section, grp, sub, seq) - 1 AS action_id FROM (
+    SELECT 0 AS section, doc AS grp, '' AS sub, CAST(pos AS BIGINT) AS seq, CASE kind WHEN 'open' THEN {_OPEN('dst_doc', 'topic_index', 'mode', 'win_name')}
+      WHEN 'program' THEN concat('{{kind:"program",ops:', coalesce(ops, '[]'), '}}') ELSE concat('{{kind:"noop",message:', {_js('message')}, '}}') END AS json FROM site_spots
+    UNION ALL SELECT 1, doc, '', line, {_OPEN('target_doc', 'topic_index', 'mode', 'win')} FROM site_contents_duck WHERE topic_index IS NOT NULL
+    UNION ALL SELECT 2, doc, '', topic_index, {_OPEN('doc', 'topic_index')} FROM topics
+    UNION ALL SELECT 3, key, doc, topic_index, {_OPEN('doc', 'topic_index')} FROM destinations_duck)""")
 
 
-@query("action_registry", _ACTIONS)
+def site_contents(t: Tables):
+    found = targets(t).select("doc", "line", "win", "target_doc", "topic_index")
+    return entries(t).select("doc", "line", "level", "title").join(found, ["doc", "line"], "left").withColumn("mode", F.when(F.col("win").isNull(), "main").otherwise("secondary")).withColumn("line", F.col("line").cast("long"))
+
+
+@query("action_registry", "SELECT section, grp, sub, seq, action_id, json FROM registry_duck")
 def _(t: Tables):
-    return X.action_registry(t("actions"))
+    return X.action_registry(X.site_actions(t("site_spots"), site_contents(t), t("topics"), merged_destinations(reached(t))))
 
 
 _NEXT = """SELECT doc, topic_index, lag(topic_index) OVER w AS browse_prev, lead(topic_index) OVER w AS browse_next FROM topics WINDOW w AS (PARTITION BY doc
@@ -582,13 +670,13 @@ _MANIFEST = f"""SELECT t.doc, t.topic_index, concat('{{topic:', CAST(t.topic_ind
     FROM topics t JOIN ({_NEXT}) b ON b.doc = t.doc AND b.topic_index = t.topic_index"""
 
 
-def manifest(t: Tables):
-    return X.topic_manifest(t("topics"), physical_neighbors(t("topics")).withColumnsRenamed({"prev": "browse_prev", "next": "browse_next"}))
+def neighbors(t: Tables):
+    return physical_neighbors(t("topics")).withColumnsRenamed({"prev": "browse_prev", "next": "browse_next"})
 
 
 @query("topic_manifest", _MANIFEST)
 def _(t: Tables):
-    return manifest(t)
+    return X.topic_manifest(t("topics"), neighbors(t))
 
 
 @query("documents_manifest", "SELECT doc, concat('{\"name\":\"', doc, '\",\"title\":\"', title, '\",\"topics\":', CAST(n_topics AS STRING), '}') AS json FROM docs")
@@ -596,22 +684,25 @@ def _(t: Tables):
     return X.documents_manifest(t("docs"), t("topics"))
 
 
+_LABEL = "CASE WHEN trim(title) = '' THEN concat('Topic ', CAST(topic_index + 1 AS STRING)) ELSE title END"
+_OF_ACTION = lambda rows, section, grp, seq, sub="''": f"(SELECT x.*, coalesce(CAST(r.action_id AS STRING), 'null') AS action FROM {rows} x LEFT JOIN registry_duck r ON r.section = {section} AND r.grp = x.{grp} AND r.seq = x.{seq} AND r.sub = {sub})"
 _PARTS = {
-    "topics": f"SELECT html AS v FROM ({_HTML})", "manifest": f"SELECT json AS v FROM ({_MANIFEST})", "actions": f"SELECT json AS v FROM ({_ACTIONS})", "documents": f"SELECT json AS v FROM ({SQL['documents_manifest']})",
-    "contents": "SELECT to_json(struct_pack(line := line, path := path)) AS v FROM paths_duck", "index": "SELECT to_json(struct_pack(key := key, keyword := keyword, n := n)) AS v FROM merged_duck",
+    "topics": ("html", f"({_HTML})", "doc, topic_index"), "manifest": ("json", f"({_MANIFEST})", "doc, topic_index"), "documents": ("json", f"(SELECT doc, json FROM ({SQL['documents_manifest']}))", "doc"),
+    "contents": (f"concat('{{level:', CAST(level AS STRING), ',title:', {_js('title')}, ',action:', action, '}}')", _OF_ACTION("site_contents_duck", 1, "doc", "line"), "doc, line"),
+    "listing": (f"concat('{{title:', {_js(_LABEL)}, ',action:', action, '}}')", _OF_ACTION("topics", 2, "doc", "topic_index"), "doc, topic_index"),
+    "index": (f"concat('{{keyword:', {_js('m.keyword')}, ',action:', action, '}}')", _OF_ACTION("destinations_duck", 3, "key", "topic_index", "x.doc") + " d JOIN merged_duck m ON m.key = d.key", "d.key, doc, topic_index"),
+    "search": (f"concat('{{doc:', {_js('doc')}, ',topic:', CAST(topic_index AS STRING), ',title:', {_js(_LABEL)}, ',text:', {_js('plain_text')}, '}}')", "topics", "doc, topic_index"), "actions": ("json", "registry_duck", "action_id"),
 }
-view("paths_duck", "SELECT 1", PATHS)
+_COUNTED = {"document_count": "docs", "topic_count": "topics", "warning_count": "topic_warnings"}
 
 
-@query("export_site", " UNION ALL ".join([f"SELECT '{k}' AS part, count(*) AS n, CAST(coalesce(sum(length(v)), 0) AS BIGINT) AS n_chars FROM ({v})" for k, v in _PARTS.items()]
-    + ["SELECT 'document_count', (SELECT count(*) FROM docs), 0", "SELECT 'topic_count', (SELECT count(*) FROM topics), 0", "SELECT 'warning_count', (SELECT count(*) FROM topic_warnings), 0"]))
+@query("export_site", " UNION ALL ".join([f"SELECT '{k}' AS part, row_number() OVER (ORDER BY {order}) - 1 AS nth, md5({v}) AS digest FROM {rows}" for k, (v, rows, order) in _PARTS.items()] + [f"SELECT '{k}', (SELECT count(*) FROM {v}), NULL" for k, v in _COUNTED.items()]))
 def _(t: Tables):
-    """The report, and the number of lines and characters that the written parts have when they are read again."""
-    path = scratch_path(t.spark)
-    report = X.export_site(path, t("docs"), t("topics"), t("topic_warnings"), X.render_topic_html(t("runs")), manifest(t), X.action_registry(t("actions")), contents_paths(contents_hierarchy(entries(t))), merge_keyword_index(reached(t)))
-    parts = X.read_site(t.spark, path).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).cast("long").alias("n_chars"))
-    counts = report.select(F.inline(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("n"), F.lit(0).cast("long").alias("n_chars")) for c in report.columns])))
-    return parts.unionByName(counts)
+    """The report, and every line of the written parts, with its place, when they are read again."""
+    r, path = reached(t), scratch_path(t.spark)
+    report = X.export_site(path, t("docs"), t("topics"), t("topic_warnings"), t("runs"), t("site_spots"), neighbors(t), site_contents(t), merge_keyword_index(r), merged_destinations(r))
+    counts = report.select(F.inline(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("nth"), F.lit(None).cast("string").alias("digest")) for c in _COUNTED])))
+    return X.read_site(t.spark, path).select("part", "nth", F.md5("value").alias("digest")).unionByName(counts)
 
 
 _LINE = lambda *parts: "concat(" + ", ".join(f"'{p}'" if i % 2 == 0 else f"CAST({p} AS STRING)" for i, p in enumerate(parts)) + ")"
@@ -622,10 +713,10 @@ _LINES = {
 }
 
 
-@query("write_dump", f"""SELECT doc, {_LINES['streams']} AS line FROM ({SQL['stream_inventory']}) UNION ALL SELECT doc, {_LINES['summary']} FROM ({_SUMMARY})
-    UNION ALL SELECT 'pages', {_LINES['topics']} FROM ({_TOPIC_PROFILE}) UNION ALL SELECT doc, {_LINES['records']} FROM ({_CONTENT})""")
+@query("write_dump", f"""SELECT row_number() OVER (ORDER BY doc, section, seq, line) - 1 AS nth, doc, line FROM (SELECT doc, 'streams' AS section, 0 AS seq, {_LINES['streams']} AS line FROM ({SQL['stream_inventory']}) UNION ALL SELECT doc, 'summary', 0, {_LINES['summary']} FROM ({_SUMMARY})
+    UNION ALL SELECT 'pages', 'topics', topic_id, {_LINES['topics']} FROM ({_TOPIC_PROFILE}) UNION ALL SELECT doc, 'records', pos, {_LINES['records']} FROM ({_CONTENT}))""")
 def _(t: Tables):
-    """The inventory, summary and profiles as lines, to text files by document and back."""
+    """The inventory, summary and profiles as lines in order, to text files and back."""
     path = scratch_path(t.spark)
     line = lambda d, name, doc, seq: d.select(doc.alias("doc"), seq.alias("seq"), F.expr(_LINES[name]).alias("line"))
     sections = {
@@ -633,4 +724,4 @@ def _(t: Tables):
         "topics": line(topic_profile(t), "topics", F.lit("pages"), F.col("topic_id")), "records": line(content_profile(t), "records", F.col("doc"), F.col("pos")),
     }
     X.write_dump(path, X.dump_lines(**sections))
-    return t.spark.read.schema("value string, doc string").text(path).select(F.col("value").alias("line"), "doc")
+    return X.read_dump(t.spark, path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from ..operators import contents as C
 from ..operators import keywords as K
 from ..operators import search as S
@@ -151,7 +152,7 @@ def _(t: Tables):
 
 
 @query("search_corpus", f"""SELECT doc, topic_index, score, concat('[', CASE WHEN {_KIND} = 'Body' THEN 'Text'
-    ELSE {_KIND} END, '] ', coalesce(nullif(trim(title), ''), concat('Topic ', CAST(topic_index + 1 AS STRING))), ' — ', doc) AS label FROM {_HITS}
+    ELSE {_KIND} END, '] ', coalesce(nullif(trim(title), ''), concat('Topic ', CAST(topic_index + 1 AS STRING))), ' — ', string_split(replace(doc, chr(92), '/'), '/')[-1]) AS label FROM {_HITS}
     WHERE score > 0 ORDER BY score DESC, doc, topic_index LIMIT 200""")
 def _(t: Tables):
     return S.search_corpus(search_table(t), PHRASE)
@@ -167,7 +168,8 @@ view("batch_queries", """SELECT item_id * 4 AS query_id, concat(split_part(text,
     ORDER BY {_score('q')} DESC, doc, topic_index) AS INT) AS rank FROM search_duck, (SELECT query_id, {_fold('query')} AS q FROM batch_queries)
     WHERE q <> '' AND {_score('q')} > 0) WHERE rank <= 10""")
 def _(t: Tables):
-    return S.search_batch(search_table(t), t("batch_queries"))
+    """Over the search table as an ingest job leaves it, folded once."""
+    return S.search_batch(written(search_table(t)), t("batch_queries"))
 
 
 @query("search_export_profile", """SELECT doc, topic_index, title, CAST(CASE WHEN lower(title) = 'the' THEN 100 ELSE 0 END + CASE WHEN contains(lower(title), 'the') THEN 40

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helpcorpus.functions.scalars import context_hash, external_path, fold_text, hash_weight, html_escape, js_string, relative_only, topic_label
+from helpcorpus.functions.scalars import context_hash, external_path, fold_text, hash_weight, html_escape, js_string, linked_identity, relative_only, topic_label
 from helpcorpus.operators import contents as C
 from helpcorpus.operators import export as X
 from helpcorpus.operators import keywords as K
@@ -178,6 +178,61 @@ def test_links(spark):
     assert sorted(r.doc for r in reached.collect()) == ["a", "b"] and "skipped: over the limit" in {r.warning for r in warnings.collect()}
 
 
+def test_paths(spark):
+    cases = [("lib/a.hlp", "b.hlp", "lib/b.hlp"), ("lib/a.hlp", "lib\\b.hlp", "lib/lib/b.hlp"), ("LIB\\a.hlp", "..\\B.hlp", "b.hlp"), ("a.hlp", "../b", "../b"), ("x/y/a", "./../../../b", "../b"), ("lib/a.hlp", None, "lib/a.hlp"), ("lib/A.hlp", " ", "lib/a.hlp"), ("lib/a", "/B//c", "/b/c"), ("lib/a", "C:\\x", "c:/x"), ("lib/a", "", "lib/a"), ("/r/a", "../../b", "/../b")]
+    d = spark.createDataFrame([c[:2] for c in cases], "doc string, file string").select(linked_identity(F.col("doc"), F.col("file")))
+    assert [r[0] for r in d.collect()] == [c[2] for c in cases]
+
+
+def test_links_by_folder(spark):
+    """A file of the same folder, one named from the root, none, blank and dotted ones; through hotspots, closure and catalog."""
+    docs = spark.createDataFrame([("lib/a.hlp",), ("Lib\\B.hlp",), ("b.hlp",)], "doc string")
+    files = ["b.hlp", "lib\\b.hlp", None, "  ", "./B.hlp", "../b.hlp", "/b.hlp"]
+    spots = spark.createDataFrame([("lib/a.hlp", 0, i, "External", 12, None, True, 226 + i % 2, f, None, 1 if i == 1 else None) for i, f in enumerate(files)] + [("lib/a.hlp", 0, 20, "Internal", 12, None, True, None, "b.hlp", "x", 3), ("lib/a.hlp", 0, 21, "ContextHash", None, 12, False, None, None, None, None), ("lib/a.hlp", 0, 22, "Internal", 5, None, False, None, None, None, None)],
+        "doc string, topic_index int, seq int, kind string, topic_offset long, hash int, popup boolean, opcode int, help_file string, win_name string, win_number int")
+    anchors = spark.createDataFrame([(d, 12, n, 12) for n, d in enumerate(("lib/a.hlp", "Lib\\B.hlp", "b.hlp"))], "doc string, topic_offset long, topic_index int, pos long")
+    contexts = spark.createDataFrame([], "doc string, ord int, hash int, topic_offset long")
+    defaults = spark.createDataFrame([("b.hlp", 0, 12, 1), ("lib/a.hlp", 0, 12, 0)], "doc string, ord int, topic_offset long, win int")
+    windows = spark.createDataFrame([(d, i, w) for d in ("lib/a.hlp", "b.hlp") for i, w in enumerate(("main", "side"))], "doc string, ordinal int, name string")
+    out = {r.seq: (r.dst_doc, r.dst_topic, r.popup, r.mode, r.win) for r in L.resolve_hotspots(spots, contexts, anchors, docs, defaults, windows).collect()}
+    lib_b, own = ("Lib\\B.hlp", 1), ("lib/a.hlp", 0)
+    assert out[0] == (*lib_b, True, "popup", None) and out[1] == (None, None, False, None, None) and out[2] == (*own, True, "popup", None) and out[3] == (*own, False, "main", None)
+    assert out[4] == (*lib_b, True, "popup", None) and out[5] == ("b.hlp", 2, False, "secondary", 1) and out[6][:2] == (None, None)
+    assert out[20] == (*own, True, "popup", None) and out[21] == (*own, False, "main", None) and out[22] == ("lib/a.hlp", None, False, None, None)
+    refs = spark.createDataFrame([("lib/a.hlp", i, f) for i, f in enumerate(files)], "doc string, rank int, help_file string")
+    reached, warnings = L.linked_file_closure(spark.createDataFrame([("LIB/a.hlp",)], "doc string"), refs, docs)
+    assert sorted((r.rank, r.doc) for r in reached.collect()) == [(1, "lib/a.hlp"), (2, "Lib\\B.hlp"), (3, "b.hlp")]
+    assert sorted((r.help_file, r.warning[9:]) for r in warnings.collect()) == [("/b.hlp", "not a relative path"), ("lib\\b.hlp", "cannot be opened")]
+    links = spark.createDataFrame([("lib/a.hlp", i, "search" if f == "../b.hlp" else "index", f) for i, f in enumerate(["A.hlp", *files])], "doc string, ord int, kind string, help_file string")
+    found, warnings = L.related_catalog(links, docs)
+    assert sorted((r.rank, r.related_doc) for r in found.collect()) == [(1, "Lib\\B.hlp"), (3, "b.hlp")]  # itself is no try
+    assert sorted((r.rank or 0, r.help_file or "", r.warning[9:]) for r in warnings.collect()) == [(0, "", "not a relative path"), (0, "  ", "not a relative path"), (0, "/b.hlp", "not a relative path"), (2, "lib\\b.hlp", "cannot be opened")]
+    found, warnings = L.related_catalog(links, docs, 1)
+    assert found.count() == 1 and [(r.rank, r.help_file) for r in warnings.where("rank > 1").collect()] == [(2, None)]
+
+
+def test_references_to_one_place_are_spread(spark):
+    """Rows do not pass a window, and one place's references go to every copy of its cell."""
+    anchors = spark.createDataFrame([("a", 100, 7, 1)], "doc string, topic_offset long, topic_index int, pos long")
+    refs = spark.range(20_000).select(F.col("id").alias("ref_id"), F.lit("a").alias("doc"), F.when(F.col("id") % 10 < 9, F.lit(150)).otherwise(F.col("id") % 3 - 2).alias("topic_offset"))
+    got = R.resolve_topic_offset(refs, anchors, copies=8)
+    assert {(r.topic_index, r.n) for r in got.groupBy("topic_index").agg(F.count(F.lit(1)).alias("n")).collect()} == {(7, 18_000), (None, 2_000)} and got.columns == ["ref_id", "doc", "topic_offset", "topic_index"]
+    spans = {(r._copy, r._cell) for r in R._spans(anchors, "t", 8).collect()}
+    assert spans == {(s, c) for s in range(8) for c in range(32768 // R.CELL)} and R._spans(anchors, "t").count() == 128
+
+
+def test_asof_join_against_brute_force(spark):
+    rng = random.Random(12)
+    anchors = [(rng.choice("ab"), rng.choice([rng.randrange(700), 32768 * rng.randrange(3) + rng.randrange(32768)]), i, rng.randrange(10**6)) for i in range(300)]
+    refs = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, -5, rng.randrange(900), rng.randrange(4 * 32768)])) for i in range(1500)]
+    want = {}
+    for i, doc, at in refs:
+        near = [(o, p, t) for d, o, t, p in anchors if d == doc and at is not None and 0 <= o <= at and o // 32768 == at // 32768]
+        want[i] = max(near)[2] if near else None
+    got = R.resolve_topic_offset(spark.createDataFrame(refs, "ref_id int, doc string, topic_offset long"), spark.createDataFrame(anchors, "doc string, topic_offset long, topic_index int, pos long"))
+    assert {r.ref_id: r.topic_index for r in got.collect()} == want and got.count() == 1500
+
+
 def test_hit(spark):
     rng = random.Random(7)
     rects = [("d", p, i, i, rng.randrange(-50, 900), rng.randrange(-50, 900), rng.choice([0, 1, 20, 64, 65, 700, 100_000]), rng.choice([1, 30, 64, 300])) for i in range(60) for p in (0, 1)]
@@ -274,12 +329,117 @@ def test_history(spark):
             if x[0] == u:
                 h.apply(x[3], x[4])
                 assert got[u, x[2]] == (h.current, len(h.back), len(h.forward))
-        listing = [(r.marker, r.location) for r in N.history_listing(ev).where(f"usr = {u}").orderBy("ord").collect()]
+        titles = spark.createDataFrame([("t1", 0, "One"), ("t2", 0, " ")], "doc string, topic_index int, title string")
+        listing = [(r.marker, r.location) for r in N.history_listing(ev, titles).where(f"usr = {u}").orderBy("ord").collect()]
         assert listing == [*(("←", x) for x in h.back), ("•", h.current), *(("→", x) for x in reversed(h.forward))]
     opens = spark.createDataFrame([(1, i, i, d) for i, d in enumerate(["one", "two", "three", "four", "five", "Three", "six"])], "usr long, ts long, event_id long, doc string")
     assert [r.doc for r in N.recent_documents(opens).orderBy("rank").collect()] == ["six", "three", "five", "four", "two"]
 
 
+def test_history_labels(spark):
+    places = ["lib/a.hlp#2", "b#0", "b#7", "x#y", "dir\\c.hlp", "lib#1/a.hlp#2"]
+    ev = spark.createDataFrame([(1, i, i, "visit", p) for i, p in enumerate(places)], "usr long, ts long, event_id long, action string, location string")
+    titles = spark.createDataFrame([("lib/a.hlp", 2, " Two "), ("b", 0, " "), ("dir\\c.hlp", 0, "C")], "doc string, topic_index int, title string")
+    assert [r.label for r in N.history_listing(ev, titles).orderBy("ord").collect()] == ["Two — a.hlp", "Topic 1 — b", "Topic 8 — b", "Topic 1 — x#y", "C — c.hlp", "Topic 3 — a.hlp"]
+
+
+def test_cells(spark):
+    """Paths and the order of the walk as a recursion has them, at 64 levels, with siblings, strays and a circle."""
+    rng = random.Random(3)
+    parent = {i: (None if i < 3 else rng.randrange(max(0, i - 9), i)) for i in range(120)} | {1000 + i: (None if i == 0 else 1000 + i - 1) for i in range(70)}
+    cells = {i: rng.randrange(10**9) for i in parent}
+    want, children = {}, {}
+    for i, p in parent.items():
+        children.setdefault(p, []).append(i)
+    def walk(i, path, root, seen):
+        path = [*path, i]
+        if len(path) <= 65:
+            want[cells[i]] = (cells[root], len(path) - 1, "/".join(str(cells[x]) for x in path), len(seen))
+            seen.append(i)
+            for c in sorted(children.get(i, []), key=lambda x: cells[x]):
+                walk(c, path, root, seen)
+    for r in children[None]:
+        walk(r, [], r, [])
+    rows = [("d", cells[i], None if p is None else cells[p], "k") for i, p in parent.items()] + [("d", -1, -2, "k"), ("d", -2, -1, "k"), ("d", -3, -4, "k"), ("d", -5, -5, "k"), ("e", 1, None, "k")]
+    d = spark.createDataFrame(rows, "doc string, cell_id long, parent_id long, kind string").repartition(5)
+    got = {r.cell_id: (r.root, r.depth, r.path, r.nth) for r in T.flatten_nested_cells(d).collect()}
+    assert got == want | {1: (1, 0, "1", 0)} and max(v[1] for v in got.values()) == 64
+
+
+@pytest.mark.parametrize("parts", [1, 4, 9])
+def test_site(spark, tmp_path, parts):
+    """Lines in order whatever the partitions; every data-action and action names its own action; ids are lines of the actions."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(f"dir/d{i}", "" if i else "T") for i in range(3)], "doc string, title string")
+    topics = [(f"dir/d{i}", k, f"title {i} {k}" if k else " ", f"text\n{i} {k}") for i in range(3) for k in range(12)]
+    runs = [(d, k, 100 * k + j, "scrolling" if j else "non_scrolling", f"{d} {k} {j}\n<", f"tip {j}" if j == 2 else None) for d, k, *_ in topics for j in range(4)]
+    spots = [(d, pos, rng.choice(["open", "noop", "program"]), "dir/d1", 3, "main", None, '[["Back"]]', f"{d} {pos}") for d, _, pos, *_ in runs if pos % 2]
+    contents = [("dir/d0", i, 1 + i % 2, f"entry {i}", "dir/d2" if i % 3 else None, i % 12 if i % 3 else None, "main", None) for i in range(20)]
+    dest = [(f"k{i % 4}", f"dir/d{i % 3}", i) for i in range(12)]
+    frame = lambda rows, ddl: spark.createDataFrame(rng.sample(rows, len(rows)), ddl).repartition(parts)
+    t = frame(topics, "doc string, topic_index int, title string, plain_text string")
+    near = R.physical_neighbors(t).withColumnsRenamed({"prev": "browse_prev", "next": "browse_next"})
+    keys = spark.createDataFrame([(f"k{i}", f"K{i}") for i in range(4)], "key string, keyword string")
+    site = str(tmp_path / "site.HTM")
+    keep = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        report = X.export_site(site, docs, t, t.limit(2), frame(runs, "doc string, topic_index int, pos long, region string, text string, tooltip string"), frame(spots, "doc string, pos long, kind string, dst_doc string, topic_index int, mode string, win_name string, ops string, message string"), near, frame(contents, "doc string, line long, level int, title string, target_doc string, topic_index int, mode string, win string"), keys, frame(dest, "key string, doc string, topic_index int")).first()
+        lines = {}
+        for r in X.read_site(spark, site).orderBy("part", "nth").collect():
+            lines.setdefault(r.part, []).append(r.value)
+            assert r.nth == len(lines[r.part]) - 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", keep)
+    assert tuple(report)[1:] == (3, 36, 2) and report.path.endswith("/site.html")
+    by_place = {(d, pos): (kind, message) for d, pos, kind, *_, message in spots}
+    order = sorted(by_place)
+    assert len(lines["actions"]) == len(spots) + sum(1 for c in contents if c[5] is not None) + len(topics) + len(dest)
+    import re
+
+    seen = []
+    for section, (d, k, *_) in zip(lines["topics"], sorted(topics), strict=True):
+        assert f'id="hlp-topic-{d}-{k}"' in section
+        for action, text in re.findall('data-action="([0-9]+)"[^>]*>([^<]*)</a>', section):
+            place = (d, 100 * k + int(text.split("&")[0].split()[2]))
+            kind, message = by_place[place]
+            seen.append(place)
+            assert order[int(action)] == place and f'kind:"{kind}"' in lines["actions"][int(action)] and (kind != "noop" or f'"{message}"' in lines["actions"][int(action)])
+    assert sorted(seen) == order
+    opens = lambda line, doc, topic: f'doc:"{doc}",topic:{topic},' in lines["actions"][int(re.search(r"action:(\d+)", line)[1])]
+    assert all(opens(x, d, k) and f"title {d[5:]} {k}" * bool(k) in x for x, (d, k, *_) in zip(lines["listing"], sorted(topics), strict=True))
+    assert all(opens(x, d, k) and f'"K{key[1]}"' in x for x, (key, d, k) in zip(lines["index"], sorted(dest), strict=True))
+    assert all("action:null" in x if c[5] is None else opens(x, c[4], c[5]) for x, c in zip(lines["contents"], contents, strict=True))
+    assert len(lines["search"]) == len(lines["manifest"]) == 36 and [x.split(",")[0] for x in lines["documents"]] == [f'{{"name":"d{i}"' for i in range(3)]
+
+
+def test_output_path():
+    assert [X.output_path(p) for p in ("a/b.hlp", "a/b", "a.x/b", "b.HTML", "a/.html", "b.c.d")] == ["a/b.html", "a/b.html", "a.x/b.html", "b.HTML", "a/.html.html", "b.c.html"]
+
+
+def test_numbers_without_gaps(spark):
+    from helpcorpus.functions.ordering import numbered, read_lines, write_lines
+
+    rng = random.Random(8)
+    rows = rng.sample(range(10_000), 700)
+    d = spark.createDataFrame([(x % 7, x) for x in rows], "a int, b int").repartition(6)
+    got = {(r.a, r.b): r.n for r in numbered(d, ["a", "b"], "n", 3).collect()}
+    assert got == {k: i + 3 for i, k in enumerate(sorted((x % 7, x) for x in rows))} and numbered(d.limit(0), ["a"], "n").count() == 0
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="lines-")
+    write_lines(d.withColumn("value", F.concat_ws(" ", "a", "b")), ["a", "b"], path, rows_per_file=50)
+    assert [r.value for r in read_lines(spark, path).orderBy("nth").collect()] == [f"{a} {b}" for a, b in sorted(got)]
+
+
+def test_block_layout(spark):
+    from helpcorpus.operators import profile as P
+
+    rows = [(15, 4, "Windows30", "none", 2048, 2036), (16, 8, "Unknown 16", "none", 2048, 2036), (21, 0, "Windows31", "none", 4096, 4084), (27, 4, "Multimedia", "lz77", 4096, 16384), (33, 8, "Windows95", "lz77", 2048, 16384), (99, 12, "Unknown 99", "unknown 12", 4096, 4084)]
+    d = spark.createDataFrame([(str(i), *r[:2]) for i, r in enumerate(rows)], "doc string, minor int, flags int")
+    assert [tuple(r)[1:] for r in P.block_layout(d).orderBy("doc").collect()] == rows
+
+
 def test_bookmarks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "One\t\\n", "a\\b.hlp", 3, None, "main"), (2, "Again", "a\\b.hlp", 3, None, "main"), (3, "Two", "c", 0, -5, None), (4, None, "c", 1, None, None)], "ord long, label string, path string, topic long, at_offset long, win string")
     marks = N.bookmarks(rows)
