@@ -6,24 +6,29 @@ overlap than the start before it, so the shingle that enters, its last, is one o
 are laid to end at each matched shingle (clamped to the document). As many places of a window as the
 overlap needs must match, which leaves few of them; this loses nothing.
 
-Distinct windows get SimHash fingerprints. With radius r a fingerprint is cut into r + 1 bit blocks, so
-that any pair within the radius agrees on a whole block; a window meets, block by block, the items it
-was laid for. Pairs that meet and are within the radius are decided by exact weighted Jaccard
-similarity. A shingle that repeats counts many times in a fingerprint, so windows and items with such a
-one do not depend on the radius: they are decided directly.
+Distinct windows get SimHash fingerprints, and the index finds the items for them: 64 bits are cut into
+five blocks, and two fingerprints within radius 19 differ by three bits at most in one of them. Items stand
+in the index under every value within three bits of each of their blocks, so a window meets, by its
+length, block and bits, all items within the radius whichever it was laid for. Those within it are decided by exact weighted
+Jaccard similarity. A shingle that repeats counts many times in a fingerprint, so windows and items with
+such a one do not depend on the radius: they are decided directly, for the items that they were laid for.
 
 A finding depends on the text alone, so texts stand by 128 bits of them, and equal texts are one.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import column, text_key, whole, written
 
-#: Sets of shingles of similarity 0.8 differ in 10 of 64 bits on average; 23 is over four deviations more.
-RADIUS = 23
+#: Sets of shingles of similarity 0.8 differ in 10 of 64 bits on average; 19 is three deviations more. The blocks' widths, and the
+#: bits by which one of them differs at most within the radius (19 / 5, rounded down).
+RADIUS, WIDTHS, PROBED = 19, (13, 13, 13, 13, 12), 3
 
 
 def _words(text: Column) -> Column:
@@ -44,19 +49,28 @@ def _simhash(grams: Column) -> Column:
 
 
 def _blocks(fingerprint: str) -> Column:
-    """Numbered bit blocks, radius + 1 of them."""
-    n, at, cuts = RADIUS + 1, 0, []
-    for i in range(n):
-        width = 64 // n + (i < 64 % n)
+    """Numbered bit blocks."""
+    at, cuts = 0, []
+    for i, width in enumerate(WIDTHS):
         cuts.append(F.struct(F.lit(i).alias("block"), F.shiftright(F.col(fingerprint), at).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")))
         at += width
     return F.array(*cuts)
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    """The size of the multisets' intersection."""
-    times = lambda x, v: F.size(F.filter(x, lambda y: y == v))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, v: n + F.least(times(a, v), times(b, v)))
+def _probes() -> Column:
+    """All values within PROBED bits of a block of the column bits, from 0 bits on."""
+    masks = {i: [sum(1 << b for b in x) for n in range(PROBED + 1) for x in combinations(range(width), n)] for i, width in enumerate(WIDTHS)}
+    by_block = F.coalesce(*[F.when(F.col("block") == i, F.expr(f"array({', '.join(f'{m}L' for m in ms)})")) for i, ms in masks.items()])
+    return F.transform(by_block, lambda m: F.col("bits").bitwiseXOR(m))
+
+
+def _numbered(table: DataFrame, by: list[str], grams: str) -> DataFrame:
+    """(*by, grams): the shingles with the number of their like before them in their array hashed in, so that a multiset is a set; arrays without repeats stay."""
+    once, again = table.where(~_repeats(grams)).select(*by, grams), table.where(_repeats(grams))
+    d = again.select(*by, F.posexplode(grams).alias("_at", "_g"))
+    nth = F.row_number().over(W.partitionBy(*by, "_g").orderBy("_at"))
+    d = d.withColumn("_g", F.when(nth == 1, F.col("_g")).otherwise(F.xxhash64("_g", nth)))
+    return once.unionByName(d.groupBy(*by).agg(F.collect_list("_g").alias(grams)))
 
 
 def _need(m: int, percent: int) -> Column:
@@ -106,14 +120,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80,
     laid = written(laid.select("k1", "k2", "m", "n", "start", "iids", F.struct(F.xxhash64(F.lit(1), "window"), F.xxhash64(F.lit(2), "window")).alias("w"), "window"))
     windows = laid.groupBy("m", "n", "w").agg(F.first("window").alias("window"))
     windows = written(windows.withColumn("f", _simhash(F.col("window"))).withColumn("many", _repeats("window")))
-    marked = items.select("iid", _simhash(F.col("grams")).alias("f_item"), _repeats("grams").alias("many_item"))
-    pairs = laid.select("m", "n", "w", F.explode("iids").alias("iid")).distinct().join(windows.select("m", "n", "w", "f", "many"), ["m", "n", "w"])
-    left = pairs.select("m", "n", "w", "iid", "f", F.inline(_blocks("f")))
-    right = marked.select("iid", "f_item", F.inline(_blocks("f_item")))
-    near = left.join(right, ["iid", "block", "bits"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("f_item"))) <= RADIUS).select("m", "n", "w", "iid")
-    direct = pairs.join(marked, "iid").where("many or many_item").select("m", "n", "w", "iid")
-    both = near.unionByName(direct).distinct().join(windows.select("m", "n", "w", "window"), ["m", "n", "w"]).join(items.drop("m", "n"), "iid")
-    both = both.withColumn("both", _overlap(F.col("window"), F.col("grams"))).withColumn("all", F.size("window") + F.size("grams") - F.col("both"))
+    marked = items.select("iid", "m", "n", _simhash(F.col("grams")).alias("f_item"), _repeats("grams").alias("many_item"))
+    index = marked.where("not many_item").select("iid", "m", "n", "f_item", F.inline(_blocks("f_item"))).select("iid", "m", "n", "f_item", "block", F.explode(_probes()).alias("bits"))
+    left = windows.where("not many").select("m", "n", "w", "f", F.inline(_blocks("f")))
+    near = left.join(index, ["m", "n", "block", "bits"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("f_item"))) <= RADIUS).select("m", "n", "w", "iid")
+    for_them = laid.select("m", "n", "w", F.explode("iids").alias("iid")).distinct().join(windows.select("m", "n", "w", "many"), ["m", "n", "w"])
+    direct = for_them.join(marked.select("iid", "many_item"), "iid").where("many or many_item").select("m", "n", "w", "iid")
+    pairs = near.unionByName(direct).distinct()
+    both = pairs.join(_numbered(windows, ["m", "n", "w"], "window"), ["m", "n", "w"]).join(_numbered(items, ["iid", "item_id"], "grams"), "iid")
+    both = both.withColumn("both", F.size(F.array_intersect("window", "grams"))).withColumn("all", F.size("window") + F.size("grams") - F.col("both"))
     # written, so that the join below stands alone and a passage of many documents can be split between tasks
     sure = both.where(F.lit(100) * F.col("both") >= F.lit(percent) * F.col("all")).select("m", "n", "w", "item_id", (F.col("both") / F.col("all")).alias("similarity")).distinct()
     return laid.join(written(sure), ["m", "n", "w"]).select("k1", "k2", "item_id", "start", F.col("n").alias("n_words"), "similarity").distinct()
@@ -133,7 +148,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: in
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns of any name, without those that hold a passage like a benchmark item."""
+    """The rows of docs, all columns of any name, without those that hold a passage like a benchmark item.
+
+    A row is decided by its text, as in `contamination`: rows without text stay, repeated rows stay or go
+    together, very long texts are searched whole; an empty table or benchmark takes nothing away.
+    """
     out = written(leaks(docs, benchmark, k, percent, text_col).select("k1", "k2").distinct())
     rows = docs.select(whole(docs).alias("row"), text_key(column(text_col)).alias("key")).select("row", "key.*")
     return rows.join(out, ["k1", "k2"], "left_anti").select("row.*")

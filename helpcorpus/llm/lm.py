@@ -27,7 +27,8 @@ from .common import bucketed, crc_of, stable, tokens, written
 
 #: Folds of crc32(id); documents of fold HELD are not learned from.
 FOLDS, HELD = 7, 2
-CHUNK_BYTES = 8 << 20
+#: A chunk ends with the text that brings it to so many characters or rows.
+CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 1 << 16
 UNIGRAM, BIGRAM = 0, 1
 END = b""
 #: Bins of an octave of an estimate, for the held-out counts that expectation-maximisation sees.
@@ -78,7 +79,7 @@ def _chunks(salt: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 docs.append((i, t))
                 size += len(t)
-                if size >= CHUNK_BYTES:
+                if size >= CHUNK_BYTES or len(docs) >= CHUNK_DOCS:
                     yield flush()
                     size = 0
     if docs:

@@ -5,8 +5,10 @@ and what stands between digits, and what surrounds an at sign. Features of a who
 separators, neighbours) score it as an email, address, card or phone number, and dynamic programming
 over segments of bounded length chooses boundaries and types together. It is trained here: base spans
 are the truth of a zone; zones in which a pattern matched but a check failed that shapes do not show (a
-card's sum, an address' parts) say nothing and are left out, so the field learns shapes and decides
-those zones itself.
+card's sum, an address' parts) say nothing and are left out. The patterns' own forms would teach only
+themselves, so a zone stands beside altered copies: phone numbers without their plus sign and with other
+separators, cards with other separators. A span that the field finds has to pass its kind's check (digits,
+sum, parts), as a base span has to.
 
 All scans take time in proportion to a text's length: they start at digits and at signs, never back up
 over what they have read, and segments have a bounded number of atoms.
@@ -38,6 +40,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Bounds of the sample that the field is trained on: documents, distinct shapes of their zones, and a zone's characters.
 SAMPLE, SHAPES, ZONE_CHARS = 4_000, 800, 200
+#: Separators that altered copies have instead of their own.
+SEPARATORS = " -."
 #: Atoms (runs of letters or of digits, other characters) of the longest entity.
 MAX_ATOMS, ROUNDS = 24, 60
 NUMBERS = re.compile(r"[+(0-9][0-9 ().+-]*+")
@@ -109,21 +113,21 @@ def _features(s: str, before: str, after: str, kind: str) -> list[str]:
             return []
         rest = s.split("@")[1]
         own = ["dots" if "." in rest else "nodots", "plain" if re.fullmatch(r"[A-Za-z0-9._%+@-]+", s) else "odd"]
-    elif not (s[-1].isdigit() and (s[0].isdigit() or s[0] in "+(")) or digits < (4 if kind == "ip" else 7):
+    elif not (s[-1].isdigit() and (s[0].isdigit() or s[0] in "+(")):
         return []
     elif kind == "ip":
         parts = s.split(".")
-        if not re.fullmatch(r"[0-9.]+", s) or len(parts) < 3:
+        if not re.fullmatch(r"[0-9.]+", s) or len(parts) != 4 or not all(0 < len(p) <= 3 for p in parts):
             return []
-        own = [f"parts{min(len(parts), 6)}", f"longest{min(max(map(len, parts)), 5)}"]
+        own = [f"longest{max(map(len, parts))}"]
     elif kind == "card":
-        if not re.fullmatch(r"[0-9 -]+", s):
+        if not re.fullmatch(r"[0-9 .-]+", s) or not 12 <= digits <= 19 or re.search("[ .-]{2}", s):
             return []
-        own = [f"digits{min(digits, 24)}", f"gaps{min(len(re.findall('[ -]', s)), 4)}"]
+        own = [f"digits{digits}", f"gaps{min(len(re.findall('[ .-]', s)), 4)}"]
     else:
-        if not re.fullmatch(r"[0-9 ().+-]+", s) or "+" in s[1:]:
+        if not re.fullmatch(r"[0-9 ().+-]+", s) or "+" in s[1:] or not 9 <= digits <= 15 or s.count("(") != s.count(")"):
             return []
-        own = [f"digits{min(digits, 18)}", "plus" if s[0] == "+" else "noplus", f"groups{min(len(re.findall('[0-9]+', s)), 6)}"]
+        own = [f"digits{digits}", "plus" if s[0] == "+" else "noplus", f"groups{min(len(re.findall('[0-9]+', s)), 6)}", "round" if "(" in s else "open"]
     near = [f"left{_class(before)}", f"right{_class(after)}"]
     return [f"{kind}:{f}" for f in ("any", *own, *near)]
 
@@ -195,22 +199,45 @@ def _shape(s: str) -> str:
     return re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub("[0-9]", "9", s)))
 
 
-def examples(text: str, max_atoms: int = MAX_ATOMS) -> Iterator[tuple[str, str]]:
-    """Zones of a text as shapes, with their true spans; those in which a check failed are left out."""
+def altered(zone: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+    """Copies of a zone whose phone numbers and cards are written in other ways, with their spans.
+
+    A number in one piece has no other way: without its plus sign any number would be a phone.
+    """
+    for plus in (True, False):
+        for sep in SEPARATORS:
+            text, found, last = "", [], 0
+            for s, e, kind in spans:
+                own = zone[s:e]
+                if kind in ("phone", "card") and len(re.findall("[0-9]+", own)) > 2:
+                    own = re.sub(r"(?<=[0-9])[ .-](?=[0-9])", sep, own if plus else own.lstrip("+"))
+                text += zone[last:s]
+                found.append((len(text), len(text) + len(own), kind))
+                text += own
+                last = e
+            text += zone[last:]
+            if text != zone:
+                yield text, found
+
+
+def examples(text: str, max_atoms: int = MAX_ATOMS, zone_chars: int = ZONE_CHARS) -> Iterator[tuple[str, str]]:
+    """Zones of a text as shapes, with their true spans, and their altered copies; those in which a check failed or that are longer than zone_chars are left out."""
     good, bad = base_spans(text)
     for at, zone, left, right in zones(text, max_atoms):
         end = at + len(zone)
         inside = [x for x in good if x[0] >= at and x[1] <= end]
         overlap = any(a[1] > b[0] for a, b in zip(inside, inside[1:], strict=False))
         open_ = [x for x in bad if x[2] == "ip" or x[2] == "card" and sum(c.isdigit() for c in text[x[0] : x[1]]) >= 12]
-        if len(zone) > ZONE_CHARS or overlap or any(x[0] < end and x[1] > at and not any(x[0] >= g[0] and x[1] <= g[1] for g in inside) for x in open_):
+        if len(zone) > zone_chars or overlap or any(x[0] < end and x[1] > at and not any(x[0] >= g[0] and x[1] <= g[1] for g in inside) for x in open_):
             continue
-        # letters shrink to one, so positions move: mark the spans first
-        marked, last = "", 0
-        for s, e, kind in inside:
-            marked += _shape(zone[last : s - at]) + f"\x01{kind}\x02" + _shape(zone[s - at : e - at]) + "\x03"
-            last = e - at
-        yield marked + _shape(zone[last:]), _shape(left) + "\x04" + _shape(right)
+        own = [(s - at, e - at, k) for s, e, k in inside]
+        for copy, spans in [(zone, own), *altered(zone, own)]:
+            # letters shrink to one, so positions move: mark the spans first
+            marked, last = "", 0
+            for s, e, kind in spans:
+                marked += _shape(copy[last:s]) + f"\x01{kind}\x02" + _shape(copy[s:e]) + "\x03"
+                last = e
+            yield marked + _shape(copy[last:]), _shape(left) + "\x04" + _shape(right)
 
 
 def _unmark(marked: str) -> tuple[str, set[tuple[int, int, str]]]:
@@ -312,18 +339,18 @@ def train(counted: list[tuple[str, str, int]], rate: float = 0.5, ridge: float =
     return Field({f: float(w[i]) for f, i in index.items()}, max_atoms)
 
 
-def _sampled(max_atoms: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(max_atoms: int, zone_chars: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c: Counter = Counter()
     for b in batches:
         for t in b["text"].to_pylist():
-            c.update(examples(t, max_atoms))
+            c.update(examples(t, max_atoms, zone_chars))
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.string()), pa.array(c.values(), pa.int64())], ["zone", "sides", "n"])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, shapes: int = SHAPES, max_atoms: int = MAX_ATOMS) -> Field:
+def fit(docs: DataFrame, sample: int = SAMPLE, shapes: int = SHAPES, max_atoms: int = MAX_ATOMS, zone_chars: int = ZONE_CHARS) -> Field:
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most `sample` ids: small enough to broadcast at any scale
-    seen = docs.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(partial(_sampled, max_atoms), "zone string, sides string, n long")
+    seen = docs.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(partial(_sampled, max_atoms, zone_chars), "zone string, sides string, n long")
     seen = seen.groupBy("zone", "sides").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "zone", "sides").limit(shapes)
     return train([tuple(r) for r in seen.collect()], max_atoms=max_atoms)
 
@@ -343,19 +370,20 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, shapes: int = SHAPES, max_atoms: int = MAX_ATOMS) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, shapes: int = SHAPES, max_atoms: int = MAX_ATOMS, zone_chars: int = ZONE_CHARS) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added.
 
     spans: base spans and those of the field that overlap none, as kind:start:end in code points, by
     start and then kind, joined by commas; base_sha256 is of the base ones alone. The field learns
     from at most `sample` documents (all rows of so many ids) and their `shapes` most frequent shapes
-    of zones, ties by shape; it adds no entity of more than max_atoms atoms. Null text counts as empty
+    of zones of up to `zone_chars` characters, ties by shape; it adds no entity of more than max_atoms
+    atoms and none that fails its kind's check. Null text counts as empty
     and has no spans. A text is searched whole, in time in proportion to its length. Repeated rows are
     searched each. With no zones to learn from the field adds what no weight speaks for: nothing. An
     empty table gives an empty result. Other columns of docs are not read, so none clashes.
     """
     d = stable(docs, id_col, text_col)
-    field = fit(d, sample, shapes, max_atoms)
+    field = fit(d, sample, shapes, max_atoms, zone_chars)
     ddl = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     kinds = [pa.int64(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
     schema = pa.schema([(x.split()[0], k) for x, k in zip(ddl.split(", "), kinds, strict=True)])
@@ -368,8 +396,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 good, _ = base_spans(t)
                 more = []
                 for at, zone, left, right in zones(t, max_atoms):
-                    spans = known(zone, left, right) if len(zone) <= ZONE_CHARS else field.best(zone, left, right)
-                    more += [(at + s, at + e, k) for s, e, k in spans]
+                    spans = known(zone, left, right) if len(zone) <= zone_chars else field.best(zone, left, right)
+                    more += [(at + s, at + e, k) for s, e, k in spans if _passes(k, zone[s:e])]
                 more = apart(more, good)
                 n = Counter(k for _, _, k in good)
                 every = sorted([*good, *more], key=lambda x: (x[0], KINDS.index(x[2])))

@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, least: int
     return Model(dict(zip(names, map(float, w), strict=True)), bias)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, least: int = LEAST, sure: float = SURE, features: int = FEATURES, ridge: float = RIDGE) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1), predicted (1 where score >= 0.5).
 
     Learns from at most `labelled` rows of labels whose crc32 of the id as text is not 0 modulo 5, and
@@ -141,9 +141,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     counts as empty and gets the score of a text without features; a very long text is read whole.
     Repeated rows are scored each; a score of just 0.5 is toxic. Without labels every score is that of
     the bias. An empty table gives an empty result. Other columns of docs are not read, so none clashes.
+
+    The model knows the features that at least `least` toxic texts of those have and whose log odds ratio
+    is over `sure` standard errors, of these the `features` strongest (936 qualify on sf0.1); `ridge` is its
+    penalty. These bound what is fitted on the bounded sample, not what is scored.
     """
     d = stable(docs, id_col, text_col)
-    model = fit(d, labels, labelled)
+    model = fit(d, labels, labelled, least, sure, features, ridge)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +158,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return d.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> DataFrame:
-    """The rows of docs, all columns, that the classifier does not call toxic. Texts are scored where they are read."""
-    model = fit(stable(docs, id_col, text_col), labels, labelled)
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, least: int = LEAST, sure: float = SURE, features: int = FEATURES, ridge: float = RIDGE) -> DataFrame:
+    """The rows of docs, all columns, that the classifier does not call toxic. Texts are scored where they are read.
+
+    Parameters are those of `toxicity`. A null text is scored as empty and stays, unless the bias alone is toxic; repeated
+    rows stay or go together; texts are read whole; an empty table stays empty.
+    """
+    model = fit(stable(docs, id_col, text_col), labels, labelled, least, sure, features, ridge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -256,6 +256,33 @@ def test_contamination_with_repeated_shingles(spark):
     assert {r.doc_id: r["items"] for r in out} == want and all(want.values())
 
 
+def test_recall_of_the_index(spark):
+    """Passages that differ from an item as much as 0.8 allows, by single words: at least 0.98 of those that brute force finds come through the index."""
+    import random
+
+    rng = random.Random(10)
+    bench = [(i, words(rng, n, 10**6)) for i, n in enumerate([60, 80, 110, 150, 220] * 4)]
+    d = []
+    for i, item in bench:
+        for j in range(25):
+            w = item.split()
+            shingles = len(w) - 4
+            most = shingles / 9 / 5  # words whose five shingles may differ each
+            for _ in range(round(most)):
+                w[rng.randrange(4, len(w) - 4)] = f"x{rng.randrange(10**9)}"
+            d.append((100 * i + j, f"{words(rng, 30, 10**6)} {' '.join(w)} {words(rng, 30, 10**6)}", "s"))
+    out = {r.doc_id: r["items"] for r in contamination(table(spark, d), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    found = total = 0
+    for i, t, _ in d:
+        a, b = most_similar(t, bench[i // 100][1])
+        if 100 * a >= 80 * b:
+            total += 1
+            found += out[i] == [i // 100]
+        else:
+            assert out[i] == []
+    assert total > 300 and found >= 0.98 * total, (found, total)
+
+
 def sliding(d, w, m):
     """As most_similar, for shingle lists of a document and an item, counting as the window moves."""
     want, n, size = Counter(w), min(len(w), len(d)), len(w)
