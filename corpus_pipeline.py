@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+A null text counts as empty: it is scored as such, is like no other text, holds no benchmark item and has no
+tokens. Texts are read whole, whatever their length. Repeated rows are decided alike; the second stage
+keeps one of them if they have words. Ties go to the row that is smallest by id, then by its other columns' hash. Columns of
+any name pass through. An empty table passes through all stages.
 """
 
 from __future__ import annotations

@@ -15,13 +15,23 @@ from .resolve import contents_topic, resolve_topic_offset
 # Bounds of a program.
 TEXT_BYTES, CALLS, ARGUMENTS, DEPTH, STRING_BYTES = 64 * 1024, 256, 16, 16, 32 * 1024
 # Macro names, with their short form where they have one.
-NAMES = """About AddAccelerator=AA ALink=AL Annotate AppendItem Back BackFlush=BF BookmarkDefine BookmarkMore BrowseButtons ChangeButtonBinding=CBB
-ChangeEnable=CE ChangeItemBinding=CIB CheckItem=CI CloseSecondarys=CS CloseWindow=CW Compare Contents ControlPanel CopyDialog CopyTopic=CT CreateButton=CB DeleteItem
-DeleteMark DestroyButton DisableButton=DB DisableItem=DI EnableButton=EB EnableItem=EI EndMPrint ExecFile=EF ExecProgram=EP Exit ExtAbleItem ExtInsertItem ExtInsertMenu
-FileExist=FE FileOpen=FO Find Finder=FD FloatingMenu Flush=FH FocusWindow Generate GotoMark HelpOn HelpOnTop History InitMPrint InsertItem InsertMenu IfThen=IF IfThenElse=IE
-IsBook IsMark IsNotMark=NM JumpContents JumpContext=JC JumpHash=JH JumpHelpOn JumpID=JI JumpKeyword=JK KLink=KL Menu=MU MPrintHash MPrintID Next NoShow=NS PopupContext=PC
-PopupHash PopupId=PI PositionWindow=PW Prev Print PrinterSetup RegisterRoutine=RR RemoveAccelerator=RA ResetMenu SaveMark Search SetContents SetHelpOnFile SetPopupColor=SPC
-ShellExecute=SE ShortCut=SH TCard Test TestALink TestKLink UncheckItem=UI UpdateWindow=UW"""
+NAMES = (
+    ("About", None), ("AddAccelerator", "AA"), ("ALink", "AL"), ("Annotate", None), ("AppendItem", None), ("Back", None), ("BackFlush", "BF"),
+    ("BookmarkDefine", None), ("BookmarkMore", None), ("BrowseButtons", None), ("ChangeButtonBinding", "CBB"), ("ChangeEnable", "CE"),
+    ("ChangeItemBinding", "CIB"), ("CheckItem", "CI"), ("CloseSecondarys", "CS"), ("CloseWindow", "CW"), ("Compare", None), ("Contents", None),
+    ("ControlPanel", None), ("CopyDialog", None), ("CopyTopic", "CT"), ("CreateButton", "CB"), ("DeleteItem", None), ("DeleteMark", None),
+    ("DestroyButton", None), ("DisableButton", "DB"), ("DisableItem", "DI"), ("EnableButton", "EB"), ("EnableItem", "EI"), ("EndMPrint", None),
+    ("ExecFile", "EF"), ("ExecProgram", "EP"), ("Exit", None), ("ExtAbleItem", None), ("ExtInsertItem", None), ("ExtInsertMenu", None),
+    ("FileExist", "FE"), ("FileOpen", "FO"), ("Find", None), ("Finder", "FD"), ("FloatingMenu", None), ("Flush", "FH"), ("FocusWindow", None),
+    ("Generate", None), ("GotoMark", None), ("HelpOn", None), ("HelpOnTop", None), ("History", None), ("InitMPrint", None), ("InsertItem", None),
+    ("InsertMenu", None), ("IfThen", "IF"), ("IfThenElse", "IE"), ("IsBook", None), ("IsMark", None), ("IsNotMark", "NM"), ("JumpContents", None),
+    ("JumpContext", "JC"), ("JumpHash", "JH"), ("JumpHelpOn", None), ("JumpID", "JI"), ("JumpKeyword", "JK"), ("KLink", "KL"), ("Menu", "MU"),
+    ("MPrintHash", None), ("MPrintID", None), ("Next", None), ("NoShow", "NS"), ("PopupContext", "PC"), ("PopupHash", None), ("PopupId", "PI"),
+    ("PositionWindow", "PW"), ("Prev", None), ("Print", None), ("PrinterSetup", None), ("RegisterRoutine", "RR"), ("RemoveAccelerator", "RA"),
+    ("ResetMenu", None), ("SaveMark", None), ("Search", None), ("SetContents", None), ("SetHelpOnFile", None), ("SetPopupColor", "SPC"),
+    ("ShellExecute", "SE"), ("ShortCut", "SH"), ("TCard", None), ("Test", None), ("TestALink", None), ("TestKLink", None), ("UncheckItem", "UI"),
+    ("UpdateWindow", "UW"),
+)
 # What may run, by the types of its arguments (S string, I number), and classes of what may not.
 ALLOWED = {"ALink": "S", "About": "", "Back": "", "BackFlush": "", "BookmarkDefine": "", "BookmarkMore": "", "BrowseButtons": "", "Contents": "", "Finder": "", "FocusWindow": "S", "History": "", "JumpContents": "SS", "JumpContext": "SSI", "JumpHash": "SSI", "JumpID": "SS", "Next": "", "Prev": "", "PopupContext": "SI", "PopupHash": "SI", "PopupId": "SS", "Search": "", "SetPopupColor": "III"}
 EXTERNAL, DYNAMIC, HOST = ("ExecFile", "ExecProgram", "ShellExecute", "ShortCut", "ControlPanel"), ("RegisterRoutine",), ("FileExist", "Generate", "TCard")
@@ -170,10 +180,9 @@ def macro_calls(macros: DataFrame) -> DataFrame:
 def dictionary(spark: SparkSession) -> DataFrame:
     """(spelling, canonical, signature, block): all names and short forms; 125 rows, so any join broadcasts it."""
     rows, seen = [], set()
-    for entry in NAMES.split():
-        name, _, short = entry.partition("=")
+    for name, short in NAMES:
         block = "ExternalExecution" if name in EXTERNAL else "DynamicCode" if name in DYNAMIC else "HostInteraction" if name in HOST else "UnsupportedViewerOperation"
-        for spelling in filter(None, (name.lower(), short.lower())):
+        for spelling in (name.lower(), *([short.lower()] if short else [])):
             if spelling not in seen:
                 seen.add(spelling)
                 rows.append((spelling, name, ALLOWED.get(name), block))

@@ -117,7 +117,7 @@ def _(t: Tables):
 
 @query("resolve_charset", f"""
     SELECT f.doc, font_index, coalesce(CASE WHEN c.charset <> 1 THEN c.charset END,
-      CASE {' '.join(f"WHEN lower(trim(face_name)) IN ({','.join(repr(x) for x in v.split('|'))}) THEN {k}" for k, v in I.FACE_CHARSETS.items())} END,
+      CASE {' '.join(f"WHEN lower(trim(face_name)) IN ({','.join(repr(x) for x in v)}) THEN {k}" for k, v in I.FACE_CHARSETS.items())} END,
       CASE {_CASES(I.LOCALE_CHARSETS, 'locale')} END, CASE {_CASES(I.LANGUAGE_CHARSETS, '(locale & 1023)')} END) AS charset
     FROM fonts f LEFT JOIN charsets c ON f.doc = c.doc AND f.face_index = c.face_index LEFT JOIN locales l ON f.doc = l.doc""")
 def _(t: Tables):

@@ -267,8 +267,7 @@ view("calls", _CALL.format(n=_NAME, t=_TYPES, a=_ARGS.format(a="array", e="CAST(
 
 def _dictionary_sql() -> str:
     rows = []
-    for entry in M.NAMES.split():
-        name, _, short = entry.partition("=")
+    for name, short in M.NAMES:
         block = "ExternalExecution" if name in M.EXTERNAL else "DynamicCode" if name in M.DYNAMIC else "HostInteraction" if name in M.HOST else "UnsupportedViewerOperation"
         rows += [(s.lower(), name, M.ALLOWED.get(name), block) for s in (name, short) if s]
     return ", ".join(f"('{s}', '{n}', {'NULL' if g is None else repr(g)}, '{b}')" for s, n, g, b in rows)

@@ -17,7 +17,13 @@ MAGIC, OTHER_FAMILY = 0x00035F3F, 0x00024E4C
 # Java charsets by charset byte; all other bytes are windows-1252.
 CHARSETS = {0x4D: "x-MacRoman", 0x80: "Shift_JIS", 0x81: "EUC-KR", 0x82: "x-Johab", 0x86: "GBK", 0x88: "Big5", 0xA1: "windows-1253", 0xA2: "windows-1254", 0xA3: "windows-1258", 0xB1: "windows-1255", 0xB2: "windows-1256", 0xBA: "windows-1257", 0xCC: "windows-1251", 0xDE: "x-windows-874", 0xEE: "windows-1250"}
 # Charsets of well-known faces, of whole locales and of primary languages.
-FACE_CHARSETS = {0x02: "symbol|wingdings|wingdings 2|wingdings 3", 0x80: "ms gothic|ms pgothic|ms mincho|ms pmincho|meiryo", 0x81: "gulim|gulimche|batang|batangche|dotum|dotumche|gungsuh|gungsuhche", 0x86: "simsun|nsimsun|simhei|fangsong|kaiti", 0x88: "mingliu|pmingliu|dfkai-sb"}
+FACE_CHARSETS = {
+    0x02: ("symbol", "wingdings", "wingdings 2", "wingdings 3"),
+    0x80: ("ms gothic", "ms pgothic", "ms mincho", "ms pmincho", "meiryo"),
+    0x81: ("gulim", "gulimche", "batang", "batangche", "dotum", "dotumche", "gungsuh", "gungsuhche"),
+    0x86: ("simsun", "nsimsun", "simhei", "fangsong", "kaiti"),
+    0x88: ("mingliu", "pmingliu", "dfkai-sb"),
+}
 LOCALE_CHARSETS = {0x88: (0x0404, 0x0C04, 0x1404), 0x86: (0x0804, 0x1004), 0xCC: (0x0C1A, 0x1C1A, 0x281A, 0x301A), 0xEE: (0x081A, 0x181A, 0x241A, 0x2C1A)}
 LANGUAGE_CHARSETS = {0xB2: (0x01,), 0xCC: (0x02, 0x19, 0x22, 0x23, 0x2F), 0xEE: (0x05, 0x0E, 0x15, 0x18, 0x1A, 0x1B, 0x1C, 0x24), 0xA1: (0x08,), 0xB1: (0x0D,), 0x80: (0x11,), 0x81: (0x12,), 0xDE: (0x1E,), 0xA2: (0x1F,), 0xBA: (0x25, 0x26, 0x27), 0xA3: (0x2A,)}
 
@@ -135,7 +141,7 @@ def resolve_charset(fonts: DataFrame, charsets: DataFrame, locales: DataFrame) -
     """fonts with their charset: an explicit one other than 1 by face index, else by face name, else by locale, else by language."""
     d = fonts.join(charsets, ["doc", "face_index"], "left").join(locales, "doc", "left")
     face = F.lower(F.trim("face_name"))
-    by_face = _lookup(face, {k: tuple(v.split("|")) for k, v in FACE_CHARSETS.items()})
+    by_face = _lookup(face, FACE_CHARSETS)
     by_locale = F.coalesce(_lookup(F.col("locale"), LOCALE_CHARSETS), _lookup(F.col("locale").bitwiseAND(0x3FF), LANGUAGE_CHARSETS))
     explicit = F.when(F.col("charset") != 1, F.col("charset"))
     return d.withColumn("charset", F.coalesce(explicit, by_face, by_locale)).drop("locale")
