@@ -1,10 +1,10 @@
 """Benchmark decontamination with SimHash windows (native: DataFrame functions only).
 
-A window has as many words as a benchmark item and is a multiset of shingles of five words. Of all
-starts, those where the overlap with an item is greatest matter. The first such start is 0 or has more
-overlap than the start before it, so the shingle that enters, its last, is one of the item's: windows
-are laid to end at each matched shingle (clamped to the document). As many places of a window as the
-overlap needs must match, which leaves few of them; this loses nothing.
+A window has as many words as a benchmark item and is a multiset of shingles of five words. The matched
+shingles of a text tell how the overlap with an item changes from start to start. Of every n starts in a row,
+n being the item's words, the first one with the greatest overlap becomes a window, if that is as much as
+the similarity needs. So the most similar window of a text is among them, and a text's windows for an item
+have together no more words than both have: an item may be long.
 
 Distinct windows get SimHash fingerprints, and the index finds the items for them: 64 bits are cut into
 five blocks, and two fingerprints within radius 19 differ by three bits at most in one of them. Items stand
@@ -83,15 +83,23 @@ def _repeats(grams: str) -> Column:
     return F.size(F.array_distinct(grams)) < F.size(grams)
 
 
-def _starts(m: int) -> Column:
-    """Starts of windows that end at one of the sorted places ps and have `need` of them."""
+def _stretches(m: int) -> Column:
+    """Changes of the overlap from start to start: each of the matches at, sorted by shingle and place, counts from the start whose window it
+    enters last to the one that it leaves, or earlier where the item's number of its like follows it in the window."""
     length = F.col("n") - (m - 1)
-    full = F.filter("ps", lambda p, i: (i >= F.col("need") - 1) & (F.get("ps", i - F.col("need") + 1) > p - length))
-    return F.array_distinct(F.transform(full, lambda p: F.greatest(F.lit(0), F.least(p - length + 1, F.col("n_doc") - F.col("n")))))
+
+    def of(x: Column, i: Column) -> Column:
+        later = F.get("at", i + x["c"])
+        last = F.when(later["gram"] == x["gram"], F.least(x["p"], later["p"] - length)).otherwise(x["p"])
+        first = F.greatest(F.lit(0), x["p"] - length + 1)
+        return F.when(last >= first, F.array(F.struct(first.alias("start"), F.lit(1).alias("by")), F.struct((last + 1).alias("start"), F.lit(-1).alias("by"))))
+
+    return F.flatten(F.filter(F.transform("at", of), lambda x: x.isNotNull()))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(k1, k2, item_id, start, n_words, similarity): the windows of texts that are similar to an item; k1 and k2 are the text's key.
+    """(k1, k2, item_id, start, n_words, similarity): windows of texts that are similar to an item, the most similar of a text
+    among them; k1 and k2 are the text's key.
 
     Words are lower-cased runs of letters and digits. An item of fewer than k words is one shingle of
     them; an item without words matches nothing. A document shorter than the item is one window.
@@ -100,7 +108,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80,
     items = items.withColumn("n", F.size("h")).withColumn("m", F.least(F.col("n"), F.lit(k)))
     by_size = F.coalesce(*[F.when(F.col("m") == m, _grams("h", m)) for m in range(1, k + 1)])
     items = written(items.withColumn("grams", by_size).select(F.monotonically_increasing_id().alias("iid"), "item_id", "n", "m", "grams"))
-    per_item = written(items.select("iid", "n", "m", F.explode(F.array_distinct("grams")).alias("gram")))
+    per_item = items.select("iid", "n", "m", F.explode("grams").alias("gram"))
+    per_item = written(per_item.groupBy("iid", "n", "m", "gram").agg(F.count(F.lit(1)).cast("int").alias("c")))
     sizes = [r["m"] for r in per_item.select("m").distinct().collect()] or [k]  # k numbers at most
     hashed = F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))
     texts = docs.select(text_key(column(text_col)).alias("key"), column(text_col).alias("text"))
@@ -108,15 +117,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80,
     d = texts.select("key.*", F.explode(F.array(hashed)).alias("h"))
     places = [F.transform(_grams("h", m), lambda g, p: F.struct(F.lit(m).alias("m"), p.alias("p"), g.alias("gram"))) for m in sizes]  # noqa: B023
     at = d.select("k1", "k2", F.size("h").alias("n_doc"), F.inline(F.concat(*places))).join(per_item, ["m", "gram"])
-    at = at.groupBy("k1", "k2", "n_doc", "iid", "m", "n").agg(F.sort_array(F.collect_set("p")).alias("ps"))
-    at = at.withColumn("need", F.coalesce(*[F.when(F.col("m") == m, _need(m, percent)) for m in sizes])).where(F.size("ps") >= F.col("need"))
-    starts = F.coalesce(*[F.when(F.col("m") == m, _starts(m)) for m in sizes])
-    laid = written(at.select("k1", "k2", "m", "n", "iid", F.explode(starts).alias("start")).groupBy("k1", "k2", "m", "n", "start").agg(F.collect_set("iid").alias("iids")))
+    pair = ["k1", "k2", "n_doc", "iid", "m", "n"]
+    at = at.groupBy(*pair).agg(F.sort_array(F.collect_set(F.struct("gram", "p", "c"))).alias("at"))
+    at = at.withColumn("need", F.coalesce(*[F.when(F.col("m") == m, _need(m, percent)) for m in sizes])).where(F.size("at") >= F.col("need"))
+    at = at.select(*pair, "need", F.inline(F.coalesce(*[F.when(F.col("m") == m, _stretches(m)) for m in sizes])))
+    # the window's frame takes in all changes at its start; what follows is grouped by more than these columns and is not shuffled again
+    at = at.withColumn("both", F.sum("by").over(W.partitionBy(*pair).orderBy("start"))).where("by > 0 and both >= need")
+    best = at.groupBy(*pair, F.floor(F.col("start") / F.col("n")).alias("cell")).agg(F.min_by("start", F.struct(-F.col("both"), "start")).alias("start"))
+    laid = written(best.groupBy("k1", "k2", "m", "n", "start").agg(F.collect_set("iid").alias("iids")))
     # each text with a window once, hashed again
     hits = texts.select("key.*", "text").join(laid.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     hits = hits.select("k1", "k2", hashed.alias("h")).select("k1", "k2", *[_grams("h", m).alias(f"g{m}") for m in sizes])
-    grams = F.coalesce(*[F.when(F.col("m") == m, F.col(f"g{m}")) for m in sizes])
-    laid = laid.join(hits, ["k1", "k2"]).withColumn("window", F.slice(grams, F.col("start") + 1, F.col("n") - F.col("m") + 1))
+    # a text's windows are cut in one go, so that its shingles are not written again for each
+    spans = laid.groupBy("k1", "k2").agg(F.collect_list(F.struct("m", "n", "start", "iids")).alias("spans")).join(hits, ["k1", "k2"])
+
+    def cut(x: Column) -> Column:
+        grams = F.coalesce(*[F.when(x["m"] == m, F.col(f"g{m}")) for m in sizes])
+        return F.struct(*[x[c].alias(c) for c in ("m", "n", "start", "iids")], F.slice(grams, x["start"] + 1, x["n"] - x["m"] + 1).alias("window"))
+
+    laid = spans.select("k1", "k2", F.inline(F.transform("spans", cut)))
     laid = written(laid.select("k1", "k2", "m", "n", "start", "iids", F.struct(F.xxhash64(F.lit(1), "window"), F.xxhash64(F.lit(2), "window")).alias("w"), "window"))
     windows = laid.groupBy("m", "n", "w").agg(F.first("window").alias("window"))
     windows = written(windows.withColumn("f", _simhash(F.col("window"))).withColumn("many", _repeats("window")))

@@ -9,7 +9,7 @@ from llm_tables import table, words
 
 from helpcorpus.llm import exactdedup
 from helpcorpus.llm.common import ranked
-from helpcorpus.llm.decontaminate import contamination, decontaminated
+from helpcorpus.llm.decontaminate import contamination, decontaminated, leaks
 from helpcorpus.llm.exactdedup import exact_dedup
 from helpcorpus.llm.jaccard import jaccard_components, one_of_each
 from helpcorpus.llm.mixing import exponent, mix, mixed_rows
@@ -299,6 +299,37 @@ def sliding(d, w, m):
     return best
 
 
+def test_contamination_of_long_items(spark):
+    """Items of 20,000 words, whole, changed, twice in a text and with shingles that repeat; few windows are laid for them."""
+    import random
+
+    rng = random.Random(12)
+    plain = words(rng, 20_000, 10**6)
+    refrain = " ".join(f"{words(rng, 45, 10**6)} and so the chorus sings it once again" for _ in range(380))
+    bench = [(1, plain), (2, refrain), (3, words(rng, 60, 10**6))]
+
+    def changed(text, n):
+        w = text.split()
+        for at in rng.sample(range(len(w)), n):
+            w[at] = f"x{rng.randrange(10**9)}"
+        return " ".join(w)
+
+    pad = lambda n: words(rng, n, 10**6)
+    d = [(1, plain), (2, f"{pad(30_000)} {changed(plain, 300)} {pad(5000)}"), (3, f"{plain} {pad(10)} {changed(plain, 100)}"), (4, changed(plain, 900))]
+    d += [(5, f"{pad(70)} {refrain} {pad(9)}"), (6, f"{refrain} {refrain}"), (7, " ".join(plain.split()[:9000])), (8, f"{bench[2][1]} {plain} {bench[2][1]}"), (9, pad(40_000))]
+    docs, items = table(spark, [(i, t, "s") for i, t in d]), spark.createDataFrame(bench, "item_id long, text string")
+    split = lambda t: [tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(len(w) - 4)]
+    grams = {i: split(t) for i, t in bench}
+    best = {i: {j: sliding(split(t), g, 5) for j, g in grams.items()} for i, t in d}
+    want = {i: sorted(j for j, x in best[i].items() if x >= 0.8) for i in best}
+    out = {r.doc_id: r for r in contamination(docs, items).collect()}
+    assert {i: r["items"] for i, r in out.items()} == want
+    assert [want[i] for i in range(1, 10)] == [[1], [1], [1], [], [2], [2], [], [1, 3], []]
+    assert all(abs(r.similarity - max([best[i][j] for j in want[i]], default=0)) < 1e-9 for i, r in out.items())
+    laid = leaks(docs, items).groupBy("k1", "k2", "item_id").count().collect()
+    assert max(r["count"] for r in laid) <= 4  # windows of a text for one item
+
+
 def test_contamination_of_the_given_tables(spark):
     """Recall and precision against every window of every document, for all items that share a shingle with it."""
     from helpcorpus.llm.common import read
