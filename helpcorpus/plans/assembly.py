@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import resolve as R
 from ..operators import topics as T
+from ..functions.lineage import scratch_path
 from ..functions.scalars import context_hash
 from ..operators.contents import contents_links
 from ..sources import ingest as I
@@ -36,10 +37,26 @@ _PARSED = r"""
     WHEN contains(rest, '=') THEN substring(rest, instr(rest, '=') + 1) END AS target, TRY_CAST(digits AS BIGINT) AS lev FROM q)"""
 
 
-@query("scan_corpus_files")
+@query("scan_corpus_files", """
+    SELECT concat('nation=', CAST(c_nationkey AS STRING)) AS folder, CAST(sum(octet_length(encode(c_name)) + 1) AS BIGINT) AS length
+    FROM customer GROUP BY ALL""")
 def _(t: Tables):
-    """The folder's own table files, recognised by extension."""
-    return I.scan_corpus_files(t.spark, t.sf_dir, ("parquet",)).select(F.element_at(F.split("doc", "/"), -1).alias("name"), F.col("length").cast("long").alias("length"))
+    """Customers' names as files of lines in a folder for each nation, beside files of another kind; lengths of what the scan finds, by folder."""
+    d, path = t("customer").select("c_name", F.col("c_nationkey").alias("nation"), "c_custkey"), scratch_path(t.spark)
+    laid = d.repartitionByRange("nation", "c_custkey").select("nation", "c_name")
+    laid.write.partitionBy("nation").text(f"{path}/notes")
+    t("nation").write.json(f"{path}/other")
+    files = I.scan_corpus_files(t.spark, path, ("txt",))
+    return files.groupBy(F.element_at(F.split("doc", "/"), -2).alias("folder")).agg(F.sum("length").alias("length"))
+
+
+@query("header_fields", "SELECT file_id, magic, directory_start, first_free, logical_size, 16 + file_id % 50 AS actual_size FROM headers")
+def _(t: Tables):
+    """Headers laid out as bytes and read back."""
+    little = lambda c: F.concat(*[F.substring(F.lpad(F.hex(F.pmod(F.col(c).cast("long"), F.lit(1 << 32))), 8, "0"), i, 2) for i in (7, 5, 3, 1)])
+    body = F.repeat(F.lit("00"), (F.col("file_id") % 50).cast("int"))
+    laid = t("headers").select("file_id", F.unhex(F.concat(*map(little, ("magic", "directory_start", "first_free", "logical_size")), body)).alias("content"))
+    return I.header_fields(laid).select("file_id", "magic", "directory_start", "first_free", "logical_size", F.col("actual_size").cast("long").alias("actual_size"))
 
 
 @query("triage_headers", """

@@ -54,6 +54,7 @@ view("offset_refs", """
            CASE WHEN event_id % 50 = 0 THEN -1 ELSE CAST(floor(value * 100) AS BIGINT) + 32768 * (event_id % 16) END AS topic_offset
     FROM {events}""")
 view("title_anchors", "SELECT doc, topic_pos AS topic_offset, topic_index, topic_pos AS pos FROM {topics}")
+# words of titles are keywords from four letters on, so articles and the like are none
 view("keywords",
     """SELECT doc, table_id, ord, keyword, CASE WHEN ord % 13 = 0 THEN array_append(offsets, -1L) ELSE offsets END AS offsets FROM (
         SELECT doc, table_id, CAST(row_number() OVER (PARTITION BY doc, table_id ORDER BY keyword) - 1 AS INT) AS ord, keyword, array_sort(collect_set(topic_pos)) AS offsets

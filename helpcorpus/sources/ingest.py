@@ -36,18 +36,23 @@ def scan_corpus_files(spark: SparkSession, path: str, extensions: tuple[str, ...
 
 
 def triage_headers(headers: DataFrame) -> DataFrame:
-    """The first rule that a header breaks, or ok."""
+    """The first rule that a header breaks, or ok; a number that is null was not in the file."""
+    short = F.greatest(*[F.col(c).isNull() for c in ("magic", "directory_start", "first_free", "logical_size")])
     size, at, free = F.col("logical_size"), F.col("directory_start"), F.col("first_free")
     verdict = (
-        F.when(F.col("magic") == OTHER_FAMILY, "other family").when(F.col("magic") != MAGIC, "bad magic").when(size < 16, "size too small").when(size > F.col("actual_size"), "size beyond file")
+        F.when(F.col("magic") == OTHER_FAMILY, "other family").when(F.col("magic") != MAGIC, "bad magic").when(short, "header cut short").when(size < 16, "size too small").when(size > F.col("actual_size"), "size beyond file")
         .when((at < 16) | (at >= size), "directory out of bounds").when((free != -1) & ((free < 16) | (free >= size)), "free list out of bounds").otherwise("ok")
     )
     return headers.withColumn("verdict", verdict)
 
 
 def header_fields(files: DataFrame, content: str = "content") -> DataFrame:
-    """The header's little-endian numbers from the bytes of a file."""
-    word = lambda at: F.conv(F.hex(F.reverse(F.substring(F.col(content), at, 4))), 16, 10).cast("long")
+    """The header's little-endian numbers from the bytes of a file; a number that the file is too short for is null."""
+
+    def word(at: int) -> Column:
+        h = F.hex(F.substring(F.col(content), at, 4))
+        return F.when(F.length(h) == 8, F.conv(F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long"))
+
     signed = lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x)
     return files.select("*", word(1).alias("magic"), word(5).alias("directory_start"), signed(word(9)).alias("first_free"), word(13).alias("logical_size"), F.octet_length(content).alias("actual_size"))
 

@@ -158,6 +158,11 @@ def test_headers(spark):
 
     files = [(n, bytearray(struct.pack("<IIiI", *h) + b"x" * 100)) for n, h in (("ok", (0x35F3F, 20, -1, 100)), ("other", (0x24E4C, 20, -1, 100)), ("bad", (1, 20, -1, 100)), ("big", (0x35F3F, 20, -1, 1000)), ("dir", (0x35F3F, 4, -1, 100)), ("free", (0x35F3F, 20, 5, 100)))]
     out = I.triage_headers(I.header_fields(spark.createDataFrame(files, "name string, content binary")))
+    odd = [(n, bytearray(struct.pack("<IIiI", *h))) for n, h in enumerate([(0x35F3F, 0xA9C3, -2, 0x98ADE2), (0xFFFFFFFF, 0xC3A9, -(1 << 31), 0x80808080)])] + [(2, bytearray(b"?_\x03"))]
+    got = I.header_fields(spark.createDataFrame(odd, "n int, content binary")).orderBy("n").collect()
+    assert [tuple(r)[2:] for r in got] == [(0x35F3F, 0xA9C3, -2, 0x98ADE2, 16), (0xFFFFFFFF, 0xC3A9, -(1 << 31), 0x80808080, 16), (None, None, None, None, 3)]
+    cut = spark.createDataFrame([(1, bytearray(struct.pack("<II", 0x35F3F, 20))), (2, bytearray(b""))], "n int, content binary")
+    assert {r.n: r.verdict for r in I.triage_headers(I.header_fields(cut)).collect()} == {1: "header cut short", 2: "header cut short"}
     assert {r.name: r.verdict for r in out.collect()} == {"ok": "ok", "other": "other family", "bad": "bad magic", "big": "size beyond file", "dir": "directory out of bounds", "free": "free list out of bounds"}
 
 
