@@ -475,3 +475,39 @@ def test_pipeline(spark):
     for r in rows:
         slots[r.shard].append(r["slot"])
     assert len(slots) == 16 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_pipeline_of_odd_rows(spark, docs, rows, none, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing names and empty tables through all stages, against the stages' rules by brute force."""
+    import corpus_pipeline as P
+
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").limit(0)
+    item = " ".join(rows[29][1].split()[:60]) if len(rows[29][1].split()) >= 60 else next(t for i, t, _ in rows if i is not None and i < 30 and len(t.split()) == 200)
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
+    for name, d in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        d.write.parquet(f"{tmp_path}/full/{name}.parquet")
+    for name, d in (("documents", none), ("labels", labels), ("benchmark", bench.limit(0))):
+        d.write.parquet(f"{tmp_path}/none/{name}.parquet")
+    out = P.run(spark, f"{tmp_path}/full")
+    added = ["size", "shard", "slot"]
+    assert set(out.columns) == set(docs.columns) | set(added) and len(out.columns) == len(set(out.columns))
+    got = out.collect()
+    # without labels nothing is toxic; of near copies the least id stays, of equal rows one; rows that hold the item go; the mix loses none
+    numbered = [(n, t, None) for n, (_, t, _) in enumerate(rows)]
+    comp = {n: c for (n, s, c) in components(numbered, 5, 80) if s}
+    best = {}
+    for n, c in comp.items():
+        key = (rows[n][0] is None, rows[n][0] or 0, n)
+        best[c] = min(best.get(c, key), key)
+    stay = [n for n in range(len(rows)) if n not in comp] + [n for _, _, n in best.values()]
+    want = Counter((rows[n][0], rows[n][1]) for n in stay if item not in (rows[n][1] or ""))
+    assert {(r.doc_id, r.text) for r in got} == set(want) and any(item in (t or "") for _, t, _ in rows)
+    times = Counter((r.doc_id, r.text) for r in got)
+    assert all(want[k] <= times[k] <= 2 * want[k] for k in want)
+    assert all(r["size"] == len((r.text or "").encode()) + 1 for r in got)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(len(slots[i]) for i in range(16)) <= 1
+    empty = P.run(spark, f"{tmp_path}/none")
+    assert empty.count() == 0 and empty.columns == out.columns

@@ -1,10 +1,12 @@
 """Sharding, exact dedup, mixing and decontamination against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from llm_tables import table, words
 
 from helpcorpus.llm import exactdedup
@@ -145,6 +147,50 @@ def test_mixing(docs, rows, none):
     assert mix(none).count() == 0
 
 
+@pytest.mark.parametrize("target", [{"max_repeats": 1.3}, {"entropy": 0.97}, {"max_repeats": 4.0, "budget": 30_000}])
+def test_mixing_against_its_definition(docs, rows, target):
+    """Weights by a bisection of their own, whole epochs of each row, and rows of the cut epoch up to the budget."""
+    tokens, rows_of = Counter(), Counter()
+    for _, t, s in rows:
+        tokens[s] += len(re.findall(r"[^\x20\x09-\x0d]+", t or ""))
+        rows_of[s] += 1
+    top = max(tokens.values())
+
+    def weights(alpha):
+        w = {s: (n / top) ** alpha for s, n in tokens.items() if n}
+        return {s: x / sum(w.values()) for s, x in w.items()}
+
+    def meets(alpha):
+        w = weights(alpha)
+        if "max_repeats" in target:
+            rate = [w[s] / tokens[s] for s in w]
+            return max(rate) / min(rate) <= target["max_repeats"]
+        return -sum(x * math.log(x) for x in w.values()) < target["entropy"] * math.log(len(w))
+
+    low, high = 0.0, 1.0
+    if meets(low):
+        high = low
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if meets(middle) else (middle, high)
+    want = weights(high)
+    budget = target.get("budget") or max(tokens[s] / want[s] for s in want)
+    got = mix(docs, max_repeats=target.get("max_repeats"), entropy=target.get("entropy"), budget=target.get("budget"), block_tokens=100).collect()
+    weight = {r.source: r._weight for r in got}
+    assert all(abs(weight[s] - want[s]) < 1e-5 for s in weight)
+    mixed, times = Counter(), Counter()
+    for r in got:
+        mixed[r.source] += r._tokens
+        times[r.doc_id, r.text, r.source] += 1
+    for s in want:
+        epochs = want[s] * budget / tokens[s]
+        full = math.floor(epochs + 1e-4)  # the exponents differ by some 1e-7
+        longest = max(len((t or "").split()) for _, t, x in rows if x == s)
+        assert mixed[s] <= want[s] * budget + 2 and mixed[s] > want[s] * budget - longest - 2
+        for key, n in Counter((i, t, x) for i, t, x in rows if x == s).items():
+            assert n * full <= times[key] <= n * (full + 1)
+
+
 def test_mixing_targets(spark, docs):
     t = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10)], "s string, tokens long")
     assert abs(exponent(t, max_repeats=10.0) - 0.5) < 1e-5  # (1000 / 10) ** (1 - alpha) = 10
