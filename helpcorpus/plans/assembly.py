@@ -50,7 +50,7 @@ def _(t: Tables):
     return files.groupBy(F.element_at(F.split("doc", "/"), -2).alias("folder")).agg(F.sum("length").alias("length"))
 
 
-@query("header_fields", "SELECT file_id, magic, directory_start, first_free, logical_size, 16 + file_id % 50 AS actual_size FROM headers")
+@query("header_fields", "SELECT file_id, CAST(magic AS BIGINT) AS magic, directory_start, first_free, logical_size, 16 + file_id % 50 AS actual_size FROM headers")
 def _(t: Tables):
     """Headers laid out as bytes and read back."""
     little = lambda c: F.concat(*[F.substring(F.lpad(F.hex(F.pmod(F.col(c).cast("long"), F.lit(1 << 32))), 8, "0"), i, 2) for i in (7, 5, 3, 1)])
