@@ -1,5 +1,6 @@
 """Small cases with known results."""
 
+import os
 import random
 
 import pytest
@@ -143,6 +144,24 @@ def test_hierarchy_of_many_levels(spark):
     assert {(r.doc, r.line): r.path for r in C.contents_paths(h).collect()} == path
 
 
+def test_deep_paths_are_never_written(spark, monkeypatch):
+    """Paths of a deep document are many times its rows; chunks of few rows get their ancestors."""
+    monkeypatch.setattr(C, "CHUNK", 64)
+    rng = random.Random(6)
+    rows = [("deep", 3 * i, max(1, i + 1 - (rng.randrange(40) if i % 5 == 0 else 0)), f"title {i}") for i in range(1500)] + [("flat", i, 1 + i % 2, f"t{i}") for i in range(200)]
+    stack, want = [], {}
+    for doc, i, level, title in rows:
+        while stack and (stack[-1][0] != doc or stack[-1][1] >= level):
+            stack.pop()
+        want[doc, i] = " / ".join([t for _, _, t in stack] + [title])
+        stack.append((doc, level, title))
+    h = C.contents_hierarchy(spark.createDataFrame(rows, "doc string, line long, level int, title string"))
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(spark.conf.get("spark.checkpoint.dir")) for f in files)
+    before = size()
+    assert {(r.doc, r.line): r.path for r in C.contents_paths(h).collect()} == want
+    assert size() - before < sum(map(len, want.values())) / 10
+
+
 def test_records(spark):
     r = spark.createDataFrame([("d", 160, None, 100, None, 0x20, "second\0"), ("d", 128, 130, 150, 170, 0x20, "first"), ("d", 90, 90, None, None, 0x20, "fixed"), ("d", 99, None, None, None, 2, "none")], "doc string, pos long, non_scroll long, scroll long, next_topic long, record_type int, payload string")
     out = {x.pos: (x.region, x.text) for x in T.record_text(T.classify_region(r)).collect()}
