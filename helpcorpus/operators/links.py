@@ -15,7 +15,6 @@ from .topics import topic_start_offsets
 
 # The most documents of a closure, and of a catalog's neighbours.
 CLOSURE, CATALOG = 32, 32
-GRID = 64
 
 
 def extract_hotspots(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -181,24 +180,38 @@ def scale_picture_hotspots(rects: DataFrame) -> DataFrame:
     return rects.withColumns({"sx": sx("x"), "sy": sy("y"), "sw": F.greatest(sx("w"), F.lit(1)), "sh": F.greatest(sy("h"), F.lit(1))})
 
 
-def hit_test(points: DataFrame, rects: DataFrame, by: list[str], grid: int = GRID) -> DataFrame:
+def _pieces(d: DataFrame, a: str, n: str, level: str, cell: str) -> DataFrame:
+    """d with the cells that the range from a on of n whole numbers is cut into: at each level those of 4^level that it fills and whose parent it does not, six at most."""
+    top = F.expr(f"greatest(0, int(ceil(log2({n}) / 2)))")
+    d = d.withColumn(level, F.explode(F.sequence(F.lit(0), top)))
+    first = lambda k: f"shiftright({a} + shiftleft(1L, 2 * ({k})) - 1, 2 * ({k}))"
+    end = lambda k: f"shiftright({a} + {n}, 2 * ({k}))"
+    at, to, inner, outer = first(level), end(level), f"4 * {first(f'{level} + 1')}", f"4 * {end(f'{level} + 1')}"
+    run = lambda x, y: f"CASE WHEN {x} < {y} THEN sequence({x}, {y} - 1) ELSE CAST(array() AS array<bigint>) END"
+    cells = f"CASE WHEN {inner} < {outer} THEN concat({run(at, inner)}, {run(outer, to)}) ELSE {run(at, to)} END"
+    return d.withColumn(cell, F.explode(F.expr(cells)))
+
+
+def hit_test(points: DataFrame, rects: DataFrame, by: list[str]) -> DataFrame:
     """(point_id, rect_id): the last rectangle in order of the point's own picture that holds it, edges at right and bottom left out.
 
-    by: the columns that name a picture, in both tables. A rectangle is laid on a grid whose cells are
-    at least as large as itself, so on four cells at most; grids double from `grid` on. A point is
-    looked up in its cell of each grid that has a rectangle, so an equi-join finds its few candidates.
+    by: the columns that name a picture, in both tables; places and sizes are whole numbers. A rectangle is
+    cut into tiles whose sides are powers of four, some dozens by its size's logarithms, and a tile keeps the
+    last of the rectangles that it is part of. So however many rectangles lie over each other, a place meets
+    one row for each shape of tile. Places that many points share are looked up once.
     """
-    level = lambda n: F.greatest(F.lit(0), F.ceil(F.log2(F.col(n) / grid))).cast("int")
-    r = rects.where("w > 0 and h > 0").withColumn("level", F.greatest(level("w"), level("h"))).withColumn("cell", F.lit(grid) * F.pow(F.lit(2.0), "level"))
-    span = lambda a, n: F.sequence(F.floor(F.col(a) / F.col("cell")), F.floor((F.col(a) + F.col(n) - 1) / F.col("cell")))
-    r = r.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h"))).drop("cell")
-    levels = r.select("level").distinct().agg(F.array_sort(F.collect_set("level")).alias("levels"))  # one number for each power of two of a size
-    p = points.select("point_id", *by, "px", "py").join(F.broadcast(levels)).withColumn("level", F.explode("levels"))
-    at = lambda c: F.floor(F.col(c) / (F.lit(grid) * F.pow(F.lit(2.0), "level")))
-    p = p.select("point_id", *by, "px", "py", "level", at("px").alias("cx"), at("py").alias("cy"))
-    d = p.join(r, [*by, "level", "cx", "cy"]).where("px >= x and px < x + w and py >= y and py < y + h")
-    top = d.groupBy("point_id").agg(F.max_by("rect_id", "ord").alias("rect_id"))
-    return points.select("point_id").join(top, "point_id", "left")
+    r = rects.where("w > 0 and h > 0 and ord is not null").select(*by, "rect_id", "ord", *[F.col(c).cast("long").alias(c) for c in "xywh"])
+    near = r.repartition(int(r.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, F.expr("shiftright(x, 6)"), F.expr("shiftright(y, 6)"))  # neighbours share tiles
+    r = _pieces(_pieces(near, "x", "w", "lx", "cx"), "y", "h", "ly", "cy")
+    shape = [*by, "lx", "ly", "cx", "cy"]
+    tiles = cut(r.groupBy(*shape).agg(F.max("ord").alias("ord"), F.max_by("rect_id", "ord").alias("rect_id")))
+    shapes = tiles.select("lx", "ly").distinct().agg(F.collect_set(F.struct("lx", "ly")).alias("shapes"))  # a row for each two powers of four
+    place = points.select("point_id", *by, F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"))
+    p = place.select(*by, "px", "py").distinct().join(F.broadcast(shapes)).select(*by, "px", "py", F.inline("shapes"))
+    p = p.withColumn("cx", F.expr("shiftright(px, 2 * lx)")).withColumn("cy", F.expr("shiftright(py, 2 * ly)"))
+    last = [F.max("ord").alias("ord"), F.max_by("rect_id", "ord").alias("rect_id")]
+    top = p.join(tiles, shape).groupBy(*by, "px", "py").agg(*last)
+    return place.join(top, [*by, "px", "py"], "left").groupBy("point_id").agg(F.max_by("rect_id", "ord").alias("rect_id"))
 
 
 def resolve_picture_hotspots(hotspots: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -266,6 +266,17 @@ def test_hit(spark):
     assert {r.point_id: r.rect_id for r in got.collect()} == want and any(want.values())
 
 
+def test_hit_among_many_rectangles_over_each_other(spark):
+    """Places times rectangles would be 4 * 10^10 rows here."""
+    rects = spark.range(200_000).select(F.lit("d").alias("doc"), F.lit(0).alias("picture"), F.col("id").alias("rect_id"), F.col("id").alias("ord"), (F.col("id") % 5).alias("x"), (F.col("id") % 7).alias("y"), F.lit(40).alias("w"), F.lit(50).alias("h"))
+    points = spark.range(200_000).select(F.col("id").alias("point_id"), F.lit("d").alias("doc"), F.lit(0).alias("picture"), (F.col("id") % 41).alias("px"), (F.col("id") % 50).alias("py"))
+    last = {(x, y): max(i for i in range(199_900, 200_000) if i % 5 == x and i % 7 == y) for x in range(5) for y in range(7)}
+    want = {(px, py): max((i for (x, y), i in last.items() if x <= px < x + 40 and y <= py < y + 50), default=None) for px in range(41) for py in range(50)}
+    got = L.hit_test(points, rects, ["doc", "picture"])
+    assert got.count() == 200_000
+    assert {(r.point_id % 41, r.point_id % 50): r.rect_id for r in got.collect()} == want
+
+
 def test_phrases_are_a_documents_own(spark):
     tokens = spark.createDataFrame([(d, r, 1, 1, None, False, 3) for d, r in (("a", 1), ("b", 2), ("c", 3))], "doc string, rec int, seq int, phrase_id int, literal string, space boolean, expected int")
     phrases = spark.createDataFrame([("a", 1, "one"), ("b", 1, "two")], "doc string, phrase_id int, phrase string")
