@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,9 +31,11 @@ def _without_gaps(d: DataFrame, name: str, first: int) -> DataFrame:
     return d.join(starts, "_range").withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit(_ROW)) + first).drop("_range", "_start", "_at")
 
 
-def write_lines(df: DataFrame, order: list[str], path: str, value: str = "value", rows_per_file: int = 1_000_000) -> None:
-    """Lines of text in that order: a file for each range, or several of at most rows_per_file lines, whose names sort as their lines do."""
-    d = df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(value).alias("value"))
+def write_lines(df: DataFrame, order: list[str], path: str, value: str | Column = "value", rows_per_file: int = 1_000_000) -> None:
+    """Lines of text in that order: a file for each range, or several of at most rows_per_file lines, whose names sort as their lines do.
+
+    Ranges are found by a pass of its own over df, so a costly value should be an expression, which is taken once the rows are in order."""
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).select((F.col(value) if isinstance(value, str) else value).alias("value"))
     d.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).text(path)
 
 

@@ -146,17 +146,18 @@ def export_site(
     line = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else p for i, p in enumerate(parts)])
     label = js_string(export_label(F.col("title"), F.col("topic_index")))
     sections = render_topic_html(with_actions(runs, registry, "topics", "doc", "pos"))
-    tree = with_actions(contents.drop("topic_index"), registry, "contents", "doc", "line").withColumn("value", line("{level:", F.col("level").cast("string"), ",title:", js_string(F.col("title")), ",action:", number, "}"))
-    listing = with_actions(topics.select("doc", "topic_index", "title"), registry, "listing", "doc", "topic_index").withColumn("value", line("{title:", label, ",action:", number, "}"))
-    index = with_actions(destinations, registry, "index", "key", "topic_index", "doc").join(keywords.select("key", "keyword"), "key").withColumn("value", line("{keyword:", js_string(F.col("keyword")), ",action:", number, "}"))
-    search = topics.withColumn("value", line("{doc:", js_string(F.col("doc")), ",topic:", F.col("topic_index").cast("string"), ",title:", label, ",text:", js_string(F.col("plain_text")), "}"))
+    tree = with_actions(contents.drop("topic_index"), registry, "contents", "doc", "line")
+    listing = with_actions(topics.select("doc", "topic_index", "title"), registry, "listing", "doc", "topic_index")
+    index = with_actions(destinations, registry, "index", "key", "topic_index", "doc").join(keywords.select("key", "keyword"), "key")
     place = ["doc", "topic_index"]
     parts = {
-        "topics": (sections.withColumn("value", F.replace("html", F.lit("\n"), F.lit("&#10;"))), place), "manifest": (topic_manifest(topics, neighbors).withColumnRenamed("json", "value"), place), "documents": (documents_manifest(docs, topics).withColumnRenamed("json", "value"), ["doc"]),
-        "contents": (tree, ["doc", "line"]), "listing": (listing, place), "index": (index, ["key", "doc", "topic_index"]), "search": (search, place), "actions": (registry.withColumnRenamed("json", "value"), ["action_id"]),
+        "topics": (sections, place, F.replace("html", F.lit("\n"), F.lit("&#10;"))), "manifest": (topic_manifest(topics, neighbors), place, "json"), "documents": (documents_manifest(docs, topics), ["doc"], "json"),
+        "contents": (tree, ["doc", "line"], line("{level:", F.col("level").cast("string"), ",title:", js_string(F.col("title")), ",action:", number, "}")), "listing": (listing, place, line("{title:", label, ",action:", number, "}")),
+        "index": (index, ["key", "doc", "topic_index"], line("{keyword:", js_string(F.col("keyword")), ",action:", number, "}")),
+        "search": (topics, place, line("{doc:", js_string(F.col("doc")), ",topic:", F.col("topic_index").cast("string"), ",title:", label, ",text:", js_string(F.col("plain_text")), "}")), "actions": (registry, ["action_id"], "json"),
     }
-    for part, (d, order) in parts.items():
-        write_lines(d, order, f"{path}/{part}")
+    for part, (d, order, value) in parts.items():
+        write_lines(d, order, f"{path}/{part}", value)
     one = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
     return one(docs, "document_count").crossJoin(one(topics, "topic_count")).crossJoin(one(warnings, "warning_count")).select(F.lit(path).alias("path"), "*")
 

@@ -467,6 +467,21 @@ def test_numbers_without_gaps(spark):
     assert [r.value for r in read_lines(spark, path).orderBy("nth").collect()] == [f"{a} {b}" for a, b in sorted(got)]
 
 
+def test_values_of_lines_are_made_once(spark, tmp_path):
+    """Finding the ranges needs their order only."""
+    from helpcorpus.functions.ordering import write_lines
+
+    made = spark.sparkContext.accumulator(0)
+
+    def value(n: int) -> str:
+        made.add(1)
+        return f"line {n:03}"
+
+    write_lines(spark.range(300), ["id"], str(tmp_path / "lines"), F.udf(value, "string")("id"))
+    assert made.value == 300
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "lines")).collect()) == [f"line {n:03}" for n in range(300)]
+
+
 def test_block_layout(spark):
     from helpcorpus.operators import profile as P
 
