@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.lineage import written
 from ..functions.scalars import file_name, fold_text, topic_label
@@ -65,77 +70,110 @@ def search_corpus(search_topics: DataFrame, query: str, limit: int = LIMIT) -> D
     return hits(search_topics, query).orderBy(F.desc("score"), "doc", "topic_index").limit(limit).select("doc", "topic_index", "score", label.alias("label"))
 
 
-def _runs(c: str, n: int) -> Column:
-    """All runs of n characters."""
-    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+#: A text is checked for so many runs of each query before its score is taken.
+KEYS = 8
 
 
-def _trigrams(c: str) -> Column:
-    return F.explode(F.array_distinct(_runs(c, 3))).alias("gram")
+def _codes(text: str, size: int) -> np.ndarray:
+    """All runs of so many characters (1 to 3) as numbers: 21 bits for each character, from one."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+    return c if size == 1 else c[:-1] | c[1:] << 21 if size == 2 else c[:-2] | c[1:-1] << 21 | c[2:] << 42
 
 
-def _head(d: DataFrame) -> Column:
-    """The words of title and keywords."""
-    return F.array_distinct(F.split(F.concat_ws(" ", "folded_title", F.array_join("folded_keywords", " ")), " "))
+@F.pandas_udf(ArrayType(LongType()))
+def _runs(terms: pd.Series) -> pd.Series:
+    """A term's distinct runs of three characters; terms of one or two are their own."""
+    return pd.Series([np.unique(_codes(x, min(len(x), 3))) for x in terms], dtype=object)
 
 
-def vocabulary(search_topics: DataFrame) -> DataFrame:
-    """(word, heads, topics): in how many topics' titles and keywords a word is, and in how many topics anywhere."""
-    head = _head(search_topics)
-    mark = lambda words, x: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(x).alias("head")))
-    found = F.concat(mark(head, True), mark(F.array_except(F.split("folded_body", " "), head), False))
-    return search_topics.select(F.inline(found)).where("word <> ''").groupBy("word").agg(F.count_if("head").alias("heads"), F.count(F.lit(1)).alias("topics"))
+def query_keys(q: DataFrame) -> DataFrame:
+    """(at, runs): up to KEYS runs that a text with the query's terms holds, those of fewest queries first. Short terms count for queries without longer ones. q(at, terms)"""
+    terms = q.select("at", F.explode(F.array_distinct("terms")).alias("term")).withColumn("size", F.least(F.length("term"), F.lit(3)))
+    runs = terms.select("at", "size", F.explode(_runs("term")).alias("run")).distinct()
+    n = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    kept = runs.join(n, "run").withColumn("nth", F.row_number().over(W.partitionBy("at").orderBy(F.desc("size"), "n", "run")))
+    best = F.array_sort(F.collect_list(F.struct("nth", "run")))
+    return kept.where(F.col("nth") <= KEYS).groupBy("at").agg(best.alias("runs")).select("at", F.transform("runs", lambda x: x["run"]).alias("runs"))
 
 
-def narrowest_terms(asked: DataFrame, words: DataFrame) -> DataFrame:
-    """(query_id, term, gram): a query's narrowest term, the one whose rarest trigram is in the fewest topics; of terms of one or two characters alone the longest, without a gram. asked(query_id, term), words: a vocabulary"""
-    wanted = asked.select("term").distinct().where(F.length("term") >= 3).select("term", _trigrams("term"))
-    grams = words.select("topics", _trigrams("word")).join(wanted.select("gram").distinct(), "gram", "left_semi")
-    bounds = wanted.join(grams.groupBy("gram").agg(F.sum("topics").alias("n")), "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
-    order = F.struct(F.col("least").isNull(), F.coalesce("least.n", -F.length("term")), "term")
-    return asked.join(bounds, "term", "left").groupBy("query_id").agg(F.min_by(F.struct("term", "least.gram"), order).alias("x")).select("query_id", "x.*")
+def _asking(text: Column, asked: DataFrame) -> Column:
+    """The queries (their `at`) of asked(at, terms, runs), a slice of a table, whose runs and then whose terms a text holds. Tasks get the slice with the function."""
+    d = asked.select("at", "terms", "runs").toPandas()
+    terms, at, keys = [list(x) for x in d["terms"]], d["at"].to_numpy(np.int64), np.array([[*r, *[r[0]] * (KEYS - len(r))] for r in d["runs"]], np.int64).reshape(-1, KEYS)
+    known, place = np.unique(keys, return_inverse=True)
+    place, sizes = place.reshape(-1, KEYS), [n for n in (1, 2, 3) if ((known >= 1 << 21 * (n - 1)) & (known < 1 << 21 * n)).any()]
+    known = np.append(known, np.iinfo(np.int64).max)
 
+    @F.pandas_udf(ArrayType(LongType()))
+    def found(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            held = np.zeros(len(known), bool)
+            for n in sizes:
+                c = _codes(text, n)
+                i = np.searchsorted(known, c)
+                held[i[known[i] == c]] = True
+            m = np.arange(len(at))
+            for j in range(KEYS):
+                m = m[held[place[m, j]]]
+            out.append(at[[i for i in m if all(x in text for x in terms[i])]])
+        return pd.Series(out, dtype=object)
 
-def _best(chosen: DataFrame, words: DataFrame, text: DataFrame, q: DataFrame, search_topics: DataFrame, s: Column, k: int) -> DataFrame:
-    """The k best topics of each query of chosen(query_id, term, gram) among those whose words contain its term.
+    return found(text)
 
-    words(term, word) are few against the words of text(doc, topic_index, words), so they are broadcast where
-    their size allows; terms of one or two characters are looked up among a topic's own runs. The query comes to its candidates before
-    the topics' texts do, which are shuffled once and not again for each candidate.
-    """
-    long = text.select("doc", "topic_index", F.explode("words").alias("word")).join(words.select("term", "word"), "word").select("term", "doc", "topic_index")
-    joined = text.select("doc", "topic_index", F.array_join("words", " ").alias("all"))
-    runs = joined.select("doc", "topic_index", F.explode(F.array_distinct(F.concat(_runs("all", 1), _runs("all", 2)))).alias("term"))
-    short = runs.join(chosen.where("gram is null").select("term").distinct(), "term").select("term", "doc", "topic_index")
-    candidates = long.unionByName(short).distinct().join(chosen.select("query_id", "term"), "term").select("query_id", "doc", "topic_index")
-    pairs = candidates.join(q, "query_id").join(search_topics, ["doc", "topic_index"]).select("query_id", "doc", "topic_index", s.alias("score")).where("score > 0")
+
+def _head() -> Column:
+    """Title and keywords as one text."""
+    return F.concat_ws(" ", "folded_title", "lines")
+
+
+def _keyword_lines(d: DataFrame) -> DataFrame:
+    """With all keywords in one text, each between line feeds, which folded texts do not have; so a rung is one look."""
+    return d.withColumn("lines", F.concat(F.lit("\n"), F.array_join("folded_keywords", "\n"), F.lit("\n"))).drop("folded_keywords")
+
+
+def _score_head(q: Column) -> Column:
+    """The better of title and keyword (650 and more), null for none."""
+    title, lines, n = F.col("folded_title"), F.col("lines"), F.lit("\n")
+    return (
+        F.when(title == q, 1000).when(F.contains(lines, F.concat(n, q, n)), 950).when(F.startswith(title, q), 850).when(F.contains(lines, F.concat(n, q)), 800)
+        .when(F.contains(title, q), 700).when(F.contains(lines, q), 650)
+    )
+
+
+def _best(asked: DataFrame, text: Column, search_topics: DataFrame, s: Column, k: int) -> DataFrame:
+    """The k best topics of each query of asked(at, query_id, q, terms, runs) among those whose text holds its terms. Texts are neither shuffled nor written."""
+    met = search_topics.withColumn("at", F.explode(_asking(text, asked))).join(F.broadcast(asked.drop("runs")), "at")
+    pairs = met.select("query_id", "doc", "topic_index", s.alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc", "topic_index"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    # scores of none come last; a filter before the rank would take each score twice
+    return pairs.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("score") > 0))
 
 
-def search_batch(search_topics: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def search_batch(search_topics: DataFrame, queries: DataFrame, k: int = 10, slice_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, rank, doc, topic_index, score, kind): the k best topics of each query of a table.
 
-    A match needs all of a query's terms, each within one word. So terms are matched with the corpus'
-    distinct words first, and a query's candidates are the topics with a word for its narrowest term.
+    A match needs all of a query's terms, each within one word. So a query's candidates are the topics
+    that hold runs of three characters of its terms, the runs that fewest other queries have, and then the terms.
     Every title or keyword rung (650 and more) stands above every body rung (500 at most), so titles and
     keywords are searched first; queries that find k topics there are done, and bodies are searched for
-    the others only. Only candidates meet the query's text; the k best of each task are kept before
-    the shuffle (Spark's window group limit). Of the corpus only its distinct words are written.
-    Blank queries are dropped.
+    the others only. Only candidates are scored, where they are read; the k best of each task are kept before
+    the shuffle (Spark's window group limit). Queries go to the topics; a table of more than slice_bytes
+    is taken in slices, and the topics are read for each. Blank queries are dropped.
     """
     q = queries.select("query_id", fold_text(F.col("query")).alias("q")).where("q <> ''").withColumn("terms", F.split("q", " "))
-    known = written(vocabulary(search_topics))
-    chosen = written(narrowest_terms(q.select("query_id", F.explode(F.array_distinct("terms")).alias("term")), known))
-    terms = chosen.where("gram is not null").select("term", "gram").distinct()
-    words = written(known.select("word", "heads", _trigrams("word")).join(terms, "gram").where(F.contains("word", F.col("term"))).select("term", "word", "heads"))
-    place = search_topics.select("doc", "topic_index", "folded_title", "folded_keywords")
-    heads = place.select("doc", "topic_index", _head(place).alias("words"))
-    first = written(_best(chosen, words.where("heads > 0"), heads, q, place, F.greatest(score_title(F.col("q")), score_keyword(F.col("q"))), k))
+    slices = 1 + (q.agg(F.sum(F.octet_length("q") + 64)).first()[0] or 0) // slice_bytes
+    q = written(q.withColumn("at", F.monotonically_increasing_id()))
+    return reduce(DataFrame.unionByName, [_search_slice(search_topics, q.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i), k) for i in range(slices)])
+
+
+def _search_slice(search_topics: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    asked = written(q.join(query_keys(q), "at"))
+    topics = _keyword_lines(search_topics)
+    first = written(_best(asked, _head(), topics.drop("folded_body"), _score_head(F.col("q")), k))
     done = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
-    rest = chosen.join(done, "query_id", "left_anti")
-    every = search_topics.select("doc", "topic_index", F.array_distinct(F.concat(_head(search_topics), F.split("folded_body", " "))).alias("words"))
-    lower = _best(rest, words.join(rest.select("term").distinct(), "term", "left_semi"), every, q, search_topics, score(F.col("q"), F.col("terms")), k)
+    rest = asked.join(done, "query_id", "left_anti")
+    lower = _best(rest, F.concat_ws(" ", _head(), "folded_body"), topics, F.coalesce(_score_head(F.col("q")), score_body(F.col("q"), F.col("terms"))), k)
     found = first.join(done, "query_id", "left_semi").unionByName(lower)
     return found.select("query_id", "rank", "doc", "topic_index", "score", kind_of(F.col("score")).alias("kind"))
 

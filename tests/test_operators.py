@@ -91,6 +91,24 @@ def test_search_batch_finds_every_match(spark):
     assert len(got) > 10
 
 
+def test_search_batch_leaves_texts_in_place(spark):
+    """A large table of queries is taken in slices with the same rows, and no text is shuffled, whatever its size."""
+    rows = [("d", i, f"Title {i % 5}", f"the adapter {i % 7} before network{i % 3} setup") for i in range(40)]
+    kw = spark.createDataFrame([("d", i, ["two words", f"key{i % 4}"]) for i in range(0, 40, 2)], "doc string, topic_index int, folded_keywords array<string>")
+    t = S.build_search_table(spark.createDataFrame(rows, "doc string, topic_index int, title string, plain_text string"), kw).localCheckpoint()
+    q = spark.createDataFrame([(i, x) for i, x in enumerate(["title", "key1", "two w", "the setup", "adapter 3", "network1 setup", "o", "e b", "nowhere"])], "query_id int, query string")
+    want = sorted(S.search_batch(t, q, 4).collect())
+    assert want and want == sorted(S.search_batch(t, q, 4, slice_bytes=100).collect())
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = S.search_batch(t, q, 4)._jdf.queryExecution().toString()
+        plan = plan[plan.index("== Physical Plan") :]
+        assert "Exchange hashpartitioning(query_id" in plan and "hashpartitioning(doc" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def lines(spark, texts):
     return spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "doc string, line long, text string")
 
