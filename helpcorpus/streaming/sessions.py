@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.sessions import RECENT, History
@@ -18,13 +17,9 @@ def with_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A user's rows of one micro-batch by time; how many they are is bounded by what a trigger reads."""
-    return pd.concat(rows).sort_values(["ts", "event_id"])
-
-
-def _given(x) -> str | None:
-    return None if pd.isna(x) else x
+def _in_order(rows: Iterator[Row]) -> list[Row]:
+    """A user's rows of one micro-batch by time, those without one last; how many they are is bounded by what a trigger reads."""
+    return sorted(rows, key=lambda r: [(v is None, v) for v in (r.ts, r.event_id)])
 
 
 class RecentProcessor(StatefulProcessor):
@@ -33,44 +28,37 @@ class RecentProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.docs = handle.getListState("recent", "doc string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         docs = [x[0] for x in self.docs.get()]
-        for location in map(_given, _in_order(rows)["location"]):
-            if location is not None:
-                d = location.lower()
+        for r in _in_order(rows):
+            if r.location is not None:
+                d = r.location.lower()
                 docs = [d, *[x for x in docs if x != d]][:RECENT]
         if docs:
             self.docs.put([(d,) for d in docs])
-            yield pd.DataFrame({"usr": key[0], "rank": range(1, len(docs) + 1), "doc": pd.Series(docs, dtype=object)})
+            for i, d in enumerate(docs):
+                yield Row(usr=key[0], rank=i + 1, doc=d)
 
     def close(self) -> None:
         pass
 
 
 class HistoryProcessor(StatefulProcessor):
-    """A user's history; events are in order within a micro-batch, later ones are applied when they arrive."""
+    """A user's history; events are in order within a micro-batch, later ones are applied when they arrive.
+
+    The history is one value, read and written once for a user and micro-batch. Events are rows: most
+    users have few, and a frame for each user costs more than they do.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState("current", "location string")
-        self.back = handle.getListState("back", "location string")
-        self.forward = handle.getListState("forward", "location string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        current = self.current.get()[0] if self.current.exists() else None
-        h = History(current, [x[0] for x in self.back.get()], [x[0] for x in self.forward.get()])
-        out = []
-        for event_id, action, location in _in_order(rows)[["event_id", "action", "location"]].itertuples(index=False):
-            h.apply(action, _given(location))
-            out.append((key[0], event_id, h.current, len(h.back), len(h.forward)))
-        if h.current is not None:
-            self.current.update((h.current,))
-        for state, places in ((self.back, h.back), (self.forward, h.forward)):
-            if places:
-                state.put([(x,) for x in places])
-            else:
-                state.clear()
-        # places as objects: a column of nulls alone has no type of its own
-        yield pd.DataFrame(out, columns=["usr", "event_id", "current", "back_depth", "forward_depth"]).astype({"current": object})
+        self.history = handle.getValueState("history", "current string, back array<string>, forward array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        h = History(*(self.history.get() or ()))
+        for r in _in_order(rows):
+            h.apply(r.action, r.location)
+            yield Row(usr=key[0], event_id=r.event_id, current=h.current, back_depth=len(h.back), forward_depth=len(h.forward))
+        self.history.update((h.current, h.back, h.forward))
 
     def close(self) -> None:
         pass
@@ -79,10 +67,10 @@ class HistoryProcessor(StatefulProcessor):
 def stream_recent_documents(opens: DataFrame) -> DataFrame:
     """Updates (usr, rank, doc) for each user of a micro-batch. opens(usr, ts, event_id, location)"""
     with_state_store(opens.sparkSession)
-    return opens.groupBy("usr").transformWithStateInPandas(RecentProcessor(), "usr long, rank int, doc string", "Update", "None")
+    return opens.groupBy("usr").transformWithState(RecentProcessor(), "usr long, rank int, doc string", "Update", "None")
 
 
 def stream_history(events: DataFrame) -> DataFrame:
     """The state after each event, as replay_history gives it. events(usr, ts, event_id, action, location)"""
     with_state_store(events.sparkSession)
-    return events.groupBy("usr").transformWithStateInPandas(HistoryProcessor(), "usr long, event_id long, current string, back_depth int, forward_depth int", "Append", "None")
+    return events.groupBy("usr").transformWithState(HistoryProcessor(), "usr long, event_id long, current string, back_depth int, forward_depth int", "Append", "None")

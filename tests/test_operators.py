@@ -325,6 +325,35 @@ def test_streams_keep_odd_places(spark, tmp_path):
             assert [(r.current, r.back_depth, r.forward_depth) for r in sorted(rows, key=lambda r: r.event_id) if r.usr == 1] == batch
 
 
+def test_history_state_is_read_and_written_once():
+    """For a user and micro-batch, with rows and no frames."""
+    from pyspark.sql import Row
+
+    from helpcorpus.streaming.sessions import HistoryProcessor
+
+    calls, kept = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return kept.get("x")
+
+        def update(self, x):
+            calls.append("update")
+            kept["x"] = x
+
+    class Handle:
+        def getValueState(self, *schema):
+            return Value()
+
+    p, row = HistoryProcessor(), Row("ts", "event_id", "action", "location")
+    p.init(Handle())
+    got = list(p.handleInputRows((1,), iter([row(2, 2, "visit", "b"), row(None, 4, "back", None), row(2, 1, "visit", "a")]), None))
+    got += list(p.handleInputRows((1,), iter([row(3, 5, "forward", None)]), None))
+    assert [tuple(r) for r in got] == [(1, 1, "a", 0, 0), (1, 2, "b", 1, 0), (1, 4, "a", 0, 1), (1, 5, "b", 1, 0)]
+    assert calls == ["get", "update"] * 2 and kept["x"] == ("b", ["a"], [])
+
+
 def replayed_places(events):
     h, out = N.History(), []
     for _, _, _, action, location in events:
