@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from ..functions.ordering import numbered, read_lines, write_lines
 from ..functions.scalars import export_label, file_name, html_escape, js_string
 
@@ -95,7 +96,8 @@ def action_registry(actions: DataFrame) -> DataFrame:
     program = F.concat(F.lit("{kind:\"program\",ops:"), F.coalesce("ops", F.lit("[]")), F.lit("}"))
     json = F.when(F.col("kind") == "open", opened).when(F.col("kind") == "program", program).otherwise(F.concat(F.lit('{kind:"noop",message:'), js_string(F.col("message")), F.lit("}")))
     order = ["section", "grp", "sub", "seq"]
-    return numbered(actions.select(*order, json.alias("json")), order, "action_id").select(*order, "action_id", "json")
+    # finding the ranges reads rows up to twice more, so they are made before
+    return numbered(written(actions.select(*order, json.alias("json"))), order, "action_id").select(*order, "action_id", "json")
 
 
 def with_actions(rows: DataFrame, registry: DataFrame, section: str, grp: str, seq: str, sub: str | None = None) -> DataFrame:

@@ -50,6 +50,12 @@ def merged_destinations(resolved: DataFrame) -> DataFrame:
     return resolved.select(F.lower("keyword").alias("key"), "doc", "topic_index").distinct()
 
 
+def placed_destinations(places: DataFrame, anchors: DataFrame) -> DataFrame:
+    """merged_destinations of entries that are not yet listed: places(doc, topic_offset, keywords) are looked up once for all their keywords, before these become rows."""
+    found = resolve_topic_offset(places.where("topic_offset >= 0"), anchors).where("topic_index is not null")
+    return merged_destinations(found.select("doc", F.explode("keywords").alias("keyword"), "topic_index"))
+
+
 def keyword_label(keyword: Column, n: Column) -> Column:
     return F.when(n > 1, F.concat(keyword, F.lit("  ("), n.cast("string"), F.lit(" topics)"))).otherwise(keyword)
 

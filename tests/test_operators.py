@@ -529,6 +529,57 @@ def test_values_of_lines_are_made_once(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "lines")).collect()) == [f"line {n:03}" for n in range(300)]
 
 
+def test_actions_are_made_once(spark):
+    """Finding the ranges of their order reads them again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def name(n: int) -> str:
+        made.add(1)
+        return f"doc{n}"
+
+    topics = spark.range(300).repartition(3).select(F.udf(name, "string")("id").alias("doc"), F.col("id").cast("int").alias("topic_index"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    spots, contents = none("doc string, pos long, kind string, dst_doc string, topic_index int, mode string, win_name string, ops string, message string"), none("doc string, line long, target_doc string, topic_index int, mode string, win string")
+    rows = X.action_registry(X.site_actions(spots, contents, topics, none("key string, doc string, topic_index int"))).orderBy("action_id").collect()
+    assert made.value == 300
+    assert [(r.grp, r.action_id) for r in rows] == [(d, i) for i, d in enumerate(sorted(f"doc{n}" for n in range(300)))]
+
+
+def test_actions_need_no_texts(spark, tmp_path):
+    """The registry of odd documents is that of their whole tables, and asks for none of them."""
+    from helpcorpus.plans import graph as G
+    from helpcorpus.plans.registry import QUERIES, Tables
+
+    sf, odd = "/root/testdata/sf0.001", [None, "", "\n", "\n\nlast", "Title words words WORDS Words\n", "İSTANBUL İst ΟΔΟΣ ΟΔΟΣ,\r\nmore\n\n\nlines", "  a  title   with blanks "] + [f"Same title {i % 3}\n" + "x\n" * i for i in range(30)]
+    for f in os.listdir(sf):
+        if f != "documents.parquet":
+            os.symlink(f"{sf}/{f}", tmp_path / f)
+    rows = [(3 * i, x, "en", None if i == 5 else f"src{i % 2}", len(x or "")) for i, x in enumerate(odd)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = []
+
+    class Asked(Tables):
+        def __call__(self, name):
+            asked.append(name)
+            return super().__call__(name)
+
+    got = QUERIES["action_registry"](Asked(spark, str(tmp_path))).collect()
+    assert "documents" in asked and not {"topics", "records", "keywords"} & set(asked)
+    t = Tables(spark, str(tmp_path))
+    want = X.action_registry(X.site_actions(t("site_spots"), G.site_contents(t), t("topics"), K.merged_destinations(G.reached(t)))).collect()
+    assert {r.section for r in want} == {0, 1, 2, 3} and sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_places_with_their_keywords(spark):
+    """Looked up before keywords become rows, as after it."""
+    anchors = spark.createDataFrame([("d", 12, 0, 12), ("d", 76, 1, 76), ("e", 40_000, 0, 12)], "doc string, topic_offset long, topic_index int, pos long")
+    places = [("d", 5, ["Early"]), ("d", 12, ["One", "one", "TWO"]), ("d", 20, ["two"]), ("d", 80, ["One", None]), ("d", -1, ["Macro"]), ("d", None, ["None"]), ("e", 100, ["Before"]), ("e", 40_001, ["One"]), ("f", 12, ["Gone"]), ("d", 90, []), ("d", 91, None)]
+    got = K.placed_destinations(spark.createDataFrame(places, "doc string, topic_offset long, keywords array<string>"), anchors).collect()
+    entries = spark.createDataFrame([(d, "K", i, k, [at]) for i, (d, at, ks) in enumerate(places) for k in ks or []], "doc string, table_id string, ord int, keyword string, offsets array<long>")
+    want = K.merged_destinations(K.keyword_topics(entries, anchors)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and {tuple(r) for r in got} == {("one", "d", 0), ("two", "d", 0), ("one", "d", 1), (None, "d", 1), ("one", "e", 0)}
+
+
 def test_block_layout(spark):
     from helpcorpus.operators import profile as P
 
