@@ -162,6 +162,16 @@ def test_hierarchy_of_many_levels(spark):
     assert {(r.doc, r.line): r.path for r in C.contents_paths(h).collect()} == path
 
 
+def test_hierarchy_writes_nothing(spark):
+    """Depths and parents come from one stream of a document's rows, not from rounds of checkpoints; rows without a document, line or level stand alone."""
+    rows = [("deep", i, i + 1, f"t{i}") for i in range(300)] + [(None, 1, 1, "x"), (None, 2, 2, "y"), ("odd", 1, 1, "a"), ("odd", 2, None, "b"), ("odd", 3, 2, None), ("odd", None, 1, "c")]
+    files = lambda: sum(len(f) for _, _, f in os.walk(spark.conf.get("spark.checkpoint.dir")))
+    before = files()
+    got = {(r.doc, r.line): (r.parent_line, r.depth) for r in C.contents_hierarchy(spark.createDataFrame(rows, "doc string, line long, level int, title string").repartition(5)).collect()}
+    want = {("deep", i): (i - 1 if i else None, i) for i in range(300)} | {(None, 1): (None, 0), (None, 2): (None, 0), ("odd", 1): (None, 0), ("odd", 2): (None, 0), ("odd", 3): (1, 1), ("odd", None): (None, 0)}
+    assert got == want and files() == before
+
+
 def test_deep_paths_are_never_written(spark, monkeypatch):
     """Paths of a deep document are many times its rows; chunks of few rows get their ancestors."""
     monkeypatch.setattr(C, "CHUNK", 64)
