@@ -31,15 +31,26 @@ def _without_gaps(d: DataFrame, name: str, first: int) -> DataFrame:
     return d.join(starts, "_range").withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit(_ROW)) + first).drop("_range", "_start", "_at")
 
 
-def write_lines(df: DataFrame, order: list[str], path: str, value: str | Column = "value", rows_per_file: int = 1_000_000) -> None:
+def write_lines(df: DataFrame, order: list[str], path: str, value: str | Column = "value", rows_per_file: int = 1_000_000, ranged: bool = False, compression: str = "none") -> None:
     """Lines of text in that order: a file for each range, or several of at most rows_per_file lines, whose names sort as their lines do.
 
-    Ranges are found by a pass of its own over df, so a costly value should be an expression, which is taken once the rows are in order."""
-    d = df.repartitionByRange(*order).sortWithinPartitions(*order).select((F.col(value) if isinstance(value, str) else value).alias("value"))
-    d.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).text(path)
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(nth, value): the lines of write_lines with their place from 0."""
-    d = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), "value", F.monotonically_increasing_id().alias("_line"))
-    return numbered(d, ["_file", "_block", "_line"], "nth").drop("_file", "_block", "_line")
+    Ranges are found by a pass of its own over df, so a costly value should be an expression, which is taken once the rows are in order.
+    A df that is `ranged` lies in ranges of the order's first columns already (repartitionByRange) and is not shuffled again.
+    Files may be compressed, as Spark's text files are; read_lines reads them too."""
+    d = (df if ranged else df.repartitionByRange(*order)).sortWithinPartitions(*order).select((F.col(value) if isinstance(value, str) else value).alias("value"))
+    # gzip at its default level takes as long as all else
+    d.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("zlib.compress.level", "BEST_SPEED").text(path, compression=compression)
+
+
+def read_lines(spark: SparkSession, path: str, value: str | Column = "value") -> DataFrame:
+    """(nth, value): the lines of write_lines with their place from 0, or a value made of each line.
+
+    Lines are neither shuffled nor written: a pass counts those of each split, and a split begins with the number of
+    lines in those before it. Should the two passes split the files in different ways, reading fails."""
+    d = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), (F.col(value) if isinstance(value, str) else value).alias("value"), F.monotonically_increasing_id().alias("_line"))
+    splits = d.groupBy("_file", "_block").agg(F.min("_line").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # a row for each split
+    before = F.sum("_n").over(W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")
+    at = F.col("_line") - F.col("_first")
+    nth = F.when((at >= 0) & (at < F.col("_n")), F.col("_start") + at).otherwise(F.raise_error(F.lit("the files were split in another way when they were counted")).cast("long"))
+    return d.join(F.broadcast(splits.withColumn("_start", before)), ["_file", "_block"], "left").select(nth.alias("nth"), "value")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.lineage import written
+from ..functions.lineage import passing_shuffles, written
 from ..functions.ordering import numbered, read_lines, write_lines
 from ..functions.scalars import export_label, file_name, html_escape, js_string
 
@@ -108,6 +109,16 @@ def with_actions(rows: DataFrame, registry: DataFrame, section: str, grp: str, s
     return rows.join(ids, on, "left").drop("_grp", "_sub", "_seq")
 
 
+def linked_runs(runs: DataFrame, registry: DataFrame) -> DataFrame:
+    """with_actions of runs, in ranges of doc and topic_index: ids go to the topics of their runs, so that texts are shuffled once, to where sections are put together."""
+    ids = registry.where(F.col("section") == SECTIONS.index("topics")).select(F.col("grp").alias("doc"), F.col("seq").alias("pos"), "action_id")
+    links = runs.select("doc", "topic_index", "pos").join(ids, ["doc", "pos"]).distinct()
+    rows = runs.withColumn("_run", F.lit(True)).unionByName(links.withColumn("_run", F.lit(False)), allowMissingColumns=True)
+    own = F.collect_list("action_id").over(W.partitionBy("doc", "topic_index", "pos"))
+    d = rows.repartitionByRange("doc", "topic_index").withColumn("_ids", own).where("_run")
+    return d.select(*runs.columns, F.explode_outer("_ids").alias("action_id"))
+
+
 def topic_manifest(topics: DataFrame, neighbors: DataFrame) -> DataFrame:
     """(doc, topic_index, json): a line for each topic with label, template and browse neighbours. neighbors(doc, topic_index, browse_prev, browse_next)"""
     d = topics.join(neighbors, ["doc", "topic_index"], "left")
@@ -130,24 +141,12 @@ def output_path(path: str) -> str:
     return path if dot and stem and ending.lower() == "html" else f"{folder}{slash}{stem if dot and stem else name}.html"
 
 
-def export_site(
-    path: str, docs: DataFrame, topics: DataFrame, warnings: DataFrame, runs: DataFrame, spots: DataFrame, neighbors: DataFrame, contents: DataFrame, keywords: DataFrame, destinations: DataFrame
-) -> DataFrame:
-    """Writes a site under path, whose name gets the extension html; returns (path, document_count, topic_count, warning_count).
-
-    Its parts are lines of text in order (see write_lines): topics (sections), manifest, documents, contents,
-    listing, index, search, and the actions, whose line n is action n. Links in sections, lines of
-    contents, of the listing and of the index carry the ids of their actions. runs(doc, topic_index, pos,
-    region, text, tooltip): the runs of texts, spots the links among them; neighbors(doc, topic_index,
-    browse_prev, browse_next), contents(doc, line, level, title, target_doc, topic_index, mode, win),
-    keywords(key, keyword), destinations(key, doc, topic_index).
-    """
-    path = output_path(path)
+def _write_site(path: str, docs: DataFrame, topics: DataFrame, runs: DataFrame, spots: DataFrame, neighbors: DataFrame, contents: DataFrame, keywords: DataFrame, destinations: DataFrame, compression: str) -> None:
     registry = action_registry(site_actions(spots, contents, topics, destinations))
     number = F.coalesce(F.col("action_id").cast("string"), F.lit("null"))
     line = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else p for i, p in enumerate(parts)])
     label = js_string(export_label(F.col("title"), F.col("topic_index")))
-    sections = render_topic_html(with_actions(runs, registry, "topics", "doc", "pos"))
+    sections = render_topic_html(linked_runs(runs, registry))
     tree = with_actions(contents.drop("topic_index"), registry, "contents", "doc", "line")
     listing = with_actions(topics.select("doc", "topic_index", "title"), registry, "listing", "doc", "topic_index")
     index = with_actions(destinations, registry, "index", "key", "topic_index", "doc").join(keywords.select("key", "keyword"), "key")
@@ -159,16 +158,35 @@ def export_site(
         "search": (topics, place, line("{doc:", js_string(F.col("doc")), ",topic:", F.col("topic_index").cast("string"), ",title:", label, ",text:", js_string(F.col("plain_text")), "}")), "actions": (registry, ["action_id"], "json"),
     }
     for part, (d, order, value) in parts.items():
-        write_lines(d, order, f"{path}/{part}", value)
+        write_lines(d, order, f"{path}/{part}", value, ranged=part == "topics", compression=compression)
+
+
+def export_site(
+    path: str, docs: DataFrame, topics: DataFrame, warnings: DataFrame, runs: DataFrame, spots: DataFrame, neighbors: DataFrame, contents: DataFrame, keywords: DataFrame, destinations: DataFrame,
+    compression: str = "none",
+) -> DataFrame:
+    """Writes a site under path, whose name gets the extension html; returns (path, document_count, topic_count, warning_count).
+
+    Its parts are lines of text in order (see write_lines): topics (sections), manifest, documents, contents,
+    listing, index, search, and the actions, whose line n is action n. Links in sections, lines of
+    contents, of the listing and of the index carry the ids of their actions. runs(doc, topic_index, pos,
+    region, text, tooltip): the runs of texts, spots the links among them; neighbors(doc, topic_index,
+    browse_prev, browse_next), contents(doc, line, level, title, target_doc, topic_index, mode, win),
+    keywords(key, keyword), destinations(key, doc, topic_index). A site holds texts twice, to be shown and to be
+    searched; its files may be compressed ("gzip").
+    """
+    path = output_path(path)
+    with passing_shuffles(topics.sparkSession):
+        _write_site(path, docs, topics, runs, spots, neighbors, contents, keywords, destinations, compression)
     one = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
     return one(docs, "document_count").crossJoin(one(topics, "topic_count")).crossJoin(one(warnings, "warning_count")).select(F.lit(path).alias("path"), "*")
 
 
-def read_site(spark: SparkSession, path: str) -> DataFrame:
-    """(part, nth, value): the lines of all parts of a written site, with their places from 0."""
+def read_site(spark: SparkSession, path: str, value: str | Column = "value") -> DataFrame:
+    """(part, nth, value): the lines of all parts of a written site, or a value made of each, with their places from 0."""
     out = None
     for part in PARTS:
-        d = read_lines(spark, f"{output_path(path)}/{part}").select(F.lit(part).alias("part"), "nth", "value")
+        d = read_lines(spark, f"{output_path(path)}/{part}", value).select(F.lit(part).alias("part"), "nth", "value")
         out = d if out is None else out.unionByName(d)
     return out
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -505,6 +506,58 @@ def test_site(spark, tmp_path, parts):
     assert len(lines["search"]) == len(lines["manifest"]) == 36 and [x.split(",")[0] for x in lines["documents"]] == [f'{{"name":"d{i}"' for i in range(3)]
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_lines_are_read_where_they_lie(spark, tmp_path, compression):
+    """Places come from counts of splits: nothing is written to read lines in order, whichever files and splits they lie in."""
+    from helpcorpus.functions.ordering import read_lines, write_lines
+
+    path, rows = str(tmp_path / "lines"), random.Random(9).sample(range(5000), 1200)
+    write_lines(spark.createDataFrame([(x, f"line {x}" * (x % 9)) for x in rows], "x int, value string").repartition(7), ["x"], path, rows_per_file=90, compression=compression)
+    files = lambda: sum(len(f) for _, _, f in os.walk(spark.conf.get("spark.checkpoint.dir")))
+    before, keep = files(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        got = read_lines(spark, path).orderBy("nth").collect()
+        digests = {r.nth: r.value for r in read_lines(spark, path, F.length("value")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    assert [tuple(r) for r in got] == [(i, f"line {x}" * (x % 9)) for i, x in enumerate(sorted(rows))]
+    assert digests == {r.nth: len(r.value) for r in got} and files() == before
+
+
+def test_runs_are_shuffled_once(spark):
+    """Runs with ids as a join has them, also two links in a place, places in two topics and missing values; sections are put together where texts lie in ranges."""
+    runs = spark.createDataFrame([("a", 0, 1, "x"), ("a", 0, 2, "y"), ("a", 1, 1, "z"), ("b", 0, 1, "w"), ("b", 0, 1, "w2"), (None, 0, 1, "n"), ("b", 0, None, "p"), ("c", None, 5, "q")], "doc string, topic_index int, pos long, text string")
+    runs = runs.withColumn("region", F.lit("scrolling")).withColumn("tooltip", F.lit(None).cast("string")).repartition(3)
+    registry = spark.createDataFrame([(0, "a", "", 1, 10), (0, "a", "", 1, 11), (0, "b", "", 1, 12), (0, "c", "", 5, 13), (1, "a", "", 2, 14), (0, "z", "", 1, 15)], "section int, grp string, sub string, seq long, action_id long")
+    rows = lambda d: sorted(map(repr, d.select("doc", "topic_index", "pos", "text", "action_id").collect()))
+    got = X.linked_runs(runs, registry)
+    assert rows(got) == rows(X.with_actions(runs, registry, "topics", "doc", "pos"))
+    plan = X.render_topic_html(got)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("rangepartitioning")[0].count("Exchange") == 1
+
+
+def test_shuffles_pass(spark, tmp_path):
+    """Files of a shuffle go with the action that needed them, and the session's setting comes back."""
+    from helpcorpus.functions.lineage import passing_shuffles
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    with passing_shuffles(spark):
+        start = held()
+        spark.range(3000).repartition(7).write.parquet(str(tmp_path / "a"))
+    for _ in range(50):
+        if held() > start:
+            time.sleep(0.2)
+    assert held() <= start and spark.conf.get(key, None) == before
+
+
+def test_escapes(spark):
+    d = spark.createDataFrame([("plain",), ('a"b\\c\n<&>\t\r',), ("\x01 \x1f\x0b\"",), ("",), (None,)], "s string")
+    assert [r[0] for r in d.select(js_string(F.col("s"))).collect()] == ['"plain"', '"a\\"b\\\\c\\n\\u003C\\u0026\\u003E\\t\\r"', '"\\u0001 \\u001F\\u000B\\""', '""', None]
+
+
 def test_output_path():
     assert [X.output_path(p) for p in ("a/b.hlp", "a/b", "a.x/b", "b.HTML", "a/.html", "b.c.d")] == ["a/b.html", "a/b.html", "a.x/b.html", "b.HTML", "a/.html.html", "b.c.html"]
 
