@@ -149,7 +149,8 @@ def _write_site(path: str, docs: DataFrame, topics: DataFrame, runs: DataFrame,
     sections = render_topic_html(linked_runs(runs, registry))
     tree = with_actions(contents.drop("topic_index"), registry, "contents", "doc", "line")
     listing = with_actions(topics.select("doc", "topic_index", "title"), registry, "listing", "doc", "topic_index")
-    index = with_actions(destinations, registry, "index", "key", "topic_index", "doc").join(keywords.select("key", "keyword"), "key")
+    # a destination's place in the registry is its own
+    index = registry.where(F.col("section") == SECTIONS.index("index")).select(F.col("grp").alias("key"), F.col("sub").alias("doc"), F.col("seq").alias("topic_index"), "action_id").join(keywords.select("key", "keyword"), "key")
     place = ["doc", "topic_index"]
     parts = {
         "topics": (sections, place, F.replace("html", F.lit("\n"), F.lit("&#10;"))), "manifest": (topic_manifest(topics, neighbors), place, "json"), "documents": (documents_manifest(docs, topics), ["doc"], "json"),
@@ -172,7 +173,7 @@ def export_site(
     contents, of the listing and of the index carry the ids of their actions. runs(doc, topic_index, pos,
     region, text, tooltip): the runs of texts, spots the links among them; neighbors(doc, topic_index,
     browse_prev, browse_next), contents(doc, line, level, title, target_doc, topic_index, mode, win),
-    keywords(key, keyword), destinations(key, doc, topic_index). A site holds texts twice, to be shown and to be
+    keywords(key, keyword), destinations(key, doc, topic_index), each once. A site holds texts twice, to be shown and to be
     searched; its files may be compressed ("gzip").
     """
     path = output_path(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,11 +52,21 @@ def merged_destinations(resolved: DataFrame) -> DataFrame:
     return resolved.select(F.lower("keyword").alias("key"), "doc", "topic_index").distinct()
 
 
-def placed_destinations(places: DataFrame, anchors: DataFrame) -> DataFrame:
-    """merged_destinations of entries that are not yet listed: places(doc, topic_offset, keywords) are looked up once for all their keywords, before these become rows; a topic's keywords are its own bound."""
+def _placed(places: DataFrame, anchors: DataFrame, spelled: Callable[[Column], Column]) -> DataFrame:
+    """(doc, topic_index, keywords): of places(doc, topic_offset, keywords) each topic's keywords once, looked up before they become rows; a topic's keywords are its own bound."""
     found = resolve_topic_offset(places.where("topic_offset >= 0"), anchors).where("topic_index is not null")
-    keys = F.array_distinct(F.transform(F.flatten(F.collect_list("keywords")), lambda k: F.lower(k)))
-    return found.groupBy("doc", "topic_index").agg(keys.alias("keys")).select(F.explode("keys").alias("key"), "doc", "topic_index")
+    return found.groupBy("doc", "topic_index").agg(F.array_distinct(F.transform(F.flatten(F.collect_list("keywords")), spelled)).alias("keywords"))
+
+
+def placed_destinations(places: DataFrame, anchors: DataFrame) -> DataFrame:
+    """merged_destinations of entries that are not yet listed: places(doc, topic_offset, keywords)."""
+    return _placed(places, anchors, F.lower).select(F.explode("keywords").alias("key"), "doc", "topic_index")
+
+
+def placed_spellings(places: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(key, keyword) of merge_keyword_index for entries that are not yet listed: in a list a document's keywords are in their own order, so the spelling seen first is the smallest of the first document."""
+    words = _placed(places, anchors, lambda k: k).select("doc", F.explode("keywords").alias("keyword"))
+    return words.groupBy(F.lower("keyword").alias("key")).agg(F.min(F.struct("doc", "keyword")).alias("first")).select("key", "first.keyword")
 
 
 def keyword_label(keyword: Column, n: Column) -> Column:

@@ -537,6 +537,22 @@ def test_runs_are_shuffled_once(spark):
     assert plan.split("rangepartitioning")[0].count("Exchange") == 1
 
 
+def test_spellings_without_lists(spark):
+    """The spelling of the first document and entry, as the merged index of listed entries has it; places before the first anchor reach nothing."""
+    rng = random.Random(11)
+    anchors = spark.createDataFrame([(d, 10 + 10 * i, i, 10 + 10 * i) for d in ("a", "b", "c") for i in range(20)], "doc string, topic_offset long, topic_index int, pos long")
+    places = [(d, rng.randrange(0, 230), [rng.choice(["Help", "help", "HELP", "tool", "Tool", "solo"]) + rng.choice(["", "s"]) for _ in range(rng.randrange(4))]) for d in ("a", "b", "c") for _ in range(30)] + [("c", -1, ["Never"]), ("c", 5, ["early"]), ("z", 50, ["nowhere"])]
+    entries = {}
+    for doc, at, words in places:
+        for w in words:
+            entries.setdefault((doc, w), []).append(at)
+    order = {d: sorted(w for e, w in entries if e == d) for d, _ in entries}
+    listed = spark.createDataFrame([(d, "K", order[d].index(w), w, at) for (d, w), at in entries.items()], "doc string, table_id string, ord int, keyword string, offsets array<long>")
+    want = {(r.key, r.keyword) for r in K.merge_keyword_index(K.keyword_topics(listed, anchors)).collect()}
+    got = K.placed_spellings(spark.createDataFrame(places, "doc string, topic_offset long, keywords array<string>").repartition(5), anchors).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 4
+
+
 def test_shuffles_pass(spark, tmp_path):
     """Files of a shuffle go with the action that needed them, and the session's setting comes back."""
     from helpcorpus.functions.lineage import passing_shuffles
